@@ -6,8 +6,8 @@ emitted); a state is the set of all configurations that agree with the bytes rea
 tokens are compatible if merging their joined bytes gives back those two; an encoding is the one
 whose neighbours are all compatible, so each state has one configuration without unfinished
 bytes. What all configurations of a state have finished in common is emitted, so tokens leave
-after a lookahead bounded by the longest token. States and transitions are made on first use and
-thrown away when there are too many.
+after a lookahead bounded by the longest token. States and transitions are made on first use; when
+there are as many as may be kept, further ones are used and dropped, and in the end all are made anew.
 
 Defined cases: a null text is encoded like an empty one (no ids); equal texts give equal ids;
 texts are processed whole; ids outside the vocabulary raise when decoded; null ids decode to
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +41,10 @@ LATER_LETTERS = (
 )
 LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 
-#: Bounds of what a Python worker keeps (about 300 MB): states of the transducer, and pieces in each of two generations.
-MOST_STATES = 300_000
-MOST_PIECES = 250_000
+#: Bounds of what a Python worker keeps (about 250 MB): states of the transducer, and pieces in each of two generations.
+MOST_STATES = 150_000
+MOST_PIECES = 200_000
+NEAR = 0x250
 
 
 def _members(ranges: str) -> str:
@@ -50,22 +52,40 @@ def _members(ranges: str) -> str:
     return "".join(f"\\U{int(e[0], 16):08X}-\\U{int(e[-1], 16):08X}" for e in ends)
 
 
+def _ranges(chars: list[str]) -> str:
+    """A character class body for these sorted characters."""
+    runs: list[list[str]] = []
+    for c in chars:
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in runs)
+
+
 @lru_cache(maxsize=4)
 def splitter(pattern: str):
-    """The pattern as a function from a text to its pieces. Texts without the later code points
-    (nearly all) run the plain pattern, the others one without them in its classes."""
+    """The pattern as a function from a text to its pieces. Texts of characters below NEAR (Latin)
+    run it with its classes written out, which is fastest; others run the pattern itself, and those
+    with later code points one without them in its classes."""
+    near = [chr(c) for c in range(NEAR)]
+    own = {k: _ranges([c for c in near if regex.match(k, c)]) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    both = r"[^\s\p{L}\p{N}]"
+    written = pattern.replace(both, "\0")
+    for k, ranges in own.items():
+        written = written.replace(k, f"[{ranges}]")
+    written = written.replace(r"\S", f"[^{own[chr(92) + 's']}]").replace("\0", "[^" + "".join(own.values()) + "]")
+    latin, far = re.compile(written), re.compile(f"[^\x00-{near[-1]}]")
+
     letters, numbers = _members(LATER_LETTERS), _members(LATER_NUMBERS)
-    later = regex.compile(f"[{letters}{numbers}]")
-    plain = regex.compile(pattern)
-    inside = pattern.replace("[^\\s\\p{L}\\p{N}]", "\0")
-    exact = inside.replace("\\p{L}", f"[\\p{{L}}--[{letters}]]").replace("\\p{N}", f"[\\p{{N}}--[{numbers}]]")
-    exact = exact.replace("\0", f"[[^\\s\\p{{L}}\\p{{N}}]||[{letters}{numbers}]]")
-    careful = regex.compile(exact, regex.V1)
+    plain, later = regex.compile(pattern), regex.compile(f"[{letters}{numbers}]")
+    exact = pattern.replace(both, "\0").replace(r"\p{L}", f"[\\p{{L}}--[{letters}]]").replace(r"\p{N}", f"[\\p{{N}}--[{numbers}]]")
+    careful = regex.compile(exact.replace("\0", f"[{both}||[{letters}{numbers}]]"), regex.V1)
 
     def pieces(text: str) -> list[str]:
-        if text.isascii() or not later.search(text):
-            return plain.findall(text)
-        return careful.findall(text)
+        if text.isascii() or not far.search(text):
+            return latin.findall(text)
+        return (careful if later.search(text) else plain).findall(text)
 
     return pieces
 
@@ -103,8 +123,9 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.states: dict[tuple, dict] = {}
-        self.start = self._state(((0, -1, ()),))
+        self.start = _State((0, -1, ()))
+        self.states: dict[tuple, _State] = {self.start.found: self.start}
+        self.unkept = 0
 
     def merged(self, raw: bytes) -> list[int]:
         """Merging by lowest rank, leftmost first; for the short strings that decide compatibility."""
@@ -128,51 +149,68 @@ class Transducer:
         key = last << 24 | token if last >= 0 else -1 - token
         fits = self.compatible.get(key)
         if fits is None:
-            if len(self.compatible) >= 8 * self.most_states:
+            if len(self.compatible) >= 3 * self.most_states:
                 self.compatible.clear()
             before = [] if last < 0 else [last]
             fits = self.compatible[key] = self.merged(b"".join(map(self.tokens.__getitem__, (*before, token)))) == [*before, token]
         return fits
 
-    def _state(self, found: tuple) -> dict:
-        """A state: its transitions by byte, under -1 its configurations, under -2 what it owes at the end."""
-        if found not in self.states:
-            self.states[found] = {-1: found, -2: next((owed for node, _, owed in found if not node), None)}
-        return self.states[found]
-
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple]:
+    def _step(self, state: _State, byte: int) -> tuple[_State, tuple]:
         child, ends, inner = self.child, self.ends, self.inner
-        found, whole = [], None
-        for node, last, owed in state[-1]:  # longest unfinished part first; the first that fits is the only one
+        found, whole, owes = [], -1, ()
+        old = iter(state.found)
+        for node, last, owed in zip(old, old, old):  # longest unfinished part first; the first that fits is the only one
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
             if inner[node]:
                 found.append((node, last, owed))
-            if whole is None and ends[node] >= 0 and self._fits(last, ends[node]):
-                whole = (0, ends[node], (*owed, ends[node]))
-        if whole is None:
+            if whole < 0 and ends[node] >= 0 and self._fits(last, ends[node]):
+                whole = ends[node]
+                owes = (*owed, whole)
+        if whole < 0:
             raise ValueError("these ranks give no encoding of a prefix; all single bytes must be tokens")
-        found.append(whole)
-        n = 0
-        while all(len(c[2]) > n and c[2][n] == whole[2][n] for c in found):
+        n, most = 0, min([len(c[2]) for c in found], default=len(owes))
+        while n < most and n < len(owes) and all(c[2][n] == owes[n] for c in found):
             n += 1
-        after = self._state(tuple((node, last, owed[n:]) for node, last, owed in found) if n else tuple(found))
-        state[byte] = (after, whole[2][:n])
-        return state[byte]
+        flat: list = []
+        for node, last, owed in found:
+            flat += (node, last, owed[n:])
+        flat += (0, whole, owes[n:])
+        key = tuple(flat)
+        after = self.states.get(key)
+        if after is None:
+            after = _State(key)
+            if len(self.states) >= self.most_states:  # used once, not kept
+                self.unkept += 1
+                return after, owes[:n]
+            self.states[key] = after
+        state.go[byte] = after, owes[:n]
+        return state.go[byte]
 
     def encode(self, piece: bytes) -> list[int]:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.states) > self.most_states:
+        if self.unkept > 20 * self.most_states:  # the texts have changed: learn anew
             self._clear()
         state, ids = self.start, []
         for byte in piece:
-            state, out = state.get(byte) or self._step(state, byte)
+            state, out = state.go.get(byte) or self._step(state, byte)
             if out:
                 ids += out
-        return ids + list(state[-2] or ())
+        ids += state.found[-1]
+        return ids
+
+
+class _State:
+    """found: node, last token and owed tokens of each configuration in turn, that without unfinished
+    bytes last; go: the next state and the tokens emitted, by byte."""
+
+    __slots__ = ("found", "go")
+
+    def __init__(self, found: tuple):
+        self.found, self.go = found, {}
 
 
 class _Pieces(dict):
@@ -232,7 +270,7 @@ def _transducer(raw: bytes) -> Transducer:
     return _made[key]
 
 
-def decode_stream(tokens: dict[int, bytes], ids: list[int], step: int = 4096) -> Iterator[str]:
+def decode_stream(tokens: dict[int, bytes], ids: Sequence[int], step: int = 4096) -> Iterator[str]:
     """Text of the ids as it becomes complete, `step` ids at a time."""
     stream = Utf8Stream()
     for i in range(0, len(ids), step):
@@ -257,16 +295,28 @@ class ByteBpe:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pieces, ids_of = splitter(pattern), _transducer(ranks.value).pieces
             for batch in batches:
-                packed, at = [], [0]
-                for text in batch:
-                    ids = b"".join(map(ids_of.__getitem__, pieces(text.as_py() or "")))
-                    packed.append(ids)
-                    at.append(at[-1] + len(ids) // 4)
-                flat = pa.Array.from_buffers(pa.int32(), at[-1], [None, pa.py_buffer(b"".join(packed))])
-                yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
+                for part in _parts(batch):
+                    yield _packed([b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part])
 
         return encode(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct(ids, decoded): the ids of each text, and the text that decoding these ids streams
+        out; both in one Python worker, which then holds one transducer."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
+        def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            transducer = _transducer(ranks.value)
+            pieces, ids_of, tokens = splitter(pattern), transducer.pieces, transducer.tokens
+            for batch in batches:
+                for part in _parts(batch):
+                    ids = [b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part]
+                    decoded = pa.array(["".join(decode_stream(tokens, array("i", x))) for x in ids], pa.string())
+                    yield pa.StructArray.from_arrays([_packed(ids), decoded], ["ids", "decoded"])
+
+        return round_trip(text)
+
     def decode(self, ids: Column) -> Column:
         """The bytes that the ids stand for."""
         ranks = self.ranks
@@ -292,6 +342,19 @@ class ByteBpe:
         return decode_text(ids)
 
 
+def _parts(texts: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
+    """A batch in slices, so that what is made of one slice is sent before the next is begun."""
+    for i in range(0, len(texts), rows):
+        yield texts.slice(i, rows)
+
+
+def _packed(ids: list[bytes]) -> pa.ListArray:
+    """Packed int32 ids of each text as an Arrow list array."""
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(at), flat, type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
 def _lists(batch: pa.ListArray) -> Iterator[list[int]]:
     values = batch.values.to_numpy(zero_copy_only=False)
     at = batch.offsets.to_numpy()

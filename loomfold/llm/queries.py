@@ -32,9 +32,9 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts."""
     codec = bpe.ByteBpe(spark, *vocabulary())
-    ids = pick(docs, "doc_id", "text").select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode_text(F.col("ids")).alias("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
+    both = pick(docs, "doc_id", "text").select("doc_id", codec.round_trip(F.col("text")).alias("r"))
+    ids = F.array_join(F.col("r.ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha(F.col("r.decoded")).alias("decoded_sha256"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
