@@ -17,10 +17,12 @@ nothing; bytes that are not UTF-8 decode to U+FFFD in `decode_text`.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -41,10 +43,11 @@ LATER_LETTERS = (
 )
 LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 
-#: Bounds of what a Python worker keeps (about 250 MB): states of the transducer, and pieces in each of two generations.
-MOST_STATES = 150_000
-MOST_PIECES = 200_000
+#: Bounds of what a Python worker keeps (about 350 MB): states of the transducer, and pieces in each of two generations.
+MOST_STATES = 250_000
+MOST_PIECES = 300_000
 NEAR = 0x250
+HEAD = 6
 
 
 def _members(ranges: str) -> str:
@@ -102,7 +105,9 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES, most_pieces: int = MOST_PIECES):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.tokens: list = [None] * (max(ranks.values()) + 1)  # bytes by id
+        for token, i in ranks.items():
+            self.tokens[i] = token
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.ends, self.inner = [-1], [True]  # the token that ends at a node; whether others go on
         for token, i in ranks.items():
@@ -123,8 +128,9 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.start = _State((0, -1, ()))
+        self.start = _State((0, -1, ()), self._step)
         self.states: dict[tuple, _State] = {self.start.found: self.start}
+        self.heads: dict[bytes, tuple[_State, tuple]] = {}  # where the first HEAD bytes of a piece lead
         self.unkept = 0
 
     def merged(self, raw: bytes) -> list[int]:
@@ -149,7 +155,7 @@ class Transducer:
         key = last << 24 | token if last >= 0 else -1 - token
         fits = self.compatible.get(key)
         if fits is None:
-            if len(self.compatible) >= 3 * self.most_states:
+            if len(self.compatible) >= 2 * self.most_states:
                 self.compatible.clear()
             before = [] if last < 0 else [last]
             fits = self.compatible[key] = self.merged(b"".join(map(self.tokens.__getitem__, (*before, token)))) == [*before, token]
@@ -180,13 +186,13 @@ class Transducer:
         key = tuple(flat)
         after = self.states.get(key)
         if after is None:
-            after = _State(key)
+            after = _State(key, state.step)
             if len(self.states) >= self.most_states:  # used once, not kept
                 self.unkept += 1
                 return after, owes[:n]
             self.states[key] = after
-        state.go[byte] = after, owes[:n]
-        return state.go[byte]
+        state[byte] = made = after, owes[:n]
+        return made
 
     def encode(self, piece: bytes) -> list[int]:
         token = self.ranks.get(piece)
@@ -194,23 +200,39 @@ class Transducer:
             return [token]
         if self.unkept > 20 * self.most_states:  # the texts have changed: learn anew
             self._clear()
-        state, ids = self.start, []
-        for byte in piece:
-            state, out = state.go.get(byte) or self._step(state, byte)
+        state, ids, rest = self.start, [], piece
+        if len(piece) > HEAD:
+            head = piece[:HEAD]
+            known = self.heads.get(head)
+            if known is None:
+                for byte in head:
+                    state, out = state[byte]
+                    ids += out
+                if len(self.heads) >= self.most_states:
+                    self.heads.clear()
+                self.heads[head] = state, tuple(ids)
+            else:
+                state, ids = known[0], [*known[1]]
+            rest = piece[HEAD:]
+        for byte in rest:
+            state, out = state[byte]
             if out:
                 ids += out
         ids += state.found[-1]
         return ids
 
 
-class _State:
-    """found: node, last token and owed tokens of each configuration in turn, that without unfinished
-    bytes last; go: the next state and the tokens emitted, by byte."""
+class _State(dict):
+    """The next state and the tokens emitted, by byte, made on first use. found: node, last token and
+    owed tokens of each configuration in turn, that without unfinished bytes last."""
+
+    __slots__ = ("found", "step")
 
-    __slots__ = ("found", "go")
+    def __init__(self, found: tuple, step: Callable):
+        self.found, self.step = found, step
 
-    def __init__(self, found: tuple):
-        self.found, self.go = found, {}
+    def __missing__(self, byte: int) -> tuple:
+        return self.step(self, byte)
 
 
 class _Pieces(dict):
@@ -258,6 +280,18 @@ class Utf8Stream:
         return rest
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the cycle collector, which would scan all states again and again; none of them are in cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _made: dict[str, Transducer] = {}
 
 
@@ -270,7 +304,7 @@ def _transducer(raw: bytes) -> Transducer:
     return _made[key]
 
 
-def decode_stream(tokens: dict[int, bytes], ids: Sequence[int], step: int = 4096) -> Iterator[str]:
+def decode_stream(tokens: list[bytes], ids: Sequence[int], step: int = 4096) -> Iterator[str]:
     """Text of the ids as it becomes complete, `step` ids at a time."""
     stream = Utf8Stream()
     for i in range(0, len(ids), step):
@@ -294,9 +328,10 @@ class ByteBpe:
         @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pieces, ids_of = splitter(pattern), _transducer(ranks.value).pieces
-            for batch in batches:
-                for part in _parts(batch):
-                    yield _packed([b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part])
+            with _no_cycles():
+                for batch in batches:
+                    for part in _parts(batch):
+                        yield _packed([b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part])
 
         return encode(text)
 
@@ -309,11 +344,12 @@ class ByteBpe:
         def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             transducer = _transducer(ranks.value)
             pieces, ids_of, tokens = splitter(pattern), transducer.pieces, transducer.tokens
-            for batch in batches:
-                for part in _parts(batch):
-                    ids = [b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part]
-                    decoded = pa.array(["".join(decode_stream(tokens, array("i", x))) for x in ids], pa.string())
-                    yield pa.StructArray.from_arrays([_packed(ids), decoded], ["ids", "decoded"])
+            with _no_cycles():
+                for batch in batches:
+                    for part in _parts(batch):
+                        ids = [b"".join(map(ids_of.__getitem__, pieces(t.as_py() or ""))) for t in part]
+                        decoded = pa.array(["".join(decode_stream(tokens, array("i", x))) for x in ids], pa.string())
+                        yield pa.StructArray.from_arrays([_packed(ids), decoded], ["ids", "decoded"])
 
         return round_trip(text)
 
