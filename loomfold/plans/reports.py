@@ -98,7 +98,7 @@ def enrich_left(spark, d):
     return S.events(spark, d).select("product_id").distinct().join(S.products(spark, d).select("product_id", "name"), "product_id", "left")
 
 
-@query("J12", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber) as parts from orders left join lineitem on o_orderkey = l_orderkey where o_custkey < 50 group by 1")
+@query("J12", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey where o_custkey < 50 group by 1")
 def nested(spark, d):
     orders = S.table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey")
     lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
