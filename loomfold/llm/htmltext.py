@@ -30,6 +30,7 @@ from loomfold.llm.common import pick
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNREAD = frozenset("script style noscript template svg math iframe object head title select option button textarea form nav aside footer dialog menu audio video canvas map".split())
+UNSEEN = frozenset("script style noscript template svg math iframe object canvas map".split())  # interrupt no line
 WHOLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,15 +48,15 @@ class Line:
 
 
 class _Reader(HTMLParser):
-    """Events to lines. The stack holds (tag, boilerplate?) of open elements; article and main elements are numbered."""
+    """Events to lines. The stack holds (tag, boilerplate?, inside a line?) of open elements; article and main elements are numbered."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, bool]] = []
         self.count = 0
         self.wholes: list[int] = []
-        self.out = self.links = self.headings = 0
+        self.out = self.drops = self.links = self.headings = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -87,10 +88,11 @@ class _Reader(HTMLParser):
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            if self.stack[-1][0] not in INLINE:
+            if not self.stack[-1][2]:
                 self._end_line()
-            tag, named = self.stack.pop()
+            tag, named, inline = self.stack.pop()
             self.out -= named
+            self.drops -= named and inline
             self.links -= tag == "a"
             self.headings -= tag in HEADINGS
             if tag in WHOLE:
@@ -117,11 +119,13 @@ class _Reader(HTMLParser):
             self._pop_to(at)
         if tag in SELF_CLOSING and (at := self._open(*SELF_CLOSING[tag])) >= 0:
             self._pop_to(at)
-        if tag not in INLINE:
+        inline = tag in INLINE or tag in UNSEEN
+        if not inline:
             self._end_line()
         named = self._named(tag, attrs)
-        self.stack.append((tag, named))
+        self.stack.append((tag, named, inline))
         self.out += named
+        self.drops += named and inline  # boilerplate within a line is no part of it
         self.links += tag == "a"
         self.headings += tag in HEADINGS
         if tag in WHOLE:
@@ -141,7 +145,7 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.stack or self.stack[-1][0] not in ("script", "style"):
+        if not self.drops:
             self.parts.append(data)
             self.linked += len(data) if self.links else 0
 
