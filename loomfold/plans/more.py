@@ -15,6 +15,7 @@ from loomfold.plans.registry import query
 from loomfold.sources import tables as S
 
 HISTORY = "array<struct<k:int>>"
+_RUNNING = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
 simple("SRC05", "select event_id, cast(json_extract_string(props, '$.k') as integer) as first_k from events", lambda e: e.select("event_id", F.from_json(F.concat(F.lit("["), "props", F.lit("]")), HISTORY)[0]["k"].alias("first_k")), lambda s, d: S.table(s, d, "events"))
 simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(avg(price), 6) as mean from (select * from products order by price, product_id limit 100)", lambda p: p.orderBy("price", "product_id").limit(100).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gender").alias("genders"), F.round(F.avg("price"), 6).alias("mean")))
 simple("SNK13", "select o_orderkey, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as status, o_orderstatus = 'P' as changed from orders", lambda o: o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_orderstatus") == "P").alias("changed")), lambda s, d: S.table(s, d, "orders"))
@@ -114,3 +115,58 @@ def graded(spark, d):
 
 
 simple("X18", "select product_id, concat_ws(' ', name, article_type, base_colour, usage, gender) as text from products", lambda p: p.select("product_id", F.concat_ws(" ", "name", "article_type", "base_colour", "usage", "gender").alias("text")))
+
+
+# in whole hundredths, so that sums are exact in any order
+simple("A28", "select event_id, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id) / count(*) over (partition by user_id order by ts, event_id) as running from event_rows",
+       lambda e: e.withColumn("so_far", F.struct(F.sum(F.round(F.col("value") * 100).cast("bigint")).over(_RUNNING).alias("total"), F.count(F.lit(1)).over(_RUNNING).alias("n"))).select("event_id", (F.col("so_far.total") / F.col("so_far.n")).alias("running")), S.events)
+simple("JS04", "select event_id, interaction_type as name, round(value, 2) as value from event_rows", lambda e: e.select("event_id", F.format_string("[log] metric %s = %.2f", "interaction_type", "value").alias("line")).select("event_id", F.regexp_extract("line", r"metric (\w+) = ", 1).alias("name"), F.regexp_extract("line", r" = (-?[0-9.]+)", 1).cast("double").alias("value")), S.events)
+simple("AR05", "select event_id, json_extract_string(props, '$.k') as k from events", lambda e: e.select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k")), lambda s, d: S.table(s, d, "events"))
+
+
+@query("X08", "select user_id, product_id, round(0.5 * (score - (select min(score) from one)) / (select max(score) - min(score) from one), 6) as score from one", "one as (select user_id, product_id, sum(w) as score from weighted group by 1, 2)")
+def content_only(spark, d):
+    """Without graph scores the blend goes on with content scores alone, the missing side being 0 after scaling."""
+    content = scoring.pair_weights(S.interactions(spark, d)).select("user_id", "product_id", F.col("w").alias("score"))
+    bounds = content.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    return content.join(F.broadcast(bounds)).select("user_id", "product_id", F.round(C.blend(F.lit(0.0), C.min_max(F.col("score"), F.col("low"), F.col("high")), 0.5), 6).alias("score"))
+
+
+def _artifact(spark, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/artifact-{spark.sparkContext.applicationId}-{name}"
+
+
+@query("SNK06", "select user_id, count(*) as n from interactions group by 1")
+def save_artifact(spark, d):
+    path = _artifact(spark, "counts")
+    S.interactions(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SRC14", "select product_id, price from products")
+def load_artifact(spark, d):
+    path = _artifact(spark, "prices")
+    S.products(spark, d).select("product_id", "price").write.mode("overwrite").parquet(path)
+    return S.read_first(spark, path)
+
+
+@query("SRC20", "select product_id, year from products")
+def load_fallback(spark, d):
+    path = _artifact(spark, "years")
+    S.products(spark, d).select("product_id", "year").write.mode("overwrite").parquet(path)
+    return S.read_first(spark, _artifact(spark, "not-there"), path)
+
+
+@query("SRC16", "select * from (values ('prices', true), ('not-there', false)) t(name, there)")
+def artifact_status(spark, d):
+    path = _artifact(spark, "status-prices")
+    S.products(spark, d).select("product_id").write.mode("overwrite").parquet(path)
+    rows = [("prices", S.read_first(spark, path) is not None), ("not-there", S.read_first(spark, _artifact(spark, "not-there")) is not None)]
+    return spark.createDataFrame(rows, "name string, there boolean")
+
+
+@query("P08", "select user_id, string_agg(product_id || ':' || cast(rank as varchar), ',' order by rank) as personalized, count(*) as n from ranking where rank <= 5 group by 1", CONTENT)
+def response(spark, d):
+    best = _ranking(spark, d).where("rank <= 5").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("items"))
+    return best.select("user_id", F.array_join(F.transform("items", lambda x: F.concat(x["product_id"], F.lit(":"), x["rank"].cast("string"))), ",").alias("personalized"), F.size("items").cast("long").alias("n"))
