@@ -12,7 +12,7 @@ from loomfold.functions import values as V
 
 def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
     """A value of a small fixed dictionary."""
-    found = F.element_at(F.create_map(*[F.lit(x) for x in chain(*table.items())]), F.coalesce(key, F.lit("")))
+    found = F.element_at(F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in chain(*table.items())]), F.coalesce(key, F.lit("")))
     return found if default is None else F.coalesce(found, default)
 
 
@@ -121,3 +121,10 @@ def parsed_time(text: Column) -> Column:
     """The first of the known formats that fits; null if none does."""
     formats = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def combinations(items: Column, k: int) -> Column:
+    """All ways to take k elements of a short array, in its order: array of arrays. The array must be
+    bounded (a top list), as the result grows with its length to the k."""
+    grown = F.aggregate(items, F.array(F.slice(items, 1, 0)), lambda done, x: F.concat(done, F.transform(F.filter(done, lambda d: F.size(d) < k), lambda d: F.concat(d, F.array(x)))))
+    return F.filter(grown, lambda d: F.size(d) == k)

@@ -24,4 +24,38 @@ ARTICLES = {
 }
 CATEGORY_KEYS = {"Topwear": "topwear", "Bottomwear": "bottomwear", "Shoes": "footwear", "Sandal": "footwear", "Flip Flops": "footwear", "Watches": "accessories", "Bags": "accessories", "Belts": "accessories", "Headwear": "accessories", "Dress": "dress", "Innerwear": "innerwear"}
 CATEGORY_TAGS = {"Tshirts": "tops", "Jeans": "bottoms", "Casual Shoes": "shoes", "Sandals": "shoes", "Watches": "accessories", "Dresses": "dresses"}
-LABELS = {"tshirts": "t-shirts", "jeans": "jeans", "casual shoes": "casual shoes", "watches": "watches"}
+
+# Names shown for article types (by lower-case name).
+LABELS = {
+    "shirts": "shirts", "tshirts": "t-shirts", "tops": "tops", "jackets": "jackets", "sweaters": "sweaters", "sweatshirts": "sweatshirts", "tunics": "tunics", "topwear": "tops",
+    "jeans": "jeans", "trousers": "trousers", "shorts": "shorts", "skirts": "skirts", "capris": "capris", "track pants": "track pants", "bottomwear": "bottoms",
+    "dresses": "dresses", "dress": "dress",
+    "casual shoes": "casual shoes", "formal shoes": "formal shoes", "sports shoes": "sports shoes", "sneakers": "sneakers", "heels": "heels", "flats": "flats", "sandals": "sandals", "flip flops": "flip flops", "shoes": "shoes",
+    "watches": "watches", "belts": "belts", "bags": "bags", "backpacks": "backpacks", "handbags": "handbags", "caps": "caps", "accessories": "accessories",
+}
+
+# Article types of each sub-category, and those that are left out for men and for people of no known gender.
+ARTICLE_TYPES = {
+    "Bags": ["Backpacks", "Handbags"],
+    "Belts": ["Belts"],
+    "Headwear": ["Caps"],
+    "Watches": ["Watches"],
+    "Bottomwear": ["Capris", "Jeans", "Shorts", "Skirts", "Track Pants", "Tracksuits", "Trousers"],
+    "Dress": ["Dresses"],
+    "Innerwear": ["Bra"],
+    "Topwear": ["Jackets", "Shirts", "Sweaters", "Sweatshirts", "Tops", "Tshirts", "Tunics"],
+    "Flip Flops": ["Flip Flops"],
+    "Sandal": ["Sandals", "Sports Sandals"],
+    "Shoes": ["Casual Shoes", "Flats", "Formal Shoes", "Heels", "Sandals", "Sports Shoes"],
+}
+NOT_FOR_MEN = ["Skirts", "Dresses", "Bra", "Heels", "Flats"]
+NOT_FOR_OTHERS = ["Skirts", "Dresses", "Bra", "Heels"]
+
+# What completes an outfit that begins with a product of a category.
+COMPLETION = {
+    "tops": ["bottoms", "shoes", "accessories"],
+    "bottoms": ["tops", "shoes", "accessories"],
+    "dresses": ["shoes", "accessories"],
+    "shoes": ["tops", "bottoms", "accessories"],
+    "accessories": ["tops", "bottoms"],
+}

@@ -51,3 +51,42 @@ def suite(ranking: DataFrame, relevant: DataFrame, products: DataFrame, ks=(10,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("metric", "k", "value")
+
+
+BETTER = {"ndcg_10": max, "ndcg_20": max, "diversity": max, "coverage": max, "inference_time": min}
+
+
+def best_models(results: DataFrame) -> DataFrame:
+    """metric, model, value: the best model of each metric; inference times of 0 or less don't count
+    unless all are so. results: model and the columns of BETTER; ties go to the first by name."""
+    picks = []
+    for m, which in BETTER.items():
+        key = F.struct(-F.coalesce(F.col(m), F.lit(0.0)), F.col("model")) if which is max else F.struct(F.when(F.col(m) > 0, F.col(m)).otherwise(float("inf")), F.col("model"))
+        picks.append(F.min_by(F.struct("model", F.coalesce(F.col(m), F.lit(0.0)).alias("value")), key).alias(m))
+    got = results.agg(*picks)
+    return got.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.model").alias("model"), F.col(f"{m}.value").alias("value")) for m in BETTER])))
+
+
+def verdicts(results: DataFrame, hybrid: str = "hybrid", graph: str = "gnn") -> DataFrame:
+    """One row of booleans about the hybrid model; no row for fewer than three models."""
+    def of(model: str, m: str):
+        return F.coalesce(F.max(F.when(F.col("model") == model, F.col(m))), F.lit(0.0))
+
+    def others(m: str):
+        return F.max(F.when(F.col("model") != hybrid, F.coalesce(F.col(m), F.lit(0.0))))
+
+    first, second = of(hybrid, "ndcg_10") >= others("ndcg_10"), of(hybrid, "ndcg_20") >= others("ndcg_20")
+    varied, wide = of(hybrid, "diversity") > of(graph, "diversity"), of(hybrid, "coverage") > of(graph, "coverage")
+    got = results.agg(F.count(F.lit(1)).alias("n"), first.alias("best_ndcg_10"), second.alias("best_ndcg_20"), varied.alias("more_diverse"), wide.alias("wider"), (first & varied).alias("balanced"))
+    return got.where("n >= 3").drop("n")
+
+
+BLEND_SECONDS = 0.001  # a fixed value: what blending adds to both models' inference
+
+
+def timings(seconds: dict[str, float], graph: str = "gnn", content: str = "cbf", hybrid: str = "hybrid") -> dict[str, dict[str, float]]:
+    """Training and inference time of each model; the hybrid's are the sums of both models'."""
+    out = {m: {"training_time": s, "inference_time": s} for m, s in seconds.items()}
+    both = seconds[graph] + seconds[content]
+    out[hybrid] = {"training_time": both, "inference_time": both + BLEND_SECONDS}
+    return out

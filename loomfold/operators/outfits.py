@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfold.functions import columns as C
 from loomfold.functions import values as V
 
 
@@ -35,3 +36,93 @@ def valid(items: DataFrame) -> DataFrame:
     """outfit_id, valid: one usage among those known, and all four slots filled. items: outfit_id, slot, usage."""
     got = items.groupBy("outfit_id").agg(F.count_distinct("usage").alias("usages"), F.count_distinct(F.when(F.col("slot").isin(*V.SLOTS), F.col("slot"))).alias("slots"))
     return got.select("outfit_id", ((F.col("usages") == 1) & (F.col("slots") == len(V.SLOTS))).alias("valid"))
+
+
+def structure_slot(sub: Column, master: Column) -> Column:
+    """The slot that a product fills in a complete outfit, by words in its categories; the first that fits."""
+    s, m = F.lower(F.coalesce(sub, F.lit(""))), F.lower(F.coalesce(master, F.lit("")))
+    return (
+        F.when(F.contains(s, F.lit("accessor")) | F.contains(m, F.lit("accessor")), "accessories").when(F.contains(s, F.lit("bottom")) | F.contains(m, F.lit("bottom")), "bottomwear")
+        .when(F.contains(s, F.lit("top")) | F.contains(m, F.lit("top")), "topwear").when(F.contains(s, F.lit("foot")) | F.contains(m, F.lit("foot")) | F.contains(s, F.lit("shoe")), "footwear")
+    )
+
+
+def alike(a: str, b: str, features=V.FEATURES) -> Column:
+    """Cosine of the one-hot vectors of two structs of features: equal known values over the root of both counts."""
+    same = sum((F.coalesce(F.col(f"{a}.{f}") == F.col(f"{b}.{f}"), F.lit(False)).cast("double") for f in features), F.lit(0.0))
+    known = [sum((F.col(f"{x}.{f}").isNotNull().cast("double") for f in features), F.lit(0.0)) for x in (a, b)]
+    return F.when(known[0] * known[1] == 0, 0.0).otherwise(same / F.sqrt(known[0] * known[1]))
+
+
+def complete(candidates: DataFrame, k: int = 10, item_weight: float = 1.0, pair_weight: float = 0.5, payload: str | None = None, features=V.FEATURES) -> DataFrame:
+    """user_id, products, score, item_part, pair_part, rank: each user's k best combinations of one
+    product a slot with one usage among those known, holding `payload` if given.
+
+    candidates: user_id, product_id, slot, usage, score and the features; a user's list must be short
+    (a ranking of tens), as every combination of its slots is scored. A user's list is one row here."""
+    item = F.struct("product_id", "score", *sorted({"usage", *features}))
+    slots = [F.sort_array(F.collect_list(F.when(F.col("slot") == s, item))).alias(s) for s in V.SLOTS]
+    rows = candidates.where(F.col("slot").isin(*V.SLOTS)).groupBy("user_id").agg(*slots)
+    for n, s in enumerate(V.SLOTS, 1):
+        rows = rows.withColumn(s, F.explode(s))
+        usages = F.array_distinct(F.array_compact(F.array(*[F.col(f"{x}.usage") for x in V.SLOTS[:n]])))
+        rows = rows.where(F.size(usages) <= 1 if n < len(V.SLOTS) else F.size(usages) == 1)
+    ids = F.array(*[F.col(f"{s}.product_id") for s in V.SLOTS])
+    if payload is not None:
+        rows = rows.where(F.array_contains(ids, payload))
+    items = item_weight * sum((F.col(f"{s}.score") for s in V.SLOTS), F.lit(0.0))
+    pairs = pair_weight * sum((alike(a, b, features) for n, a in enumerate(V.SLOTS) for b in V.SLOTS[n + 1 :]), F.lit(0.0))
+    scored = rows.select("user_id", ids.alias("products"), F.round(items + pairs, 9).alias("score"), items.alias("item_part"), pairs.alias("pair_part"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "products"))).where(F.col("rank") <= k)
+
+
+def article_types(sub: Column, person: Column) -> Column:
+    """The article types of a sub-category that suit a person; all of them if none would be left."""
+    every = C.lookup({k: F.array(*map(F.lit, v)) for k, v in V.ARTICLE_TYPES.items()}, sub, F.array().cast("array<string>"))
+    kept = F.when(person == "male", F.array_except(every, F.array(*map(F.lit, V.NOT_FOR_MEN)))).when(person == "female", every).otherwise(F.array_except(every, F.array(*map(F.lit, V.NOT_FOR_OTHERS))))
+    return F.when(F.size(kept) > 0, kept).otherwise(every)
+
+
+def product_gender(age: Column, gender: Column) -> Column:
+    """The product gender of a person; Unisex if age or gender is not known."""
+    g = C.normal_gender(gender)
+    return F.when(age.isNull(), "Unisex").when(g == "male", F.when(age <= 12, "Boys").otherwise("Men")).when(g == "female", F.when(age <= 12, "Girls").otherwise("Women")).otherwise("Unisex")
+
+
+def built(users: DataFrame, products: DataFrame, scores: DataFrame, outfits: int = 3, pool: int = 10) -> DataFrame:
+    """user_id, outfit_number, slot, product_id, score, completeness: for each user `outfits` outfits,
+    where outfit t takes the t-th best (or the last) of a slot's pool.
+
+    users: user_id, age, gender, and the sub-categories `accessory` and `footwear` drawn for them. A
+    pool is the first `pool` products by id of the slot's sub-category and suiting article types, of the
+    user's own product gender, else Unisex, else any. They are sorted by the user's score (scores:
+    user_id, product_id, score), else by a fifth of the rating. Women have a slot each for dress and
+    innerwear; an outfit needs the four slots of V.SLOTS. Pools are broadcast: at most `pool` rows for
+    each sub-category of V.ARTICLE_TYPES, product gender and kind of person, whatever the input."""
+    kinds = F.explode(F.array(*map(F.lit, ("male", "female", "other"))))
+    suits = products.where(F.col("sub_category").isin(*V.ARTICLE_TYPES)).withColumn("person", kinds)
+    suits = suits.where(F.array_contains(article_types(F.col("sub_category"), F.col("person")), F.col("article_type")))
+    shelf = F.explode(F.array_distinct(F.array(F.lit("any"), F.when(F.col("gender").isin(*V.ALL_GENDERS), F.col("gender")).otherwise("any"))))
+    suits = suits.select("person", "sub_category", shelf.alias("shelf"), "product_id", (F.coalesce("rating", F.lit(0.0)) / 5).alias("base"))
+    first = F.row_number().over(Window.partitionBy("person", "sub_category", "shelf").orderBy("product_id"))
+    pools = suits.withColumn("n", first).where(F.col("n") <= pool).groupBy("person", "sub_category", "shelf").agg(F.collect_list(F.struct("product_id", "base")).alias("items"))
+
+    person = F.coalesce(C.normal_gender(F.col("gender")), F.lit("other"))
+    person = F.when(person == "unisex", "other").otherwise(person)
+    wanted = [("accessories", F.col("accessory")), ("bottomwear", F.lit("Bottomwear")), ("topwear", F.lit("Topwear")), ("footwear", F.col("footwear"))]
+    women = [("dress", F.lit("Dress")), ("innerwear", F.lit("Innerwear"))]
+    slot = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("sub_category")) for s, c in wanted])
+    more = F.array(*[F.struct(F.lit(s).alias("slot"), c.alias("sub_category")) for s, c in women])
+    rows = users.select("user_id", person.alias("person"), product_gender(F.col("age"), F.col("gender")).alias("own"), F.when(person == "female", F.concat(slot, more)).otherwise(slot).alias("slots"))
+    rows = rows.select("user_id", "person", "own", F.size("slots").alias("required"), F.inline("slots"))
+    for n, at in enumerate((F.col("own"), F.lit("Unisex"), F.lit("any"))):
+        side = pools.select(F.col("person"), "sub_category", F.col("shelf").alias(f"at{n}"), F.col("items").alias(f"items{n}"))
+        rows = rows.withColumn(f"at{n}", at).join(F.broadcast(side), ["person", "sub_category", f"at{n}"], "left")
+    found = rows.select("user_id", "required", "slot", F.inline(F.coalesce("items0", "items1", "items2")))
+    best = Window.partitionBy("user_id", "slot")
+    found = found.join(scores.select("user_id", "product_id", "score"), ["user_id", "product_id"], "left").withColumn("key", F.round(F.coalesce("score", "base"), 9))
+    found = found.withColumns({"place": F.row_number().over(best.orderBy(F.desc("key"), "product_id")), "n": F.count(F.lit(1)).over(best)})
+    found = found.withColumn("outfit_number", F.explode(F.sequence(F.lit(1), F.lit(outfits)))).where(F.col("place") == F.least("outfit_number", "n"))
+    whole = Window.partitionBy("user_id", "outfit_number")
+    found = found.withColumns({"core": F.count_if(F.col("slot").isin(*V.SLOTS)).over(whole), "filled": F.count(F.lit(1)).over(whole)}).where(F.col("core") == len(V.SLOTS))
+    return found.select("user_id", "outfit_number", "slot", "product_id", F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("filled") / F.col("required")).alias("completeness"))

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Lineage cut in shared storage: the session's checkpoint folder, else one in the warehouse."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+    return rows.checkpoint()
+
+
 def prune_once(rows: DataFrame, k: int) -> DataFrame:
     """Rows whose user and product both have at least k rows, counted on the same snapshot."""
     users = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("user_id")
@@ -16,12 +24,9 @@ def prune_once(rows: DataFrame, k: int) -> DataFrame:
 def k_core(rows: DataFrame, k: int, most_rounds: int = 100) -> tuple[DataFrame, int]:
     """Prunes until nothing changes; gives the rows and the number of rounds, the unchanged one included.
     Each round is checkpointed, so its lineage is cut in shared storage."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     before = rows.count()
     for n in range(1, most_rounds + 1):
-        rows = prune_once(rows, k).checkpoint()
+        rows = checkpointed(prune_once(rows, k))
         after = rows.count()
         if after == before:
             return rows, n

@@ -56,25 +56,39 @@ def preferences(interactions: DataFrame, products: DataFrame, attributes=("artic
     return sums.select("user_id", "attribute", "value", (F.col("w") / F.max("w").over(Window.partitionBy("user_id", "attribute"))).alias("preference"))
 
 
+def shape_scores(profile: DataFrame, shapes: DataFrame, features=V.FEATURES) -> DataFrame:
+    """user_id, shape, score: cosine of a profile and a distinct feature tuple, for those that share a
+    feature. shapes: one row for each `shape`, a struct of the features."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"shape.{f}").alias("value")) for f in features])
+    cells = shapes.select("shape", F.inline(pairs)).where("value is not null")
+    size = F.sqrt(F.count(F.lit(1)).over(Window.partitionBy("shape")).cast("double"))
+    cells = cells.withColumn("size", size)
+    norms = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    scored = profile.join(cells, ["feature", "value"]).groupBy("user_id", "shape").agg(F.sum(F.col("weight") / F.col("size")).alias("dot"))
+    return scored.join(norms, "user_id").select("user_id", "shape", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+
+
 def content_scores(profile: DataFrame, products: DataFrame, k: int = 20, features=V.FEATURES) -> DataFrame:
     """Top k products by cosine of profile and one-hot vector: user_id, product_id, score, rank.
 
     Products with the same features have the same score, so users are scored against distinct feature
     tuples, and only the tuples among a user's k best are expanded, to k products each. A product that
     shares nothing with the profile scores 0 and isn't listed."""
-    key = F.struct(*features)
-    shapes = products.select(key.alias("shape"), "product_id").withColumn("place", F.row_number().over(Window.partitionBy("shape").orderBy("product_id"))).where(F.col("place") <= k)
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"shape.{f}").alias("value")) for f in features])
-    cells = shapes.where("place = 1").select("shape", F.inline(pairs)).where("value is not null")
-    size = F.sqrt(F.count(F.lit(1)).over(Window.partitionBy("shape")).cast("double"))
-    cells = cells.withColumn("size", size)
-    norms = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    scored = profile.join(cells, ["feature", "value"]).groupBy("user_id", "shape").agg(F.sum(F.col("weight") / F.col("size")).alias("dot"))
-    scored = scored.join(norms, "user_id").select("user_id", "shape", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    shapes = products.select(F.struct(*features).alias("shape"), "product_id").withColumn("place", F.row_number().over(Window.partitionBy("shape").orderBy("product_id"))).where(F.col("place") <= k)
+    scored = shape_scores(profile, shapes.where("place = 1"), features)
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("user_id").orderBy(F.desc("score")))).where(F.col("r") <= k)
     return top_k(best.join(shapes, "shape").select("user_id", "product_id", "score"), k)
 
 
+def content_matrix(profile: DataFrame, products: DataFrame, features=V.FEATURES) -> DataFrame:
+    """user_id, pairs, non_zero, total, best: what the whole matrix of users and products holds, of
+    which no pair is made: products of a feature tuple are counted, and the others score 0."""
+    shapes = products.groupBy(F.struct(*features).alias("shape")).agg(F.count(F.lit(1)).alias("times"))
+    scored = shape_scores(profile, shapes, features).join(shapes, "shape")
+    of_user = scored.groupBy("user_id").agg(F.sum("times").alias("non_zero"), F.sum(F.col("score") * F.col("times")).alias("total"), F.max("score").alias("best"))
+    return of_user.join(F.broadcast(products.agg(F.count(F.lit(1)).alias("pairs")))).select("user_id", "pairs", "non_zero", "total", "best")
+
+
 def top_k(scores: DataFrame, k: int = 20, by: str = "user_id") -> DataFrame:
     """The k best of each user by score, then product_id; rank from 1."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "product_id"))

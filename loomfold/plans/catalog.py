@@ -193,7 +193,9 @@ simple("S12", f"select user_id, array_to_string({ALLOWED_SQL}, ',') as allowed f
 simple("S13", "select user_id, case when age <= 12 then 'kid' when age <= 19 then 'teen' else 'adult' end as age_group from users", lambda u: u.select("user_id", C.age_group(F.col("age")).alias("age_group")), S.users)
 simple("S14", "select product_id, lower(concat_ws(',', usage, base_colour, article_type)) as tokens from products", lambda p: p.select("product_id", F.array_join(F.transform(F.array_compact(F.array("usage", "base_colour", "article_type")), F.lower), ",").alias("tokens")))
 simple("S15", "select product_id, concat_ws('; ', case when rating >= 4 then 'Rated highly' end, case when sale > 0 then 'on sale' end) as reason from products", lambda p: p.select("product_id", F.concat_ws("; ", F.when(F.col("rating") >= 4, "Rated highly"), F.when(F.col("sale") > 0, "on sale")).alias("reason")))
-simple("S17", "select distinct article_type, coalesce(map {'tshirts': 't-shirts', 'jeans': 'jeans', 'casual shoes': 'casual shoes', 'watches': 'watches'}[lower(article_type)], lower(article_type)) as label from products", lambda p: p.select("article_type", C.lookup(V.LABELS, F.lower("article_type"), F.lower("article_type")).alias("label")).distinct())
+LABELS_SQL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.LABELS.items()) + "}"
+simple("S17", f"select distinct article_type, case when coalesce(article_type, '') = '' then 'product' else coalesce({LABELS_SQL}[lower(article_type)], article_type) end as label from products",
+       lambda p: p.select("article_type", F.when(F.coalesce("article_type", F.lit("")) == "", "product").otherwise(C.lookup(V.LABELS, F.lower("article_type"), F.col("article_type"))).alias("label")).distinct())
 simple("S18", "select user_id, base || case when n > 0 then '_' || n else '' end as username from (select user_id, base, row_number() over (partition by base order by user_id) - 1 as n from (select user_id, lower(segment) as base from users))", lambda u: u.withColumn("base", F.lower("segment")).withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("user_id")) - 1).select("user_id", F.concat("base", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("username")), S.users)
 simple("S20", "select product_id, round(rating * 100.0 / 5, 2) as percent from products", lambda p: p.select("product_id", F.round(F.col("rating") * 100.0 / 5, 2).alias("percent")))
 simple("S21", "select product_id from products where abs(price - 900.1) < 0.01", lambda p: p.where(F.abs(F.col("price") - 900.1) < 0.01).select("product_id"))

@@ -93,7 +93,6 @@ simple("W15", "select product_id from products order by rating desc, product_id
 simple("W20", "select product_id, round(rating + case when usage = 'Sports' then 0.5 else 0 end, 6) as score from products where sub_category = 'Shoes' order by score desc, product_id limit 20", lambda p: p.where("sub_category = 'Shoes'").select("product_id", F.round(F.col("rating") + F.when(F.col("usage") == "Sports", 0.5).otherwise(0.0), 6).alias("score")).orderBy(F.desc("score"), "product_id").limit(20))
 simple("W21", "select product_id, concat_ws(', ', lower(usage), lower(base_colour)) as reason from products where article_type = 'Jeans' order by rating desc, product_id limit 10", lambda p: p.where("article_type = 'Jeans'").orderBy(F.desc("rating"), "product_id").limit(10).select("product_id", F.concat_ws(", ", F.lower("usage"), F.lower("base_colour")).alias("reason")))
 simple("S09", f"select product_id, concat_ws(',', case when {KEY_SQL} = 'footwear' then 'shoes' end, case when master_category = 'Apparel' then 'wear' end) as slots from products", lambda p: p.select("product_id", F.concat_ws(",", F.when(C.lookup(V.CATEGORY_KEYS, F.col("sub_category")) == "footwear", "shoes"), F.when(F.col("master_category") == "Apparel", "wear")).alias("slots")))
-simple("S10", "select sub_category, gender, string_agg(distinct article_type, ',' order by article_type) as articles from products where not (gender in ('Men', 'Boys') and article_type = 'Dresses') group by 1, 2", lambda p: p.where(~(F.col("gender").isin("Men", "Boys") & (F.col("article_type") == "Dresses"))).groupBy("sub_category", "gender").agg(F.array_join(F.sort_array(F.collect_set("article_type")), ",").alias("articles")))
 simple("S11", f"select product_id, array_to_string(list_filter(['accessories','bottomwear','footwear','topwear'], lambda x: x <> {KEY_SQL}), ',') as needed from products", lambda p: p.select("product_id", F.array_join(F.array_remove(F.array(*map(F.lit, V.SLOTS)), C.lookup(V.CATEGORY_KEYS, F.col("sub_category"))), ",").alias("needed")))
 simple("S16", "select base_colour, string_agg(product_id, ' + ' order by product_id) as said from products where cast(product_id as bigint) < 30 group by 1", lambda p: p.where(F.col("product_id").cast("bigint") < 30).groupBy("base_colour").agg(F.array_join(F.sort_array(F.collect_list("product_id")), " + ").alias("said")))
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))

@@ -73,7 +73,7 @@ def preference_join(spark, d):
 
 ROUNDS = 8
 PRUNED = "r0 as (select user_id, product_id, ts, l_orderkey, l_linenumber from interactions where interaction_type = 'purchase')" + "".join(
-    f", r{i + 1} as materialized (select * from r{i} where user_id in (select user_id from r{i} group by 1 having count(*) >= 12) and product_id in (select product_id from r{i} group by 1 having count(*) >= 12))" for i in range(ROUNDS))
+    f", r{i + 1} as materialized (select * from r{i} where user_id in (select user_id from r{i} group by 1 having count(*) >= 7) and product_id in (select product_id from r{i} group by 1 having count(*) >= 7))" for i in range(ROUNDS))
 
 
 def _purchases(spark, d):
@@ -82,7 +82,7 @@ def _purchases(spark, d):
 
 @query("A04", f"select user_id, product_id, ts from r{ROUNDS}", PRUNED)
 def k_core(spark, d):
-    rows, rounds = pruning.k_core(_purchases(spark, d), 12)
+    rows, rounds = pruning.k_core(_purchases(spark, d), 7)
     assert rounds <= ROUNDS or "sf0.01" not in d, rounds
     return rows.select("user_id", "product_id", "ts")
 

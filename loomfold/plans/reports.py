@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.plans.catalog import simple
+from loomfold.operators import metrics as M
 from loomfold.plans.registry import query
 from loomfold.sources import tables as S
 
@@ -68,11 +69,16 @@ def favourite_colour(spark, d):
     return counts.groupBy("user_id").agg(F.min_by("base_colour", F.struct(-F.col("n"), "base_colour")).alias("base_colour"))
 
 
-@query("A26", "select * from (values ('ndcg', 'hybrid'), ('time', 'cbf')) t(metric, model)")
+COMPARED = [("cbf", 0.31, 0.35, 0.40, 0.20, 1.5), ("gnn", 0.42, 0.50, 0.55, 0.30, 0.0), ("hybrid", 0.42, 0.48, 0.60, 0.25, 2.5)]
+
+
+@query("A26", "select * from (values ('ndcg_10', 'gnn', 0.42), ('ndcg_20', 'gnn', 0.5), ('diversity', 'hybrid', 0.6), ('coverage', 'gnn', 0.3), ('inference_time', 'cbf', 1.5), ('best_ndcg_10', 'hybrid', 1.0), ('best_ndcg_20', 'hybrid', 0.0), ('more_diverse', 'hybrid', 1.0), ('wider', 'hybrid', 0.0), ('balanced', 'hybrid', 1.0)) t(metric, model, value)")
 def best_models(spark, d):
-    rows = spark.createDataFrame([("cbf", 0.3, 1.0), ("gnn", 0.4, 2.0), ("hybrid", 0.5, 3.0)], "model string, ndcg double, time double")
-    best = rows.agg(F.max_by("model", "ndcg").alias("ndcg"), F.min_by("model", F.when(F.col("time") > 0, F.col("time"))).alias("time"))
-    return best.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("model")) for m in ("ndcg", "time")])))
+    """Best model of each metric, then the verdicts on the hybrid (1 or 0), for a comparison of three models."""
+    rows = spark.createDataFrame(COMPARED, "model string, ndcg_10 double, ndcg_20 double, diversity double, coverage double, inference_time double")
+    said = M.verdicts(rows)
+    flags = said.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("hybrid").alias("model"), F.col(c).cast("double").alias("value")) for c in said.columns])))
+    return M.best_models(rows).unionByName(flags)
 
 
 @query("J07", "select count(*) as n from interactions where user_id in (select user_id from users where segment = 'BUILDING')")
