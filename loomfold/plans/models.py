@@ -11,9 +11,10 @@ from loomfold.functions import values as V
 from loomfold.operators import graph as G
 from loomfold.operators import metrics as M
 from loomfold.operators import outfits as O
-from loomfold.operators import scoring, training
+from loomfold.operators import personal, scoring, training
 from loomfold.operators.response import respond
 from loomfold.plans import recommend as R
+from loomfold.plans.catalog import ALLOWED_SQL, KEY_SQL
 from loomfold.plans.recommend import CONTENT, DIMS
 from loomfold.plans.registry import SQL, query
 from loomfold.sources import artifacts as A
@@ -153,9 +154,12 @@ def built_outfits(spark, d):
     return R._short(O.built(people, S.products(spark, d), R._two(spark, d)[0]))
 
 
-query("S10", f"select distinct sub_category, gender, case when gender in ('Men', 'Boys') and article_type = 'Dresses' then 'only' else 'some' end as kept from products where sub_category in {_SUBS}")(
-    lambda spark, d: S.products(spark, d).where(F.col("sub_category").isin(*V.ARTICLE_TYPES)).select("sub_category", "gender", "article_type", O.article_types(F.col("sub_category"), F.when(F.col("gender").isin("Men", "Boys"), "male").otherwise("female")).alias("a"))
-    .select("sub_category", "gender", F.when(F.array_contains("a", "Dresses") & F.col("gender").isin("Men", "Boys"), "only").otherwise("some").alias("kept")).distinct())
+_MAP = "map {" + ", ".join(f"'{k}': {v}" for k, v in V.ARTICLE_TYPES.items()) + "}"
+query("S10", f"""select distinct sub_category, person, array_to_string(case when person = 'male' and len(list_filter(a, lambda x: not list_contains({V.NOT_FOR_MEN}, x))) > 0 then list_filter(a, lambda x: not list_contains({V.NOT_FOR_MEN}, x))
+  when person = 'other' and len(list_filter(a, lambda x: not list_contains({V.NOT_FOR_OTHERS}, x))) > 0 then list_filter(a, lambda x: not list_contains({V.NOT_FOR_OTHERS}, x)) else a end, ',') as articles
+from (select sub_category, {_MAP}[sub_category] as a, case when gender in ('Men', 'Boys') then 'male' when gender in ('Women', 'Girls') then 'female' else 'other' end as person from products)""")(
+    lambda spark, d: S.products(spark, d).select("sub_category", F.when(F.col("gender").isin("Men", "Boys"), "male").when(F.col("gender").isin("Women", "Girls"), "female").otherwise("other").alias("person")).distinct()
+    .select("sub_category", "person", F.array_join(O.article_types(F.col("sub_category"), F.col("person")), ",").alias("articles")))
 
 
 # trained embeddings
@@ -238,3 +242,54 @@ def experiment(spark, d):
 @query("E10", "select * from (values ('cbf', 'training_time', 2.0), ('cbf', 'inference_time', 2.0), ('gnn', 'training_time', 3.0), ('gnn', 'inference_time', 3.0), ('hybrid', 'training_time', 5.0), ('hybrid', 'inference_time', 5.001)) t(model, metric, value)")
 def times(spark, d):
     return spark.createDataFrame([(m, k, v) for m, t in M.timings({"cbf": 2.0, "gnn": 3.0, "hybrid": 0.1}).items() for k, v in t.items()], "model string, metric string, value double")
+
+
+# candidates with the user's style
+STYLED = TOP.format(k=20) + f""",
+styles as (select user_id, token, weight from (select user_id, token, sum(w) as weight, row_number() over (partition by user_id order by sum(w) desc, token) as r from weighted join (select product_id, lower(value) as token from products unpivot (value for f in (base_colour, usage, article_type))) using (product_id) group by 1, 2) where r <= 20),
+listed as (select top.*, {KEY_SQL} as slot, list_filter([lower(usage), lower(base_colour), lower(article_type), lower(sub_category)], lambda x: x is not null) as tokens from top join products using (product_id)),
+hits as (select user_id, product_id, sum(weight) as bonus, list(token order by place) as found from (select distinct user_id, product_id, token, list_position(tokens, token) as place from (select user_id, product_id, tokens, unnest(tokens) as token from listed)) join styles using (user_id, token) group by 1, 2)"""
+
+
+def _styled(spark, d):
+    p = S.products(spark, d)
+    kept = p.select("product_id", C.lookup(V.CATEGORY_KEYS, F.col("sub_category")).alias("slot"), personal.tokens("usage", "base_colour", "article_type", "sub_category").alias("tokens"))
+    best = scoring.top_k(R._two(spark, d)[0], 20).drop("rank")
+    return best.join(kept, "product_id"), personal.style_profile(S.interactions(spark, d), p)
+
+
+@query("W20", "select user_id, product_id, score, row_number() over (partition by user_id order by score desc, product_id) as rank from (select user_id, product_id, round(score + coalesce(bonus, 0), 9) as score from listed left join hits using (user_id, product_id) where slot = 'footwear')", STYLED)
+def category_ranking(spark, d):
+    return personal.ranked_in_category(*_styled(spark, d), "footwear")
+
+
+@query("W21", f"select user_id, product_id, score, rank, case when found is null then '{personal.NO_REASON}' else 'Similar to your favorite (' || array_to_string(found[1:3], ', ') || ')' end as reason from listed left join hits using (user_id, product_id) where rank <= 6", STYLED)
+def personal_selection(spark, d):
+    return personal.selection(*_styled(spark, d), 6)
+
+
+_TAG = "case article_type " + " ".join(f"when '{k}' then '{v}'" for k, v in V.CATEGORY_TAGS.items()) + " end"
+_RULES = "case tag " + " ".join(f"when '{k}' then '{','.join(v)}'" for k, v in V.COMPLETION.items()) + " end"
+
+
+@query("S11", f"""select product_id, {_RULES} as fixed, case when tag in ('tops', 'bottoms', 'dresses') then {_RULES} when gender in ('Women', 'Girls') then 'tops,bottoms,dresses' else 'tops,bottoms' end as by_gender
+from (select product_id, gender, {_TAG} as tag from products)""")
+def completion_rules(spark, d):
+    tag = C.lookup(V.CATEGORY_TAGS, F.col("article_type"))
+    return S.products(spark, d).select("product_id", F.array_join(personal.completion(tag), ",").alias("fixed"), F.array_join(personal.completion(tag, F.col("gender")), ",").alias("by_gender"))
+
+
+@query("J21", """select product_id, case when article_type = 'Jeans' then 'Denim' when article_type = 'Casual Shoes' then 'Walking' else coalesce(map {'jeans': 'Denim', 'casual-shoes': 'Walking', 'red': 'Reds', 'blue': 'Blues'}[split_part(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), '-', 1)], 'First') end as category from products""")
+def category_fallback(spark, d):
+    catalog = spark.createDataFrame([("accents", "First", 0), ("jeans", "Denim", 1), ("casual-shoes", "Walking", 2), ("red", "Reds", 3), ("blue", "Blues", 4)], "key string, category string, position int")
+    return personal.category_of(S.products(spark, d).select("product_id", "article_type", "name"), catalog, "article_type", "name").select("product_id", "category")
+
+
+@query("F32", f"""select user_id, coalesce((select min(product_id) from shelf where list_contains(allowed, gender) and shelf.age_group = c.age_group), (select min(product_id) from shelf)) as product_id
+from (select user_id, {ALLOWED_SQL} as allowed, case when age <= 12 then 'kid' when age <= 19 then 'teen' else 'adult' end as age_group from users) c""",
+       "shelf as (select product_id, gender, case when gender in ('Boys', 'Girls') then 'kid' else 'adult' end as age_group from products where sub_category = 'Shoes' and product_id not in ('3', '5'))")
+def fallback_search(spark, d):
+    group = F.when(F.col("gender").isin("Boys", "Girls"), "kid").otherwise("adult")
+    shelf = S.products(spark, d).where("sub_category = 'Shoes' and product_id not in ('3', '5')").select("product_id", "gender", group.alias("age_group"))
+    contexts = S.users(spark, d).select("user_id", C.allowed_genders(F.col("age"), F.col("gender")).alias("allowed"), C.age_group(F.col("age")).alias("age_group"))
+    return personal.fallback_product(contexts, shelf).select("user_id", "product_id")

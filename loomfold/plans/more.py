@@ -26,12 +26,6 @@ simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(
 simple("SNK13", "select o_orderkey, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as status, o_orderstatus = 'P' as changed from orders", lambda o: o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_orderstatus") == "P").alias("changed")), lambda s, d: S.table(s, d, "orders"))
 
 
-@query("F32", "select product_id from (select product_id, row_number() over (order by case when gender = 'Women' and year = 2012 then 0 when gender = 'Women' then 1 else 2 end, product_id) as r from products where sub_category = 'Shoes' and product_id not in ('3', '5')) where r = 1")
-def fallback_search(spark, d):
-    level = F.when((F.col("gender") == "Women") & (F.col("year") == 2012), 0).when(F.col("gender") == "Women", 1).otherwise(2)
-    return S.products(spark, d).where("sub_category = 'Shoes' and product_id not in ('3', '5')").orderBy(level, "product_id").limit(1).select("product_id")
-
-
 @query("J10", "select user_id, count(*) as pairs from ranking a join ranking b using (user_id) where a.rank < b.rank and a.rank <= 10 and b.rank <= 10 group by 1", CONTENT)
 def pairs(spark, d):
     top = _ranking(spark, d).where("rank <= 10").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))  # pairs of at most ten are counted, not made
@@ -71,14 +65,6 @@ def nearest_price(spark, d):
     return own.join(prices, [*group, "price"]).select("product_id", best["other"].alias("other")).where("other is not null")
 
 
-@query("J21", "select distinct article_type, case when lower(article_type) in ('jeans', 'watches') then lower(article_type) when split_part(lower(article_type), ' ', 1) = 'casual' then 'casual shoes' else 'other' end as category from products")
-def category_fallback(spark, d):
-    exact = {"jeans": "jeans", "watches": "watches"}
-    first = {"casual": "casual shoes"}
-    low = F.lower("article_type")
-    return S.products(spark, d).select("article_type", F.coalesce(C.lookup(exact, low), C.lookup(first, F.split_part(low, F.lit(" "), F.lit(1))), F.lit("other")).alias("category")).distinct()
-
-
 @query("A29", f"select cast(product_id as bigint) // 5 as outfit_id, round(sum(rating), 6) as score, round(count(distinct {KEY_SQL}) filter ({KEY_SQL} in ('accessories','bottomwear','footwear','topwear')) / 4, 6) as completeness from products group by 1")
 def outfit_scores(spark, d):
     slot = C.lookup(V.CATEGORY_KEYS, F.col("sub_category"))
@@ -90,10 +76,7 @@ simple("A30", "select case when try_cast(product_id as bigint) is not null then
 simple("W14", "select sub_category, t, product_id from (select sub_category, product_id, row_number() over (partition by sub_category order by rating desc, product_id) - 1 as place, count(*) over (partition by sub_category) as n from products), generate_series(1, 5) g(t) where place = (t - 1) % n",
        lambda p: p.withColumn("place", F.row_number().over(Window.partitionBy("sub_category").orderBy(F.desc("rating"), "product_id")) - 1).where("place < 5").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sub_category"))).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(F.col("place") == F.pmod(F.col("t") - 1, F.col("n"))).select("sub_category", "t", "product_id"))
 simple("W15", "select product_id from products order by rating desc, product_id limit 10", lambda p: p.orderBy(F.desc("rating"), "product_id").limit(10).select("product_id"))
-simple("W20", "select product_id, round(rating + case when usage = 'Sports' then 0.5 else 0 end, 6) as score from products where sub_category = 'Shoes' order by score desc, product_id limit 20", lambda p: p.where("sub_category = 'Shoes'").select("product_id", F.round(F.col("rating") + F.when(F.col("usage") == "Sports", 0.5).otherwise(0.0), 6).alias("score")).orderBy(F.desc("score"), "product_id").limit(20))
-simple("W21", "select product_id, concat_ws(', ', lower(usage), lower(base_colour)) as reason from products where article_type = 'Jeans' order by rating desc, product_id limit 10", lambda p: p.where("article_type = 'Jeans'").orderBy(F.desc("rating"), "product_id").limit(10).select("product_id", F.concat_ws(", ", F.lower("usage"), F.lower("base_colour")).alias("reason")))
 simple("S09", f"select product_id, concat_ws(',', case when {KEY_SQL} = 'footwear' then 'shoes' end, case when master_category = 'Apparel' then 'wear' end) as slots from products", lambda p: p.select("product_id", F.concat_ws(",", F.when(C.lookup(V.CATEGORY_KEYS, F.col("sub_category")) == "footwear", "shoes"), F.when(F.col("master_category") == "Apparel", "wear")).alias("slots")))
-simple("S11", f"select product_id, array_to_string(list_filter(['accessories','bottomwear','footwear','topwear'], lambda x: x <> {KEY_SQL}), ',') as needed from products", lambda p: p.select("product_id", F.array_join(F.array_remove(F.array(*map(F.lit, V.SLOTS)), C.lookup(V.CATEGORY_KEYS, F.col("sub_category"))), ",").alias("needed")))
 simple("S16", "select base_colour, string_agg(product_id, ' + ' order by product_id) as said from products where cast(product_id as bigint) < 30 group by 1", lambda p: p.where(F.col("product_id").cast("bigint") < 30).groupBy("base_colour").agg(F.array_join(F.sort_array(F.collect_list("product_id")), " + ").alias("said")))
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)

@@ -10,7 +10,7 @@ from loomfold.functions import values as V
 from loomfold.operators import graph as G
 from loomfold.operators import metrics as M
 from loomfold.operators import outfits as O
-from loomfold.operators import pruning, scoring
+from loomfold.operators import personal, pruning, scoring
 from loomfold.plans.catalog import ALLOWED_SQL, KEY_SQL, simple
 from loomfold.plans.registry import query
 from loomfold.sources import tables as S
@@ -94,9 +94,7 @@ def sparsity(spark, d):
 
 @query("A22", """select * from (select user_id, token, sum(w) as weight, row_number() over (partition by user_id order by sum(w) desc, token) as r from weighted join (select product_id, lower(value) as token from products unpivot (value for f in (base_colour, usage, article_type))) using (product_id) group by 1, 2) where r <= 20""")
 def style_profile(spark, d):
-    tokens = S.products(spark, d).select("product_id", F.explode(F.array_compact(F.array("base_colour", "usage", "article_type"))).alias("token"))
-    sums = scoring.pair_weights(S.interactions(spark, d)).join(tokens, "product_id").groupBy("user_id", F.lower("token").alias("token")).agg(F.sum("w").alias("weight"))
-    return sums.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("weight"), "token"))).where("r <= 20")
+    return personal.style_profile(S.interactions(spark, d), S.products(spark, d))
 
 
 @query("X01", "select product_id, feature, value, feature_index from cells join (select feature, value, row_number() over (order by list_position(['master_category','sub_category','article_type','base_colour','usage'], feature), value) - 1 as feature_index from (select distinct feature, value from cells)) using (feature, value)", CELLS)

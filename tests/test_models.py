@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.functions import values as V
-from loomfold.operators import metrics, outfits, training
+from loomfold.operators import metrics, outfits, personal, training
 from loomfold.operators.response import NO_MATCH, NO_PREDICTIONS, NO_PRODUCT, respond
 from loomfold.sources import artifacts
 
@@ -149,3 +149,23 @@ def test_verdicts_need_three_models(spark):
     assert metrics.verdicts(rows).count() == 0
     best = {r["metric"]: r["model"] for r in metrics.best_models(rows).collect()}
     assert best["ndcg_10"] == "hybrid" and best["diversity"] == "gnn" and best["inference_time"] == "gnn"
+
+
+def test_completion_and_categories(spark):
+    df = spark.createDataFrame([("Shoes ", "women"), ("shoes", "male"), ("hats", "f"), ("tops", None), (None, "male")], "tag string, g string")
+    got = df.select(personal.completion(F.col("tag")).alias("a"), personal.completion(F.col("tag"), F.col("g")).alias("b")).collect()
+    assert [r["a"] for r in got] == [V.COMPLETION["shoes"], V.COMPLETION["shoes"], None, V.COMPLETION["tops"], None]
+    assert [r["b"] for r in got] == [["tops", "bottoms", "dresses"], ["tops", "bottoms"], ["tops", "bottoms", "shoes", "accessories", "dresses"], V.COMPLETION["tops"], ["tops", "bottoms", "shoes", "accessories"]]
+    rows = spark.createDataFrame([("a", "Jeans", "x"), ("b", "Casual Shoes", "x"), ("c", "?", "Red hat"), ("d", None, None)], "id string, kind string, name string")
+    catalog = spark.createDataFrame([("jeans", "J", 2), ("casual-shoes", "C", 1), ("red", "R", 3)], "key string, category string, position int")
+    assert {r["id"]: r["category"] for r in personal.category_of(rows, catalog, "kind", "name").collect()} == {"a": "J", "b": "C", "c": "R", "d": "C"}
+    assert {r["id"]: r["category"] for r in personal.category_of(rows, catalog.limit(0), "kind", "name").collect()} == {"a": "Jeans", "b": "Casual Shoes", "c": "?", "d": "Other"}
+
+
+def test_selection_reasons(spark):
+    rows = spark.createDataFrame([("u", "a", "footwear", 1.0, ["x", "y", "z", "w"]), ("u", "b", "footwear", 2.0, []), ("u", "c", "topwear", None, ["q"])], "user_id string, product_id string, slot string, score double, tokens array<string>")
+    style = spark.createDataFrame([("u", t, w) for t, w in (("w", 1.0), ("z", 2.0), ("y", 0.5), ("x", 0.25), ("q", 0.0))], "user_id string, token string, weight double")
+    got = {r["product_id"]: r["reason"] for r in personal.selection(rows, style, 3).collect()}
+    assert got == {"a": "Similar to your favorite (x, y, z)", "b": personal.NO_REASON, "c": personal.NO_REASON}
+    ranked = personal.ranked_in_category(rows, style, "footwear").orderBy("rank").collect()
+    assert [(r["product_id"], r["score"]) for r in ranked] == [("a", 4.75), ("b", 2.0)]
