@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 A lexer reads source and configuration syntax into (name, value) assignments: `name = "x"`,
-`name: x`, `"name": "x"`, `name := 'x'`, `export NAME=x`, `name => x`. A value is a chain of
-literals and names joined by `+`; names are replaced by the literals they were bound to before
-(constant propagation). Each assignment is scored: what its name says (password, api key, ...) and
+`name: x`, `"name": "x"`, `name := 'x'`, `export NAME=x`, `name => x`, `name: type = "x"`. A value is
+a chain of literals and names joined by `+`, over line ends too, or side by side within brackets;
+literals may have prefixes (`b"x"`); the elements of a list are values of its name. Names are
+replaced by the literals they were bound to before (constant propagation), however many. Each assignment is scored: what its name says (password, api key, ...) and
 what the text of the value looks like (length, kinds of characters, entropy, placeholders). The
 literals of an assignment that reaches the threshold are secrets, as are those that a sensitive
 name reaches through other names.
@@ -37,12 +38,20 @@ STEMS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # Words of a name and what they add to its score.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "credential": 3, "credentials": 3, "apikey": 3, "privatekey": 3, "accesskey": 3, "key": 1, "api": 1, "auth": 1, "access": 1, "private": 1, "client": 1, "signing": 1, "encryption": 1, "master": 1, "bearer": 2, "salt": 1, "pass": 2, "public": -2, "count": -2, "length": -2, "max": -2, "min": -2, "limit": -2, "name": -2, "path": -2, "url": -1, "id": -1, "type": -2, "header": -1, "expiry": -2, "ttl": -2}
 PLACEHOLDERS = re.compile(r"(?ai)^(?:changeme|change_me|example\w*|placeholder|none|null|nil|true|false|undefined|todo|test|dummy|sample|password|secret|token|your\w*|x+|\*+|\.+|<.*|\$\{?.*|\{\{.*|%\w.*|env\W.*|os\.\w.*|process\.env.*)$")
-HINTS = re.compile(r"(?ai)pass|pwd|secret|token|key|auth|cred|bearer|salt")
+HINTS = re.compile("(?ai)" + "|".join(word for word, n in SENSITIVE.items() if n > 0))
 LEAST_LITERAL, THRESHOLD = 8, 4.0
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-LEXEME = re.compile(rf"""(?P<triple>\"{{3}}(?:[^"\\]|\\.|"(?!""))*\"{{3}})|(?P<double>"(?:[^"\\\n]|\\.)*")|(?P<single>'(?:[^'\\\n]|\\.)*')|(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""", re.S)
+_PREFIX = r"(?:(?:[bB][rR]?|[rR][bBfF]?|[fF][rR]?|[uU]|u8|L|[$]?@|[$])(?=[\"']))?"
+LEXEME = re.compile(rf"""(?P<triple>{_PREFIX}(?:\"{{3}}(?:[^"\\]|\\.|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\.|'(?!''))*'{{3}}))|(?P<double>{_PREFIX}"(?:[^"\\\n]|\\.)*")|(?P<single>{_PREFIX}'(?:[^'\\\n]|\\.)*')|(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""", re.S)
+STRINGS = ("double", "single", "triple")
 BARE = re.compile(r"""[^\s"',;#]+""")
+BARE_INSIDE = re.compile(r"""[^\s"',;#)\]]+""")
+
+# A type between `:` and `=`; what stands in its brackets is taken out before FLAT_TYPE is matched.
+TYPED = re.compile(r"[ \t]*([A-Za-z_&*][A-Za-z0-9_.<>\[\]|?!&*', \t]*+)=(?![=>])")
+FLAT_TYPE = re.compile(r"&?(?:'[a-z]+[ ])?(?:mut[ ])?[*]?[A-Za-z_][A-Za-z0-9_.]*[?!]?(?:[ ]*\|[ ]*[A-Za-z_][A-Za-z0-9_.]*)*")
+LITERAL = re.compile(rf"\s*[(\[]*\s*{_PREFIX}[\"']")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,84 +72,205 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(w, 0) for w in words) + sum(SENSITIVE[p] for p in pairs if p in ("apikey", "privatekey", "accesskey"))
 
 
-def value_score(value: str) -> float:
-    """What a literal's own characters say, from -9 (no secret) to about 3."""
-    if len(value) < LEAST_LITERAL or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+Weight = tuple[str, dict[str, int], int]
+HEAD, WIDE = 64, 512
+
+
+def weight(value: str) -> Weight:
+    """What a value is scored by: its first characters, and how often each character is in it, in units of 2**shift."""
+    return value[:HEAD], Counter(value), 0
+
+
+def joined(weights: list[Weight]) -> Weight:
+    """The weight of concatenated values. Counts of over WIDE bits (names doubled over and over) lose their last bits only."""
+    head, shift, counts = "", max((w[2] for w in weights), default=0), Counter()
+    for first, own, by in weights:
+        head = (head + first)[:HEAD]
+        for c, n in own.items():
+            counts[c] += n >> shift - by
+    over = sum(counts.values()).bit_length() - WIDE
+    return (head, {c: n >> over for c, n in counts.items()}, shift + over) if over > 0 else (head, counts, shift)
+
+
+def weight_score(of: Weight) -> float:
+    """What a value's own characters say, from -9 (no secret) to about 3."""
+    head, counts, shift = of
+    length = sum(counts.values())
+    # No placeholder is longer than HEAD but for a tail of any characters of a class: which ones there are is enough.
+    said = head if not shift and length <= HEAD else head + "".join(counts)
+    if not shift and length < LEAST_LITERAL or PLACEHOLDERS.match(said) or any(c.isspace() for c in counts):
         return -9.0
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+    kinds = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    entropy = -sum(n / length * math.log2(n / length) for n in counts.values() if n)
     return min(kinds - 1, 2) + (1 if entropy >= 3 else 0 if entropy >= 2 else -2)
 
 
-Literal = tuple[int, int, str]
+def value_score(value: str) -> float:
+    return weight_score(weight(value))
 
 
-def assignments(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[str, list]]:
-    """(name, value) of each assignment; a value is a list of literals (start, end, text) and names."""
-    tokens = LEXEME.finditer(text, start, len(text) if end is None else end)
-    name, token = None, next(tokens, None)
+Literal = tuple[int, int, str]
+Part = tuple[str | None, Literal | None]
+
+
+def _typed(text: str, at: int) -> int | None:
+    """The end of `type =`, if that is what stands after a colon."""
+    found = TYPED.match(text, at)
+    if not found:
+        return None
+    flat, depth = [], 0
+    for c in found[1].rstrip():
+        depth += c in "<["
+        if not depth:
+            flat.append(c)
+        depth -= c in ">]"
+    said = "".join(flat)
+    if depth or not FLAT_TYPE.fullmatch(said):
+        return None
+    return found.end() if LITERAL.match(text, found.end()) or found[1][-1].isspace() and said.isascii() and not any(c.isdigit() for c in said) else None
+
+
+def assignments(text: str, start: int = 0, end: int | None = None, known=()) -> Iterator[tuple[list[str], list[Part]]]:
+    """(names, value) of each assignment. A value is a list of (name, literal): a name with what it says itself (start,
+    end, text; None where the name may belong to other text), or None with a literal. `known` are names bound so far."""
+    end = len(text) if end is None else end
+
+    def after(token):
+        return LEXEME.search(text, token.end(), end)
+
+    def past_lines(token):
+        while token is not None and token.lastgroup in ("line", "comment"):
+            token = after(token)
+        return token
+
+    def bound_itself(token) -> bool:
+        then = after(token)
+        return then is not None and then.lastgroup == "bind"
+
+    def inside(token) -> str:
+        quote = 3 if token.lastgroup == "triple" else 1
+        return token[0][min(i for i in (token[0].find('"'), token[0].find("'")) if i >= 0) + quote : -quote]
+
+    names: list[str] = []
+    words: list[str] = []  # the names in a row before this token
+    token = LEXEME.search(text, start, end)
     while token is not None:
         kind = token.lastgroup
-        if kind == "name" or (kind in ("double", "single") and re.fullmatch(_NAME, token[0][1:-1])):
-            name = token[0] if kind == "name" else token[0][1:-1]
-            token = next(tokens, None)
+        if kind == "name" or kind in ("double", "single") and re.fullmatch(_NAME, inside(token)):
+            words = [*words[-2:], token[0] if kind == "name" else inside(token)]
+            names = words[-2:] if len(words) == 3 and words[0] in ("var", "const") else words[-1:]  # `const key string =`, `const char key =`
+            token = after(token)
             continue
-        if kind != "bind" or name is None:
-            if kind != "other" or token[0] not in ")]":
-                name = None
-            token = next(tokens, None)
+        words = []
+        if kind != "bind" or not names:
+            sized = kind == "other" and token[0] == "[" and re.compile(r"[0-9]*\]").match(text, token.end())
+            if not sized and not (kind == "number" and text[token.start() - 1 : token.start()] == "[" and text[token.end() : token.end() + 1] == "]"):
+                if kind != "other" or token[0] not in ")]":
+                    names = []
+            token = after(token)
             continue
-        value, joined, token = [], True, next(tokens, None)
-        while token is not None and joined:
+        at = _typed(text, token.end()) if token[0] == ":" else None
+        token = after(token) if at is None else LEXEME.search(text, at, end)
+        first = past_lines(token)
+        if first is not token and first is not None and first.lastgroup in STRINGS and not bound_itself(first):
+            token = first
+        value: list[Part] = []
+        joins, crossed, depth = True, False, 0
+        while token is not None:
             kind = token.lastgroup
-            if kind in ("double", "single", "triple"):
-                quote = 3 if kind == "triple" else 1
-                value.append((token.start() + quote, token.end() - quote, token[0][quote:-quote]))
-            elif kind in ("name", "number"):
-                bare = BARE.match(text, token.start())
-                if bare and bare.end() > token.end() and kind == "number" or bare and not re.fullmatch(_NAME, bare[0]):
-                    value.append((bare.start(), bare.end(), bare[0]))
-                    while token is not None and token.start() < bare.end():
-                        token = next(tokens, None)
-                    joined = False
+            if kind in ("line", "comment"):
+                then = past_lines(token)
+                if not (depth or joins and value or then is not None and then.lastgroup == "plus" and value):
+                    break
+                token, crossed = then, crossed or not depth
+                continue
+            if kind == "plus" and value and not joins:
+                token, joins = after(token), True
+                continue
+            if kind == "other" and token[0] in "([" and joins:
+                token, depth = after(token), depth + 1
+                continue
+            if kind == "other" and token[0] in ")]" and depth and not joins:
+                token, depth = after(token), depth - 1
+                continue
+            if kind == "other" and token[0] == "," and depth:
+                if value:
+                    yield names, value
+                token, value, joins = after(token), [], True
+                continue
+            if kind in STRINGS and (joins or depth):
+                if bound_itself(token) and (value or depth or crossed):
+                    break
+                said = inside(token)
+                stop = token.end() - (3 if kind == "triple" else 1)
+                value.append((None, (stop - len(said), stop, said)))
+            elif kind in ("name", "number") and joins:
+                then = after(token)
+                if then is not None and then.lastgroup == "bind" and kind == "name":
+                    spaced = then.start() > token.end()
+                    if then[0] in ("=", ":=") and not value and not depth and (spaced or LITERAL.match(text, then.end())):
+                        names, token = [*names, token[0]], after(then)  # a = b = "x"
+                        continue
+                    if value or depth or crossed:
+                        break
+                bare = (BARE_INSIDE if depth else BARE).match(text, token.start())[0]
+                plain = kind == "name" and text[token.end() : token.end() + 1] == "+" and (token[0] in known or LITERAL.match(text, token.end() + 1))
+                if not plain and not re.fullmatch(_NAME, bare):
+                    if crossed:
+                        break
+                    value.append((None, (token.start(), token.start() + len(bare), bare)))
+                    token, joins = LEXEME.search(text, token.start() + len(bare), end), False
                     continue
-                value.append(token[0] if kind == "name" else (token.start(), token.end(), token[0]))
-                if kind == "name":
-                    value.append((token.start(), token.end(), token[0]))
+                value.append((token[0], None if crossed else (*token.span(), token[0])))
             else:
                 break
-            token = next(tokens, None)
-            joined = token is not None and token.lastgroup == "plus"
-            if joined:
-                token = next(tokens, None)
+            token, joins = after(token), False
         if value:
-            yield name, value
-        name = None
+            yield names, value
+        names = []
+
+
+class Bound:
+    """What a name stands for: literals and other names' values, each held once."""
+
+    __slots__ = ("parts", "_weight", "told")
+
+    def __init__(self, parts: list) -> None:
+        self.parts, self._weight, self.told = parts, None, False
+
+    def weight(self) -> Weight:
+        if self._weight is None:
+            self._weight = joined([p.weight() if isinstance(p, Bound) else weight(p[2]) for p in self.parts])
+        return self._weight
+
+    def literals(self) -> Iterator[Literal]:
+        """The literals reached that were not told before."""
+        rest = [self]
+        while rest:
+            part = rest.pop()
+            if not isinstance(part, Bound):
+                yield part
+            elif not part.told:
+                part.told = True
+                rest += part.parts
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals assigned to sensitive names, directly or through other names."""
     if ("=" not in text and ":" not in text) or not HINTS.search(text):
         return []
-    bound: dict[str, list[Literal]] = {}
+    bound: dict[str, Bound] = {}
     out = []
-    for name, value in assignments(text):
-        parts: list[Literal] = []
-        known = False
-        for part in value:
-            if isinstance(part, str):
-                known = part in bound
-                if known:
-                    parts += bound[part]
-            elif known:  # the name's own text, already replaced by what it stands for
-                known = False
-            else:
-                parts.append(part)
-        parts = parts[:64]
-        bound[name] = parts
-        said = name_score(name)
-        if said >= 2 and said + value_score("".join(p[2] for p in parts)) >= THRESHOLD:
-            out += [(a, b, "literal") for a, b, _ in parts if b > a]
+    for names, value in assignments(text, known=bound):
+        parts = [bound[name] if name in bound else literal for name, literal in value if name in bound or literal is not None]
+        made = Bound(parts)
+        if any(isinstance(p, Bound) for p in parts):
+            made.weight()  # now, so that long chains of names are never followed down
+        for name in names:
+            bound[name] = made
+            said = name_score(name)
+            if said >= 2 and said + weight_score(made.weight()) >= THRESHOLD:
+                out += [(a, b, "literal") for a, b, _ in made.literals() if b > a]
     return out
 
 

@@ -48,6 +48,34 @@ def test_secret_assignments_and_constants():
     assert "k9-Zq81_Lm" not in secretscan.redact(text) and secretscan.redact("plain text: nothing") == "plain text: nothing"
 
 
+def found_literals(text):
+    return {text[s:e] for s, e, k in secretscan.scan(text)[1] if k == "literal"}
+
+
+def test_secret_chains_are_whole():
+    many = [f"Zq{i:04d}x" for i in range(200)]
+    assert found_literals("db_pwd = " + " + ".join(f'"{m}"' for m in many)) == set(many)
+    steps = "s = ''\n" + "".join(f"s = s + '{m}'\n" for m in many)
+    assert found_literals(steps + "db_pwd = s\n") == set(many)
+    assert found_literals("a = 'Zq81x'\n" + "a = a + a\n" * 3000 + "db_pwd = a") == {"Zq81x"}
+
+
+@pytest.mark.parametrize("text", [
+    'db_pwd = "Zx81kQ" +\n  "9m_Lw"', 'db_pwd = "Zx81kQ" // one\n  + "9m_Lw";', 'db_pwd = (\n "Zx81kQ"  # one\n "9m_Lw"\n)', 'pwd = ["Zx81kQ9m_Lw", "k9-Zq81_Lm"]', '{"db_pwd":\n "Zx81kQ9m_Lw"}',
+    'const apiKey: string = "Zx81kQ9m_Lw";', "db_pwd: str = 'Zx81kQ9m_Lw'", "db_pwd: Optional[str] = 'Zx81kQ9m_Lw'", "a = 'Zx81kQ'\nb: str = '9m_Lw'\ndb_pwd: str = a + b", 'var apiKey string = "Zx81kQ9m_Lw"', 'char pwd[64] = "Zx81kQ9m_Lw";',
+    'db_pwd = b"Zx81kQ9m_Lw"', "db_pwd = rb'Zx81kQ9m_Lw'", "db_pwd = f'''Zx81kQ9m_Lw'''", 'a = db_pwd = "Zx81kQ9m_Lw"', 'a="Zx81kQ"\ndb_pwd=a+"9m_Lw"', 'client_signing = "Zx81kQ9m_Lw"',
+])
+def test_secret_source_forms(text):
+    assert found_literals(text) - {"k9-Zq81_Lm"} in ({"Zx81kQ9m_Lw"}, {"Zx81kQ", "9m_Lw"})
+    assert not any(part in secretscan.redact(text) for part in ("Zx81kQ", "9m_Lw", "k9-Zq81_Lm"))
+
+
+def test_secret_chains_end():
+    assert found_literals('db_pwd = "Zx81kQ9m_Lw"\n+other = "abcdefgh12"\n') == {"Zx81kQ9m_Lw"}  # a line of a patch
+    assert found_literals('pwd: "Zx81kQ9m_Lw"\n+ item two\n') == {"Zx81kQ9m_Lw"}
+    assert found_literals("db_pwd: Zx81kQ9m=\nnext: 3") == {"Zx81kQ9m="} and found_literals('db_pwd =\nfoo = "abcdefg81"') == set()
+
+
 def test_secret_query(spark):
     rows = secretscan.findings(clashing(docs(spark))).collect()
     assert len(rows) == len(awkward()) and secretscan.findings(docs(spark, EMPTY)).count() == 0
