@@ -4,9 +4,10 @@ The standard library's streaming parser sends events. Block-level tags end a lin
 text and the number of tags since the line before. The ratio of text to tags is smoothed along the
 page with a Gaussian, and the lines whose smoothed ratio passes the standard deviation of all are
 the content cluster. What the markup itself names as menu, form, advert, comment and so on never
-counts. The cluster's text votes for the element that contains it: an article or main element is
-returned whole (but for named boilerplate inside), otherwise the run of lines from the cluster's
-first to its last line, without lines that are mostly links, with the heading before it.
+counts. The cluster chooses the region: the article and main elements that hold it, side by side,
+or else the innermost container of all of it; every block there that is not named boilerplate is
+content, be it short, a list or a link. A class of several words, one of which names boilerplate
+(`has-sidebar`), names no article, and no container of the cluster.
 
 Defined cases: null or empty html, and pages without content, give an empty text; a tag left open
 or cut off ends with its parent or the page; character references are decoded, white space inside
@@ -32,7 +33,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 UNREAD = frozenset("script style noscript template svg math iframe object head title select option button textarea form nav aside footer dialog menu audio video canvas map".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas map".split())  # interrupt no line
 WHOLE = frozenset(("article", "main"))
-HEADINGS = frozenset(("h1", "h2"))
+CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOILERPLATE = frozenset("ad ads adbox adsense adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination paywall popular popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip skiplink social sponsor sponsored subscribe subscription teaser toolbar trending widget".split())
@@ -41,26 +42,29 @@ SIGMA = 1.0
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path", "out", "heading")
+    __slots__ = ("text", "tags", "at", "out")
 
-    def __init__(self, text: str, tags: int, linked: int, path: tuple, out: bool, heading: bool):
-        self.text, self.tags, self.linked, self.path, self.out, self.heading = text, tags, linked, path, out, heading
+    def __init__(self, text: str, tags: int, at: int, out: bool):
+        self.text, self.tags, self.at, self.out = text, tags, at, out
 
 
 class _Reader(HTMLParser):
-    """Events to lines. The stack holds (tag, boilerplate?, inside a line?) of open elements; article and main elements are numbered."""
+    """Events to lines. The stack holds (tag, boilerplate?, inside a line?) of open elements. Elements that are not inside a
+    line are numbered as they open (0: the page), so that those within element e are e to ends[e]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool, bool]] = []
-        self.count = 0
-        self.wholes: list[int] = []
-        self.out = self.drops = self.links = self.headings = 0
+        self.open = [0]
+        self.tag, self.parent, self.ends, self.doubtful = ["html"], [0], [0], [False]
+        self.titled: list[int] = []
+        self.wholes = self.out = self.drops = 0
         self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.tags = 0
 
-    def _named(self, tag: str, attrs: list) -> bool:
+    def _named(self, tag: str, attrs: list) -> bool | None:
+        """Whether this is boilerplate; None: one word of a class says so."""
         if tag in UNREAD:
             return True
         if tag in ("html", "body", "main") or tag in INLINE and tag not in ("span", "a"):
@@ -72,19 +76,22 @@ class _Reader(HTMLParser):
             return True
         if (said.get("role") or "").lower() in ROLES:
             return True
-        names = f"{said.get('class') or ''} {said.get('id') or ''}"
-        if not names.strip():
+        doubtful = False
+        for name in f"{said.get('class') or ''} {said.get('id') or ''}".split():
+            words = {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)}
+            if words and words <= BOILERPLATE:
+                return True
+            doubtful = doubtful or bool(words & BOILERPLATE) or "header" in words and not self.wholes and not words & {"article", "post", "entry", "content", "story"}
+        if not doubtful or tag in WHOLE:
             return False
-        words = {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", names)}
-        return bool(words & BOILERPLATE) or "header" in words and not self.wholes and not words & {"article", "post", "entry", "content", "story"}
+        return True if tag in INLINE else None
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, tuple(self.wholes), self.out > 0, self.headings > 0))
+            self.lines.append(Line(text, self.tags, self.open[-1], self.out > 0))
             self.tags = 0
-        self.linked = 0
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -93,10 +100,9 @@ class _Reader(HTMLParser):
             tag, named, inline = self.stack.pop()
             self.out -= named
             self.drops -= named and inline
-            self.links -= tag == "a"
-            self.headings -= tag in HEADINGS
-            if tag in WHOLE:
-                self.wholes.pop()
+            self.wholes -= tag in WHOLE
+            if not inline:
+                self.ends[self.open.pop()] = len(self.tag) - 1
 
     def _open(self, *tags: str) -> int:
         """Depth of the innermost open element of these, within the innermost list, table cell or section; else -1."""
@@ -123,14 +129,19 @@ class _Reader(HTMLParser):
         if not inline:
             self._end_line()
         named = self._named(tag, attrs)
+        doubtful, named = named is None, bool(named)
         self.stack.append((tag, named, inline))
         self.out += named
         self.drops += named and inline  # boilerplate within a line is no part of it
-        self.links += tag == "a"
-        self.headings += tag in HEADINGS
-        if tag in WHOLE:
-            self.count += 1
-            self.wholes.append(self.count)
+        self.wholes += tag in WHOLE
+        if not inline:
+            self.parent.append(self.open[-1])
+            self.open.append(len(self.tag))
+            if tag == "h1":
+                self.titled.append(len(self.tag))
+            self.tag.append(tag)
+            self.ends.append(0)
+            self.doubtful.append(doubtful)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -147,11 +158,12 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.drops:
             self.parts.append(data)
-            self.linked += len(data) if self.links else 0
 
     def finish(self) -> None:
         self.close()
+        self._pop_to(0)
         self._end_line()
+        self.ends[0] = len(self.tag) - 1
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -160,32 +172,72 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
+def _sums(reader: _Reader, amounts: list[tuple[int, int]]) -> list[int]:
+    """For each element the sum of the (element, amount) in it."""
+    out = [0] * len(reader.tag)
+    for at, n in amounts:
+        out[at] += n
+    for e in range(len(out) - 1, 0, -1):
+        out[reader.parent[e]] += out[e]
+    return out
+
+
+def _drop_doubtful(reader: _Reader, flat: np.ndarray, limit: float) -> None:
+    """Marks the lines in containers of which one word of a class names boilerplate, but for those containers that hold half of
+    the cluster's text and a title, or all of it and several lines."""
+    if not any(reader.doubtful):
+        return
+    lines = reader.lines
+    votes = _sums(reader, [(line.at, len(line.text)) for i, line in enumerate(lines) if not line.out and flat[i] >= limit])
+    number, titles = _sums(reader, [(line.at, 1) for line in lines if not line.out]), _sums(reader, [(e, 1) for e in reader.titled])
+    out = [False] * len(reader.tag)
+    for e in range(1, len(out)):
+        holds = 2 * votes[e] >= votes[0] > 0 and titles[e] or votes[e] == votes[0] > 0 and number[e] > 1
+        out[e] = out[reader.parent[e]] or reader.doubtful[e] and not holds
+    for line in lines:
+        line.out = line.out or out[line.at]
+
+
+def _region(reader: _Reader, seeds: list[int]) -> list[int]:
+    """The elements that the cluster chooses."""
+    lines, tag, parent = reader.lines, reader.tag, reader.parent
+    votes = _sums(reader, [(lines[i].at, len(lines[i].text)) for i in seeds])
+    number = _sums(reader, [(line.at, 1) for line in lines if not line.out])
+    children: dict[int, list[int]] = {}
+    for e in range(1, len(tag)):
+        if votes[e]:
+            children.setdefault(parent[e], []).append(e)
+    best = max((e for e in range(1, len(tag)) if votes[e] and tag[e] in WHOLE), key=lambda e: (votes[e], e), default=None)  # of equal ones the inner
+    if best is not None:
+        beside = [e for e in children[parent[best]] if tag[e] == tag[best]]
+        if 2 * sum(votes[e] for e in beside) >= votes[0]:
+            return beside
+    at = 0
+    while True:
+        inner = [e for e in children.get(at, ()) if tag[e] in CONTAINERS and votes[e] == votes[0] and number[e] > 1]
+        if not inner:
+            return [at]
+        at = inner[0]
+
+
 def main_text(html: str) -> str:
     reader = _Reader()
     reader.feed(html)
     reader.finish()
     lines = reader.lines
-    if not any(not line.out for line in lines):
+    if not lines:
         return ""
     flat = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines]))
     limit = flat.std()
-    seeds = [i for i, line in enumerate(lines) if not line.out and flat[i] >= limit]
-    if not seeds:
-        seeds = [max((i for i, line in enumerate(lines) if not line.out), key=lambda i: flat[i])]
-    votes: dict[int, int] = {}
-    for i in seeds:
-        for element in lines[i].path:
-            votes[element] = votes.get(element, 0) + len(lines[i].text)
-    total = sum(len(lines[i].text) for i in seeds)
-    best = max(votes, key=lambda e: (votes[e], e), default=None)  # of equal ones the later opened, so the inner
-    if best is not None and 2 * votes[best] >= total:
-        chosen = [line for line in lines if not line.out and best in line.path]
-    else:
-        first, last = seeds[0], seeds[-1]
-        while first and lines[first - 1].heading and not lines[first - 1].out:
-            first -= 1
-        chosen = [line for line in lines[first : last + 1] if not line.out and 2 * line.linked <= len(line.text)]
-    return "\n".join(line.text for line in chosen)
+    _drop_doubtful(reader, flat, limit)
+    seen = [i for i, line in enumerate(lines) if not line.out]
+    if not seen:
+        return ""
+    seeds = [i for i in seen if flat[i] >= limit] or [max(seen, key=lambda i: flat[i])]
+    inside = [False] * len(reader.tag)
+    for e in _region(reader, seeds):
+        inside[e : reader.ends[e] + 1] = [True] * (reader.ends[e] + 1 - e)
+    return "\n".join(lines[i].text for i in seen if inside[lines[i].at])
 
 
 @F.arrow_udf(T.StringType())

@@ -350,6 +350,26 @@ def test_html():
     assert htmltext.main_text(div).startswith("Title & more\nFirst paragraph") and "Buy" not in htmltext.main_text(div)
 
 
+def test_html_cluster_chooses_the_region(spark):
+    """The pages have article elements and boilerplate with a name; without the elements the text is the same."""
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        want = htmltext.main_text(r["html"])
+        assert want and htmltext.main_text(re.sub(r"<(/?)article\b", r"<\1div", r["html"])) == want == htmltext.main_text(re.sub(r"</?article\b[^>]*>", "", r["html"]))
+
+
+LONG = "<p>A long paragraph with many words about the story, told from its start to its end.</p>"
+
+
+def test_html_drops_nothing_else():
+    said = LONG[3:-4]
+    text = htmltext.main_text(f"<body><div>Home</div><div><h2>Title</h2><p>By X.</p>{LONG * 2}<p><a href=/>A link block</a></p>{LONG}<ul><li>one<li>two</ul><p>End.</p></div></body>")
+    assert text == "\n".join(["Title", "By X.", said, said, "A link block", said, "one", "two", "End."])
+    assert htmltext.main_text(f"<body><article><h2>One</h2>{LONG * 3}</article><article><h2>Two</h2>{LONG}</article></body>") == "\n".join(["One", said, said, said, "Two", said])
+    for kept in (f'<div class="page has-sidebar"><h1>T</h1>{LONG * 3}</div>', f'<article class="post comments-open"><h1>T</h1>{LONG * 3}</article>'):
+        assert htmltext.main_text(f'<body>{kept}<div class="ad-slot"><p>Buy now</p></div></body>') == "\n".join(["T", said, said, said])
+    assert htmltext.main_text(f'<body><div><h1>T</h1>{LONG}</div><div class="comments-area"><h2>C</h2>{LONG * 4}</div></body>') == f"T\n{said}"
+
+
 def test_html_query(spark):
     rows = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>hello &lt;there&gt;", 2), (1, "u", "", 3)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, htmltext.articles(rows).collect()), key=str) == sorted([(1, "u", "", 0), (None, None, "hello <there>", 13), (1, "u", "", 0)], key=str)
