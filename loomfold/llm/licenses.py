@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfold.llm.common import pick
+from loomfold.llm.license_digests import DIGESTS
 
 BROADCAST_LICENSES = 20_000
 
@@ -66,10 +67,12 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, _PUNCTUATION, " "))
 
 
-def known_licenses(spark: SparkSession, notices=NOTICES) -> DataFrame:
+def known_licenses(spark: SparkSession, notices=NOTICES, digests=DIGESTS) -> DataFrame:
     """license_id, digest of the canonical text."""
     rows = spark.createDataFrame([tuple(n) for n in notices], "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    whole = spark.createDataFrame([tuple(d) for d in digests], "license_id string, digest string")
+    return rows.union(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scanned(docs: DataFrame, licenses: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -154,6 +155,16 @@ def test_licenses(spark):
     assert licenses.scanned(docs(spark, EMPTY)).count() == 0
 
 
+def test_whole_license_texts(spark):
+    texts = {p.stem: p.read_text() for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
+    system = Path("/usr/share/common-licenses")
+    texts |= {i: (system / name).read_text() for i, name in (("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if (system / name).exists()}
+    rows = [(n, "Copyright (c) 2020 X\n" + t.upper(), i, None, None) for n, (i, t) in enumerate(texts.items())]
+    rows += [(100 + n, t + "\nand more", i, None, None) for n, (i, t) in enumerate(texts.items())]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scanned(docs(spark, rows)).collect()}
+    assert len(texts) >= 6 and got == {n: i if n < 100 else None for n, _, i, _, _ in rows}
+
+
 # 5 chat
 
 
