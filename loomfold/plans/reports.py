@@ -63,6 +63,18 @@ def mean_embedding(spark, d):
     return pairs.join(vectors, "product_id").groupBy("user_id", "d").agg((F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("x")).select("user_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
 
+@query("A24_whole", "select user_id, d, coalesce(x, 0.0) as x from (select user_id from users union select user_id from weighted) cross join (select distinct d from v) left join (select user_id, d, round(sum(e * w) / sum(w), 6) as x from weighted join v using (product_id) group by 1, 2) using (user_id, d)",
+       "v as (select cast(vec_id as varchar) as product_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as d from embeddings)")
+def mean_embedding_whole(spark, d):
+    """All dimensions; a user without a known product has the zero vector."""
+    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), F.posexplode("embedding").alias("d", "e"))
+    pairs = S.interactions(spark, d).withColumn("w", C.weight(F.col("interaction_type"))).groupBy("user_id", "product_id").agg(F.sum("w").alias("w"))
+    means = pairs.join(vectors, "product_id").groupBy("user_id", "d").agg(F.round(F.sum(F.col("e") * F.col("w")) / F.sum("w"), 6).alias("x"))
+    users = S.users(spark, d).select("user_id").union(pairs.select("user_id")).distinct()
+    each = users.crossJoin(F.broadcast(vectors.select("d").distinct()))
+    return each.join(means, ["user_id", "d"], "left").select("user_id", F.col("d").cast("long").alias("d"), F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
 @query("A25", "select user_id, base_colour from (select user_id, base_colour, row_number() over (partition by user_id order by count(*) desc, base_colour) as r from interactions join products using (product_id) group by 1, 2) where r = 1")
 def favourite_colour(spark, d):
     counts = S.interactions(spark, d).join(S.products(spark, d), "product_id").groupBy("user_id", "base_colour").agg(F.count(F.lit(1)).alias("n"))
@@ -106,12 +118,20 @@ def enrich_left(spark, d):
 
 @query("J12", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey where o_custkey < 50 group by 1")
 def nested(spark, d):
-    orders = S.table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey")
+    return _nested(spark, d, S.table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey"))
+
+
+def _nested(spark, d, orders):
     lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("l_partkey").isNotNull(), F.struct("l_linenumber", "l_partkey")))), lambda x: x["l_partkey"].cast("string"))
     return orders.join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.nullif(F.array_join(parts, ","), F.lit("")).alias("parts"))
 
 
+@query("J12_whole", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey group by 1")
+def nested_whole(spark, d):
+    return _nested(spark, d, S.table(spark, d, "orders").select("o_orderkey"))
+
+
 @query("J14", "select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey group by 1")
 def orders_users(spark, d):
     return S.table(spark, d, "orders").join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

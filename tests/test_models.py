@@ -169,3 +169,16 @@ def test_selection_reasons(spark):
     assert got == {"a": "Similar to your favorite (x, y, z)", "b": personal.NO_REASON, "c": personal.NO_REASON}
     ranked = personal.ranked_in_category(rows, style, "footwear").orderBy("rank").collect()
     assert [(r["product_id"], r["score"]) for r in ranked] == [("a", 4.75), ("b", 2.0)]
+
+
+def test_whole_vectors_and_tables(spark):
+    """The queries without a filter on ids or dimensions reach every dimension, user and order."""
+    from loomfold.plans import registry
+    from loomfold.sources import tables as S
+    from tests.conftest import SMALL
+
+    run = registry.queries()
+    assert {r["d"] for r in run["A24_whole"](spark, SMALL).select("d").distinct().collect()} == set(range(64))
+    assert run["A24_whole"](spark, SMALL).select("user_id").distinct().count() == S.users(spark, SMALL).count()
+    assert run["J12_whole"](spark, SMALL).count() == S.table(spark, SMALL, "orders").count()
+    assert run["S16_whole"](spark, SMALL).count() == S.interactions(spark, SMALL).select("user_id").distinct().count()
