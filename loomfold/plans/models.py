@@ -177,8 +177,8 @@ def trained_ranking(spark, d):
     """Each user's 20 best products by trained vectors, after 3 epochs."""
     vectors, _ = _trained(spark, d, 3)
     nodes = vectors.select("node", F.array(*DIMS).alias("vector"))
-    users = nodes.where("node like 'u:%'").select(F.substring("node", 3, 20).alias("user_id"), "vector")
-    items = nodes.where("node like 'p:%'").select(F.substring("node", 3, 20).alias("product_id"), "vector")
+    users = nodes.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
+    items = nodes.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
     return G.dense_top_k(users, items, 20)
 
 

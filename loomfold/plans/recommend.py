@@ -232,8 +232,8 @@ graph_ranking as (select * from (select *, row_number() over (partition by user_
 
 def _graph_ranking(spark, d):
     nodes = _nodes(spark, d).select("node", F.array(*DIMS).alias("vector")).persist()
-    users = nodes.where("node like 'u:%'").select(F.substring("node", 3, 20).alias("user_id"), "vector")
-    items = nodes.where("node like 'p:%'").select(F.substring("node", 3, 20).alias("product_id"), "vector")
+    users = nodes.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
+    items = nodes.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
     return G.dense_top_k(users, items, 20)
 
 

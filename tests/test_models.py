@@ -182,3 +182,14 @@ def test_whole_vectors_and_tables(spark):
     assert run["A24_whole"](spark, SMALL).select("user_id").distinct().count() == S.users(spark, SMALL).count()
     assert run["J12_whole"](spark, SMALL).count() == S.table(spark, SMALL, "orders").count()
     assert run["S16_whole"](spark, SMALL).count() == S.interactions(spark, SMALL).select("user_id").distinct().count()
+
+
+def test_graph_ids_stay_whole(spark, monkeypatch):
+    from loomfold.plans import models, recommend
+
+    ids = ["u:64b7f0c2a1d3e4f5a6b7c8d1", "u:64b7f0c2a1d3e4f5a6b7c8d2", "p:64b7f0c2a1d3e4f5a6b7c8d3"]
+    nodes = spark.createDataFrame([(i, 1.0, 0.0, 0.5) for i in ids], "node string, x0 double, x1 double, x2 double")
+    monkeypatch.setattr(recommend, "_nodes", lambda *_: nodes)
+    monkeypatch.setattr(models, "_trained", lambda *_: (nodes, None))
+    for ranking in (recommend._graph_ranking, models.trained_ranking):
+        assert sorted((r["user_id"], r["product_id"]) for r in ranking(spark, "").collect()) == [(u[2:], ids[2][2:]) for u in ids[:2]]
