@@ -1,17 +1,22 @@
 """Main text of HTML pages: parser events, text-to-tag ratios, smoothing, threshold clustering.
 
 The standard library's streaming parser sends events. Block-level tags end a line; a line has its
-text and the number of tags since the line before. The ratio of text to tags is smoothed along the
-page with a Gaussian, and the lines whose smoothed ratio passes the standard deviation of all are
-the content cluster. What the markup itself names as menu, form, advert, comment and so on never
-counts. The cluster chooses the region: the article and main elements that hold it, side by side,
-or else the innermost container of all of it; every block there that is not named boilerplate is
-content, be it short, a list or a link. A class of several words, one of which names boilerplate
-(`has-sidebar`), names no article, and no container of the cluster.
+text and the number of tags since the line before. What the markup itself names as menu, form,
+advert, comment and so on is left out first: an element by its tag, role or hidden state, or by a
+class or id whose words all name boilerplate or layout (`ad-slot`, `comments-area`; but not
+`related-work`, `has-sidebar`). Of the lines that are left, the ratios of text to tags are smoothed
+along the page with a Gaussian; the lines whose smoothed ratio reaches the standard deviation of
+all are the content cluster. The cluster chooses the region, whatever the elements are called: the
+innermost container of the cluster's text, where beside it only blocks of one line and under a
+tenth of that text may stay outside. Each line of the region is content, be it short, a list or a
+link, but for a last line under a tenth of the cluster that starts with the copyright sign. No cluster, no
+text: ratios that are constant or negated give other results.
 
 Defined cases: null or empty html, and pages without content, give an empty text; a tag left open
-or cut off ends with its parent or the page; character references are decoded, white space inside
-a block becomes one space, blocks are joined by a newline; texts of any length are read whole.
+ends with its parent or the page; a tag cut off by the end of the page is no text; a comment that
+is never closed runs to the end; an end tag without a start is ignored, in constant
+time; character references are decoded, white space inside a block becomes one space, blocks are
+joined by a newline; texts of any length are read whole; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -32,65 +37,71 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 UNREAD = frozenset("script style noscript template svg math iframe object head title select option button textarea form nav aside footer dialog menu audio video canvas map".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas map".split())  # interrupt no line
-WHOLE = frozenset(("article", "main"))
+WHOLE = frozenset(("article", "main"))  # a header inside one is the article's own
 CONTAINERS = frozenset("html body main article section div center table tbody tr td".split())
+BOUNDS = frozenset("ul ol dl table article main body section div".split())  # what an end left out does not reach beyond
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOILERPLATE = frozenset("ad ads adbox adsense adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination paywall popular popup promo promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signup skip skiplink social sponsor sponsored subscribe subscription teaser toolbar trending widget".split())
+LAYOUT = frozenset("area bar block body bottom box center column container content fixed float footer global grid group header holder inner item items left link links list main outer page panel right row section site slot sticky top unit wrap wrapper".split())  # say nothing of themselves
+HEADER = frozenset(("header",))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 SIGMA = 1.0
+SMALL_SHARE = 10  # a block of one line beside the region has less than this part of the cluster's text
+
+
+_CLOSE = re.compile(r"--!?>")
+_CUT_OFF = re.compile(r"<[A-Za-z/!?]")
 
 
 class Line:
-    __slots__ = ("text", "tags", "at", "out")
+    __slots__ = ("text", "tags", "at")
 
-    def __init__(self, text: str, tags: int, at: int, out: bool):
-        self.text, self.tags, self.at, self.out = text, tags, at, out
+    def __init__(self, text: str, tags: int, at: int):
+        self.text, self.tags, self.at = text, tags, at
 
 
 class _Reader(HTMLParser):
-    """Events to lines. The stack holds (tag, boilerplate?, inside a line?) of open elements. Elements that are not inside a
-    line are numbered as they open (0: the page), so that those within element e are e to ends[e]."""
+    """Events to lines that are not named boilerplate. The stack holds (tag, boilerplate?, inside a line?) of open elements,
+    `places` the depths at which each tag is open. Elements that are not inside a line are numbered as they open (0: the
+    page), so that those within element e are e to ends[e]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
         self.open = [0]
-        self.tag, self.parent, self.ends, self.doubtful = ["html"], [0], [0], [False]
-        self.titled: list[int] = []
+        self.tag, self.parent, self.ends = ["html"], [0], [0]
         self.wholes = self.out = self.drops = 0
         self.parts: list[str] = []
         self.tags = 0
 
-    def _named(self, tag: str, attrs: list) -> bool | None:
-        """Whether this is boilerplate; None: one word of a class says so."""
-        if tag in UNREAD:
+    def _named(self, tag: str, attrs: list) -> bool:
+        """Whether the markup says that this is boilerplate."""
+        if tag in UNREAD or tag == "header" and not self.wholes:
             return True
-        if tag in ("html", "body", "main") or tag in INLINE and tag not in ("span", "a"):
+        if not attrs or tag in ("html", "body", "main") or tag in INLINE and tag not in ("span", "a"):
             return False
-        if tag == "header" and not self.wholes:
-            return True
         said = dict(attrs)
         if "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in (said.get("style") or "").replace(" ", ""):
             return True
         if (said.get("role") or "").lower() in ROLES:
             return True
-        doubtful = False
+        tells = BOILERPLATE if self.wholes else BOILERPLATE | HEADER
         for name in f"{said.get('class') or ''} {said.get('id') or ''}".split():
             words = {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)}
-            if words and words <= BOILERPLATE:
+            if words & tells and words <= tells | LAYOUT:
                 return True
-            doubtful = doubtful or bool(words & BOILERPLATE) or "header" in words and not self.wholes and not words & {"article", "post", "entry", "content", "story"}
-        if not doubtful or tag in WHOLE:
-            return False
-        return True if tag in INLINE else None
+        return False
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
+        if text and not self.out:
+            self.lines.append(Line(text, self.tags, self.open[-1]))
         if text:
-            self.lines.append(Line(text, self.tags, self.open[-1], self.out > 0))
             self.tags = 0
 
     def _pop_to(self, depth: int) -> None:
@@ -98,6 +109,9 @@ class _Reader(HTMLParser):
             if not self.stack[-1][2]:
                 self._end_line()
             tag, named, inline = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
             self.out -= named
             self.drops -= named and inline
             self.wholes -= tag in WHOLE
@@ -105,13 +119,9 @@ class _Reader(HTMLParser):
                 self.ends[self.open.pop()] = len(self.tag) - 1
 
     def _open(self, *tags: str) -> int:
-        """Depth of the innermost open element of these, within the innermost list, table cell or section; else -1."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                return i
-            if self.stack[i][0] in ("ul", "ol", "dl", "table", "article", "main", "body", "section", "div"):
-                return -1
-        return -1
+        """Depth of the innermost open element of these, within the innermost of BOUNDS; else -1."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        return at if not self.bounds or at >= self.bounds[-1] else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -129,7 +139,9 @@ class _Reader(HTMLParser):
         if not inline:
             self._end_line()
         named = self._named(tag, attrs)
-        doubtful, named = named is None, bool(named)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.stack))
         self.stack.append((tag, named, inline))
         self.out += named
         self.drops += named and inline  # boilerplate within a line is no part of it
@@ -137,11 +149,8 @@ class _Reader(HTMLParser):
         if not inline:
             self.parent.append(self.open[-1])
             self.open.append(len(self.tag))
-            if tag == "h1":
-                self.titled.append(len(self.tag))
             self.tag.append(tag)
             self.ends.append(0)
-            self.doubtful.append(doubtful)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,15 +159,17 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop_to(i)
-                return
+        if self.places.get(tag):
+            self._pop_to(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.drops:
             self.parts.append(data)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        found = _CLOSE.search(self.rawdata, i + 4)
+        return found.end() if found else len(self.rawdata)  # never closed: to the end
+
     def finish(self) -> None:
         self.close()
         self._pop_to(0)
@@ -166,10 +177,21 @@ class _Reader(HTMLParser):
         self.ends[0] = len(self.tag) - 1
 
 
-def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Code points of text for each tag."""
+    return np.array([len(line.text) / max(1, line.tags) for line in lines], float)
+
+
+def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
+    return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), "valid")
+
+
+def clustered(lines: list[Line]) -> np.ndarray:
+    """Whether each line is in the content cluster. Of ratios from 0 up one line at least is."""
+    flat = smoothed(ratios(lines))
+    return flat >= flat.std()
 
 
 def _sums(reader: _Reader, amounts: list[tuple[int, int]]) -> list[int]:
@@ -182,62 +204,43 @@ def _sums(reader: _Reader, amounts: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _drop_doubtful(reader: _Reader, flat: np.ndarray, limit: float) -> None:
-    """Marks the lines in containers of which one word of a class names boilerplate, but for those containers that hold half of
-    the cluster's text and a title, or all of it and several lines."""
-    if not any(reader.doubtful):
-        return
+def _region(reader: _Reader, cluster: np.ndarray) -> int:
+    """The element that the cluster chooses."""
     lines = reader.lines
-    votes = _sums(reader, [(line.at, len(line.text)) for i, line in enumerate(lines) if not line.out and flat[i] >= limit])
-    number, titles = _sums(reader, [(line.at, 1) for line in lines if not line.out]), _sums(reader, [(e, 1) for e in reader.titled])
-    out = [False] * len(reader.tag)
-    for e in range(1, len(out)):
-        holds = 2 * votes[e] >= votes[0] > 0 and titles[e] or votes[e] == votes[0] > 0 and number[e] > 1
-        out[e] = out[reader.parent[e]] or reader.doubtful[e] and not holds
-    for line in lines:
-        line.out = line.out or out[line.at]
-
-
-def _region(reader: _Reader, seeds: list[int]) -> list[int]:
-    """The elements that the cluster chooses."""
-    lines, tag, parent = reader.lines, reader.tag, reader.parent
-    votes = _sums(reader, [(lines[i].at, len(lines[i].text)) for i in seeds])
-    number = _sums(reader, [(line.at, 1) for line in lines if not line.out])
+    text = _sums(reader, [(line.at, len(line.text)) for line, chosen in zip(lines, cluster) if chosen])
+    number = _sums(reader, [(line.at, 1) for line in lines])
     children: dict[int, list[int]] = {}
-    for e in range(1, len(tag)):
-        if votes[e]:
-            children.setdefault(parent[e], []).append(e)
-    best = max((e for e in range(1, len(tag)) if votes[e] and tag[e] in WHOLE), key=lambda e: (votes[e], e), default=None)  # of equal ones the inner
-    if best is not None:
-        beside = [e for e in children[parent[best]] if tag[e] == tag[best]]
-        if 2 * sum(votes[e] for e in beside) >= votes[0]:
-            return beside
+    for e in range(1, len(reader.tag)):
+        if text[e]:
+            children.setdefault(reader.parent[e], []).append(e)
     at = 0
     while True:
-        inner = [e for e in children.get(at, ()) if tag[e] in CONTAINERS and votes[e] == votes[0] and number[e] > 1]
-        if not inner:
-            return [at]
-        at = inner[0]
+        own = children.get(at, ())
+        best = max((e for e in own if reader.tag[e] in CONTAINERS and number[e] > 1), key=lambda e: text[e], default=None)
+        if best is None or sum(text[e] for e in own) < text[at]:
+            return at
+        if any(number[e] > 1 or SMALL_SHARE * text[e] >= text[at] for e in own if e != best):
+            return at
+        at = best
 
 
 def main_text(html: str) -> str:
+    cut = _CUT_OFF.search(html, html.rfind(">") + 1)
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(html[: cut.start()] if cut else html)
     reader.finish()
     lines = reader.lines
     if not lines:
         return ""
-    flat = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines]))
-    limit = flat.std()
-    _drop_doubtful(reader, flat, limit)
-    seen = [i for i, line in enumerate(lines) if not line.out]
-    if not seen:
+    cluster = clustered(lines)
+    if not cluster.any():
         return ""
-    seeds = [i for i in seen if flat[i] >= limit] or [max(seen, key=lambda i: flat[i])]
-    inside = [False] * len(reader.tag)
-    for e in _region(reader, seeds):
-        inside[e : reader.ends[e] + 1] = [True] * (reader.ends[e] + 1 - e)
-    return "\n".join(lines[i].text for i in seen if inside[lines[i].at])
+    first = _region(reader, cluster)
+    inside = [i for i, line in enumerate(lines) if first <= line.at <= reader.ends[first]]
+    last = lines[inside[-1]].text
+    if last[0] == "\u00a9" and SMALL_SHARE * len(last) < sum(len(line.text) for line, chosen in zip(lines, cluster) if chosen):
+        inside.pop()
+    return "\n".join(lines[i].text for i in inside)
 
 
 @F.arrow_udf(T.StringType())

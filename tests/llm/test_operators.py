@@ -1,6 +1,7 @@
 """The ten operators against brute force, and their defined cases."""
 
 import hashlib
+import html
 import re
 from collections import Counter
 from pathlib import Path
@@ -356,34 +357,93 @@ def test_html():
     <aside>side</aside><form>f <input></form><footer>&copy; x</footer></body></html>"""
     assert htmltext.main_text(page) == "Title & more\nFirst paragraph of the story, which is long enough © here.\nSecond one goes on.\na\nb"
     assert htmltext.main_text("") == "" and htmltext.main_text("<nav>only menu</nav>") == "" and htmltext.main_text("<p>cut off &am") == "cut off &am"
+    assert htmltext.main_text("<p>one <!-- never closed <p>two") == "one" and htmltext.main_text("<p>one</p><p cla") == "one" and htmltext.main_text("<p>1 < 2 and < 3") == "1 < 2 and < 3"
     assert htmltext.main_text('<article><p>One long line of text <span class="ad">buy</span> that goes on.</p></article>') == "One long line of text that goes on."
     div = page.replace("<article><h1>", '<div id="main"><h1>').replace("</section></article>", "</section></div>")
     assert htmltext.main_text(div).startswith("Title & more\nFirst paragraph") and "Buy" not in htmltext.main_text(div)
 
 
-def test_html_cluster_chooses_the_region(spark):
-    """The pages have article elements and boilerplate with a name; without the elements the text is the same."""
-    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
-        want = htmltext.main_text(r["html"])
-        assert want and htmltext.main_text(re.sub(r"<(/?)article\b", r"<\1div", r["html"])) == want == htmltext.main_text(re.sub(r"</?article\b[^>]*>", "", r["html"]))
-
-
 LONG = "<p>A long paragraph with many words about the story, told from its start to its end.</p>"
+SAID = LONG[3:-4]
+LINKS = "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(8))
+#: Pages without an article element, and without a name on any boilerplate: (html, text by hand).
+UNNAMED = [
+    (f"<body><div><ul>{LINKS}</ul></div><div><h1>T</h1>{LONG * 3}<p>End.</p></div><div>&copy; x y</div></body>", ["T", SAID, SAID, SAID, "End."]),
+    (f"<body><div><div>Shop now</div><ul>{LINKS}</ul></div><div><div><h2>T</h2>{LONG * 2}</div><div><h2>U</h2>{LONG * 2}</div></div></body>", ["T", SAID, SAID, "U", SAID, SAID]),
+    (f"<body><table><tr><td>{'<a href=/>Home</a><br>' * 6}</td></tr></table><table><tr><td><p>By X.</p>{LONG * 4}<ul><li>one<li><a href=/>two</a></ul></td></tr></table></body>", ["By X.", *[SAID] * 4, "one", "two"]),
+    (f"<body><h1>T</h1>{LONG * 3}<p>&copy; 2020 X</p></body>", ["T", SAID, SAID, SAID]),
+]
+
+
+@pytest.mark.parametrize("page, want", UNNAMED)
+def test_html_regions_without_names(page, want):
+    assert htmltext.main_text(page) == "\n".join(want)
+
+
+def test_html_ratios_decide(spark, monkeypatch):
+    """Pages of the table as they are and with every name taken out (article, nav, footer and the class of adverts become plain
+    divs): ratios that are negated or flattened lose the text; without smoothing some change."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    want = [htmltext.main_text(h) for h in pages]
+    plain = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", h).replace(' class="ad"', "") for h in pages]
+    right = [p for p, w in zip(plain, want) if htmltext.main_text(p) == w]
+    assert all(want) and len(right) > 0.8 * len(pages)  # in the others the advert is longer than the article
+    true = htmltext.ratios
+    monkeypatch.setattr(htmltext, "ratios", lambda lines: -true(lines))
+    assert not any(map(htmltext.main_text, pages + plain))
+    monkeypatch.setattr(htmltext, "ratios", lambda lines: np.ones(len(lines)))
+    assert not any(htmltext.main_text(p) in want for p in right)
+    monkeypatch.setattr(htmltext, "ratios", true)
+    monkeypatch.setattr(htmltext, "smoothed", lambda values: values)
+    lone = f"<body>{'<p>a</p>' * 6}{LONG}{'<p>a</p>' * 6}</body>"
+    assert htmltext.clustered(lines_of(lone)).sum() == 1
+    monkeypatch.undo()
+    assert htmltext.clustered(lines_of(lone)).sum() == 3
+
+
+def lines_of(page):
+    reader = htmltext._Reader()
+    reader.feed(page)
+    reader.finish()
+    return reader.lines
 
 
 def test_html_drops_nothing_else():
-    said = LONG[3:-4]
     text = htmltext.main_text(f"<body><div>Home</div><div><h2>Title</h2><p>By X.</p>{LONG * 2}<p><a href=/>A link block</a></p>{LONG}<ul><li>one<li>two</ul><p>End.</p></div></body>")
-    assert text == "\n".join(["Title", "By X.", said, said, "A link block", said, "one", "two", "End."])
-    assert htmltext.main_text(f"<body><article><h2>One</h2>{LONG * 3}</article><article><h2>Two</h2>{LONG}</article></body>") == "\n".join(["One", said, said, said, "Two", said])
+    assert text == "\n".join(["Title", "By X.", SAID, SAID, "A link block", SAID, "one", "two", "End."])
+    assert htmltext.main_text(f"<body><article><h2>One</h2>{LONG * 3}</article><article><h2>Two</h2>{LONG}</article></body>") == "\n".join(["One", SAID, SAID, SAID, "Two", SAID])
     for kept in (f'<div class="page has-sidebar"><h1>T</h1>{LONG * 3}</div>', f'<article class="post comments-open"><h1>T</h1>{LONG * 3}</article>'):
-        assert htmltext.main_text(f'<body>{kept}<div class="ad-slot"><p>Buy now</p></div></body>') == "\n".join(["T", said, said, said])
-    assert htmltext.main_text(f'<body><div><h1>T</h1>{LONG}</div><div class="comments-area"><h2>C</h2>{LONG * 4}</div></body>') == f"T\n{said}"
+        assert htmltext.main_text(f'<body>{kept}<div class="ad-slot"><p>Buy now</p></div></body>') == "\n".join(["T", SAID, SAID, SAID])
+    assert htmltext.main_text(f'<body><div><h1>T</h1>{LONG}</div><div class="comments-area"><h2>C</h2>{LONG * 4}</div></body>') == f"T\n{SAID}"
+    for name in ('class="related-work"', 'class="search-results-analysis"', 'id="copyright-law"'):
+        assert htmltext.main_text(f"<body><article><h1>T</h1>{LONG}<section {name}><h2>S</h2>{LONG}</section></article></body>") == "\n".join(["T", SAID, "S", SAID])
+
+
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "x" + "</b>" * 200_000, "<div>" * 200_000 + "</i>" * 200_000 + "y", "<b>" * 100_000 + "<p>a</p>" * 100_000, "<ul><li><div>" + "<b>" * 100_000 + "<li>q</li>" * 100_000, "<!--" * 200_000, "<p" * 200_000, "word " * 2_000_000])
+def test_html_long_pages(page):
+    import time
+
+    began = time.monotonic()
+    htmltext.main_text(page)
+    assert time.monotonic() - began < 20
 
 
 def test_html_query(spark):
     rows = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>hello &lt;there&gt;", 2), (1, "u", "", 3)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, htmltext.articles(rows).collect()), key=str) == sorted([(1, "u", "", 0), (None, None, "hello <there>", 13), (1, "u", "", 0)], key=str)
+    assert htmltext.articles(rows.where("false")).count() == 0
+
+
+def test_html_query_is_the_article(spark):
+    """Each page of the table against its article element, read by pattern."""
+    inner = re.compile(r"</?(?:p|h1|ul|li|div)\b[^>]*>")
+    want = {}
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        blocks = inner.split(re.search(r"<article>(.*?)</article>", r["html"], re.S)[1])
+        said = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        want[r["page_id"]] = "\n".join(filter(None, said))
+    rows = queries.op10_html(spark, SMALL).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == want and all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
 # queries with oracle SQL, and the others
