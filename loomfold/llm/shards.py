@@ -1,17 +1,20 @@
 """Sharding by vector bin packing: bytes, words and rows are balanced jointly.
 
-Groups of equal texts are dealt by hash to a fixed number of granules, so that what the driver
-packs has the same size at any scale: GRAINS for each shard. A group that holds more than one
-granule's share of bytes, words or rows is heavy and cut by row into pieces of about such a share;
-by that definition there are at most 3 * PARTS heavy groups a shard. Granules are placed largest
-first, each in the shard whose residual capacity has the highest dot product with the granule's
-vector (each dimension in units of a shard's share). Slots count from the granule's first slot in
-its shard, so numbering sorts granules, never whole shards. Everything runs on DataFrame functions;
-the driver sees sums by granule and the list of heavy groups, both bounded by the constants.
+What is placed are groups of equal texts. A group with more than a PARTS-th of a shard's share of
+bytes, words or rows is placed by itself; there are at most 3 * PARTS such groups a shard. The
+others are dealt whole, by hash, to GRAINS granules a shard, so that what the driver packs has the
+same size at any scale. A group is in one shard, unless it alone exceeds a shard's share: then it
+is cut into as few parts as fit. Items are placed largest first, each in the shard whose residual
+capacity has the highest dot product with the item's vector (each dimension in units of a shard's
+share), then a bounded number of moves and swaps evens out the bytes. For the slots the rows of a
+large group are dealt to cells of about a PARTS-th of a share; slots count from the cell's first
+slot in its shard, so numbering sorts cells, never whole shards or groups. Everything runs on
+DataFrame functions; the driver sees sums by granule and cell and the list of large groups, all
+bounded by the constants.
 
 Defined cases: a null text has no bytes (its size is the header's alone) and groups with other null
 texts; repeated rows have slots of their own; rows with null or equal ids go by order of storage;
-an empty table has no rows; with fewer granules than shards some shards stay empty.
+an empty table has no rows; with fewer items than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -61,6 +64,15 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
+def item_of(cell: int, granules: int, first: np.ndarray, pieces: np.ndarray) -> int:
+    """The first cell of what is placed together with this cell: a granule, a large group, or a part of one over a shard's share."""
+    if cell < granules:
+        return cell
+    g = int(np.searchsorted(first, cell, "right")) - 1
+    parts = -(-int(pieces[g]) // PARTS)
+    return int(first[g]) + -(-((cell - int(first[g])) * parts // int(pieces[g])) * int(pieces[g]) // parts)
+
+
 def assign(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: its id, size (UTF-8 bytes and HEADER), text_crc32, shard, slot (gapless from 0 in a shard)."""
     spark, body = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
@@ -83,18 +95,22 @@ def assign(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str
     pieces = np.ceil([r["shares"] for r in heavy]).astype(int)
     first = shards * GRAINS + np.cumsum(pieces) - pieces
     listed = spark.createDataFrame([(r["group"], int(a), int(n)) for r, a, n in zip(heavy, first, pieces)], "heavy_group long, first long, pieces long")
-    grain = F.coalesce(F.col("first") + F.pmod(F.xxhash64("row"), F.col("pieces")), F.pmod(F.xxhash64("group"), F.lit(shards * GRAINS)))
-    dealt = rows.join(F.broadcast(listed), F.col("group") == F.col("heavy_group"), "left").withColumn("grain", grain)
-    loads = dealt.groupBy("grain").agg(*sums).orderBy("grain").collect()
-    placed = pack(np.array([[r["size"], r["words"], r["rows"]] for r in loads], float).reshape(-1, 3), shards) if loads else []
+    cell = F.coalesce(F.col("first") + F.pmod(F.xxhash64("row"), F.col("pieces")), F.pmod(F.xxhash64("group"), F.lit(shards * GRAINS)))
+    dealt = rows.join(F.broadcast(listed), F.col("group") == F.col("heavy_group"), "left").withColumn("cell", cell)
+    loads = dealt.groupBy("cell").agg(*sums).orderBy("cell").collect()
+    item = np.array([item_of(r["cell"], shards * GRAINS, first, pieces) for r in loads], int)
+    names, at = np.unique(item, return_inverse=True)
+    need = np.zeros((len(names), 3))
+    np.add.at(need, at, np.array([[r["size"], r["words"], r["rows"]] for r in loads], float).reshape(-1, 3))
+    placed = pack(need, shards)[at] if loads else []
     filled, where = [0] * shards, []
     for r, shard in zip(loads, placed):
-        where.append((r["grain"], int(shard), filled[shard]))
+        where.append((r["cell"], int(shard), filled[shard]))
         filled[shard] += r["rows"]
-    where_df = spark.createDataFrame(where, "grain long, shard int, start long")
+    where_df = spark.createDataFrame(where, "cell long, shard int, start long")
     ranked = F.row_number().over(_window())
     return (
-        dealt.withColumn("rank", ranked).join(F.broadcast(where_df), "grain")
+        dealt.withColumn("rank", ranked).join(F.broadcast(where_df), "cell")
         .select(F.col("id").alias(doc_id), "size", "text_crc32", "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
     )
 
@@ -102,4 +118,4 @@ def assign(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str
 def _window():
     from pyspark.sql import Window
 
-    return Window.partitionBy("grain").orderBy("id", "row")
+    return Window.partitionBy("cell").orderBy("id", "row")

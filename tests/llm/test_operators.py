@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -213,11 +214,48 @@ def test_shards(spark):
     assert len(rows) == len(awkward())
     check_shards(rows, 4)
     many = [(i if i % 3 else None, "same text" if i % 3 == 0 else prose(i, 5 + i % 40), None, None, None) for i in range(3000)]
-    sizes = check_shards(shards.assign(docs(spark, many), 8).collect(), 8)
+    rows = shards.assign(docs(spark, many), 8).collect()
+    sizes = check_shards(rows, 8)
     assert max(sizes) / min(sizes) < 1.02
     assert shards.assign(docs(spark, EMPTY)).count() == 0
 
 
+def test_shard_items():
+    pieces = np.array([3, 64, 65, 500])
+    first = 100 + np.cumsum(pieces) - pieces
+    cells = range(100, 100 + int(pieces.sum()))
+    items = Counter(shards.item_of(c, 100, first, pieces) for c in cells)
+    assert items[100] == 3 and items[103] == 64 and len(items) == 1 + 1 + 2 + 8 and max(items.values()) <= shards.PARTS
+    assert shards.item_of(7, 100, first, pieces) == 7
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_shard_query(spark, folder):
+    """Sizes, checksums, law and slots against the texts; groups of equal texts are whole."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op6_shards(spark, folder).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(texts.keys())
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+    sizes = check_shards(rows, 24)
+    of_group: dict = {}
+    for r in rows:
+        of_group.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in of_group.values())
+    if folder != SMALL:  # there, one text alone is as large as a shard
+        assert max(sizes) / min(sizes) < 1.01
+
+
+def test_shards_cut_only_what_exceeds_a_share(spark):
+    rows = [(i, "same words " * 20 if i < 400 else "other" if i < 440 else prose(i, 40), None, None, None) for i in range(1200)]
+    texts = {r[0]: r[1] for r in rows}
+    out = shards.assign(docs(spark, rows), 8).collect()
+    sizes = check_shards(out, 8)
+    spread = {t: len({r["shard"] for r in out if texts[r["doc_id"]] == t}) for t in ("same words " * 20, "other")}
+    assert 2 <= spread["same words " * 20] <= 4 and spread["other"] == 1 and max(sizes) / min(sizes) < 1.01
+
+
 # 7 quality
 
 
