@@ -323,16 +323,27 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 600])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("small", [decontam.SMALL, 0])
+def test_decontamination(spark, small):
     items = [(i, prose(i, 14 + i % 9)) for i in range(12)] + [(12, "zebra unicorn griffin"), (13, None), (14, ""), (None, "only nameless words here"), (3, prose(3, 17))]
     texts = [prose(50, 30) + " " + prose(i, 14)[:90].upper() + ", " + prose(60 + i, 30) for i in range(12)] + ["a Zebra, unicorn; GRIFFIN b", "zebra unicorn", prose(4, 17) + " " + prose(4, 17), "only nameless-words here"]
     rows = awkward() + [(200 + i, t, None, None, None) for i, t in enumerate(texts)]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, items string")
-    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontam.decontaminate(clashing(docs(spark, rows)), bench, block_bytes=block).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontam.decontaminate(clashing(docs(spark, rows)), bench, small=small).collect())
     want = Counter((i, n, h, tuple(x), h > 0) for i, t, *_ in rows for n, h, x in [brute_hits(t, items)])
     assert got == want and sum(k[2] > 0 for k in got) > 5
-    assert decontam.decontaminate(docs(spark), bench.where("false")).where("contaminated").count() == 0
+    left = decontam.clean(clashing(docs(spark, rows)), bench, small=small)
+    assert Counter(r["doc_id"] for r in left.collect()) == Counter(k[0] for k, n in want.items() for _ in range(n) if not k[4]) and len(left.columns) == 17
+    assert decontam.decontaminate(docs(spark), bench.where("false"), small=small - 1).where("contaminated").count() == 0
+    assert decontam.decontaminate(docs(spark, EMPTY), bench, small=small).count() == 0
+
+
+@pytest.mark.parametrize("small", [decontam.SMALL, 0])
+def test_decontamination_spans(spark, small):
+    bench = spark.createDataFrame([(1, prose(3, 25)), (2, prose(3, 25))], "item_id long, text string")
+    text = prose(8, 7) + " " + prose(3, 25) + " " + prose(9, 40) + " " + " ".join(prose(3, 25).split()[4:16])
+    out = decontam.decontaminate(docs(spark, [(1, text, None, None, None)]), bench, small=small).first()
+    assert [tuple(s) for s in out["spans"]] == [(7, 32), (72, 84)] and out["items"] == ["1", "2"]
 
 
 # 9 near-duplicates
