@@ -3,8 +3,11 @@
 A lexer reads source and configuration syntax into (name, value) assignments: `name = "x"`,
 `name: x`, `"name": "x"`, `name := 'x'`, `export NAME=x`, `name => x`, `name: type = "x"`. A value is
 a chain of literals and names joined by `+`, over line ends too, or side by side within brackets;
-literals may have prefixes (`b"x"`); the elements of a list are values of its name. Names are
-replaced by the literals they were bound to before (constant propagation), however many. Each assignment is scored: what its name says (password, api key, ...) and
+literals may have prefixes (`b"x"`); the elements of a list are values of its name. What a call or an
+index gives is not known and no literal; its arguments are read by themselves. A value without
+quotes is a literal if it can't be an identifier, or letters and digits alternate in it. An
+apostrophe within or at the end of a word opens no string. Names are replaced by the literals they
+were bound to, before or else after (constant propagation), however many. Each assignment is scored: what its name says (password, api key, ...) and
 what the text of the value looks like (length, kinds of characters, entropy, placeholders). The
 literals of an assignment that reaches the threshold are secrets, as are those that a sensitive
 name reaches through other names.
@@ -43,10 +46,14 @@ LEAST_LITERAL, THRESHOLD = 8, 4.0
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
 _PREFIX = r"(?:(?:[bB][rR]?|[rR][bBfF]?|[fF][rR]?|[uU]|u8|L|[$]?@|[$])(?=[\"']))?"
-LEXEME = re.compile(rf"""(?P<triple>{_PREFIX}(?:\"{{3}}(?:[^"\\]|\\.|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\.|'(?!''))*'{{3}}))|(?P<double>{_PREFIX}"(?:[^"\\\n]|\\.)*")|(?P<single>{_PREFIX}'(?:[^'\\\n]|\\.)*')|(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""", re.S)
+LEXEME = re.compile(rf"""(?P<triple>{_PREFIX}(?:\"{{3}}(?:[^"\\]|\\.|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\.|'(?!''))*'{{3}}))|(?P<double>{_PREFIX}"(?:[^"\\\n]|\\.)*")|(?P<single>(?<!\w){_PREFIX}'(?:[^'\\\n]|\\.)*'(?!\w))|(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""", re.S)
 STRINGS = ("double", "single", "triple")
 BARE = re.compile(r"""[^\s"',;#]+""")
 BARE_INSIDE = re.compile(r"""[^\s"',;#)\]]+""")
+PATH = r"[A-Za-z_$@][\w.]*(?:(?:::|->|\?\.)[A-Za-z_][\w.]*)*"
+CALL = re.compile(PATH + r"(?=[(\[])")
+IDENTIFIER = re.compile(rf"{PATH}|{_NAME}")
+TURNS = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 # A type between `:` and `=`; what stands in its brackets is taken out before FLAT_TYPE is matched.
 TYPED = re.compile(r"[ \t]*([A-Za-z_&*][A-Za-z0-9_.<>\[\]|?!&*', \t]*+)=(?![=>])")
@@ -109,6 +116,11 @@ def value_score(value: str) -> float:
     return weight_score(weight(value))
 
 
+def opaque(bare: str) -> bool:
+    """Whether a value without quotes is a literal and no identifier: letters and digits alternate in what could be one."""
+    return not IDENTIFIER.fullmatch(bare) or len(TURNS.findall(bare)) > 1
+
+
 Literal = tuple[int, int, str]
 Part = tuple[str | None, Literal | None]
 
@@ -153,29 +165,49 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
 
     names: list[str] = []
     words: list[str] = []  # the names in a row before this token
+    level = 0  # brackets open
+    frames: list[tuple] = []  # values in which a call or an index is open: (level, names, value, crossed, depth)
     token = LEXEME.search(text, start, end)
     while token is not None:
-        kind = token.lastgroup
-        if kind == "name" or kind in ("double", "single") and re.fullmatch(_NAME, inside(token)):
-            words = [*words[-2:], token[0] if kind == "name" else inside(token)]
-            names = words[-2:] if len(words) == 3 and words[0] in ("var", "const") else words[-1:]  # `const key string =`, `const char key =`
-            token = after(token)
-            continue
-        words = []
-        if kind != "bind" or not names:
-            sized = kind == "other" and token[0] == "[" and re.compile(r"[0-9]*\]").match(text, token.end())
-            if not sized and not (kind == "number" and text[token.start() - 1 : token.start()] == "[" and text[token.end() : token.end() + 1] == "]"):
-                if kind != "other" or token[0] not in ")]":
-                    names = []
-            token = after(token)
-            continue
-        at = _typed(text, token.end()) if token[0] == ":" else None
-        token = after(token) if at is None else LEXEME.search(text, at, end)
-        first = past_lines(token)
-        if first is not token and first is not None and first.lastgroup in STRINGS and not bound_itself(first):
-            token = first
-        value: list[Part] = []
-        joins, crossed, depth = True, False, 0
+        kind, resumed = token.lastgroup, None
+        if kind == "other" and token[0] in "([{":
+            level += 1
+        elif kind == "other" and token[0] in ")]}":
+            level -= 1
+            while frames and frames[-1][0] > level:
+                _, names, value, _, _ = frames.pop()
+                if value:
+                    yield names, value
+                names = []
+            resumed = frames.pop() if frames and frames[-1][0] == level else None
+        if resumed is not None:
+            _, names, value, crossed, depth = resumed
+            words, level, joins, token = [], level - depth, False, after(token)
+        else:
+            if kind == "name" or kind in ("double", "single") and re.fullmatch(_NAME, inside(token)):
+                words = [*words[-2:], token[0] if kind == "name" else inside(token)]
+                names = words[-2:] if len(words) == 3 and words[0] in ("var", "const") else words[-1:]  # `const key string =`, `const char key =`
+                token = after(token)
+                continue
+            words = []
+            if kind != "bind" or not names:
+                sized = kind == "other" and token[0] == "[" and re.compile(r"[0-9]*\]").match(text, token.end())
+                if not sized and not (kind == "number" and text[token.start() - 1 : token.start()] == "[" and text[token.end() : token.end() + 1] == "]"):
+                    if kind != "other" or token[0] not in ")]":
+                        names = []
+                token = after(token)
+                continue
+            at = _typed(text, token.end()) if token[0] == ":" else None
+            if at is not None:
+                kind_of = text[token.end() : at - 1].strip()
+                names = [*names, kind_of] if re.fullmatch(_NAME, kind_of) and name_score(kind_of) >= 2 else names  # prose: `said it: db_pwd = "x"`
+            token = after(token) if at is None else LEXEME.search(text, at, end)
+            first = past_lines(token)
+            if first is not token and first is not None and first.lastgroup in STRINGS and not bound_itself(first):
+                token = first
+            value: list[Part] = []
+            joins, crossed, depth = True, False, 0
+        called = False
         while token is not None:
             kind = token.lastgroup
             if kind in ("line", "comment"):
@@ -184,7 +216,7 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                     break
                 token, crossed = then, crossed or not depth
                 continue
-            if kind == "plus" and value and not joins:
+            if kind == "plus" and not joins:
                 token, joins = after(token), True
                 continue
             if kind == "other" and token[0] in "([" and joins:
@@ -213,21 +245,33 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                         continue
                     if value or depth or crossed:
                         break
+                call = CALL.match(text, token.start(), end)
+                if call:
+                    level += depth
+                    frames.append((level, names, value, crossed, depth))
+                    token, called = LEXEME.search(text, call.end(), end), True
+                    break
                 bare = (BARE_INSIDE if depth else BARE).match(text, token.start())[0]
                 plain = kind == "name" and text[token.end() : token.end() + 1] == "+" and (token[0] in known or LITERAL.match(text, token.end() + 1))
                 if not plain and not re.fullmatch(_NAME, bare):
                     if crossed:
                         break
-                    value.append((None, (token.start(), token.start() + len(bare), bare)))
+                    if opaque(bare):
+                        value.append((None, (token.start(), token.start() + len(bare), bare)))
                     token, joins = LEXEME.search(text, token.start() + len(bare), end), False
                     continue
-                value.append((token[0], None if crossed else (*token.span(), token[0])))
+                value.append((token[0], (*token.span(), token[0]) if not crossed and opaque(token[0]) else None))
             else:
                 break
             token, joins = after(token), False
+        if not called:
+            level += depth
+            if value:
+                yield names, value
+        names = []
+    for _, names, value, _, _ in frames:
         if value:
             yield names, value
-        names = []
 
 
 class Bound:
@@ -256,22 +300,37 @@ class Bound:
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals assigned to sensitive names, directly or through other names."""
+    """Literals assigned to sensitive names, directly or through other names. HINTS finds every text with a name that scores at all."""
     if ("=" not in text and ":" not in text) or not HINTS.search(text):
         return []
+    out: list[tuple[int, int, str]] = []
+    later, open_names = _propagate(text, {}, out)
+    if open_names & later.keys():  # names bound after their use
+        _propagate(text, later, out)
+    return out
+
+
+def _propagate(text: str, later: dict[str, Bound], out: list) -> tuple[dict[str, Bound], set[str]]:
+    """One pass; adds the literals found. Gives what names are bound to in the end, and names met before they were bound."""
     bound: dict[str, Bound] = {}
-    out = []
+    open_names = set()
     for names, value in assignments(text, known=bound):
-        parts = [bound[name] if name in bound else literal for name, literal in value if name in bound or literal is not None]
+        parts = []
+        for name, literal in value:
+            held = bound.get(name) or later.get(name)
+            if name is not None and name not in bound:
+                open_names.add(name)
+            if held is not None or literal is not None:
+                parts.append(literal if held is None else held)
         made = Bound(parts)
         if any(isinstance(p, Bound) for p in parts):
             made.weight()  # now, so that long chains of names are never followed down
         for name in names:
             bound[name] = made
             said = name_score(name)
-            if said >= 2 and said + weight_score(made.weight()) >= THRESHOLD:
+            if parts and said >= 2 and said + weight_score(made.weight()) >= THRESHOLD:
                 out += [(a, b, "literal") for a, b, _ in made.literals() if b > a]
-    return out
+    return bound, open_names
 
 
 def _order(span: tuple[int, int, str]) -> tuple:

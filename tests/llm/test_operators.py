@@ -79,6 +79,70 @@ def test_secret_chains_end():
     assert found_literals("db_pwd: Zx81kQ9m=\nnext: 3") == {"Zx81kQ9m="} and found_literals('db_pwd =\nfoo = "abcdefg81"') == set()
 
 
+@pytest.mark.parametrize("text", ["password = get_password_from_env()", "password = config.load_secret_value(1)", 'token = request.form["token"]', "def f(api_token: Optional[str]):\n  pass", "secret = obj.attr.name", "db_pwd = Foo::load(x)", "db_pwd = other_name", "db_pwd = this->value"])
+def test_secret_code_is_no_literal(text):
+    assert found_literals(text) == set()
+
+
+@pytest.mark.parametrize("text", [
+    "don't set db_pwd = 'Zx81kQ9m_Lw' please", "the users' db_pwd = 'Zx81kQ9m_Lw' isn't", "I can't say it: db_pwd = 'Zx81kQ9m_Lw'", "master_encryption = 'Zx81kQ9m_Lw'", "db_pwd = Zx81kQ9m_Lw\n", "db_pwd = str(x) + 'Zx81kQ9m_Lw'",
+    "conn = connect(host, db_pwd='Zx81kQ9m_Lw')", "db_pwd = late\nlate = 'Zx81kQ9m_Lw'", "db_pwd = f(g[1], (2)) + 'Zx81kQ9m_Lw' + h(", 'db_pwd = [f("a"), "Zx81kQ9m_Lw"]',
+])
+def test_secret_literals_beside_code(text):
+    assert found_literals(text) == {"Zx81kQ9m_Lw"}
+    assert found_literals(text + "\nsalt\n") == {"Zx81kQ9m_Lw"}  # another word of a name changes nothing
+
+
+_TERM = st.one_of(st.sampled_from(["a", "b", "c", "api_key"]), st.sampled_from(["'Zx81'", "'kQ9m_Lw'", "'hello'", "'aaaaaaaaaa'", "'9m_Lw-8Tq'", "''"]))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "api_key", "max_count"]), st.lists(_TERM, min_size=1, max_size=3)), max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_secret_propagation_is_evaluation(lines):
+    """Programs of assignments against an evaluator that holds each name's value as the list of its literals."""
+    text, programs = "", []
+    for name, terms in lines:
+        text += f"{name} = "
+        value = []
+        for i, term in enumerate(terms):
+            text += " + " * (i > 0)
+            value.append((term, (len(text) + 1, len(text) + len(term) - 1)))
+            text += term
+        text += "\n"
+        programs.append((name, value))
+
+    def run(env, out):
+        missing, own = set(), {}
+        for name, value in programs:
+            literals = []
+            for term, span in value:
+                if term[0] == "'":
+                    literals.append((term[1:-1], span))
+                else:
+                    missing |= {term} - own.keys()
+                    literals += own.get(term) or env.get(term, [])
+            own[name] = literals
+            said = secretscan.name_score(name)
+            if said >= 2 and said + secretscan.value_score("".join(v for v, _ in literals)) >= secretscan.THRESHOLD:
+                out |= {s for v, s in literals if v}
+        return own, missing
+
+    want: set = set()
+    env, missing = run({}, want)
+    if missing & env.keys():
+        run(env, want)
+    assert {(a, b) for a, b, k in secretscan.scan(text)[1] if k == "literal"} == want
+
+
+@pytest.mark.parametrize("text", ["a = f(" * 200_000, "(" * 300_000 + "pwd = 'x'", "don't " * 100_000 + "key=", "pwd = [" + "'Zx81kQ9m_Lw'," * 50_000, "password = '" * 50_000, "a = a + a\n" * 50_000 + "db_pwd = a"])
+def test_secret_long_texts(text):
+    import time
+
+    began = time.monotonic()
+    secretscan.scan(text)
+    assert time.monotonic() - began < 20
+
+
 def test_secret_query(spark):
     rows = secretscan.findings(clashing(docs(spark))).collect()
     assert len(rows) == len(awkward()) and secretscan.findings(docs(spark, EMPTY)).count() == 0
