@@ -2,8 +2,9 @@
 lines, equivalent spellings, punctuation, white space), digested, and hash-joined to the digests
 of known licences. A licence text is found if the whole document is it; a notice if a line is it.
 
-Only DataFrame functions are used. The known digests are broadcast while there are at most
-BROADCAST_LICENSES of them; beyond that the join shuffles. Texts are not shuffled, only digests.
+Only DataFrame functions are used. A text is normalised once, its lines kept apart; the digests of
+the whole and of its lines meet the known ones in one join, broadcast up to SMALL bytes and
+shuffled beyond. Texts are not shuffled, only digests.
 
 Defined cases: a null or empty text, and one that is empty when normalised, matches nothing;
 repeated rows match alike; extra columns are ignored; texts of any length are digested whole;
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from loomfold.llm.common import pick
 from loomfold.llm.license_digests import DIGESTS
 
-BROADCAST_LICENSES = 20_000
+SMALL = 16 << 20
 
 # Equivalent spellings (pattern on lower-case text, replacement).
 SPELLINGS = (("licence", "license"), ("sub[ -]license", "sublicense"), ("non[ -]?commercial", "noncommercial"), ("copyright (holder|owner)s?", "copyright holder"), ("https://", "http://"), ("&", " and "))
@@ -57,14 +58,24 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*"
 _PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+_PUNCTUATION_IN_LINE = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
-def canonical(text: Column) -> Column:
-    """The normalised text."""
+def canonical_lines(text: Column) -> Column:
+    """The normalised text, its lines kept apart."""
     out = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text, _UPPER, _LOWER)), _COPYRIGHT, "\n")
     for pattern, said in SPELLINGS:
         out = F.regexp_replace(out, pattern, said)
-    return F.trim(F.regexp_replace(out, _PUNCTUATION, " "))
+    return F.regexp_replace(out, _PUNCTUATION_IN_LINE, " ")
+
+
+def joined_lines(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+
+
+def canonical(text: Column) -> Column:
+    """The normalised text."""
+    return joined_lines(canonical_lines(text))
 
 
 def known_licenses(spark: SparkSession, notices=NOTICES, digests=DIGESTS) -> DataFrame:
@@ -72,25 +83,29 @@ def known_licenses(spark: SparkSession, notices=NOTICES, digests=DIGESTS) -> Dat
     rows = spark.createDataFrame([tuple(n) for n in notices], "license_id string, text string")
     rows = rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     whole = spark.createDataFrame([tuple(d) for d in digests], "license_id string, digest string")
-    return rows.union(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return rows.union(whole).distinct()
 
 
-def scanned(docs: DataFrame, licenses: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, licenses: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
     """For each document: its id, license_id (the whole text is that licence), n_notices (lines that
-    are a known notice), notices (their distinct ids, sorted)."""
+    are a known notice), notices (their distinct ids, sorted). licenses: license_id, digest; broadcast up to `small` bytes."""
     licenses = known_licenses(docs.sparkSession) if licenses is None else licenses
-    small = licenses.limit(BROADCAST_LICENSES + 1).count() <= BROADCAST_LICENSES
-    sized = F.broadcast if small else (lambda df: df)
-    narrow = pick(docs, doc_id, text).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    key = F.xxhash64("text").alias("key")
-    whole = narrow.select("id", key, F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    whole = whole.join(sized(licenses), "digest", "left").select("id", "key", "license_id")
-    lines = narrow.where("text is not null").select("id", key, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.where("line != ''").select("id", "key", "at", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    hits = lines.join(sized(licenses.withColumnRenamed("license_id", "notice")), "digest")
+    known = licenses.groupBy("digest").agg(F.min("license_id").alias("known_id"))
+    size = licenses.agg(F.coalesce(F.sum(F.octet_length("license_id") + F.octet_length("digest")), F.lit(0))).first()[0]
+    narrow = pick(docs, doc_id, text).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    normal = narrow.where("text is not null").select("id", "key", canonical_lines(F.col("text")).alias("lines"))
+    line = F.transform(F.split("lines", "\n"), lambda x, i: F.struct(i.cast("int").alias("at"), F.trim(x).alias("said")))
+    said = F.concat(F.array(F.struct(F.lit(-1).alias("at"), joined_lines(F.col("lines")).alias("said"))), line)
+    said = F.filter(said, lambda x: x["said"] != "")
+    digests = normal.select("id", "key", F.explode(said).alias("s")).select("id", "key", "s.at", F.sha2("s.said", 256).alias("digest"))
+    hits = digests.join(F.broadcast(known) if size <= small else known, "digest")
     # equal (id, key) are repeated rows, which have the same lines at the same places
-    each = hits.groupBy(F.col("id").alias("own_id"), F.col("key").alias("own_key")).agg(F.count_distinct("at").alias("lines"), F.sort_array(F.collect_set("notice")).alias("notices"))
-    found = whole.join(each, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
+    each = hits.groupBy(F.col("id").alias("own_id"), F.col("key").alias("own_key")).agg(
+        F.min(F.when(F.col("at") < 0, F.col("known_id"))).alias("license_id"),
+        F.count_distinct(F.when(F.col("at") >= 0, F.col("at"))).alias("lines"),
+        F.sort_array(F.collect_set(F.when(F.col("at") >= 0, F.col("known_id")))).alias("notices"),
+    )
+    found = narrow.join(each, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")), "left")
     return found.select(F.col("id").alias(doc_id), "license_id", F.coalesce("lines", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"))
 
 
