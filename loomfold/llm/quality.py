@@ -1,9 +1,9 @@
 """Quality rules: fixed counts, and a calibrated logistic regression on hashed n-grams.
 
-Features are the relative frequencies of hashed words, word pairs and byte trigrams of the whole
-text, a third of the DIMS each. The regression is trained on the driver on at most SAMPLE labelled
-rows (those with the least hash of their id: a fixed choice, about the same at every table size),
-a fourth of which is held out to fit the probability (Platt scaling). Scoring runs in Arrow
+Features are the relative frequencies of hashed words, word pairs and trigrams of code points of
+the whole text, a third of the DIMS each. The regression is trained on the driver on at most SAMPLE
+labelled rows (those with the least hash of their id: a fixed choice, about the same at every table
+size) and at most SAMPLE_BYTES of their features, a fourth of which is held out to fit the probability (Platt scaling). Scoring runs in Arrow
 batches on the bytes of all their texts at once, the model (a MB) being broadcast.
 
 Defined cases: a null text has no words; texts under 20 words, or with over 30 % of their words in
@@ -17,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfold.llm.common import byte_slices, pick
-from loomfold.llm.textbytes import NOT_SPACE, grams, mix, room, span_hashes, word_spans
+from loomfold.llm.textbytes import NOT_SPACE, grams, room, span_hashes, word_spans
 
 SAMPLE = 2000
+SAMPLE_BYTES = 128 << 20
 BITS = 14
 DIMS = 3 << BITS
 KEEP_FROM = 0.5
@@ -85,14 +86,17 @@ def features(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     pairs[h[1:] == h[:-1]] = SAME  # a word said again is one feature, whatever the word
     pairs = pairs[fits[: len(pairs)]]
     yield (pairs >> shift).astype(np.int64) + (1 << BITS), np.concatenate([[0], np.cumsum(fits)])[first]
-    wide = raw.astype(np.uint32)
-    three = wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16) if len(raw) > 2 else np.zeros(0, np.uint32)
-    ok = np.ones(len(three), bool)
-    for back in (1, 2):
-        over = at[1:-1] - back
-        ok[over[(over >= 0) & (over < len(ok))]] = False
-    kept = np.concatenate([[0], np.cumsum(ok)])
-    yield (mix(three[ok].astype(np.uint64)) >> shift).astype(np.int64) + (2 << BITS), kept[np.minimum(at, len(ok))]
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each code point
+    size = np.diff(np.append(lead, len(raw)))
+    point = raw[lead].astype(np.uint64)
+    for j in (1, 2, 3):
+        more = np.flatnonzero(size > j)
+        point[more] |= raw[lead[more] + j].astype(np.uint64) << np.uint64(8 * j)
+    first = np.searchsorted(lead, at)
+    fits = room(first, 3)
+    three = grams(point, 3)
+    three = three[fits[: len(three)]]
+    yield (three >> shift).astype(np.int64) + (2 << BITS), np.concatenate([[0], np.cumsum(fits)])[first]
 
 
 def raw_scores(raw: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -182,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     drawn = drawn.withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "quality").limit(sample)
     texts = pick(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id")
     texts = texts.orderBy("draw", "quality", F.xxhash64("text")).limit(sample)
-    rows = texts.select(_packed_features(F.col("text")).alias("x"), "quality", "draw").orderBy("draw", "quality", "x").collect()
+    rows = texts.select(_packed_features(F.col("text")).alias("x"), "quality", "draw")
+    so_far = F.sum(F.length("x")).over(Window.orderBy("draw", "quality", "x").rowsBetween(Window.unboundedPreceding, 0))  # over `sample` rows
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).orderBy("draw", "quality", "x").collect()
     return fit([(bytes(r["x"]), r["quality"]) for r in rows])
 
 

@@ -165,6 +165,20 @@ def test_url_rules(spark):
     assert (9, "notnet", "/x", None, "allow") in got and (10, "spam-farm.io", "/x", None, "block") in got and (11, "u@x.net:80", "/a", None, "allow") in got
     assert (0, "", "", None, "allow") in got and (None, "a.net", "/", "net/", "block") in got and urlrules.judged(pages).count() == len(urls) + 2
     assert urlrules.judged(pages.where("false")).count() == 0
+    assert Counter(map(tuple, urlrules.judged(pages, small=0).collect())) == Counter(map(tuple, urlrules.judged(pages).collect()))
+
+
+def test_url_pattern_rules(spark):
+    assert urlrules.pattern_rule("*.spam-farm.*") == (r"^([^/]*\.)?spam\-farm\.[\s\S]*", ["spam", "farm"])
+    assert urlrules.pattern_rule("*/a-x*b/c")[1] == ["a"] and urlrules.pattern_rule("*ab")[1] == []
+    table = urlrules.rule_table(spark, (("b.com/x", "allow"), ("a.com/x", "block"), ("com/", "allow")), ("*zz*", "*/bad/*"))
+    urls = ["http://a.b.com/xy", "http://b.com/x", "http://q.com/zz", "http://q.org/azzb", "http://q.org/bad/1", "http://q.org/badly/1", "http://x.a.com/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {0: ("b.com/x", "allow"), 1: ("b.com/x", "allow"), 2: ("com/", "allow"), 3: (None, "block"), 4: (None, "block"), 5: (None, "allow"), 6: ("a.com/x", "block")}
+    tied = table.union(spark.createDataFrame([("x.com/y", "block", "^q\\.org/badly", ["q"]), ("a.com/y", "allow", "^q\\.org/badly", ["org"])], table.schema))  # equally long: the first by name
+    for small in (urlrules.SMALL, 0):
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judged(pages, table, small=small).collect()} == want
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judged(pages, tied, small=small).collect()} == want | {5: ("a.com/y", "allow")}
 
 
 # 3 BPE
@@ -231,6 +245,15 @@ def test_whole_license_texts(spark):
     assert len(texts) >= 6 and got == {n: i if n < 100 else None for n, _, i, _, _ in rows}
 
 
+def test_license_ties_and_bounds(spark):
+    digest = hashlib.sha256(b"one line").hexdigest()
+    known = spark.createDataFrame([("Z-1", digest), ("A-1", digest), ("B-2", hashlib.sha256(b"two").hexdigest())], "license_id string, digest string")
+    rows = [(1, "One, line!", None, None, None), (2, "x\nONE line\n(c) 2020 me\ntwo\n\n one  line", None, None, None), (3, "copyright x", None, None, None), (4, "one\nline", None, None, None)]
+    want = {(1, "A-1", 1, "A-1"), (2, None, 3, "A-1,B-2"), (3, None, 0, ""), (4, "A-1", 0, "")}
+    for small in (licenses.SMALL, 0):
+        assert {tuple(r) for r in licenses.scanned(docs(spark, rows), known, small=small).collect()} == want
+
+
 # 5 chat
 
 
@@ -355,6 +378,73 @@ def test_quality(spark):
     assert quality.verdicts(docs(spark, EMPTY), none).count() == 0
 
 
+def brute_features(text):
+    """Relative frequencies of hashed words, word pairs and trigrams of code points, one by one in whole numbers."""
+    top, base, step = 1 << 64, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+    def mixed(h):
+        h = (h ^ h >> 31) * step % top
+        return h ^ h >> 29
+
+    def gram(parts):
+        out = 0
+        for p in parts:
+            out = (out * base + p) % top
+        return mixed(out)
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    h = [mixed(sum((b + 1) * pow(base, i, top) for i, b in enumerate(w.encode())) % top) for w in words]
+    pairs = [1 << 63 if a == b else gram((a, b)) for a, b in zip(h, h[1:])]
+    points = [int.from_bytes(c.encode(), "little") for c in text]
+    out: dict = {}
+    for kind, found in enumerate((h, pairs, [gram(points[i : i + 3]) for i in range(len(points) - 2)])):
+        for x in found:
+            at = (x >> 64 - quality.BITS) + (kind << quality.BITS)
+            out[at] = out.get(at, 0) + 1 / len(found)
+    return out
+
+
+def test_quality_score_and_query(spark):
+    """Scores and verdicts of the query against features counted one by one, weighed by the model that train gives."""
+    import math
+
+    tables = [spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels")]
+    model = quality.train(*tables)
+    texts = {r["doc_id"]: r["text"] or "" for r in tables[0].collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.verdicts(*tables).collect()}
+    rows = queries.op7_quality(spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        raw = sum(float(model.weights[i]) * v for i, v in brute_features(text).items())
+        p = 1 / (1 + math.exp(-(model.slope * (raw + model.bias) + model.offset)))
+        assert abs(p - scores[r["doc_id"]]) < 1e-6
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        failed = n < 20 or 100 * repeat > 30 * n
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (n, chars, symbols, dup, repeat, failed)
+        assert r["kept"] == (not failed and scores[r["doc_id"]] >= 0.5)
+
+
+def test_quality_is_calibrated():
+    rng = np.random.default_rng(5)
+    z = rng.normal(0, 2, 20_000)
+    y = (rng.random(len(z)) < 1 / (1 + np.exp(-(1.5 * z - 0.7)))).astype(float)
+    slope, offset = quality._platt(z, y)
+    assert abs(slope - 1.5) < 0.1 and abs(offset + 0.7) < 0.1
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = docs(spark, [(i, prose(i, 40), None, None, None) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda found: seen.append(found))
+    quality.train(rows, labels)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", sum(len(x) for x, _ in seen[0][:10]))
+    quality.train(rows, labels)
+    quality.train(rows, labels, 5)
+    assert len(seen[0]) == 60 and seen[1] == seen[0][:10] and seen[2] == seen[0][:5]
+
+
 def test_features_do_not_cross_texts():
     import pyarrow as pa
 
