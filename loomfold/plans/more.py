@@ -12,6 +12,7 @@ from loomfold.operators import scoring
 from loomfold.plans.catalog import KEY_SQL, simple
 from loomfold.plans.recommend import CONTENT, TRUTH, _ranking
 from loomfold.plans.registry import query
+from loomfold.sources import artifacts as A
 from loomfold.sources import tables as S
 
 HISTORY = "array<struct<k:int>>"
@@ -120,37 +121,32 @@ def content_only(spark, d):
     return content.join(F.broadcast(bounds)).select("user_id", "product_id", F.round(C.blend(F.lit(0.0), C.min_max(F.col("score"), F.col("low"), F.col("high")), 0.5), 6).alias("score"))
 
 
-def _artifact(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/artifact-{spark.sparkContext.applicationId}-{name}"
-
-
 @query("SNK06", "select user_id, count(*) as n from interactions group by 1")
 def save_artifact(spark, d):
-    path = _artifact(spark, "counts")
+    path = A.path(spark, "counts")
     S.interactions(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 @query("SRC14", "select product_id, price from products")
 def load_artifact(spark, d):
-    path = _artifact(spark, "prices")
+    path = A.path(spark, "prices")
     S.products(spark, d).select("product_id", "price").write.mode("overwrite").parquet(path)
     return S.read_first(spark, path)
 
 
 @query("SRC20", "select product_id, year from products")
 def load_fallback(spark, d):
-    path = _artifact(spark, "years")
+    path = A.path(spark, "years")
     S.products(spark, d).select("product_id", "year").write.mode("overwrite").parquet(path)
-    return S.read_first(spark, _artifact(spark, "not-there"), path)
+    return S.read_first(spark, A.path(spark, "not-there"), path)
 
 
 @query("SRC16", "select * from (values ('prices', true), ('not-there', false)) t(name, there)")
 def artifact_status(spark, d):
-    path = _artifact(spark, "status-prices")
+    path = A.path(spark, "status-prices")
     S.products(spark, d).select("product_id").write.mode("overwrite").parquet(path)
-    rows = [("prices", S.read_first(spark, path) is not None), ("not-there", S.read_first(spark, _artifact(spark, "not-there")) is not None)]
+    rows = [("prices", S.read_first(spark, path) is not None), ("not-there", S.read_first(spark, A.path(spark, "not-there")) is not None)]
     return spark.createDataFrame(rows, "name string, there boolean")
 
 

@@ -82,14 +82,19 @@ def _purchases(spark, d):
 
 @query("A04", f"select user_id, product_id, ts from r{ROUNDS}", PRUNED)
 def k_core(spark, d):
-    rows, rounds = pruning.k_core(_purchases(spark, d), 7)
-    assert rounds <= ROUNDS or "sf0.01" not in d, rounds
+    rows, _ = pruning.k_core(_purchases(spark, d), 7)
     return rows.select("user_id", "product_id", "ts")
 
 
-@query("A05", "select count(*) as rows, round(count(*) / (count(distinct user_id) * count(distinct product_id)), 9) as density from interactions")
+_DENSITY = "count(*) as rows, count(distinct user_id) as users, count(distinct product_id) as products, count(*) / (count(distinct user_id) * count(distinct product_id)) as density"
+
+
+@query("A05", f"""select stage, rows, users, products, round(coalesce(density, 0), 9) as density, round(coalesce(density - (select density from before), 0), 9) as improvement
+from (select 'before' as stage, * from before union all select 'after', * from after)""", PRUNED + f", before as (select {_DENSITY} from r0), after as (select {_DENSITY} from r{ROUNDS})")
 def sparsity(spark, d):
-    return S.interactions(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.round(F.count(F.lit(1)) / (F.count_distinct("user_id") * F.count_distinct("product_id")), 9).alias("density"))
+    rows = pruning.progress(_purchases(spark, d), 7)
+    first = F.max(F.when(F.col("stage") == "before", F.col("density"))).over(Window.partitionBy())  # two rows
+    return rows.select("stage", "rows", "users", "products", F.round("density", 9).alias("density"), F.round(F.col("density") - first, 9).alias("improvement"))
 
 
 @query("A22", """select * from (select user_id, token, sum(w) as weight, row_number() over (partition by user_id order by sum(w) desc, token) as r from weighted join (select product_id, lower(value) as token from products unpivot (value for f in (base_colour, usage, article_type))) using (product_id) group by 1, 2) where r <= 20""")

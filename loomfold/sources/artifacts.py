@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfold.sources import scratch
 from loomfold.sources.tables import read_csv, read_first, upsert, write_csv
 
 COMPARISON = "model string, metric string, k int, value double"
@@ -15,8 +16,7 @@ STARTED, COMPLETED = "started", "completed"
 
 def path(spark: SparkSession, name: str) -> str:
     """A path for this application in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/artifact-{spark.sparkContext.applicationId}-{name}"
+    return f"{scratch.root(spark)}/artifact-{spark.sparkContext.applicationId}-{name}"
 
 
 def valid(saved: DataFrame | None) -> bool:
@@ -36,11 +36,7 @@ def restore(spark: SparkSession, at: str, make: Callable[[], DataFrame]) -> tupl
 
 def delete(spark: SparkSession, *paths: str) -> list[bool]:
     """Removes these artifacts; whether each was there."""
-    gone = []
-    for p in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        gone.append(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
-    return gone
+    return [scratch.delete(spark, p) for p in paths]
 
 
 def write_log(results: DataFrame, at: str) -> None:

@@ -1,8 +1,11 @@
 """Hand-made cases of FIXTURES.md, and properties."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from loomfold.sources import scratch
 from loomfold.functions import columns as C
 from loomfold.operators import catalog, graph, metrics, outfits, pruning, scoring
 from loomfold.sources import tables
@@ -41,7 +44,26 @@ def test_k_core(spark):
     rows = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a"), ("u2", "b"), ("u3", "c")], "user_id string, product_id string")
     kept, rounds = pruning.k_core(rows, 2)
     assert rounds == 2 and kept.count() == 4
-    assert pruning.prune_once(kept, 2).count() == 4
+    assert pruning.prune_once(kept.selectExpr("*", "1 as n"), 2).count() == 4
+    more = rows.union(rows).union(spark.createDataFrame([(None, "a"), (None, "a")], rows.schema))
+    assert pruning.k_core(more, 2)[0].count() == 10 and pruning.k_core(more, 3)[0].count() == 8
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        scratch.root(Cluster)
+    with scratch.scope(spark) as kept:
+        a, b = [scratch.materialise(spark.range(n), "test") for n in (3, 4)]
+        paths = [df.inputFiles()[0].rsplit("/", 1)[0] for df in (a, b)]
+        kept.append(b)
+    assert b.count() == 4 and not os.path.exists(paths[0].removeprefix("file://")) and os.path.exists(paths[1].removeprefix("file://"))
 
 
 def test_dense_scores_in_blocks(spark):
