@@ -1,14 +1,14 @@
-"""What the operators of this subpackage share: exact column picking, shared scratch space, Arrow buffers."""
+"""What the operators of this subpackage share: exact column picking, lookups on hot keys, Arrow buffers."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfold.sources.scratch import materialise, scope  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data folder, read through Spark (any store it can reach)."""
@@ -34,22 +34,17 @@ def with_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*keep, *[c.alias(n) for n, c in new.items()])
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share: the session's
-    spark.checkpoint.dir; only where that is unset, a folder in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+HOT = 1000
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes a (narrow) intermediate table to the shared folder and reads it back: cuts the
-    lineage, survives lost executors, and gives the planner its true size."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def lookup(rows: DataFrame, known: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """`rows` with the columns of `known`, which has a row for each key and `n`, how many of the n_rows
+    rows have it. Keys with more than a HOT-th of the rows are fewer than HOT: they are broadcast, so
+    that none is one task's work; the others join by shuffle."""
+    limit = max(1, n_rows // HOT)
+    hot = F.broadcast(known.where(F.col("n") > limit).drop("n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,8 @@ are runs with the same bits under a mask of 16, 32, 48, then 64 bits. Pairs of n
 level by level, their differing bits add up, and a pair of groups whose sum passes MOST_BITS is
 pruned whole, as is one whose members are known to be connected. A bucket yields at most one link
 for each member (a star), never all pairs. The stars are joined to components by rounds of large
-and small stars with minimum aggregation, each round written to the shared folder.
+and small stars with minimum aggregation, each round written to the shared folder; roots of large
+components and fingerprints of many copies are looked up by broadcast, as they are few.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
 than four words are one shingle; repeated rows and equal texts are one node and share a component;
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfold.llm.common import materialise, pick
+from loomfold.llm.common import lookup, materialise, pick, scope
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
 BUCKET = 4096
@@ -218,49 +219,58 @@ def links(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return sorted_.mapInArrow(_links, "a long, b long")
 
 
+def _size(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links (a > b) a stored table (a, b): for each linked code but the least of its component, that least one."""
+    spark = edges.sparkSession
     edges = materialise(edges.distinct(), "links")
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
-        edges = materialise(small.select("e.a", F.col("e.m").alias("b")).where(F.col("a") != F.col("b")).distinct(), "small-star")
-        before, state = state, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first())
-        if state == before:
-            return edges
+    before, state = None, _size(edges)
+    while state != before:
+        with scope(spark) as kept:
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+            large = lookup(both, least, "a", 2 * state[0]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = materialise(large, "large-star")
+            least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+            small = lookup(large, least, "a", large.count()).select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
+            edges = materialise(small.select("e.a", F.col("e.m").alias("b")).where(F.col("a") != F.col("b")).distinct(), "small-star")
+            before, state = state, _size(edges)
+            kept.append(edges)
+    return edges
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Stored tables (id, code), a row for each document, and (code, root, component_id)."""
-    prints = materialise(pick(docs, doc_id, text).select(F.col(doc_id).alias("id"), fingerprint(F.col(text)).alias("code")), "fingerprints")
-    nodes = materialise(prints.groupBy("code").agg(F.min("id").alias("id")), "codes")
-    stars = components(links(nodes.select("code"), bucket))
-    roots = stars.select(F.col("b").alias("code"), F.col("b").alias("root")).distinct()
-    member = materialise(stars.select(F.col("a").alias("code"), F.col("b").alias("root")).union(roots), "members")
-    known = materialise(member.join(nodes, "code"), "member-ids")
-    least = materialise(known.groupBy("root").agg(F.min("id").alias("least")), "least-ids")
-    linked = known.join(least, "root").select("code", "root", "least")
-    classes = nodes.join(linked, "code", "left").select("code", F.coalesce("root", "code").alias("root"), F.coalesce("least", "id").alias("component_id"))
-    return prints, materialise(classes, "components")
+    """Stored tables (id, code), a row for each document, and (code, n of its documents, root, component_id)."""
+    with scope(docs.sparkSession) as kept:
+        prints = materialise(pick(docs, doc_id, text).select(F.col(doc_id).alias("id"), fingerprint(F.col(text)).alias("code")), "fingerprints")
+        nodes = materialise(prints.groupBy("code").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "codes")
+        stars = components(links(nodes.select("code"), bucket))
+        roots = stars.select(F.col("b").alias("code"), F.col("b").alias("root")).distinct()
+        member = materialise(stars.select(F.col("a").alias("code"), F.col("b").alias("root")).union(roots), "members")
+        known = materialise(member.join(nodes.select("code", "id"), "code"), "member-ids")
+        least = materialise(known.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "least-ids")
+        linked = lookup(known, least, "root", known.count()).select("code", "root", "least")
+        classes = nodes.join(linked, "code", "left").select("code", "n", F.coalesce("root", "code").alias("root"), F.coalesce("least", "id").alias("component_id"))
+        classes = materialise(classes, "components")
+        kept += [prints, classes]
+    return prints, classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links."""
     prints, classes = _classes(docs, doc_id, text, bucket)
     digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
-    return prints.join(classes, "code").select(F.col("id").alias(doc_id), digits.alias("fingerprint"), "component_id")
+    return lookup(prints, classes, "code", prints.count()).select(F.col("id").alias(doc_id), digits.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One document (with all its columns) of each component: that with the smallest doc_id. Of rows
     that share this doc_id, and of a component without any doc_id, one row stays as well."""
     prints, classes = _classes(docs, doc_id, text, bucket)
-    kept = prints.join(classes, "code").where(F.col("id") == F.col("component_id")).select(F.col("id").alias("kept_id"))
+    kept = lookup(prints, classes, "code", prints.count()).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("kept_id"))
     repeated = materialise(prints.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select(F.col("id").alias("more_id")), "repeated-ids")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own_id, own_text = F.col(f"c{docs.columns.index(doc_id)}"), F.col(f"c{docs.columns.index(text)}")
@@ -269,5 +279,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     kept = kept.join(repeated, F.col("kept_id") == F.col("more_id"), "left_anti")
     once = plain.join(kept, own_id == F.col("kept_id"), "left_semi")
     more = plain.join(repeated, own_id.eqNullSafe(F.col("more_id")), "left_semi").withColumn("code", fingerprint(own_text))
-    more = more.join(classes, "code").where(own_id.eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    more = lookup(more, classes, "code", more.count()).where(own_id.eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
     return once.union(more.select(*plain.columns)).toDF(*docs.columns)

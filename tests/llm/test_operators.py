@@ -531,19 +531,61 @@ def brute_components(codes, ids):
     return [least.get(root(i)) for i in range(len(codes))]
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     base = prose(9, 120).split()
     rows = awkward() + [(300 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :]), None, None, None) for i in range(0, 120, 2)]
     codes = [brute_print(t) for _, t, *_ in rows]
     want = Counter((i, f"{c:016x}", k) for (i, *_), c, k in zip(rows, codes, brute_components(codes, [r[0] for r in rows])))
-    for bucket in (simhash.BUCKET, 5):
+    for bucket, blocks in ((simhash.BUCKET, None), (5, None), (simhash.BUCKET, 8)):
+        if blocks:
+            monkeypatch.setattr(simhash, "block_count", lambda n: blocks)
         assert Counter(tuple(r) for r in simhash.near_duplicates(clashing(docs(spark, rows)), bucket=bucket).collect()) == want
     kept = [r["doc_id"] for r in simhash.one_of_each(docs(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted({k for *_, k in want}, key=str)
     assert simhash.near_duplicates(docs(spark, EMPTY)).count() == 0 and simhash.one_of_each(docs(spark, EMPTY)).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 7])
+def test_one_giant_component(spark, monkeypatch):
+    """A chain of 3000 fingerprints, each linked to the next ones only, beside a star and single ones; hot keys from 1 % up."""
+    from loomfold.llm import common
+
+    rng = np.random.default_rng(3)
+    chain, code = [], 0
+    for i in range(3000):
+        code ^= 1 << int(rng.integers(0, 64)) | 1 << int(rng.integers(0, 64)) | 1 << int(rng.integers(0, 64))
+        chain.append(code)
+    star = int(rng.integers(1, 1 << 62))
+    codes = sorted({*chain, *(star ^ 1 << i for i in range(64)), star, *(int(x) for x in rng.integers(1, 1 << 62, 300))})
+    monkeypatch.setattr(common, "HOT", 100)
+    df = spark.createDataFrame([(int(np.array(c, np.uint64).view(np.int64)),) for c in codes], "code long")
+    with common.scope(spark) as kept:
+        stars = simhash.components(simhash.links(common.materialise(df, "codes"), 500))
+        kept.append(stars)
+    label = {r["a"]: r["b"] for r in stars.collect()}
+    want = brute_labels(np.array(codes, np.uint64))
+    groups: dict = {}
+    for c, w in zip(codes, want):
+        signed = int(np.array(c, np.uint64).view(np.int64))
+        groups.setdefault(w, set()).add(label.get(signed, signed))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert max(Counter(want).values()) > 2000
+
+
+def brute_labels(codes):
+    """Component of each code, by flooding over all pairs a row at a time."""
+    label, number = np.full(len(codes), -1), 0
+    for i in range(len(codes)):
+        if label[i] < 0:
+            todo, label[i] = [i], number
+            while todo:
+                near = np.flatnonzero((np.bitwise_count(codes ^ codes[todo.pop()]) <= 4) & (label < 0))
+                label[near] = number
+                todo += near.tolist()
+            number += 1
+    return label.tolist()
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8])
 def test_block_choices_cover_all_differences(blocks):
     rng = np.random.default_rng(blocks)
     for _ in range(200):
