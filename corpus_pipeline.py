@@ -2,7 +2,8 @@
 scans, byte-level BPE. Each stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept, and returns a DataFrame; all but the last return the columns of documents.
 
-Defined cases: those of the operators; a document with null text fails the quality rules."""
+Defined cases: those of the operators; a document with null text fails the quality rules; an empty
+table gives no rows; extra columns, with clashing names too, stay until the last stage."""
 
 from __future__ import annotations
 
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfold.llm import decontam, quality, secretscan, simhash
-from loomfold.llm.common import materialise, table
+from loomfold.llm.common import table
 from loomfold.llm.queries import encoded
+from loomfold.sources.scratch import materialise, scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage is written and read again; what a stage wrote besides, and older stages, are deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scope(spark) as kept:
+        for name, stage in STAGES:
+            with scope(spark) as own:
+                docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+                own.append(docs)
+        kept.append(docs)
     return docs
