@@ -71,3 +71,18 @@ def first_match(df: DataFrame, *tests: Column) -> DataFrame:
     marked = df.withColumn("level", level)
     least = marked.agg(F.min("level").alias("least"))
     return marked.join(F.broadcast(least)).where(F.col("level") == F.col("least")).drop("level", "least")
+
+
+def top_pool(products: DataFrame, n: int = 10) -> DataFrame:
+    """What n top products are drawn from: the first 3n (at least n, n from 1 to 50) with reviews, by
+    rating, reviews and newness; if these are fewer than n, the best of the rest by reviews, rating and newness fill up to 3n."""
+    n = max(1, min(n, 50))
+    reviewed = products.where("num_reviews > 0").orderBy(F.desc("rating"), F.desc("num_reviews"), F.desc("created_day"), "product_id").limit(3 * n)
+    rest = products.where("coalesce(num_reviews, 0) <= 0").orderBy(F.desc("num_reviews"), F.desc("rating"), F.desc("created_day"), "product_id")
+    have = reviewed.count()  # at most 150
+    return reviewed if have >= n else reviewed.unionByName(rest.limit(3 * n - have))
+
+
+def top_products(products: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
+    """n of the pool, drawn by a seeded shuffle."""
+    return top_pool(products, n).orderBy(F.rand(seed)).limit(max(1, min(n, 50)))

@@ -40,17 +40,27 @@ def intra_list(ranking: DataFrame, features: DataFrame, k: int) -> DataFrame:
     return rows.select("user_id", F.greatest(F.lit(0.0), 2 * apart / (F.col("n") * (F.col("n") - 1))).alias("ild"))
 
 
-def suite(ranking: DataFrame, relevant: DataFrame, products: DataFrame, ks=(10, 20)) -> DataFrame:
-    """metric, k, value: means over users with a truth, and coverage."""
-    parts = []
+def suite(ranking: DataFrame, relevant: DataFrame, products: DataFrame, ks=(10, 20), features: DataFrame | None = None) -> DataFrame:
+    """metric, k, value: recall, precision and NDCG as means over users with a truth; coverage; with
+    `features`, ILD at the largest k as a mean over all users with two items or more.
+
+    The ranking meets the truth in one join for all k. It is read two or three times: give a stored one."""
+    number = relevant.groupBy("user_id").agg(F.count(F.lit(1)).alias("relevant"))
+    gain = 1 / F.log2(F.col("rank") + 1.0)
+    sums = [f for k in ks for f in (F.count_if(F.col("rank") <= k).alias(f"hits{k}"), F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg{k}"))]
+    hits = ranking.where(F.col("rank") <= max(ks)).join(relevant, ["user_id", "product_id"]).groupBy("user_id").agg(*sums)
+    rows = number.join(hits, "user_id", "left").na.fill(0)
+    means = []
     for k in ks:
-        means = per_user(ranking, relevant, k).agg(*[F.avg(m).alias(m) for m in ("recall", "precision", "ndcg")])
-        parts.append(means.select(F.lit(k).alias("k"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("recall", "precision", "ndcg")]))))
-    parts.append(coverage(ranking, products).select(F.lit(max(ks)).alias("k"), F.lit("coverage").alias("metric"), F.col("coverage").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", "k", "value")
+        ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("relevant"), F.lit(k).cast("long"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+        means += [F.avg(F.col(f"hits{k}") / F.col("relevant")).alias(f"recall_{k}"), F.avg(F.col(f"hits{k}") / F.lit(float(k))).alias(f"precision_{k}"), F.avg(F.col(f"dcg{k}") / ideal).alias(f"ndcg_{k}")]
+    told = [F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"{m}_{k}").alias("value")) for k in ks for m in ("recall", "precision", "ndcg")]
+    out = rows.agg(*means).select(F.inline(F.array(*told)))
+    out = out.unionByName(coverage(ranking, products).select(F.lit("coverage").alias("metric"), F.lit(max(ks)).alias("k"), F.col("coverage").alias("value")))
+    if features is not None:
+        ild = intra_list(ranking, features, max(ks)).agg(F.coalesce(F.avg("ild"), F.lit(0.0)).alias("value"))
+        out = out.unionByName(ild.select(F.lit("ild").alias("metric"), F.lit(max(ks)).alias("k"), "value"))
+    return out
 
 
 BETTER = {"ndcg_10": max, "ndcg_20": max, "diversity": max, "coverage": max, "inference_time": min}

@@ -10,26 +10,49 @@ from loomfold.functions import columns as C
 from loomfold.functions import values as V
 
 
-def suggest(candidates: DataFrame, payload_slot: str, pools: list[Column], outfits: int = 3) -> DataFrame:
-    """outfit_number, products (by slot), score, from one user's candidates (product_id, slot, score).
-
-    pools: conditions from strict to any; a slot uses the first that one of its candidates meets. No
-    outfit exists if a required slot has no candidate. Only the best `outfits` of a slot can be used."""
-    needed = [s for s in V.SLOTS if s != payload_slot]
-    level = F.lit(None).cast("int")
-    for i in range(len(pools) - 1, -1, -1):
-        level = F.when(pools[i], i).otherwise(level)
-    leveled = candidates.where(F.col("slot").isin(*needed)).withColumn("pool", level).where("pool is not null")
-    by_slot = Window.partitionBy("slot")
-    ranked = leveled.withColumn("place", F.row_number().over(by_slot.orderBy("pool", F.desc("score"), "product_id")) - 1)
-    ranked = ranked.where(F.col("place") < outfits)
-    first = ranked.groupBy("slot").agg(F.min("pool").alias("first"))
-    used = ranked.join(F.broadcast(first), "slot").where(F.col("pool") == F.col("first")).drop("first")  # at most `outfits` rows a slot
-    size = used.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    numbered = used.join(F.broadcast(size), "slot").withColumn("outfit_number", F.explode(F.sequence(F.lit(1), F.lit(outfits))))
-    taken = numbered.where(F.col("place") == F.pmod(F.col("outfit_number") - 1, F.col("n")))
-    whole = taken.groupBy("outfit_number").agg(F.sort_array(F.collect_list(F.struct("slot", "product_id"))).alias("items"), F.round(F.sum("score"), 6).alias("score"))
-    return whole.where(F.size("items") == len(needed)).select("outfit_number", F.transform("items", lambda x: x["product_id"]).alias("products"), "score")
+def suggest(requests: DataFrame, products: DataFrame, scores: DataFrame, outfits: int = 3) -> DataFrame:
+    """request_id, outfit_number, products (the payload, then by slot), score (their sum), for each request.
+
+    requests: request_id, user_id, allowed (genders), payload_id, payload_gender, payload_usage,
+    payload_slot. products: product_id, slot, gender, usage. scores: user_id, product_id, score (positive).
+
+    Required are accessories, topwear, bottomwear and footwear, or accessories and footwear for a dress;
+    the payload's own slot is covered. A payload for women or girls that is no dress, top or bottom may
+    get a dress. A slot uses the first pool that holds a candidate: usage and gender of the payload
+    (Unisex goes with each gender), its gender, the user's genders (all products, if the catalog has
+    none of these), Unisex, any; for a Unisex payload only its usage with the user's genders. Outfit t
+    takes element (t - 1) mod n of a pool; without a candidate for a required slot there is none.
+
+    A user's own products, and of the others the first outfits + 1 by id of each slot, gender and usage,
+    hold the first `outfits` of every pool, so a request never meets the whole catalog."""
+    dress, target = F.col("payload_slot") == "dress", F.col("payload_gender")
+    wanted = F.when(dress, F.array(F.lit("accessories"), F.lit("footwear"))).otherwise(F.array(*map(F.lit, V.SLOTS)))
+    required = F.array_except(wanted, F.array(F.coalesce("payload_slot", F.lit(""))))
+    extra = F.when(target.isin("Women", "Girls") & ~F.coalesce(F.col("payload_slot").isin("dress", "topwear", "bottomwear"), F.lit(False)), F.array(F.lit("dress"))).otherwise(F.array().cast("array<string>"))
+    asked = requests.withColumn("n_required", F.size(required)).withColumn("slot", F.explode(F.concat(required, extra)))
+    shelf = products.where(F.col("slot").isin(*V.SLOTS, "dress")).select("product_id", "slot", "gender", "usage")
+    first = F.row_number().over(Window.partitionBy("slot", "gender", "usage").orderBy("product_id"))
+    others = asked.join(shelf.withColumn("n", first).where(F.col("n") <= outfits + 1).drop("n"), "slot")
+    own = asked.join(scores.select("user_id", "product_id"), "user_id").join(shelf, ["product_id", "slot"])
+    rows = others.unionByName(own).dropDuplicates(["request_id", "slot", "product_id"]).where("product_id != payload_id")
+    rows = rows.join(scores.select("user_id", "product_id", "score"), ["user_id", "product_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    genders = products.agg(F.collect_set("gender").alias("all_genders"))  # one row
+    rows = rows.join(F.broadcast(genders))
+    g, unisex = F.col("gender"), F.col("gender") == "Unisex"
+    usage = F.col("payload_usage").isNull() | (F.col("usage") == F.col("payload_usage"))
+    own_gender, suits = target.isNull() | (g == target) | unisex, F.array_contains("allowed", g) | unisex
+    no_suiting = ~F.arrays_overlap("all_genders", F.concat("allowed", F.array(F.lit("Unisex"))))
+    pool = F.when(target == "Unisex", F.when(usage & suits, 0)).when(usage & own_gender, 0).when(own_gender, 1).when(suits | no_suiting, 2).when(unisex, 3).otherwise(4)
+    slot = Window.partitionBy("request_id", "slot")
+    rows = rows.withColumn("pool", pool).where("pool is not null").withColumn("first", F.min("pool").over(slot)).where("pool = first")
+    rows = rows.withColumns({"place": F.row_number().over(slot.orderBy(F.desc("score"), "product_id")) - 1, "n": F.count(F.lit(1)).over(slot)})
+    rows = rows.withColumn("outfit_number", F.explode(F.sequence(F.lit(1), F.lit(outfits)))).where(F.col("place") == F.pmod(F.col("outfit_number") - 1, F.col("n")))
+    whole = rows.groupBy("request_id", "user_id", "payload_id", "n_required", "outfit_number").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "product_id"))).alias("items"), F.sum("score").alias("score"), F.count_if(F.col("slot") != "dress").alias("core"))
+    whole = whole.where("core = n_required")
+    mine = scores.select("user_id", F.col("product_id").alias("payload_id"), F.col("score").alias("payload_score"))
+    whole = whole.join(mine, ["user_id", "payload_id"], "left")
+    return whole.select("request_id", "outfit_number", F.concat(F.array("payload_id"), F.transform("items", lambda x: x["product_id"])).alias("products"), F.round(F.col("score") + F.coalesce("payload_score", F.lit(0.0)), 6).alias("score"))
 
 
 def valid(items: DataFrame) -> DataFrame:

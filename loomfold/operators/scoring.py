@@ -106,28 +106,49 @@ def hybrid(graph: DataFrame, content: DataFrame, alpha: float = 0.5) -> DataFram
     return scaled.select("user_id", "product_id", C.blend(g, c, alpha).alias("score"))
 
 
-def funnel(candidates: DataFrame, article: str, allowed: Column, k: int) -> DataFrame:
-    """Counts of one user's candidates after each filter, in one pass."""
-    right = F.col("article_type") == article
-    both = right & F.coalesce(F.array_contains(allowed, F.col("gender")), F.lit(False))
-    counts = candidates.agg(F.count(F.lit(1)).alias("initial_count"), F.count_if(right).alias("after_articletype"), F.count_if(both).alias("after_age_gender"))
-    final = F.least(F.col("after_age_gender"), F.lit(k).cast("long"))
-    return counts.select("*", final.alias("final_count"), (F.col("initial_count") - final).alias("removed_count"), F.round(F.coalesce(F.try_divide((F.col("initial_count") - final) * 100.0, "initial_count"), F.lit(0.0)), 6).alias("reduction_rate"))
-
-
-def prioritised(scored: DataFrame, payload_gender: str | None, payload_article: str, payload_usage: str | None, age: int, allowed: list[str], k: int = 10) -> DataFrame:
-    """Candidates (with product columns, base score and preferences) re-scored by the payload's usage
-    and gender and the user's preferences: product_id, score, base_score, usage_match, gender_match, rank."""
-    g = F.col("gender")
-    usage_match = F.col("usage").eqNullSafe(F.lit(payload_usage))
-    rows = scored.where(F.col("article_type") == payload_article)
-    if payload_gender:
-        rows = rows.where(g.isin(payload_gender, "Unisex"))
-        bonus = F.when(g == payload_gender, V.GENDER_BONUS).otherwise(V.UNISEX_BONUS)
-        match = g == payload_gender
-    else:
-        match = g.isin(*allowed)
-        bonus = F.when(match, V.GENDER_BONUS).when((g == "Unisex") & F.lit(age >= 13), V.UNISEX_BONUS).otherwise(V.OFF_GENDER)
+def of_requests(requests: DataFrame, products: DataFrame, interactions: DataFrame) -> DataFrame:
+    """The candidates of each request that have its payload's article type: product columns, base_score
+    (the user's summed weight over 10) and the user's preferences for article type and usage.
+
+    requests: request_id, user_id, age, allowed (genders), payload_id, payload_gender, payload_article, payload_usage."""
+    mine = interactions.join(requests.select("user_id").distinct(), "user_id", "left_semi")
+    score = pair_weights(mine).select("user_id", "product_id", (F.col("w") / 10).alias("base_score"))
+    prefs = preferences(mine, products)
+    article = prefs.where("attribute = 'article_type'").select("user_id", F.col("value").alias("article_type"), F.col("preference").alias("article_pref"))
+    usage = prefs.where("attribute = 'usage'").select("user_id", F.col("value").alias("usage"), F.col("preference").alias("usage_pref"))
+    rows = requests.join(products, F.col("payload_article") == F.col("article_type")).where("product_id != payload_id")
+    rows = rows.join(score, ["user_id", "product_id"], "left").join(article, ["user_id", "article_type"], "left").join(usage, ["user_id", "usage"], "left")
+    return rows.fillna(0.0, ["base_score", "article_pref", "usage_pref"])
+
+
+def _suits() -> Column:
+    return F.coalesce(F.array_contains("allowed", F.col("gender")), F.lit(False))
+
+
+def funnel(candidates: DataFrame, requests: DataFrame, n_products: int, k: int = 10) -> DataFrame:
+    """Counts of each request's candidates after each filter, in one pass over those of the right article type."""
+    counts = candidates.groupBy("request_id").agg(F.count(F.lit(1)).alias("right"), F.count_if(_suits()).alias("both"))
+    rows = requests.select("request_id").join(counts, "request_id", "left").na.fill(0)
+    initial, final = F.lit(n_products - 1).cast("long"), F.least(F.col("both"), F.lit(k).cast("long"))
+    return rows.select("request_id", initial.alias("initial_count"), F.col("right").alias("after_articletype"), F.col("both").alias("after_age_gender"), final.alias("final_count"), (initial - final).alias("removed_count"), F.round(F.coalesce(F.try_divide((initial - final) * 100.0, initial), F.lit(0.0)), 6).alias("reduction_rate"))
+
+
+def personalised(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """request_id, product_id, base_score, rank: each request's k best candidates that suit the user's age and gender."""
+    best = Window.partitionBy("request_id").orderBy(F.desc("base_score"), "product_id")
+    return candidates.where(_suits()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("request_id", "product_id", "base_score", "rank")
+
+
+def prioritised(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """Each request's candidates re-scored by the payload's usage and gender and the user's preferences:
+    request_id, product_id, score, base_score, usage_match, gender_match, rank."""
+    g, target = F.col("gender"), F.col("payload_gender")
+    usage_match = F.col("usage").eqNullSafe(F.col("payload_usage"))
+    rows = candidates.where(target.isNull() | (g == target) | (g == "Unisex"))
+    match = F.when(target.isNotNull(), g == target).otherwise(_suits())
+    other = F.when(target.isNotNull(), V.UNISEX_BONUS).when((g == "Unisex") & (F.col("age") >= 13), V.UNISEX_BONUS).otherwise(V.OFF_GENDER)
+    bonus = F.when(match, V.GENDER_BONUS).otherwise(other)
     score = F.col("base_score") + F.when(usage_match, V.USAGE_BONUS).otherwise(0.0) + bonus + V.ARTICLE_PREF * F.col("article_pref") + V.USAGE_PREF * F.col("usage_pref")
-    out = rows.select("product_id", F.round(score, 9).alias("score"), "base_score", usage_match.alias("usage_match"), F.coalesce(match, F.lit(False)).alias("gender_match"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "product_id"))).where(F.col("rank") <= k)  # one user's candidates
+    out = rows.select("request_id", "product_id", F.round(score, 9).alias("score"), "base_score", usage_match.alias("usage_match"), F.coalesce(match, F.lit(False)).alias("gender_match"))
+    best = Window.partitionBy("request_id").orderBy(F.desc("score"), "product_id")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -9,6 +9,7 @@ from loomfold.functions import columns as C
 from loomfold.functions import values as V
 from loomfold.operators import catalog as K
 from loomfold.plans.registry import query
+from loomfold.sources import artifacts as A
 from loomfold.sources import tables as S
 
 ID_NAME = ["product_id", "name"]
@@ -20,9 +21,35 @@ def simple(name: str, sql: str, run, role=S.products, more: str = "") -> None:
 
 
 # scans
-simple("SRC01", "select * from products", lambda p: p)
-simple("SRC02", "select * from users", lambda u: u, S.users)
-simple("SRC03", "select user_id, product_id, interaction_type, ts from interactions", lambda i: i.select("user_id", "product_id", "interaction_type", "ts"), S.interactions)
+def _csv(spark, name: str) -> str:
+    return A.path(spark, f"csv-{name}")
+
+
+@query("SRC01", "select * from products")
+def scan_products(spark, d):
+    """The catalog from a CSV file under its declared schema."""
+    products = S.products(spark, d)
+    S.export_products(products, _csv(spark, "products-in"))
+    return S.read_csv(spark, _csv(spark, "products-in"), products.schema)
+
+
+@query("SRC02", """select u.user_id, name, age, gender, coalesce(n, 0) as history, first_one from users u
+left join (select user_id, count(*) as n, min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')) as first_one from interactions group by 1) i using (user_id)""")
+def scan_users(spark, d):
+    """Users from a CSV file, their history parsed from its JSON cell."""
+    people = S.users(spark, d)
+    cells = people.select("user_id", "name", F.concat("user_id", F.lit("@x")).alias("email"), "age", "gender")
+    S.export_users(cells, S.interactions(spark, d), _csv(spark, "users-in"))
+    rows = S.read_users(spark, _csv(spark, "users-in"))
+    return rows.select(F.col("id").alias("user_id"), "name", "age", "gender", F.size("parsed_interactions").cast("long").alias("history"), F.col("parsed_interactions")[0]["timestamp"].alias("first_one"))
+
+
+@query("SRC03", "select user_id, product_id, interaction_type, cast(ts as timestamp) as ts from interactions")
+def scan_interactions(spark, d):
+    S.export_interactions(S.interactions(spark, d), S.users(spark, d), _csv(spark, "interactions-in"))
+    return S.read_interactions(spark, _csv(spark, "interactions-in"))
+
+
 simple("SRC04", "select user_id, count(*) as n from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), S.interactions)
 simple("SRC06", "select event_id, cast(ts as varchar) <> '' as ok, try_cast(cast(ts as varchar) || 'x' as timestamp) is null as bad from event_rows",
        lambda e: e.select("event_id", F.try_to_timestamp(F.col("ts").cast("string")).isNotNull().alias("ok"), F.try_to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("x"))).isNull().alias("bad")), S.events)
@@ -34,26 +61,54 @@ simple("SRC11", "select event_id, ts from event_rows where ts between timestamp
        lambda e: e.where(F.col("ts").between(F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-01-05").cast("timestamp_ntz"))).select("event_id", "ts"), S.events)
 
 
-@query("SRC12", "select product_id, case when cast(product_id as bigint) % 3 = 0 then price + 1 else price end as price from products union all select 'new-1', 5.0")
-def upsert(spark, d):
-    old = S.products(spark, d).select("product_id", "price")
-    fresh = spark.createDataFrame([("new-1", 5.0)], "product_id string, price double")
-    new = old.where(F.col("product_id").cast("bigint") % 3 == 0).withColumn("price", F.col("price") + 1).unionByName(fresh)
-    return S.upsert(old, new, "product_id")
+_CELL = "case when k % 7 = 0 then null else usage end"
+SYNC_SQL = """old as (select cast(product_id as bigint) as id, name, 'old-' || product_id as slug, gender, usage, year from products where cast(product_id as bigint) % 4 <> 0),
+cells as (select case when k % 10 = 3 then null when k % 10 = 7 then 'x' || product_id else product_id end as id, gender, case when k % 7 = 0 then null else usage end as usage, case when k % 5 = 0 then null else year + 1 end as year, name
+  from (select *, cast(product_id as bigint) as k from products) where k % 2 = 1 or k % 4 = 0),
+good as (select cast(id as bigint) as id, gender, usage, year, name from cells where try_cast(id as bigint) is not null)"""
+
+
+@query("SRC12", """select 'row' as kind, coalesce(o.id, g.id) as id, coalesce(o.name, g.name) as name, coalesce(o.slug, 'product-' || g.id) as slug, case when g.id is null then o.gender else g.gender end as gender, case when g.id is null then o.usage else g.usage end as usage, case when g.id is null then o.year else g.year end as year, null as counts from old o full join good g on o.id = g.id
+union all select 'counts', null, null, null, null, null, null, concat_ws(',', (select count(*) from cells), (select count(*) from good where id not in (select id from old)), (select count(*) from good where id in (select id from old)), (select count(*) from cells) - (select count(*) from good), 0)""", SYNC_SQL)
+def sync(spark, d):
+    """A sync of the catalog from a CSV file with padded, blank and bad cells: the catalog after it, and its counts."""
+    p, k = S.products(spark, d), F.col("product_id").cast("bigint")
+    none = F.lit(None).cast("string")
+    old = p.where(k % 4 != 0).select(k.alias("id"), "name", F.concat(F.lit("old-"), "product_id").alias("slug"), *[F.col(c) if c in ("gender", "usage", "year") else none.alias(c) for c in S.SYNCED])
+    said = {"gender": F.concat(F.lit(" "), "gender", F.lit(" ")), "usage": F.when(k % 7 == 0, "  ").otherwise(F.col("usage")), "year": F.when(k % 5 == 0, "soon").otherwise((F.col("year") + 1).cast("string")), "productDisplayName": F.col("name")}
+    key = F.when(k % 10 == 3, " ").when(k % 10 == 7, F.concat(F.lit("x"), "product_id")).otherwise(F.concat("product_id", F.lit(" ")))
+    cells = p.where((k % 2 == 1) | (k % 4 == 0)).select(k.alias("line"), key.alias("id"), *[said.get(c, none).alias(c) for c in S.SYNCED])
+    S.write_csv(cells, _csv(spark, "sync"))
+    merged, counts = S.sync_products(old, S.read_csv(spark, _csv(spark, "sync"), "line long, id string, " + ", ".join(f"{c} string" for c in S.SYNCED)))
+    rows = merged.select(F.lit("row").alias("kind"), "id", "name", "slug", "gender", "usage", "year", none.alias("counts"))
+    told = F.concat_ws(",", *[F.col(c).cast("string") for c in ("total", "created", "updated", "skipped", "errors")])
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("name", "string"), ("slug", "string"), ("gender", "string"), ("usage", "string"), ("year", "int"))]
+    return rows.unionByName(counts.select(F.lit("counts").alias("kind"), *empty, told.alias("counts")))
 
 
 simple("SRC18", "select lower(sub_category) as key, min(product_id) as first_id from products group by 1", lambda p: p.groupBy(F.lower("sub_category").alias("key")).agg(F.min("product_id").alias("first_id")))
 simple("SRC19", "select product_id from products where product_id = '42'", lambda p: p.where(F.col("product_id") == C.normal_id(F.lit(" 42 "))).select("product_id"))
 
 # exports
-simple("SNK01", "select product_id, coalesce(usage, '') as usage, '[\"' || product_id || '.jpg\"]' as images from products", lambda p: p.select("product_id", F.coalesce("usage", F.lit("")).alias("usage"), F.to_json(F.array(F.concat("product_id", F.lit(".jpg")))).alias("images")))
-simple("SNK02", "select user_id, count(*) as history_count, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') as latest from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("latest")), S.interactions)
+@query("SNK01", "select product_id, coalesce(usage, '') as usage, cast(year as varchar) as year, '[\"' || product_id || '.jpg\"]' as images from products")
+def export_products(spark, d):
+    """The cells of the file written: nulls are blank, images JSON."""
+    S.export_products(S.products(spark, d).select("product_id", "usage", "year", F.array(F.concat("product_id", F.lit(".jpg"))).alias("images")), _csv(spark, "products"))
+    return S.lines_of(spark, _csv(spark, "products"), "product_id string, usage string, year string, images string")
+
+
+@query("SNK02", """select u.user_id, name, coalesce(cast(age as varchar), '') as age, coalesce(gender, '') as gender, coalesce(said, '[]') as interaction_history from users u left join (
+  select user_id, '[' || string_agg('{"product_id":"' || product_id || '","interaction_type":"' || interaction_type || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}', ',' order by ts, product_id, interaction_type) || ']' as said from interactions group by 1) using (user_id)""")
+def export_users(spark, d):
+    S.export_users(S.users(spark, d).select("user_id", "name", "age", "gender"), S.interactions(spark, d), _csv(spark, "users"))
+    return S.lines_of(spark, _csv(spark, "users"), "user_id string, name string, age string, gender string, interaction_history string")
 
 
-@query("SNK03", "select user_id, product_id, interaction_type, ts from interactions where user_id in (select user_id from users where age >= 18)")
+@query("SNK03", """select user_id, product_id, interaction_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as timestamp, (select count(*) from interactions where user_id not in (select user_id from users where age >= 18)) as rejected
+from interactions where user_id in (select user_id from users where age >= 18)""")
 def export_interactions(spark, d):
-    adults = S.users(spark, d).where("age >= 18").select("user_id")
-    return S.interactions(spark, d).join(adults, "user_id", "left_semi").select("user_id", "product_id", "interaction_type", "ts")
+    rejected = S.export_interactions(S.interactions(spark, d), S.users(spark, d).where("age >= 18"), _csv(spark, "interactions"))
+    return S.lines_of(spark, _csv(spark, "interactions"), S.INTERACTIONS).withColumn("rejected", F.lit(rejected).cast("long"))
 
 
 @query("SNK04", "select 'interactions' as export, count(*) as rows from interactions union all select 'products', count(*) from products union all select 'users', count(*) from users")
@@ -62,7 +117,27 @@ def export_totals(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-simple("SNK05", "select product_id, concat_ws(';', gender, usage, base_colour) as style_tags from products", lambda p: p.select("product_id", F.concat_ws(";", "gender", "usage", "base_colour").alias("style_tags")))
+@query("SNK05", """select 'products' as export, product_id as id, concat_ws(';', gender, usage, base_colour) as said from products
+union all select 'users', user_id, string_agg(product_id, ';' order by ts, product_id, interaction_type) from interactions group by user_id
+union all select 'interactions', user_id || ' ' || product_id, interaction_type || ' ' || cast(cast(w as integer) as varchar) from weighted
+union all select 'pairs', user_id, product_id || ' ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') from (select * from interactions order by ts desc, user_id, product_id limit 50)""")
+def export_evaluation(spark, d):
+    """The four evaluation files, written and read back: lists joined with `;`, pairs the latest 50."""
+    p, i = S.products(spark, d), S.interactions(spark, d)
+    history = F.transform(F.sort_array(F.collect_list(F.struct("ts", "product_id", "interaction_type"))), lambda x: x["product_id"])
+    pairs = S.latest_pairs(i, 50)
+    files = {
+        "products": p.select(F.col("product_id").alias("id"), F.concat_ws(";", "gender", "usage", "base_colour").alias("said")),
+        "users": i.groupBy(F.col("user_id").alias("id")).agg(F.array_join(history, ";").alias("said")),
+        "interactions": i.select(F.concat_ws(" ", "user_id", "product_id").alias("id"), F.concat_ws(" ", "interaction_type", C.weight(F.col("interaction_type")).cast("int").cast("string")).alias("said")),
+        "pairs": pairs.select(F.col("user_id").alias("id"), F.concat_ws(" ", "current_product_id", "timestamp").alias("said")),
+    }
+    out = None
+    for name, df in files.items():
+        S.write_csv(df, _csv(spark, f"evaluation-{name}"))
+        back = S.lines_of(spark, _csv(spark, f"evaluation-{name}"), "id string, said string").select(F.lit(name).alias("export"), "id", "said")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query("SNK07", "select * from (values ('cbf', 0.5), ('gnn', 0.25), ('hybrid', 0.75)) t(model, score)")
@@ -141,7 +216,9 @@ simple("W06", "select product_id, row_number() over (order by rating, num_review
 simple("W07", "select product_id, price from products order by price desc, product_id limit 25", lambda p: p.orderBy(*K.ordering(*K.SORTS["price_high_to_low"])).limit(25).select("product_id", "price"))
 simple("W08", "select product_id, rank, page, total, pages from (select product_id, row_number() over (order by price, product_id) as rank, 3 as page, count(*) over () as total, cast(ceil(count(*) over () / 20.0) as integer) as pages from products) where rank between 41 and 60", lambda p: K.page(p, K.ordering("price"), 3, 20).select("product_id", "rank", "page", "total", "pages"))
 simple("W09", "select product_id, true as has_next, true as has_previous from (select product_id, row_number() over (order by product_id) as r from products) where r between 21 and 40", lambda p: K.page(p, [F.col("product_id")], 2, 20).select("product_id", (F.col("page") < F.col("pages")).alias("has_next"), (F.col("page") > 1).alias("has_previous")))
-simple("W10", None, lambda p: p.where("num_reviews > 0").orderBy(*K.ordering("-rating", "-num_reviews")).limit(30).orderBy(F.rand(7)).limit(10).select("product_id", "rating"))
+simple("W10", """select product_id, rating from (select *, row_number() over (order by pool, case when pool = 0 then rating end desc, num_reviews desc, rating desc, created_day desc, product_id) as place from (
+  select *, case when num_reviews > 0 then 0 else 1 end as pool from products)) where place <= case when (select count(*) from products where num_reviews > 0) >= 10 then least(30, (select count(*) from products where num_reviews > 0)) else 30 end""", lambda p: K.top_pool(p, 10).select("product_id", "rating"))
+simple("W10_shuffled", None, lambda p: K.top_products(p, 10, 7).select("product_id", "rating"))
 simple("W11", "select product_id, created_day from products order by created_day desc, product_id limit 20", lambda p: p.orderBy(*K.ordering("-created_day")).limit(20).select("product_id", "created_day"))
 simple("W12", "select user_id, product_id, ts from interactions order by ts desc, user_id, product_id, l_orderkey, l_linenumber limit 40", lambda i: i.orderBy(F.desc("ts"), "user_id", "product_id", "l_orderkey", "l_linenumber").limit(40).select("user_id", "product_id", "ts"), S.interactions)
 simple("W13", "select product_id from (select product_id, row_number() over (order by rating / 5 desc, product_id) as r from products) where r = 3", lambda p: p.orderBy(*K.ordering("-rating")).limit(10).withColumn("r", F.row_number().over(Window.orderBy(*K.ordering("-rating")))).where("r = 3").select("product_id"))

@@ -16,7 +16,7 @@ from loomfold.operators.response import respond
 from loomfold.plans import recommend as R
 from loomfold.plans.catalog import ALLOWED_SQL, KEY_SQL
 from loomfold.plans.recommend import CONTENT, DIMS
-from loomfold.plans.registry import SQL, query
+from loomfold.plans.registry import query
 from loomfold.sources import artifacts as A
 from loomfold.sources import tables as S
 
@@ -162,24 +162,24 @@ from (select sub_category, {_MAP}[sub_category] as a, case when gender in ('Men'
     .select("sub_category", "person", F.array_join(O.article_types(F.col("sub_category"), F.col("person")), ",").alias("articles")))
 
 
-# trained embeddings
+# trained embeddings: each dimension is a column three times over in a step, so fewer than for propagation
+TRAINED = DIMS[:16]
+
+
 def _positives(spark, d):
     return S.interactions(spark, d).where(F.col("interaction_type").isin(*V.POSITIVE)).select("user_id", "product_id")
 
 
 def _trained(spark, d, epochs: int):
-    start = R._nodes(spark, d)
-    return training.train(start, _positives(spark, d), DIMS, epochs, rate=0.05)
+    start = R._nodes(spark, d, TRAINED)
+    return training.train(start, _positives(spark, d), TRAINED, epochs, rate=0.05)
 
 
 @query("X06")
 def trained_ranking(spark, d):
     """Each user's 20 best products by trained vectors, after 3 epochs."""
     vectors, _ = _trained(spark, d, 3)
-    nodes = vectors.select("node", F.array(*DIMS).alias("vector"))
-    users = nodes.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
-    items = nodes.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
-    return G.dense_top_k(users, items, 20)
+    return R._dense(vectors, TRAINED)
 
 
 @query("X17")
@@ -205,9 +205,10 @@ _X16 = f"""select '5' as user_id, '12' as current_product_id, cast(null as varch
 union all select 'nobody', '12', 'no_predictions_for_user', null, null union all select '5', 'none', 'missing_product', null, null"""
 
 
-@query("X16", _X16.format(X10=SQL["X10"], X11=SQL["X11"]))
+@query("X16", _X16.format(X10=R.X10_SQL, X11=R.X11_SQL), R.ONE)
 def whole_response(spark, d):
-    best, suits = R.prioritised(spark, d), R.outfits(spark, d)
+    pair = spark.createDataFrame([("5", "12")], "user_id string, payload_id string")
+    best, suits = R.prioritised(spark, d, pair), R.outfits(spark, d, pair)
     known = R._two(spark, d)[0]
     out = respond("5", "12", known, best, suits)
     out = out.unionByName(respond("nobody", "12", known, best.limit(0), suits.limit(0)))
@@ -219,6 +220,7 @@ def whole_response(spark, d):
 def experiment(spark, d):
     """Content, trained graph and hybrid models in one table of results: model, metric, k, value."""
     truth, products = M.truth(S.interactions(spark, d)), S.products(spark, d)
+    features = scoring.encode(products)
     results = spark.createDataFrame([("hybrid", "recall", 10, -1.0)], A.COMPARISON)  # of an earlier run: it gives way
     rankings, seconds = {}, {}
     for model in ("cbf", "gnn", "hybrid"):
@@ -233,7 +235,7 @@ def experiment(spark, d):
         rankings[model], seconds[model] = spark.read.parquet(at), time.monotonic() - began
     times = M.timings(seconds)
     for model, ranking in rankings.items():
-        found = M.suite(ranking, truth, products).select(F.lit(model).alias("model"), "metric", "k", "value")
+        found = M.suite(ranking, truth, products, features=features).select(F.lit(model).alias("model"), "metric", "k", "value")
         timed = spark.createDataFrame([(model, m, 0, v) for m, v in times[model].items()], A.COMPARISON)
         results = S.upsert(results, found.unionByName(timed), "model")
     return results

@@ -78,8 +78,7 @@ simple("W14", "select sub_category, t, product_id from (select sub_category, pro
        lambda p: p.withColumn("place", F.row_number().over(Window.partitionBy("sub_category").orderBy(F.desc("rating"), "product_id")) - 1).where("place < 5").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sub_category"))).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(F.col("place") == F.pmod(F.col("t") - 1, F.col("n"))).select("sub_category", "t", "product_id"))
 simple("W15", "select product_id from products order by rating desc, product_id limit 10", lambda p: p.orderBy(F.desc("rating"), "product_id").limit(10).select("product_id"))
 simple("S09", f"select product_id, concat_ws(',', case when {KEY_SQL} = 'footwear' then 'shoes' end, case when master_category = 'Apparel' then 'wear' end) as slots from products", lambda p: p.select("product_id", F.concat_ws(",", F.when(C.lookup(V.CATEGORY_KEYS, F.col("sub_category")) == "footwear", "shoes"), F.when(F.col("master_category") == "Apparel", "wear")).alias("slots")))
-simple("S16", "select base_colour, string_agg(product_id, ' + ' order by product_id) as said from products where cast(product_id as bigint) < 30 group by 1", lambda p: p.where(F.col("product_id").cast("bigint") < 30).groupBy("base_colour").agg(F.array_join(F.sort_array(F.collect_list("product_id")), " + ").alias("said")))
-simple("S16_whole", "select user_id, string_agg(distinct product_id, ' + ' order by product_id) as said from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("product_id")), " + ").alias("said")), S.interactions)
+simple("S16", "select user_id, string_agg(distinct product_id, ' + ' order by product_id) as said from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("product_id")), " + ").alias("said")), S.interactions)
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)
 simple("D04", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as said from event_rows", lambda e: e.select("event_id", F.date_format(F.try_to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), "yyyy-MM-dd HH:mm:ss").alias("said")), S.events)

@@ -14,6 +14,7 @@ from loomfold.operators import personal, pruning, scoring
 from loomfold.plans.catalog import ALLOWED_SQL, KEY_SQL, simple
 from loomfold.plans.registry import query
 from loomfold.sources import tables as S
+from loomfold.sources.scratch import materialise
 
 
 def _short(df):
@@ -136,13 +137,20 @@ def discounts(spark, d):
     return _ranking(spark, d).groupBy("user_id").agg(F.round(F.sum(1 / F.log2(F.col("rank") + 1.0)), 6).alias("discount"))
 
 
-# metrics of the content ranking
+# metrics of a ranking
+def _per_user(name: str, ranking: str) -> str:
+    return f"""{name}_hits as (select user_id, count(*) filter (rank <= 10) as h10, sum(case when rank <= 10 then 1 / log2(rank + 1) end) as d10, count(*) as h20, sum(1 / log2(rank + 1)) as d20 from {ranking} join truth using (user_id, product_id) group by 1),
+{name} as (select user_id, relevant, coalesce(h10, 0) as h10, coalesce(h20, 0) as h20, coalesce(d10, 0.0) as d10, coalesce(d20, 0.0) as d20, a.ideal as i10, b.ideal as i20
+  from relevant left join {name}_hits using (user_id) join ideal a on a.n = least(relevant, 10) join ideal b on b.n = least(relevant, 20))"""
+
+
 PER_USER = CONTENT + "," + TRUTH + """,
 relevant as (select user_id, count(*) as relevant from truth group by 1),
-hits as (select user_id, count(*) filter (rank <= 10) as h10, sum(case when rank <= 10 then 1 / log2(rank + 1) end) as d10, count(*) as h20, sum(1 / log2(rank + 1)) as d20 from ranking join truth using (user_id, product_id) group by 1),
 ideal as (select n, (select sum(1 / log2(i + 1)) from generate_series(1, n) g(i)) as ideal from generate_series(1, 20) t(n)),
-per_user as (select user_id, relevant, coalesce(h10, 0) as h10, coalesce(h20, 0) as h20, coalesce(d10, 0.0) as d10, coalesce(d20, 0.0) as d20, a.ideal as i10, b.ideal as i20
-  from relevant left join hits using (user_id) join ideal a on a.n = least(relevant, 10) join ideal b on b.n = least(relevant, 20))"""
+""" + _per_user("per_user", "ranking")
+HISTORY = PER_USER + """,
+history as (select * from (select user_id, product_id, row_number() over (partition by user_id order by sum(w) desc, product_id) as rank from weighted group by 1, 2) where rank <= 20),
+""" + _per_user("per_history", "history")
 
 
 def _metric(k, column):
@@ -173,18 +181,38 @@ def coverage(spark, d):
     return _short(M.coverage(_ranking(spark, d), S.products(spark, d)))
 
 
-SUITE = """select 'recall' as metric, 10 as k, round(avg(h10 / relevant), 6) as value from per_user union all select 'precision', 10, round(avg(h10 / 10), 6) from per_user union all select 'ndcg', 10, round(avg(d10 / i10), 6) from per_user
-union all select 'recall', 20, round(avg(h20 / relevant), 6) from per_user union all select 'precision', 20, round(avg(h20 / 20), 6) from per_user union all select 'ndcg', 20, round(avg(d20 / i20), 6) from per_user
-union all select 'coverage', 20, round(count(distinct product_id) / (select count(*) from products), 6) from ranking"""
+def _suite_sql(per_user: str, ranking: str) -> str:
+    rows = [f"select '{m}' as metric, {k} as k, round(avg({c}), 6) as value from {per_user}" for k in (10, 20) for m, c in (("recall", f"h{k} / relevant"), ("precision", f"h{k} / {k}"), ("ndcg", f"d{k} / i{k}"))]
+    rows.append(f"select 'coverage', 20, round(count(distinct product_id) / (select count(*) from products), 6) from {ranking}")
+    rows.append(f"""select 'ild', 20, round(avg(ild), 6) from (select user_id, greatest(0, 2 * sum(1 - coalesce(c, 0)) / (any_value(n) * (any_value(n) - 1))) as ild from (
+  select a.user_id, a.product_id, b.product_id, any_value(n) as n, sum(case when ca.feature = cb.feature and ca.value = cb.value then 1 / (sa.size * sb.size) else 0 end) as c
+  from (select *, count(*) over (partition by user_id) as n from {ranking}) a join {ranking} b on a.user_id = b.user_id and a.rank < b.rank
+  join cells ca on ca.product_id = a.product_id join cells cb on cb.product_id = b.product_id join sizes sa on sa.product_id = a.product_id join sizes sb on sb.product_id = b.product_id group by 1, 2, 3) group by 1)""")
+    return " union all ".join(rows)
+
+
+def _measured(spark, d, ranking):
+    """The suite of a ranking, which is stored as several aggregates read it."""
+    products = S.products(spark, d)
+    stored = materialise(ranking.select("user_id", "product_id", "rank"), "ranking")
+    return _short(M.suite(stored, M.truth(S.interactions(spark, d)), products, features=scoring.encode(products)))
+
+
+def _history(spark, d):
+    """Each user's products by summed weight: a plain model to compare with."""
+    return scoring.top_k(_two(spark, d)[0], 20)
+
 
+METRICS = ["coverage", "ild", "ndcg", "precision", "recall"]
+query("E08", _suite_sql("per_user", "ranking"), PER_USER)(lambda spark, d: _measured(spark, d, _ranking(spark, d)))
 
-def _suite(spark, d):
-    # the ranking feeds seven aggregates: it is computed once
-    return M.suite(_ranking(spark, d).persist(), M.truth(S.interactions(spark, d)), S.products(spark, d))
+
+@query("E12", "select * from (pivot (" + " union all ".join(f"select '{m}' as model, * from ({_suite_sql(*names)})" for m, *names in (("cbf", "per_user", "ranking"), ("history", "per_history", "history"))) + f") on metric in ({', '.join(repr(m) for m in METRICS)}) using first(value))", HISTORY)
+def comparison_table(spark, d):
+    rows = [_measured(spark, d, ranking).withColumn("model", F.lit(m)) for m, ranking in (("cbf", _ranking(spark, d)), ("history", _history(spark, d)))]
+    return rows[0].unionByName(rows[1]).groupBy("model", "k").pivot("metric", METRICS).agg(F.first("value"))
 
 
-query("E08", SUITE, PER_USER)(lambda spark, d: _short(_suite(spark, d)))
-query("E12", f"select 'cbf' as model, * from (pivot ({SUITE}) on metric in ('coverage', 'ndcg', 'precision', 'recall') using first(value))", PER_USER)(lambda spark, d: _short(_suite(spark, d)).groupBy("k").pivot("metric", ["coverage", "ndcg", "precision", "recall"]).agg(F.first("value")).withColumn("model", F.lit("cbf")))
 query("E11", "select user_id, count(*) as n from truth group by 1", TRUTH)(lambda spark, d: M.truth(S.interactions(spark, d)).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
 query("J09", "select user_id, count(*) as hits from ranking join truth using (user_id, product_id) group by 1", CONTENT + "," + TRUTH)(lambda spark, d: _ranking(spark, d).join(M.truth(S.interactions(spark, d)), ["user_id", "product_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("hits")))
 
@@ -210,39 +238,55 @@ simple("M04", "select product_id, round(0.3 * rating + 0.7 * num_reviews, 6) as
 
 # graph
 EDGES = "edges as (select 'u:' || user_id as src, 'p:' || product_id as dst from interactions union all select 'p:' || product_id, 'u:' || user_id from interactions), degrees as (select src as node, count(*) as degree from edges group by 1)"
-DIMS = ["x0", "x1", "x2"]
-_start = ", ".join(f"((cast(substr(node, 3) as bigint) * 7 + {i} * 13 + case when starts_with(node, 'u:') then 5 else 0 end) % 11 - 5) / 10.0::double as x{i}" for i in range(3))
-_layer = "l{n} as (select node, " + ", ".join(f"case when x{i} > 0 then x{i} else 0.2 * x{i} end as x{i}" for i in range(3)) + " from (select dst as node, " + ", ".join(f"sum(x{i} / sqrt(a.degree * b.degree)) as x{i}" for i in range(3)) + " from edges join l{p} on l{p}.node = src join degrees a on a.node = src join degrees b on b.node = dst group by 1))"
-LAYERS = EDGES + f", l0 as (select node, {_start} from degrees)," + _layer.format(n=1, p=0) + "," + _layer.format(n=2, p=1)
+DIMS = [f"x{i}" for i in range(64)]
+DEPTH = 3
+
+
+def _layers_sql(dims: int) -> str:
+    """l0 to l3: the vectors before and after each layer; with identity weights the dimensions don't mix."""
+    start = ", ".join(f"((cast(substr(node, 3) as bigint) * {7 + i} + {i * 13} + case when starts_with(node, 'u:') then 5 else 0 end) % 11 - 5) / 10.0::double as x{i}" for i in range(dims))
+    layer = "l{n} as materialized (select node, " + ", ".join(f"case when x{i} > 0 then x{i} else 0.2 * x{i} end as x{i}" for i in range(dims)) + " from (select dst as node, " + ", ".join(f"sum(x{i} / norm) as x{i}" for i in range(dims)) + " from messages join l{p} on l{p}.node = src group by 1))"
+    return EDGES + f", messages as materialized (select src, dst, sqrt(a.degree * b.degree) as norm from edges join degrees a on a.node = src join degrees b on b.node = dst), l0 as (select node, {start} from degrees)," + ",".join(layer.format(n=n + 1, p=n) for n in range(DEPTH))
+
 
+LAYERS = _layers_sql(3)
 
-def _nodes(spark, d):
-    i = S.interactions(spark, d)
-    links = G.counted(i)
-    number = F.substring("node", 3, 20).cast("bigint") * 7 + F.when(F.col("node").startswith("u:"), 5).otherwise(0)
-    start = links.select(F.col("src").alias("node")).distinct().select("node", *[((number + n * 13) % 11 - 5).cast("double").__truediv__(10.0).alias(x) for n, x in enumerate(DIMS)])
-    return G.propagate(links, G.propagate(links, start, DIMS), DIMS)
+
+def _states(spark, d, dims=DIMS):
+    links = G.counted(S.interactions(spark, d))
+    key, off = F.expr("substring(node, 3)").cast("bigint"), F.when(F.col("node").startswith("u:"), 5).otherwise(0)
+    start = links.select(F.col("src").alias("node")).distinct().select("node", *[((key * (7 + n) + n * 13 + off) % 11 - 5).cast("double").__truediv__(10.0).alias(x) for n, x in enumerate(dims)])
+    return G.layers(materialise(links, "links"), start, dims, DEPTH)
+
+
+def _nodes(spark, d, dims=DIMS):
+    return _states(spark, d, dims)[-1]
 
 
 query("X03", "select node, row_number() over (order by case when starts_with(node, 'u:') then 0 else 1 end, node) - 1 as node_index from degrees", EDGES)(lambda spark, d: G.node_index(S.interactions(spark, d)))
 query("M06", "select node, round(1 / sqrt(degree), 6) as norm from degrees", EDGES)(lambda spark, d: G.counted(S.interactions(spark, d)).groupBy(F.col("src").alias("node")).agg(F.sum("times").alias("degree")).select("node", F.round(C.inverse_sqrt(F.col("degree")), 6).alias("norm")))
 query("J19", "select dst, count(*) as messages, round(sum(1 / sqrt(degree)), 6) as total from edges join degrees on node = src group by 1", EDGES)(
     lambda spark, d: (lambda links: links.join(links.groupBy("src").agg(F.sum("times").alias("degree")), "src").groupBy("dst").agg(F.sum("times").alias("messages"), F.round(F.sum(F.col("times") * C.inverse_sqrt(F.col("degree"))), 6).alias("total")))(G.counted(S.interactions(spark, d))))
-query("X04", "select node, round(x0, 6) as x0, round(x1, 6) as x1, round(x2, 6) as x2 from l2", LAYERS)(lambda spark, d: _short(_nodes(spark, d)))
-
-GRAPH = LAYERS + """,
-graph_scores as (select substr(u.node, 3) as user_id, substr(p.node, 3) as product_id, round(u.x0 * p.x0 + u.x1 * p.x1 + u.x2 * p.x2, 9) as score from l2 u, l2 p where starts_with(u.node, 'u:') and starts_with(p.node, 'p:')),
+query("X04", "select node, round(x0, 6) as x0, round(x1, 6) as x1, round(x2, 6) as x2 from l3", LAYERS)(lambda spark, d: _short(_nodes(spark, d, DIMS[:3])))
+_length = "sqrt(a.x0 * a.x0 + a.x1 * a.x1 + a.x2 * a.x2)"
+_moved = "sum((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))"
+query("X04_figures", " union all ".join(f"select {n} as layer, round(avg({_length}), 6) as mean_norm, round(stddev_samp({_length}), 6) as std_norm, round(sqrt({_moved}), 6) as change from l{n} a join l{n - 1} b using (node)" for n in range(1, DEPTH + 1)), LAYERS)(lambda spark, d: _short(G.layer_figures(_states(spark, d, DIMS[:3]), DIMS[:3])))
+
+GRAPH = _layers_sql(len(DIMS)) + f""",
+vectors as (select node, [{", ".join(DIMS)}] as v from l3),
+graph_scores as (select substr(u.node, 3) as user_id, substr(p.node, 3) as product_id, round(list_dot_product(u.v, p.v), 6) as score from vectors u, vectors p where starts_with(u.node, 'u:') and starts_with(p.node, 'p:')),
 graph_ranking as (select * from (select *, row_number() over (partition by user_id order by score desc, product_id) as rank from graph_scores) where rank <= 20)"""
 
 
-def _graph_ranking(spark, d):
-    nodes = _nodes(spark, d).select("node", F.array(*DIMS).alias("vector")).persist()
-    users = nodes.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
-    items = nodes.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
+def _dense(nodes, dims=DIMS):
+    """Each user's 20 best products by dot product, of a stored table of vectors."""
+    vectors = nodes.select("node", F.array(*dims).alias("vector"))
+    users = vectors.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
+    items = vectors.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
     return G.dense_top_k(users, items, 20)
 
 
-query("X05", "select user_id, round(min(score), 4) as low, round(max(score), 4) as high, count(*) as n from graph_ranking group by 1", GRAPH)(lambda spark, d: _graph_ranking(spark, d).groupBy("user_id").agg(F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"), F.count(F.lit(1)).alias("n")))
+query("X05", "select user_id, product_id, score, rank from graph_ranking", GRAPH)(lambda spark, d: _dense(_nodes(spark, d)).select("user_id", "product_id", "score", "rank"))
 
 
 # hybrid of two score tables
@@ -263,64 +307,82 @@ query("F27", "select distinct user_id from hybrid", HYBRID)(lambda spark, d: sco
 query("P06", "select user_id, string_agg(product_id, ',' order by score desc, product_id) as best from (select *, row_number() over (partition by user_id order by score desc, product_id) as r from wa) where r <= 5 group by 1", WEIGHTS)(
     lambda spark, d: scoring.top_k(_two(spark, d)[0], 5).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"]), ",").alias("best")))
 
-# one user's candidates: user 5, payload product 12
-ONE = PREFS + f""", me as (select age, gender, {ALLOWED_SQL} as allowed from users where user_id = '5'), payload as (select * from products where product_id = '12'),
-base as (select p.*, coalesce(s.score, 0.0) as base_score, coalesce(a.preference, 0.0) as article_pref, coalesce(u.preference, 0.0) as usage_pref, {KEY_SQL} as slot
-  from products p left join (select product_id, sum(w) / 10 as score from weighted where user_id = '5' group by 1) s using (product_id)
-  left join (select value, preference from prefs where user_id = '5' and attribute = 'article_type') a on a.value = article_type left join (select value, preference from prefs where user_id = '5' and attribute = 'usage') u on u.value = usage
-  where product_id <> '12')"""
+# requests: a user and a payload product; the test requests are the first product of each sub-category and gender
+BATCH_SQL = "select cast(cast(product_id as bigint) % 100 + 1 as varchar) as user_id, product_id as payload_id from (select product_id, row_number() over (partition by sub_category, gender order by cast(product_id as bigint)) as r from products) where r = 1"
+SINGLE_SQL = "select '5' as user_id, '12' as payload_id"
 
 
-def _candidates(spark, d):
-    mine = S.interactions(spark, d).where("user_id = '5'")
+def _requests_sql(pairs: str) -> str:
+    return PREFS + f""",
+asked as (select q.user_id || ':' || q.payload_id as request_id, q.user_id, q.payload_id, age, {ALLOWED_SQL.replace("gender", "u.gender")} as allowed, p.gender as payload_gender, p.article_type as payload_article, p.usage as payload_usage, p.slot as payload_slot
+  from ({pairs}) q join users u on u.user_id = q.user_id join (select *, {KEY_SQL} as slot from products) p on p.product_id = q.payload_id),
+liked as (select user_id, product_id, sum(w) / 10 as score from weighted group by 1, 2),
+base as (select asked.*, p.product_id, p.gender, p.usage, p.article_type, {KEY_SQL} as slot, coalesce(s.score, 0.0) as base_score, coalesce(a.preference, 0.0) as article_pref, coalesce(g.preference, 0.0) as usage_pref
+  from asked join products p on p.product_id <> payload_id left join liked s on s.user_id = asked.user_id and s.product_id = p.product_id
+  left join prefs a on a.user_id = asked.user_id and a.attribute = 'article_type' and a.value = p.article_type left join prefs g on g.user_id = asked.user_id and g.attribute = 'usage' and g.value = p.usage)"""
+
+
+REQUESTS, ONE = _requests_sql(BATCH_SQL), _requests_sql(SINGLE_SQL)
+
+
+def requests(spark, d, pairs=None):
+    """request_id, user_id, age, allowed, payload_id and the payload's attributes. pairs: user_id, payload_id."""
     p = S.products(spark, d)
-    score = mine.groupBy("product_id").agg((F.sum(C.weight(F.col("interaction_type"))) / 10).alias("base_score"))
-    prefs = scoring.preferences(mine, p)
-    article = prefs.where("attribute = 'article_type'").select(F.col("value").alias("article_type"), F.col("preference").alias("article_pref"))
-    usage = prefs.where("attribute = 'usage'").select(F.col("value").alias("usage"), F.col("preference").alias("usage_pref"))
-    rows = p.where("product_id != '12'").join(score, "product_id", "left").join(article, "article_type", "left").join(usage, "usage", "left")
-    return rows.fillna(0.0, ["base_score", "article_pref", "usage_pref"]).withColumn("slot", C.lookup(V.CATEGORY_KEYS, F.col("sub_category")))
+    if pairs is None:
+        key = F.col("product_id").cast("bigint")
+        first = p.groupBy("sub_category", "gender").agg(F.min(key).alias("k"))
+        pairs = first.select((F.col("k") % 100 + 1).cast("string").alias("user_id"), F.col("k").cast("string").alias("payload_id"))
+    users = S.users(spark, d).select("user_id", "age", C.allowed_genders(F.col("age"), F.col("gender")).alias("allowed"))
+    payload = p.select(F.col("product_id").alias("payload_id"), F.col("gender").alias("payload_gender"), F.col("article_type").alias("payload_article"), F.col("usage").alias("payload_usage"), C.lookup(V.CATEGORY_KEYS, F.col("sub_category")).alias("payload_slot"))
+    return pairs.join(users, "user_id").join(payload, "payload_id").withColumn("request_id", F.concat_ws(":", "user_id", "payload_id"))
 
 
-def _request(spark, d):
-    """The payload product and the user: two point lookups."""
-    payload = S.products(spark, d).where("product_id = '12'").first()
-    user = S.users(spark, d).where("user_id = '5'").select("age", C.allowed_genders(F.col("age"), F.col("gender")).alias("allowed")).first()
-    return payload, user
+def _candidates(spark, d, pairs=None):
+    return scoring.of_requests(requests(spark, d, pairs), S.products(spark, d), S.interactions(spark, d))
 
 
-@query("F14", "select count(*) as initial_count, count(*) filter (article_type = (select article_type from payload)) as after_articletype, count(*) filter (article_type = (select article_type from payload) and list_contains((select allowed from me), gender)) as after_age_gender, least(count(*) filter (article_type = (select article_type from payload) and list_contains((select allowed from me), gender)), 10) as final_count, count(*) - least(count(*) filter (article_type = (select article_type from payload) and list_contains((select allowed from me), gender)), 10) as removed_count, round((count(*) - least(count(*) filter (article_type = (select article_type from payload) and list_contains((select allowed from me), gender)), 10)) * 100.0 / count(*), 6) as reduction_rate from base", ONE)
+@query("F14", """select request_id, initial_count, after_articletype, after_age_gender, final_count, initial_count - final_count as removed_count, round((initial_count - final_count) * 100.0 / initial_count, 6) as reduction_rate from (
+  select *, least(after_age_gender, 10) as final_count from (select request_id, count(*) as initial_count, count(*) filter (article_type = payload_article) as after_articletype, count(*) filter (article_type = payload_article and list_contains(allowed, gender)) as after_age_gender from base group by 1))""", REQUESTS)
 def funnel(spark, d):
-    payload, user = _request(spark, d)
-    return scoring.funnel(_candidates(spark, d), payload["article_type"], F.array(*map(F.lit, user["allowed"])), 10)
+    return scoring.funnel(_candidates(spark, d), requests(spark, d), S.products(spark, d).count())
 
 
-@query("X09", "select product_id, base_score from base where article_type = (select article_type from payload) and list_contains((select allowed from me), gender) order by base_score desc, product_id limit 10", ONE)
+@query("X09", "select request_id, product_id, base_score, rank from (select *, row_number() over (partition by request_id order by base_score desc, product_id) as rank from base where article_type = payload_article and list_contains(allowed, gender)) where rank <= 10", REQUESTS)
 def personalised(spark, d):
-    payload, user = _request(spark, d)
-    return _candidates(spark, d).where((F.col("article_type") == payload["article_type"]) & F.col("gender").isin(*user["allowed"])).orderBy(F.desc("base_score"), "product_id").limit(10).select("product_id", "base_score")
-
-
-@query("X10", f"""select product_id, round(score, 6) as score, base_score, usage_match, gender_match, rank from (select *, row_number() over (order by round(score, 9) desc, product_id) as rank from (
-  select b.product_id, base_score + case when b.usage is not distinct from p.usage then {V.USAGE_BONUS} else 0 end + case when b.gender = p.gender then {V.GENDER_BONUS} else {V.UNISEX_BONUS} end + {V.ARTICLE_PREF} * article_pref + {V.USAGE_PREF} * usage_pref as score,
-  base_score, b.usage is not distinct from p.usage as usage_match, b.gender = p.gender as gender_match from base b, payload p where b.article_type = p.article_type and (b.gender = p.gender or b.gender = 'Unisex'))) where rank <= 10""", ONE)
-def prioritised(spark, d):
-    payload, user = _request(spark, d)
-    return _short(scoring.prioritised(_candidates(spark, d), payload["gender"], payload["article_type"], payload["usage"], user["age"], user["allowed"]))
-
-
-@query("X11", """select outfit_number, string_agg(product_id, ',' order by slot) as products, round(sum(base_score), 6) as score from (
-  select *, count(*) over (partition by slot) as n from (
-    select *, row_number() over (partition by slot order by pool, base_score desc, product_id) - 1 as place, min(pool) over (partition by slot) as first from (
-      select b.*, case when b.gender = p.gender and b.usage is not distinct from p.usage then 0 when b.gender = p.gender then 1 when list_contains(allowed, b.gender) then 2 when b.gender = 'Unisex' then 3 else 4 end as pool
-      from base b, payload p, me where b.slot in ('accessories','bottomwear','footwear','topwear') and b.slot <> (select """ + KEY_SQL + """ from payload)))
-  where pool = first and place < 3), generate_series(1, 3) t(outfit_number) where place = (outfit_number - 1) % n group by 1""", ONE)
-def outfits(spark, d):
-    payload, user = _request(spark, d)
-    rows = _candidates(spark, d).withColumn("score", F.col("base_score"))
-    own = F.col("gender") == payload["gender"]
-    pools = [own & F.col("usage").eqNullSafe(F.lit(payload["usage"])), own, F.col("gender").isin(*user["allowed"]), F.col("gender") == "Unisex", F.lit(True)]
-    return O.suggest(rows, V.CATEGORY_KEYS[payload["sub_category"]], pools).select("outfit_number", F.array_join("products", ",").alias("products"), "score")
+    return scoring.personalised(_candidates(spark, d))
+
+
+X10_SQL = f"""select request_id, product_id, round(score, 6) as score, base_score, usage_match, gender_match, rank from (select *, row_number() over (partition by request_id order by round(score, 9) desc, product_id) as rank from (
+  select request_id, product_id, base_score + case when usage is not distinct from payload_usage then {V.USAGE_BONUS} else 0 end + case when gender = payload_gender then {V.GENDER_BONUS} else {V.UNISEX_BONUS} end + {V.ARTICLE_PREF} * article_pref + {V.USAGE_PREF} * usage_pref as score,
+  base_score, usage is not distinct from payload_usage as usage_match, gender = payload_gender as gender_match from base where article_type = payload_article and (gender = payload_gender or gender = 'Unisex'))) where rank <= 10"""
+
+
+def prioritised(spark, d, pairs=None):
+    return _short(scoring.prioritised(_candidates(spark, d, pairs)))
+
+
+query("X10", X10_SQL, REQUESTS)(prioritised)
+
+X11_SQL = """select request_id, t as outfit_number, any_value(payload_id) || ',' || string_agg(product_id, ',' order by slot) as products, round(sum(base_score) + coalesce(any_value(payload_score), 0), 6) as score from (
+  select *, row_number() over (partition by request_id, slot order by base_score desc, product_id) - 1 as place, count(*) over (partition by request_id, slot) as n from (
+    select *, min(pool) over (partition by request_id, slot) as first from (
+      select b.*, l.score as payload_score, case when payload_gender = 'Unisex' then case when (payload_usage is null or usage = payload_usage) and (list_contains(allowed, gender) or gender = 'Unisex') then 0 end
+        when (payload_usage is null or usage = payload_usage) and (gender = payload_gender or gender = 'Unisex') then 0 when gender = payload_gender or gender = 'Unisex' then 1
+        when list_contains(allowed, gender) or not exists (select 1 from products q where list_contains(b.allowed, q.gender) or q.gender = 'Unisex') then 2 else 4 end as pool
+      from base b left join liked l on l.user_id = b.user_id and l.product_id = b.payload_id
+      where slot is distinct from payload_slot and (slot in ('accessories', 'footwear') or slot in ('topwear', 'bottomwear') and payload_slot is distinct from 'dress'
+        or slot = 'dress' and payload_gender in ('Women', 'Girls') and payload_slot not in ('dress', 'topwear', 'bottomwear'))) where pool is not null) where pool = first), generate_series(1, 3) g(t)
+where place = (t - 1) % n group by request_id, t having count(*) filter (slot <> 'dress') = any_value(case when payload_slot = 'dress' then 2 when payload_slot in ('accessories', 'bottomwear', 'footwear', 'topwear') then 3 else 4 end)"""
+
+
+def outfits(spark, d, pairs=None):
+    scores = scoring.pair_weights(S.interactions(spark, d)).select("user_id", "product_id", (F.col("w") / 10).alias("score"))
+    p = S.products(spark, d).withColumn("slot", C.lookup(V.CATEGORY_KEYS, F.col("sub_category")))
+    found = O.suggest(requests(spark, d, pairs), p, scores)
+    return found.select("request_id", "outfit_number", F.array_join("products", ",").alias("products"), "score")
+
+
+query("X11", X11_SQL, REQUESTS)(outfits)
 
 
 OUTFIT_ROWS = f"outfit_rows as (select cast(product_id as bigint) // 5 as outfit_id, usage, {KEY_SQL} as slot from products)"

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from loomfold.functions import columns as C
 from loomfold.plans.catalog import simple
 from loomfold.operators import metrics as M
+from loomfold.operators import quantiles
 from loomfold.plans.registry import query
 from loomfold.sources import tables as S
 
+QUARTERS = [0.25, 0.5, 0.75]
+
 simple("A06", "select user_id, count(*) filter (interaction_type = 'view') > 0 as view, count(*) filter (interaction_type = 'like') > 0 as like, count(*) filter (interaction_type = 'purchase') > 0 as purchase from interactions group by 1",
        lambda i: i.groupBy("user_id").agg(*[(F.count_if(F.col("interaction_type") == t) > 0).alias(t) for t in ("view", "like", "purchase")]), S.interactions)
 simple("A07", "select 'usage' as column_name, round(1 - count(usage) / count(*), 6) as fraction from products union all select 'gender', round(1 - count(gender) / count(*), 6) from products",
        lambda p: p.agg(*[F.round(1 - F.count(c) / F.count(F.lit(1)), 6).alias(c) for c in ("usage", "gender")]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("fraction")) for c in ("usage", "gender")]))))
 simple("A08", "select count(price) as n, round(avg(price), 6) as mean, round(stddev_samp(price), 6) as std, min(price) as low, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.5) as q2, quantile_cont(price, 0.75) as q3, max(price) as high from products",
-       lambda p: p.agg(F.count("price").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.stddev_samp("price"), 6).alias("std"), F.min("price").alias("low"), *[F.percentile("price", F.lit(q)).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))], F.max("price").alias("high")))
+       lambda p: p.agg(F.count("price").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.stddev_samp("price"), 6).alias("std"), F.min("price").alias("low"), *[F.lit(x).alias(n) for x, n in zip(quantiles.exact(p, "price", QUARTERS), ("q1", "q2", "q3"))], F.max("price").alias("high")))
 simple("A09", "select coalesce(usage, 'N/A') as usage, count(*) as n from products group by 1 order by n desc, usage limit 10", lambda p: p.groupBy(F.coalesce("usage", F.lit("N/A")).alias("usage")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "usage").limit(10))
 _bin = "greatest(cast(ceil((price - low) / (high - low) * 10) as integer), 1)"
 
@@ -32,7 +35,7 @@ def histogram(spark, d):
 simple("A11", "select least(cast(floor((x + 1) * 10) as integer), 19) as bin, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 6) as percent from (select rating / 2.5 - 1 as x from products) group by 1",
        lambda p: p.groupBy(F.least(F.floor((F.col("rating") / 2.5 - 1 + 1) * 10).cast("int"), F.lit(19)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6)))
 simple("A12", "select count(*) as total, min(value) as low, max(value) as high, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from event_rows", lambda e: e.agg(F.count(F.lit(1)).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std")), S.events)
-simple("A13", "select round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as q2, round(quantile_cont(value, 0.75), 6) as q3 from event_rows", lambda e: e.agg(*[F.round(F.percentile("value", F.lit(q)), 6).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]), S.events)
+simple("A13", "select round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as q2, round(quantile_cont(value, 0.75), 6) as q3 from event_rows", lambda e: e.sparkSession.createDataFrame([tuple(round(x, 6) for x in quantiles.exact(e, "value", QUARTERS))], "q1 double, q2 double, q3 double"), S.events)
 simple("A14", "select min(n) as low, max(n) as high, round(avg(n), 6) as mean, quantile_cont(n, 0.5) as middle, round(stddev_pop(n), 6) as std from (select user_id, count(*) as n from interactions group by 1)", lambda i: i.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("middle"), F.round(F.stddev_pop("n"), 6).alias("std")), S.interactions)
 simple("A15", "select min(value) as low, max(value) as high from event_rows", lambda e: e.agg(F.min("value").alias("low"), F.max("value").alias("high")), S.events)
 simple("A16", "select count(distinct user_id) as users, count(distinct product_id) as products from interactions", lambda i: i.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("products")), S.interactions)
@@ -56,16 +59,9 @@ simple("A21", "select master_category, sub_category, string_agg(distinct article
 simple("A23", "select product_id, sum(w) as weight from weighted group by 1", lambda i: i.withColumn("w", C.weight(F.col("interaction_type"))).groupBy("product_id").agg(F.sum("w").alias("weight")), S.interactions)
 
 
-@query("A24", "select user_id, d, round(sum(e * w) / sum(w), 6) as x from weighted join (select cast(vec_id as varchar) as product_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as d from embeddings) using (product_id) where d < 4 group by 1, 2")
-def mean_embedding(spark, d):
-    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("d", "e"))
-    pairs = S.interactions(spark, d).withColumn("w", C.weight(F.col("interaction_type"))).groupBy("user_id", "product_id").agg(F.sum("w").alias("w"))
-    return pairs.join(vectors, "product_id").groupBy("user_id", "d").agg((F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("x")).select("user_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
-
-
-@query("A24_whole", "select user_id, d, coalesce(x, 0.0) as x from (select user_id from users union select user_id from weighted) cross join (select distinct d from v) left join (select user_id, d, round(sum(e * w) / sum(w), 6) as x from weighted join v using (product_id) group by 1, 2) using (user_id, d)",
+@query("A24", "select user_id, d, coalesce(x, 0.0) as x from (select user_id from users union select user_id from weighted) cross join (select distinct d from v) left join (select user_id, d, round(sum(e * w) / sum(w), 6) as x from weighted join v using (product_id) group by 1, 2) using (user_id, d)",
        "v as (select cast(vec_id as varchar) as product_id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as d from embeddings)")
-def mean_embedding_whole(spark, d):
+def mean_embedding(spark, d):
     """All dimensions; a user without a known product has the zero vector."""
     vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("product_id"), F.posexplode("embedding").alias("d", "e"))
     pairs = S.interactions(spark, d).withColumn("w", C.weight(F.col("interaction_type"))).groupBy("user_id", "product_id").agg(F.sum("w").alias("w"))
@@ -116,20 +112,11 @@ def enrich_left(spark, d):
     return S.events(spark, d).select("product_id").distinct().join(S.products(spark, d).select("product_id", "name"), "product_id", "left")
 
 
-@query("J12", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey where o_custkey < 50 group by 1")
+@query("J12", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey group by 1")
 def nested(spark, d):
-    return _nested(spark, d, S.table(spark, d, "orders").where("o_custkey < 50").select("o_orderkey"))
-
-
-def _nested(spark, d, orders):
     lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("l_partkey").isNotNull(), F.struct("l_linenumber", "l_partkey")))), lambda x: x["l_partkey"].cast("string"))
-    return orders.join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.nullif(F.array_join(parts, ","), F.lit("")).alias("parts"))
-
-
-@query("J12_whole", "select o_orderkey, string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey) as parts from orders left join lineitem on o_orderkey = l_orderkey group by 1")
-def nested_whole(spark, d):
-    return _nested(spark, d, S.table(spark, d, "orders").select("o_orderkey"))
+    return S.table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.nullif(F.array_join(parts, ","), F.lit("")).alias("parts"))
 
 
 @query("J14", "select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey group by 1")

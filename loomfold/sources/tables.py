@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfold.functions import values as V
 
 PRODUCTS = "id string, gender string, masterCategory string, subCategory string, articleType string, baseColour string, season string, year int, usage string, productDisplayName string, images string"
 USERS = "id string, name string, email string, age int, gender string, interaction_history string"
 INTERACTIONS = "user_id string, product_id string, interaction_type string, timestamp string"
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 HISTORY = "array<struct<product_id:string,interaction_type:string,timestamp:string>>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A CSV file with header under a declared schema; malformed cells become null."""
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(path)
 
@@ -35,6 +37,66 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def lines_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The cells of a CSV file as they stand: blank ones are empty strings."""
+    return read_csv(spark, path, schema).na.fill("")
+
+
+def export_products(df: DataFrame, path: str) -> None:
+    """Nulls as blank cells, images as JSON."""
+    write_csv(df, path)
+
+
+def export_users(users: DataFrame, interactions: DataFrame, path: str) -> None:
+    """Users with their history as JSON, oldest first (ties by product, then type); timestamps in ISO form."""
+    item = F.struct("product_id", "interaction_type", F.date_format("ts", ISO).alias("timestamp"))
+    ordered = F.sort_array(F.collect_list(F.struct("ts", item.alias("item"))))
+    history = interactions.groupBy("user_id").agg(F.transform(ordered, lambda x: x["item"]).alias("interaction_history"))
+    none = F.array().cast(HISTORY)
+    write_csv(users.join(history, "user_id", "left").withColumn("interaction_history", F.coalesce("interaction_history", none)), path)
+
+
+def export_interactions(interactions: DataFrame, users: DataFrame, path: str) -> int:
+    """Interactions of known users by time, in files of which each follows the one before; gives how many were rejected."""
+    keep = interactions.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    cells = ["user_id", "product_id", "interaction_type", F.date_format("ts", ISO).alias("timestamp")]
+    write_csv(keep.repartitionByRange("ts").sortWithinPartitions("ts", "user_id", "product_id", "interaction_type").select(*cells), path)
+    return interactions.join(users.select("user_id").distinct(), "user_id", "left_anti").count()
+
+
+def latest_pairs(interactions: DataFrame, n: int) -> DataFrame:
+    """user_id, current_product_id, timestamp of the n latest interactions."""
+    best = interactions.orderBy(F.desc("ts"), "user_id", "product_id").limit(n)
+    return best.select("user_id", F.col("product_id").alias("current_product_id"), F.date_format("ts", ISO).alias("timestamp"))
+
+
+SYNCED = ("gender", "masterCategory", "subCategory", "articleType", "baseColour", "season", "year", "usage", "productDisplayName")
+
+
+def sync_products(old: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog after a sync from CSV cells (all strings, with a column `line` of their order), and
+    one row of counts: total, created, updated, skipped, errors.
+
+    Cells are trimmed and blank ones null; a row without a whole number as id is skipped; a year that
+    is no whole number is null. Of rows with one id the last counts, the first of them deciding between
+    created and updated. A created product is named by its display name (else `Product <id>`) and has
+    the slug `product-<id>`; an updated one keeps its name and slug. For a dry run take the counts
+    only. Nothing here can fail for a row, so errors is 0. old: id bigint, name, slug and SYNCED."""
+    clean = cells.select("line", *[F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")).alias(c) for c in ("id", *SYNCED)])
+    whole = F.when(F.col("id").rlike(r"^[+-]?[0-9]+$"), F.col("id").try_cast("bigint"))
+    rows = clean.withColumn("id", whole).withColumn("year", F.when(F.col("year").rlike(r"^[+-]?[0-9]+$"), F.col("year").try_cast("int")))
+    last = rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(*SYNCED), F.col("line")).alias("row"))
+    both = old.select("id", F.lit(True).alias("there"), F.struct("name", "slug", *SYNCED).alias("was")).join(last, "id", "full")
+    fresh = F.col("there").isNull()
+    name = F.when(fresh, F.coalesce("row.productDisplayName", F.concat(F.lit("Product "), F.col("id").cast("string")))).otherwise(F.col("was.name"))
+    slug = F.when(fresh, F.concat(F.lit("product-"), F.col("id").cast("string"))).otherwise(F.col("was.slug"))
+    merged = both.select("id", name.alias("name"), slug.alias("slug"), *[F.when(F.col("n").isNotNull(), F.col(f"row.{c}")).otherwise(F.col(f"was.{c}")).alias(c) for c in SYNCED])
+    made = F.coalesce(F.sum(F.when(fresh, 1)), F.lit(0))
+    counts = both.where("n is not null").agg(made.alias("created"), (F.coalesce(F.sum("n"), F.lit(0)) - made).alias("updated"))
+    seen = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("id").isNull()).alias("skipped"))
+    return merged, seen.join(counts).select("total", "created", "updated", "skipped", F.lit(0).cast("long").alias("errors"))  # one row each
+
+
 def read_first(spark: SparkSession, *paths: str) -> DataFrame | None:
     """The first parquet artifact that is there, else None."""
     for path in paths:

@@ -74,12 +74,45 @@ def test_dense_scores_in_blocks(spark):
     assert len(one) == 15 and one[0]["product_id"] == "p1"
 
 
+ASKED = "request_id string, user_id string, allowed array<string>, payload_id string, payload_gender string, payload_usage string, payload_slot string"
+
+
+def suggested(spark, asked, rows, scores=()):
+    products = spark.createDataFrame(rows, "product_id string, slot string, gender string, usage string")
+    liked = spark.createDataFrame(list(scores), "user_id string, product_id string, score double")
+    out = outfits.suggest(spark.createDataFrame(asked, ASKED), products, liked).orderBy("request_id", "outfit_number").collect()
+    return {(r["request_id"], r["outfit_number"]): (r["products"], r["score"]) for r in out}
+
+
 def test_outfit_needs_every_slot(spark):
-    rows = spark.createDataFrame([("1", "bottomwear", 0.5), ("2", "footwear", 0.4), ("3", "footwear", 0.3)], "product_id string, slot string, score double")
-    assert outfits.suggest(rows, "topwear", [F.lit(True)]).count() == 0
-    more = rows.union(spark.createDataFrame([("4", "accessories", 0.1)], rows.schema))
-    got = outfits.suggest(more, "topwear", [F.lit(True)]).orderBy("outfit_number").collect()
-    assert [r["products"] for r in got] == [["4", "1", "2"], ["4", "1", "3"], ["4", "1", "2"]]
+    asked = [("r", "u", ["Men"], "t", "Men", "Casual", "topwear")]
+    rows = [("1", "bottomwear", "Men", "Casual"), ("2", "footwear", "Men", "Casual"), ("3", "footwear", "Men", "Casual"), ("t", "topwear", "Men", "Casual")]
+    assert suggested(spark, asked, rows) == {}
+    got = suggested(spark, asked, [*rows, ("4", "accessories", "Men", "Formal")], [("u", "3", 0.5), ("u", "t", 0.25), ("v", "2", 9.0)])
+    assert got == {("r", 1): (["t", "4", "1", "3"], 0.75), ("r", 2): (["t", "4", "1", "2"], 0.25), ("r", 3): (["t", "4", "1", "3"], 0.75)}
+
+
+def test_outfit_pools_and_dresses(spark):
+    slots = ("accessories", "bottomwear", "dress", "footwear", "topwear")
+    rows = [(f"{g[0]}{u[0]}{s[0]}", s, g, u) for g in ("Women", "Men", "Unisex", "Boys") for u in ("Casual", "Formal") for s in slots]
+    asked = [(n, "u", ["Women", "Unisex"], f"{g[0]}C{s[0]}", g, u, s) for n, g, u, s in (("dress", "Women", "Casual", "dress"), ("shoe", "Women", "Formal", "footwear"), ("top", "Women", None, "topwear"), ("man", "Men", "Casual", "footwear"), ("both", "Unisex", "Casual", "footwear"), ("none", "Unisex", "Sports", "footwear"), ("relaxed", "Boys", "Sports", "footwear"))]
+    got = {n: p for (n, t), (p, _) in suggested(spark, asked, rows).items() if t == 1}
+    assert got["dress"] == ["WCd", "UCa", "UCf"]  # neither top nor bottom
+    assert got["shoe"] == ["WCf", "UFa", "UFb", "UFd", "UFt"]  # a dress besides
+    assert got["top"] == ["WCt", "UCa", "UCb", "UCf"] and got["man"] == ["MCf", "MCa", "MCb", "MCt"]
+    assert got["both"] == ["UCf", "UCa", "UCb", "UCt"] and "none" not in got  # Unisex: its usage only
+    assert got["relaxed"] == ["BCf", "BCa", "BCb", "BCt"]  # usage given up, gender kept
+
+
+def test_sync_rules(spark):
+    cells = [(1, " 1 ", " Men ", "2010", "A"), (2, "", "x", "1", "B"), (3, "x7", "x", "1", "C"), (4, "2", "  ", "soon", ""), (5, "2", None, "2011", " D "), (6, "+3", "Girls", "12.5", None)]
+    frame = spark.createDataFrame([(n, i, g, *[None] * 5, y, None, d) for n, i, g, y, d in cells], "line long, id string, " + ", ".join(f"{c} string" for c in ("gender", "masterCategory", "subCategory", "articleType", "baseColour", "season", "year", "usage", "productDisplayName")))
+    old = spark.createDataFrame([(1, "old", "s", "Women", 2000), (9, "nine", "t", None, None)], "id long, name string, slug string, gender string, year int")
+    old = old.select("id", "name", "slug", *[c if c in ("gender", "year") else F.lit(None).cast("string").alias(c) for c in tables.SYNCED])
+    merged, counts = tables.sync_products(old, frame)
+    assert tuple(counts.first()) == (6, 2, 2, 2, 0)
+    got = {r["id"]: (r["name"], r["slug"], r["gender"], r["year"], r["productDisplayName"]) for r in merged.collect()}
+    assert got == {1: ("old", "s", "Men", 2010, "A"), 9: ("nine", "t", None, None, None), 2: ("D", "product-2", None, 2011, "D"), 3: ("Product 3", "product-3", "Girls", None, None)}
 
 
 def test_page_is_clamped(spark):

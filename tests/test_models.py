@@ -3,12 +3,13 @@
 import math
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.functions import values as V
-from loomfold.operators import metrics, outfits, personal, training
+from loomfold.operators import graph, metrics, outfits, personal, quantiles, training
 from loomfold.operators.response import NO_MATCH, NO_PREDICTIONS, NO_PRODUCT, respond
 from loomfold.sources import artifacts
 
@@ -178,18 +179,50 @@ def test_whole_vectors_and_tables(spark):
     from tests.conftest import SMALL
 
     run = registry.queries()
-    assert {r["d"] for r in run["A24_whole"](spark, SMALL).select("d").distinct().collect()} == set(range(64))
-    assert run["A24_whole"](spark, SMALL).select("user_id").distinct().count() == S.users(spark, SMALL).count()
-    assert run["J12_whole"](spark, SMALL).count() == S.table(spark, SMALL, "orders").count()
-    assert run["S16_whole"](spark, SMALL).count() == S.interactions(spark, SMALL).select("user_id").distinct().count()
+    assert {r["d"] for r in run["A24"](spark, SMALL).select("d").distinct().collect()} == set(range(64))
+    assert run["A24"](spark, SMALL).select("user_id").distinct().count() == S.users(spark, SMALL).count()
+    assert run["J12"](spark, SMALL).count() == S.table(spark, SMALL, "orders").count()
+    assert run["S16"](spark, SMALL).count() == S.interactions(spark, SMALL).select("user_id").distinct().count()
 
 
 def test_graph_ids_stay_whole(spark, monkeypatch):
     from loomfold.plans import models, recommend
 
     ids = ["u:64b7f0c2a1d3e4f5a6b7c8d1", "u:64b7f0c2a1d3e4f5a6b7c8d2", "p:64b7f0c2a1d3e4f5a6b7c8d3"]
-    nodes = spark.createDataFrame([(i, 1.0, 0.0, 0.5) for i in ids], "node string, x0 double, x1 double, x2 double")
-    monkeypatch.setattr(recommend, "_nodes", lambda *_: nodes)
+    nodes = spark.createDataFrame([(i, *[1.0] * len(recommend.DIMS)) for i in ids], "node string, " + ", ".join(f"{x} double" for x in recommend.DIMS))
     monkeypatch.setattr(models, "_trained", lambda *_: (nodes, None))
-    for ranking in (recommend._graph_ranking, models.trained_ranking):
-        assert sorted((r["user_id"], r["product_id"]) for r in ranking(spark, "").collect()) == [(u[2:], ids[2][2:]) for u in ids[:2]]
+    for ranking in (recommend._dense(nodes), models.trained_ranking(spark, "")):
+        assert sorted((r["user_id"], r["product_id"]) for r in ranking.collect()) == [(u[2:], ids[2][2:]) for u in ids[:2]]
+
+
+def test_layers_with_weights(spark):
+    """Three layers with weight matrices against dense matrices."""
+    rng = np.random.default_rng(4)
+    dims = ["x0", "x1", "x2"]
+    facts = [(f"u{rng.integers(6)}", f"i{rng.integers(5)}") for _ in range(40)]
+    links = graph.counted(spark.createDataFrame(facts, "user_id string, product_id string"))
+    nodes = sorted({f"u:{u}" for u, _ in facts} | {f"p:{p}" for _, p in facts})
+    at, start = {n: i for i, n in enumerate(nodes)}, rng.normal(size=(len(nodes), 3))
+    weights = [rng.normal(size=(3, 3)) for _ in range(3)]
+    adjacent = np.zeros((len(nodes), len(nodes)))
+    for u, p in facts:
+        adjacent[at[f"u:{u}"], at[f"p:{p}"]] += 1
+        adjacent[at[f"p:{p}"], at[f"u:{u}"]] += 1
+    scale = 1 / np.sqrt(adjacent.sum(1))
+    states = graph.layers(links, spark.createDataFrame([(n, *map(float, start[i])) for n, i in at.items()], "node string, x0 double, x1 double, x2 double"), dims, 3, weights)
+    x, figures = start, {r["layer"]: r for r in graph.layer_figures(states, dims).collect()}
+    for n, state in enumerate(states[1:], 1):
+        before, y = x, (scale[:, None] * adjacent * scale[None, :]) @ (x @ weights[n - 1])
+        x = np.where(y > 0, y, 0.2 * y)
+        for r in state.collect():
+            assert [r[d] for d in dims] == pytest.approx(x[at[r["node"]]].tolist())
+        lengths = np.linalg.norm(x, axis=1)
+        assert (figures[n]["mean_norm"], figures[n]["std_norm"], figures[n]["change"]) == pytest.approx((lengths.mean(), lengths.std(ddof=1), np.linalg.norm(x - before)))
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0] * 50, [float(i * i % 977) for i in range(3000)], [0.0] * 2000 + [1e9], [i / 7 for i in range(40_000)]])
+def test_exact_quantiles(spark, values, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 100)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert quantiles.exact(df, "v", qs) == (pytest.approx(np.quantile(values, qs).tolist()) if values else [None] * 6)
