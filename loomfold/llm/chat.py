@@ -6,6 +6,8 @@
     {% set x = expression %}
     {% generation %} ... {% endgeneration %}      what the model is to produce: the loss mask
 
+A `-` inside a tag's braces (`{%-`, `-%}`, `{{-`, `-}}`, `{#-`, `-#}`) takes the white space beside it.
+
 Expressions have strings, numbers, true, false, none, names, .field, [index], + (joins), ==, !=, <,
 >, and, or, not, `in`, parentheses and the filters of FILTERS. Fields are looked up in mappings
 only, so a template reaches nothing but the messages and variables given. A template is parsed to a
@@ -16,7 +18,8 @@ Texts are escaped so that no control string occurs inside one: a backslash is do
 put behind the first character of each control string; `unescape` takes them out again.
 
 Defined cases: a null role or text is empty; turns go by turn, then role, then text (null first);
-repeated rows are turns of their own; rows with a null conv_id form one conversation; an empty
+repeated rows are turns of their own; rows with a null conv_id form one conversation, one row as any other (filter them out where the id is
+missing for very many); an empty
 table has no conversations. A conversation is one output row and is held by one task; the rows of
 different conversations stream through sorted partitions.
 """
@@ -55,7 +58,7 @@ def unescape(text: str) -> str:
 
 FILTERS: dict[str, Callable] = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, "string": str}
 
-_PIECE = re.compile(r"\{\{-?(?P<out>.*?)-?\}\}|\{%-?(?P<tag>.*?)-?%\}|\{#.*?#\}", re.S)
+_PIECE = re.compile(r"\{\{-?(?P<out>.*?)-?\}\}|\{%-?(?P<tag>.*?)-?%\}|\{#-?.*?-?#\}", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[<>+.|()\[\]=,]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t"}
 
@@ -173,10 +176,13 @@ def parse(template: str) -> list[tuple]:
     root: list[tuple] = []
     stack: list[tuple[str, object]] = [("", root)]
     body, at = root, 0
+    trim = False
     for m in _PIECE.finditer(template):
-        if m.start() > at:
-            body.append(("text", template[at : m.start()]))
-        at = m.end()
+        plain = template[at : m.start()].lstrip() if trim else template[at : m.start()]
+        plain = plain.rstrip() if m[0][2] == "-" else plain
+        if plain:
+            body.append(("text", plain))
+        at, trim = m.end(), m[0][-3] == "-"
         if m["out"] is not None:
             body.append(("out", _Expression(m["out"]).whole()))
         if m["tag"] is None:
@@ -212,8 +218,9 @@ def parse(template: str) -> list[tuple]:
             raise TemplateError(f"unexpected tag {word!r}")
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]!r} is not closed")
-    if at < len(template):
-        body.append(("text", template[at:]))
+    plain = template[at:].lstrip() if trim else template[at:]
+    if plain:
+        body.append(("text", plain))
     return root
 
 

@@ -267,6 +267,7 @@ def test_templates():
     render = chat.compile_template("{% set x = 'a' + 'b' %}{% for m in messages %}{% if loop.first and m.role != 'q' %}[{{ x | upper }}]{% elif 1 == 2 %}never{% else %}-{% endif %}{% generation %}{{ m['text'] }}{% endgeneration %}{% endfor %}{# gone #}")
     assert render([{"role": "u", "text": "hi"}, {"role": "u", "text": "yo"}]) == ("[AB]hi-yo", [(4, 6), (7, 9)])
     assert chat.fold_body(chat.parse("a{% if 1 == 1 %}b{% endif %}{{ 'c' | upper }}")) == [("text", "abC")]
+    assert chat.compile_template("a \n{%- if 1 == 1 -%} \n b {{- ' c' -}} \n {#- x -#} d{% endif %} e")([]) == ("ab cd e", [])
     assert chat.compile_template("{{ messages.append }}{{ messages.__class__ }}")([]) == ("", [])
     for bad in ("{% for x in y %}", "{{ a | nofilter }}", "{% endif %}", "{{ ( }}"):
         with pytest.raises(chat.TemplateError):
@@ -275,7 +276,7 @@ def test_templates():
 
 def test_chat_cases(spark):
     rows = [(1, 0, "user", "a\\<|end|>\n"), (1, 1, "assistant", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, 0, "assistant", "</s>"), (2, None, "assistant", "[INST]<"), (2, 0, "sys<|text|>", "")]
-    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string").selectExpr("*", "'x' as Turn_", "'x' as loss", "1 as n_turns")
     out = chat.formatted(df)
     read = {r["conv_id"]: r for r in out.select("conv_id", chat.parsed(F.col("formatted"), F.col("loss")).alias("p")).collect()}
     assert [tuple(t) for t in read[1]["p"]["turns"]] == [("user", "a\\<|end|>\n"), ("", "x"), ("", "x"), ("assistant", "")]
@@ -726,6 +727,23 @@ def test_pipeline(spark, codec):
         ids = codec[2].encode_ordinary(t)
         want[(i, len(ids), sha(",".join(map(str, ids))), sha(t))] += 1
     assert got == want and len(want) > 50
-    df = docs(spark, awkward())
-    for name, stage in pipeline.STAGES[:-1]:
-        assert stage(spark, df, SMALL).columns == DOC_SCHEMA.replace(" long", "").replace(" string", "").split(", "), name
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages(spark, at):
+    """Each stage on the awkward documents, on clashing columns and on no documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    name, stage = pipeline.STAGES[at]
+    for df in (docs(spark, awkward()), clashing(docs(spark, awkward()))):
+        out = stage(spark, df, SMALL)
+        none = stage(spark, df.where("false"), SMALL)
+        assert none.count() == 0 and (at == 4 or out.columns == none.columns == df.columns), name
+        kept = out.collect()
+        assert len(kept) <= len(awkward()) and (at not in (3, 4) or len(kept) == len(awkward())), name
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    read = pipeline.table
+    monkeypatch.setattr(pipeline, "table", lambda s, d, t: clashing(read(s, d, t)).where("false") if t == "documents" else read(s, d, t))
+    assert pipeline.run(spark, SMALL).count() == 0
