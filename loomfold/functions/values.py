@@ -1,6 +1,6 @@
 """Weights, category tables and bonuses of the recommendation domain."""
 
-# Interaction weights by scheme; an unknown type weighs DEFAULT_WEIGHT.
+# Interaction weights by scheme; an unknown type weighs DEFAULT_WEIGHT.
 WEIGHTS = {
     "pipeline": {"purchase": 5.0, "like": 3.0, "cart": 2.0, "view": 1.0},
     "engine": {"purchase": 5.0, "cart": 3.5, "like": 2.5, "review": 2.0, "view": 1.0},
@@ -10,6 +10,7 @@ DEFAULT_WEIGHT = 1.0
 POSITIVE = ("purchase", "like", "cart")
 FEATURES = ("master_category", "sub_category", "article_type", "base_colour", "usage")
 ALL_GENDERS = ("Boys", "Girls", "Men", "Unisex", "Women")
+# What re-scoring adds for usage, gender and preferences.
 USAGE_BONUS, GENDER_BONUS, UNISEX_BONUS, OFF_GENDER, ARTICLE_PREF, USAGE_PREF = 0.08, 0.06, 0.03, -0.01, 0.05, 0.04
 SLOTS = ("accessories", "bottomwear", "footwear", "topwear")
 
@@ -59,3 +60,24 @@ COMPLETION = {
     "shoes": ["tops", "bottoms", "accessories"],
     "accessories": ["tops", "bottoms"],
 }
+
+# What a recommendation is explained with.
+NO_REASON = "Suggestions based on your interaction history"
+REASONS = {
+    "gender": "Suitable for your {} gender",
+    "unisex": "Suitable for all genders",
+    "young": "Suitable for your young age",
+    "middle": "Suitable for your middle age",
+    "old": "Suitable for your age",
+    "colour": "Similar to products you've viewed: {}",
+    "article": "You have shown interest in {}",
+    "season": "Suitable for {} season",
+    "none": "Recommended based on your preferences",
+}
+
+# Sub-categories of the two slots that a master category fills as well.
+ACCESSORY_SUBS = ("bags", "belts", "headwear", "watches")
+FOOTWEAR_SUBS = ("shoes", "sandal", "flip flops")
+
+# Weights of a user's stated styles and of the current product in a style profile.
+PREFERENCE_WEIGHT, CURRENT_WEIGHT = 1.5, 0.5

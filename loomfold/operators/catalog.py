@@ -86,3 +86,41 @@ def top_pool(products: DataFrame, n: int = 10) -> DataFrame:
 def top_products(products: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
     """n of the pool, drawn by a seeded shuffle."""
     return top_pool(products, n).orderBy(F.rand(seed)).limit(max(1, min(n, 50)))
+
+
+def match_stores(left: DataFrame, right: DataFrame, group=("category", "gender", "age_group"), most: float = 1000.0) -> DataFrame:
+    """id, other, step: for each product of one store that of the other with its slug, else with its name
+    and a price under a cent apart, else with its name, else with the nearest price of its group, if
+    less than `most` apart; of equal ones the least id. Both: id, slug, name, price and the group columns.
+
+    Prices are compared by cent keys and by the neighbours among a group's distinct prices: no pairs of a group are made."""
+    by_slug = right.where("slug is not null").groupBy("slug").agg(F.min("id").alias("by_slug"))
+    by_name = right.where("name is not null").groupBy("name").agg(F.min("id").alias("by_name"))
+    cent = F.floor(F.col("price") * 100)
+    near = left.select("id", "name", "price", F.explode(F.array(cent - 1, cent, cent + 1)).alias("cent"))
+    same = right.groupBy("name", "price").agg(F.min("id").alias("other_id")).select(F.col("name").alias("other_name"), F.col("price").alias("other_price"), F.floor(F.col("price") * 100).alias("other_cent"), "other_id")
+    near = near.join(same, (F.col("name") == F.col("other_name")) & (F.col("cent") == F.col("other_cent"))).where(F.abs(F.col("price") - F.col("other_price")) < 0.01)
+    by_price = near.groupBy("id").agg(F.min("other_id").alias("by_name_price"))
+    groups = list(group)
+    levels = right.groupBy(*groups, "price").agg(F.min("id").alias("least")).withColumn("level", F.struct("price", "least"))
+    asked = left.select(*groups, "price").distinct()
+    both = asked.join(levels, [*groups, "price"], "full")
+    order = Window.partitionBy(*groups).orderBy("price")
+    below = F.last("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("level", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    sides = F.array(*[F.struct(F.abs(F.col("price") - F.col(f"{s}.price")).alias("gap"), F.col(f"{s}.least").alias("other")) for s in ("below", "above")])
+    nearest = both.withColumns({"below": below, "above": above}).withColumn("best", F.array_min(F.filter(sides, lambda x: x["other"].isNotNull() & (x["gap"] < most))))
+    nearest = nearest.where("best is not null").select(*groups, "price", F.col("best.other").alias("by_gap"))
+    rows = left.join(by_slug, "slug", "left").join(by_price, "id", "left").join(by_name, "name", "left").join(nearest, [*groups, "price"], "left")
+    steps = ("by_slug", "by_name_price", "by_name", "by_gap")
+    step = F.coalesce(*[F.when(F.col(s).isNotNull(), s) for s in steps])
+    return rows.select("id", F.coalesce(*steps).alias("other"), step.alias("step")).where("other is not null")
+
+
+def bounded_pick(products: DataFrame, group: str, picks: int, limit: int = 10) -> DataFrame:
+    """group, outfit_index, product_id: from each group's `limit` best by score, else by a fifth of the
+    rating, the one at each index, or the last for indexes beyond them."""
+    order = Window.partitionBy(group).orderBy(F.desc(F.coalesce(F.col("score"), F.col("rating") / 5)), "product_id")
+    best = products.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
+    best = best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group))).withColumn("outfit_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(picks - 1).cast("long"))))
+    return best.where(F.col("r") == F.least(F.col("outfit_index") + 1, F.col("n"))).select(group, "outfit_index", "product_id")

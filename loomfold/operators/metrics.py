@@ -63,6 +63,25 @@ def suite(ranking: DataFrame, relevant: DataFrame, products: DataFrame, ks=(10,
     return out
 
 
+def graded(ranking: DataFrame, relevant: DataFrame, ks=(10, 20)) -> DataFrame:
+    """user_id and, for each k, recall and ndcg to four digits. relevant: user_id, product_id (distinct),
+    rating; a relevance is a fifth of the rating, 1 at most and without a rating. The ideal orders the
+    truth by relevance. Users with a truth and a ranking have a row."""
+    most = max(ks)
+    worth = relevant.select("user_id", "product_id", F.coalesce(F.least(F.col("rating") / 5, F.lit(1.0)), F.lit(1.0)).alias("rel"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("rel"), "product_id")
+    ideal = worth.withColumns({"r": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))}).where(F.col("r") <= most)
+
+    def gains(rank: str) -> list:
+        return [F.sum(F.when(F.col(rank) <= k, F.col("rel") / F.log2(F.col(rank) + 1.0)).otherwise(0.0)).alias(f"sum{k}") for k in ks]
+
+    best = ideal.groupBy("user_id").agg(F.first("n").alias("n"), *[g.alias(f"ideal{k}") for k, g in zip(ks, gains("r"))])
+    top = ranking.where(F.col("rank") <= most).select("user_id", "product_id", "rank").join(worth, ["user_id", "product_id"], "left")
+    hits = top.groupBy("user_id").agg(*[F.count_if((F.col("rank") <= k) & F.col("rel").isNotNull()).alias(f"hits{k}") for k in ks], *gains("rank"))
+    told = [c for k in ks for c in (F.round(F.col(f"hits{k}") / F.col("n"), 4).alias(f"recall_{k}"), F.round(F.coalesce(F.try_divide(f"sum{k}", f"ideal{k}"), F.lit(0.0)), 4).alias(f"ndcg_{k}"))]
+    return best.join(hits, "user_id").select("user_id", *told)
+
+
 BETTER = {"ndcg_10": max, "ndcg_20": max, "diversity": max, "coverage": max, "inference_time": min}
 
 

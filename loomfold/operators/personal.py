@@ -9,7 +9,7 @@ from loomfold.functions import columns as C
 from loomfold.functions import values as V
 from loomfold.operators.scoring import pair_weights, top_k
 
-NO_REASON = "Suggestions based on your interaction history"
+NO_REASON = V.NO_REASON
 
 
 def tokens(*columns: str) -> Column:
@@ -17,13 +17,49 @@ def tokens(*columns: str) -> Column:
     return F.array_distinct(F.transform(F.array_compact(F.array(*columns)), F.lower))
 
 
-def style_profile(interactions: DataFrame, products: DataFrame, columns=("base_colour", "usage", "article_type"), k: int = 20, scheme: str = "pipeline") -> DataFrame:
-    """user_id, token, weight, r: the k heaviest tokens of each user's products."""
+def style_profile(interactions: DataFrame, products: DataFrame, columns=("base_colour", "usage", "article_type"), k: int = 20, scheme: str = "pipeline", preferences: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
+    """user_id, token, weight, r: the k heaviest tokens of each user's products, of the styles that the
+    user states (preferences: user_id, token) and of the product looked at (current: user_id, product_id)."""
     known = products.select("product_id", F.explode(F.array_compact(F.array(*columns))).alias("token"))
-    sums = pair_weights(interactions, scheme).join(known, "product_id").groupBy("user_id", F.lower("token").alias("token")).agg(F.sum("w").alias("weight"))
+    sums = pair_weights(interactions, scheme).join(known, "product_id").select("user_id", F.lower("token").alias("token"), F.col("w").alias("weight"))
+    if preferences is not None:
+        sums = sums.unionByName(preferences.select("user_id", F.lower("token").alias("token"), F.lit(V.PREFERENCE_WEIGHT).alias("weight")))
+    if current is not None:
+        sums = sums.unionByName(current.join(known, "product_id").select("user_id", F.lower("token").alias("token"), F.lit(V.CURRENT_WEIGHT).alias("weight")))
+    sums = sums.groupBy("user_id", "token").agg(F.sum("weight").alias("weight"))
     return sums.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("weight"), "token"))).where(F.col("r") <= k)
 
 
+def favourite(history: DataFrame, products: DataFrame, column: str, first: int = 10, order=("ts", "l_orderkey", "l_linenumber", "product_id", "interaction_type")) -> DataFrame:
+    """user_id, column: the value most frequent among a user's first history items; of equal ones that seen first. Nulls don't count."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    items = history.withColumn("place", place).where(F.col("place") <= first).join(products.select("product_id", column), "product_id").where(F.col(column).isNotNull())
+    counts = items.groupBy("user_id", column).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("seen"))
+    return counts.groupBy("user_id").agg(F.min_by(column, F.struct(-F.col("n"), "seen")).alias(column))
+
+
+def slots(sub: Column, master: Column) -> Column:
+    """All slots that a product belongs to, sorted."""
+    s, m = F.lower(F.coalesce(sub, F.lit(""))), F.lower(F.coalesce(master, F.lit("")))
+    plain = [F.when(s == name, name) for name in ("topwear", "bottomwear", "dress", "innerwear")]
+    both = [F.when((m == "accessories") | s.isin(*V.ACCESSORY_SUBS), "accessory"), F.when((m == "footwear") | s.isin(*V.FOOTWEAR_SUBS), "footwear")]
+    return F.sort_array(F.array_compact(F.array(*plain, *both)))
+
+
+def reason(age: Column, user_gender: Column, product_gender: Column, colour: Column, top_colour: Column, article: Column, season: Column) -> Column:
+    """Why a product suits a user: the parts that hold, joined by `; `."""
+    said = lambda key, value: F.concat(*[x for part in zip(map(F.lit, V.REASONS[key].split("{}")), (value, None)) for x in part if x is not None])
+    mine, its = C.normal_gender(user_gender), C.normal_gender(product_gender)
+    parts = [
+        F.when(mine.isNotNull() & (its == mine) & its.isin("male", "female"), said("gender", mine)).when(mine.isNotNull() & (its == "unisex"), V.REASONS["unisex"]),
+        F.when(age.between(18, 35), V.REASONS["young"]).when(age.between(36, 50), V.REASONS["middle"]).when(age > 50, V.REASONS["old"]),
+        F.when(F.lower(colour) == F.lower(top_colour), said("colour", colour)).when(top_colour.isNotNull(), said("colour", top_colour)),
+        F.when(F.nullif(article, F.lit("")).isNotNull(), said("article", F.lower(article))),
+        F.when(F.nullif(season, F.lit("")).isNotNull(), said("season", F.lower(season))),
+    ]
+    return F.coalesce(F.nullif(F.concat_ws("; ", *parts), F.lit("")), F.lit(V.REASONS["none"]))
+
+
 def matched(candidates: DataFrame, style: DataFrame) -> DataFrame:
     """Adds `bonus`, the summed weights of a candidate's tokens in its user's style, and `found`, those
     of positive weight in the order of the tokens. candidates: user_id, product_id, tokens, ...

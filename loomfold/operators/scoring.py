@@ -152,3 +152,31 @@ def prioritised(candidates: DataFrame, k: int = 10) -> DataFrame:
     out = rows.select("request_id", "product_id", F.round(score, 9).alias("score"), "base_score", usage_match.alias("usage_match"), F.coalesce(match, F.lit(False)).alias("gender_match"))
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "product_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def matched_features(interactions: DataFrame, features: DataFrame, examples: int = 10) -> DataFrame:
+    """One row: interactions with a known product, how many products these are, how many distinct
+    product ids are not known, and the first of these by id."""
+    known = features.select("product_id").distinct()
+    ids = interactions.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    found = ids.join(known, "product_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched"), F.count(F.lit(1)).alias("products"))
+    lost = ids.join(known, "product_id", "left_anti")
+    shown = lost.orderBy("product_id").limit(examples).agg(F.array_join(F.sort_array(F.collect_list("product_id")), ",").alias("examples"))
+    return found.join(lost.agg(F.count(F.lit(1)).alias("skipped"))).join(shown).select("matched", "products", "skipped", "examples")  # one row each
+
+
+def content_vectors(profile: DataFrame, products: DataFrame, features=V.FEATURES) -> tuple[DataFrame, DataFrame]:
+    """Users (user_id, vector) and items (product_id, vector) of length one over the feature vocabulary,
+    whose dot product is the content score. The vocabulary is that of the facets, so vectors are short."""
+    index = feature_index(products, features)
+    size = index.count()
+
+    def dense(rows: DataFrame, key: str, weight: Column) -> DataFrame:
+        cells = F.map_from_entries(F.collect_list(F.struct(F.col("feature_index").cast("int"), weight)))
+        norm = F.sqrt(F.sum(weight * weight))
+        whole = rows.groupBy(key).agg(cells.alias("cells"), norm.alias("norm"))
+        value = lambda i: F.coalesce(F.try_divide(F.try_element_at("cells", i.cast("int")), F.col("norm")), F.lit(0.0))
+        return whole.select(key, F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), value).alias("vector"))
+
+    users = dense(profile.join(F.broadcast(index), ["feature", "value"]), "user_id", F.col("weight"))
+    return users, dense(encode(products, features), "product_id", F.lit(1.0))

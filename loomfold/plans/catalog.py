@@ -140,12 +140,6 @@ def export_evaluation(spark, d):
     return out
 
 
-@query("SNK07", "select * from (values ('cbf', 0.5), ('gnn', 0.25), ('hybrid', 0.75)) t(model, score)")
-def upsert_result(spark, d):
-    old = spark.createDataFrame([("cbf", 0.5), ("gnn", 0.25), ("hybrid", 0.1)], "model string, score double")
-    return S.upsert(old, spark.createDataFrame([("hybrid", 0.75)], old.schema), "model")
-
-
 @query("SNK11", "select l_orderkey, sum(l_quantity) as stock from lineitem where l_linenumber <> 1 group by 1 union all select l_orderkey, 0.0 from lineitem group by 1 having max(l_linenumber) = 1 and min(l_linenumber) = 1")
 def child_replace(spark, d):
     lines = S.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -221,7 +215,8 @@ simple("W10", """select product_id, rating from (select *, row_number() over (or
 simple("W10_shuffled", None, lambda p: K.top_products(p, 10, 7).select("product_id", "rating"))
 simple("W11", "select product_id, created_day from products order by created_day desc, product_id limit 20", lambda p: p.orderBy(*K.ordering("-created_day")).limit(20).select("product_id", "created_day"))
 simple("W12", "select user_id, product_id, ts from interactions order by ts desc, user_id, product_id, l_orderkey, l_linenumber limit 40", lambda i: i.orderBy(F.desc("ts"), "user_id", "product_id", "l_orderkey", "l_linenumber").limit(40).select("user_id", "product_id", "ts"), S.interactions)
-simple("W13", "select product_id from (select product_id, row_number() over (order by rating / 5 desc, product_id) as r from products) where r = 3", lambda p: p.orderBy(*K.ordering("-rating")).limit(10).withColumn("r", F.row_number().over(Window.orderBy(*K.ordering("-rating")))).where("r = 3").select("product_id"))
+simple("W13", "select sub_category, outfit_index, product_id from (select *, row_number() over (partition by sub_category order by coalesce(score, rating / 5) desc, product_id) as r, least(10, count(*) over (partition by sub_category)) as n from (select p.*, case when num_reviews % 3 = 0 then num_reviews / 40.0 end as score from products p)), generate_series(0, 12) g(outfit_index) where r = least(outfit_index + 1, n)",
+       lambda p: K.bounded_pick(p.withColumn("score", F.when(F.col("num_reviews") % 3 == 0, F.col("num_reviews") / 40.0)), "sub_category", 13))
 simple("W16", "select base_colour, dense_rank() over (order by base_colour) - 1 as index from (select distinct base_colour from products)", lambda p: p.select("base_colour").distinct().withColumn("index", (F.dense_rank().over(Window.orderBy("base_colour")) - 1).cast("long")))
 simple("W17", "select o_orderkey, o_orderdate from orders where o_custkey = 11 order by o_orderdate desc, o_orderkey limit 10", lambda o: o.where("o_custkey = 11").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(10).select("o_orderkey", "o_orderdate"), lambda s, d: S.table(s, d, "orders"))
 simple("W18", "select distinct base_colour from products order by 1 limit 6", lambda p: p.select("base_colour").distinct().orderBy("base_colour").limit(6))
@@ -269,7 +264,6 @@ simple("S08", f"select product_id, {KEY_SQL} as key from products", lambda p: p.
 simple("S12", f"select user_id, array_to_string({ALLOWED_SQL}, ',') as allowed from users", lambda u: u.select("user_id", F.array_join(C.allowed_genders(F.col("age"), F.col("gender")), ",").alias("allowed")), S.users)
 simple("S13", "select user_id, case when age <= 12 then 'kid' when age <= 19 then 'teen' else 'adult' end as age_group from users", lambda u: u.select("user_id", C.age_group(F.col("age")).alias("age_group")), S.users)
 simple("S14", "select product_id, lower(concat_ws(',', usage, base_colour, article_type)) as tokens from products", lambda p: p.select("product_id", F.array_join(F.transform(F.array_compact(F.array("usage", "base_colour", "article_type")), F.lower), ",").alias("tokens")))
-simple("S15", "select product_id, concat_ws('; ', case when rating >= 4 then 'Rated highly' end, case when sale > 0 then 'on sale' end) as reason from products", lambda p: p.select("product_id", F.concat_ws("; ", F.when(F.col("rating") >= 4, "Rated highly"), F.when(F.col("sale") > 0, "on sale")).alias("reason")))
 LABELS_SQL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in V.LABELS.items()) + "}"
 simple("S17", f"select distinct article_type, case when coalesce(article_type, '') = '' then 'product' else coalesce({LABELS_SQL}[lower(article_type)], article_type) end as label from products",
        lambda p: p.select("article_type", F.when(F.coalesce("article_type", F.lit("")) == "", "product").otherwise(C.lookup(V.LABELS, F.lower("article_type"), F.col("article_type"))).alias("label")).distinct())

@@ -14,16 +14,13 @@ from loomfold.operators import outfits as O
 from loomfold.operators import personal, scoring, training
 from loomfold.operators.response import respond
 from loomfold.plans import recommend as R
+from loomfold.plans import reports as P
 from loomfold.plans.catalog import ALLOWED_SQL, KEY_SQL
 from loomfold.plans.recommend import CONTENT, DIMS
 from loomfold.plans.registry import query
 from loomfold.sources import artifacts as A
 from loomfold.sources import tables as S
 
-RESULTS = [("cbf", "ndcg", 10, 0.25), ("cbf", "recall", 20, 0.5), ("gnn", "ndcg", 10, 0.125)]
-RESULTS_SQL = "select * from (values ('cbf', 'ndcg', 10, 0.25), ('cbf', 'recall', 20, 0.5), ('gnn', 'ndcg', 10, 0.125)) t(model, metric, k, value)"
-
-
 @query("SRC15", "select 'prices' as name, true as restored, count(*) as n from products union all select 'empty', false, count(*) from products union all select 'missing', false, count(*) from products")
 def restore_artifacts(spark, d):
     prices = S.products(spark, d).select("product_id", "price")
@@ -38,17 +35,17 @@ def restore_artifacts(spark, d):
     return out
 
 
-@query("SRC17", RESULTS_SQL)
+@query("SRC17", P.LONG, P.RESULTS)
 def comparison(spark, d):
     at = A.path(spark, "comparison")
-    A.write_comparison(spark.createDataFrame(RESULTS, A.COMPARISON), at)
+    A.write_comparison(P.long_results(spark, d), at)
     return A.read_comparison(spark, at)
 
 
-@query("SNK08", RESULTS_SQL)
+@query("SNK08", P.LONG, P.RESULTS)
 def evaluation_log(spark, d):
     at = A.path(spark, "log")
-    A.write_log(spark.createDataFrame(RESULTS, A.COMPARISON), at)
+    A.write_log(P.long_results(spark, d), at)
     return A.read_log(spark, at)
 
 
@@ -223,13 +220,16 @@ def experiment(spark, d):
     features = scoring.encode(products)
     results = spark.createDataFrame([("hybrid", "recall", 10, -1.0)], A.COMPARISON)  # of an earlier run: it gives way
     rankings, seconds = {}, {}
+    vectors = content = None
     for model in ("cbf", "gnn", "hybrid"):
         began = time.monotonic()
-        if model == "hybrid":  # the blend of both models' lists
-            scores = scoring.hybrid(*[rankings[m].select("user_id", "product_id", "score") for m in ("gnn", "cbf")])
-            ranked = scoring.top_k(scores, 20)
-        else:
-            ranked = R._ranking(spark, d) if model == "cbf" else trained_ranking(spark, d)
+        if model == "cbf":
+            ranked, content = R._ranking(spark, d), R._content_vectors(spark, d)
+        elif model == "gnn":
+            vectors, _ = _trained(spark, d, 3)
+            ranked = R._dense(vectors, TRAINED)
+        else:  # the blend of both models' whole score tables
+            ranked = G.dense_hybrid(R._sides(vectors, TRAINED), content)
         at = A.path(spark, f"ranking-{model}")
         ranked.select("user_id", "product_id", "score", "rank").write.mode("overwrite").parquet(at)
         rankings[model], seconds[model] = spark.read.parquet(at), time.monotonic() - began
@@ -241,9 +241,13 @@ def experiment(spark, d):
     return results
 
 
-@query("E10", "select * from (values ('cbf', 'training_time', 2.0), ('cbf', 'inference_time', 2.0), ('gnn', 'training_time', 3.0), ('gnn', 'inference_time', 3.0), ('hybrid', 'training_time', 5.0), ('hybrid', 'inference_time', 5.001)) t(model, metric, value)")
+_TIMED = "select model, inference_time as t from results where model <> 'hybrid' union all select 'hybrid', sum(inference_time) from results where model <> 'hybrid'"
+
+
+@query("E10", f"select model, 'training_time' as metric, t as value from ({_TIMED}) union all select model, 'inference_time', t + case when model = 'hybrid' then {M.BLEND_SECONDS} else 0 end from ({_TIMED})", P.RESULTS)
 def times(spark, d):
-    return spark.createDataFrame([(m, k, v) for m, t in M.timings({"cbf": 2.0, "gnn": 3.0, "hybrid": 0.1}).items() for k, v in t.items()], "model string, metric string, value double")
+    seconds = {r["model"]: r["inference_time"] for r in P.model_results(spark, d).collect()}  # a row a model
+    return spark.createDataFrame([(m, k, v) for m, t in M.timings(seconds).items() for k, v in t.items()], "model string, metric string, value double")
 
 
 # candidates with the user's style

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.functions import values as V
+from loomfold.operators import catalog as K
 from loomfold.operators import metrics as M
-from loomfold.operators import scoring
+from loomfold.operators import personal, scoring
 from loomfold.plans.catalog import KEY_SQL, simple
 from loomfold.plans.recommend import CONTENT, TRUTH, _ranking
 from loomfold.plans.registry import query
@@ -52,32 +53,42 @@ def favourites(spark, d):
     return mine.join(S.products(spark, d).select("product_id"), "product_id", "left_semi").select("user_id", "product_id")
 
 
-@query("J17", "select product_id, other from (select a.product_id, b.product_id as other, row_number() over (partition by a.product_id order by abs(a.price - b.price), b.product_id) as r from products a join products b on a.article_type = b.article_type and a.gender = b.gender and a.base_colour = b.base_colour and a.product_id <> b.product_id where abs(a.price - b.price) < 1000) where r = 1")
-def nearest_price(spark, d):
-    # the nearest price is the own one, the next lower or the next higher: no pairs of a group are made
-    p = S.products(spark, d).select("product_id", "price", "article_type", "gender", "base_colour")
-    group = ["article_type", "gender", "base_colour"]
-    order, level = Window.partitionBy(*group).orderBy("price"), F.struct("price", "least")
-    prices = p.groupBy(*group, "price").agg(F.min("product_id").alias("least")).select(*group, "price", F.lag(level).over(order).alias("lower"), F.lead(level).over(order).alias("higher"))
-    same = Window.partitionBy(*group, "price").orderBy("product_id")
-    own = p.withColumn("twin", F.when(F.row_number().over(same) == 1, F.lead("product_id").over(same)).otherwise(F.first("product_id").over(same)))
-    sides = [F.struct(F.lit(0.0).alias("gap"), F.col("twin").alias("other"))] + [F.struct(F.abs(F.col("price") - F.col(f"{s}.price")).alias("gap"), F.col(f"{s}.least").alias("other")) for s in ("lower", "higher")]
-    best = F.array_min(F.filter(F.array(*sides), lambda s: s["other"].isNotNull() & (s["gap"] < 1000)))
-    return own.join(prices, [*group, "price"]).select("product_id", best["other"].alias("other")).where("other is not null")
+STORES = """here as (select product_id as id, case when k % 5 = 0 then 's' || k end as slug, name, price, article_type as category, gender, case when gender in ('Boys', 'Girls') then 'kid' else 'adult' end as age_group from (select *, cast(product_id as bigint) as k from products)),
+there as (select 'b' || product_id as id, case when k % 3 = 0 then 's' || k end as slug, case when k % 2 = 0 then name end as name, price + case when k % 4 = 0 then 0 else k % 11 end as price, article_type as category, gender, case when gender in ('Boys', 'Girls') then 'kid' else 'adult' end as age_group from (select *, cast(product_id as bigint) as k from products) where k % 7 <> 0)"""
 
 
-@query("A29", f"select cast(product_id as bigint) // 5 as outfit_id, round(sum(rating), 6) as score, round(count(distinct {KEY_SQL}) filter ({KEY_SQL} in ('accessories','bottomwear','footwear','topwear')) / 4, 6) as completeness from products group by 1")
+@query("J17", """select id, other, ['by_slug', 'by_name_price', 'by_name', 'by_gap'][step] as step from (select a.id, b.id as other, step, row_number() over (partition by a.id order by step, case when step = 4 then abs(a.price - b.price) end, b.id) as r
+from here a join there b on a.slug = b.slug or a.name = b.name or a.category = b.category and a.gender = b.gender and a.age_group = b.age_group,
+  lateral (select case when a.slug = b.slug then 1 when a.name = b.name and abs(a.price - b.price) < 0.01 then 2 when a.name = b.name then 3 when a.category = b.category and a.gender = b.gender and a.age_group = b.age_group and abs(a.price - b.price) < 1000 then 4 end as step) where step is not null) where r = 1""", STORES)
+def match_stores(spark, d):
+    """The catalog against a second store with other slugs, names and prices."""
+    k = F.col("product_id").cast("bigint")
+    kept = [F.col("article_type").alias("category"), "gender", F.when(F.col("gender").isin("Boys", "Girls"), "kid").otherwise("adult").alias("age_group")]
+    slug = F.concat(F.lit("s"), k.cast("string"))
+    here = S.products(spark, d).select(F.col("product_id").alias("id"), F.when(k % 5 == 0, slug).alias("slug"), "name", "price", *kept)
+    there = S.products(spark, d).where(k % 7 != 0).select(F.concat(F.lit("b"), "product_id").alias("id"), F.when(k % 3 == 0, slug).alias("slug"), F.when(k % 2 == 0, F.col("name")).alias("name"), (F.col("price") + F.when(k % 4 == 0, 0).otherwise(k % 11)).alias("price"), *kept)
+    return K.match_stores(here, there)
+
+
+_OUTFITS = f"outfit_totals as (select cast(product_id as bigint) // 5 as outfit_id, round(sum(rating), 6) as score, round(count(distinct {KEY_SQL}) filter ({KEY_SQL} in ('accessories','bottomwear','footwear','topwear')) / 4, 6) as completeness from products group by 1)"
+
+
+@query("A29", "select *, round((select sum(score) / count(*) from outfit_totals), 4) as mean_score from outfit_totals", _OUTFITS)
 def outfit_scores(spark, d):
     slot = C.lookup(V.CATEGORY_KEYS, F.col("sub_category"))
     rows = S.products(spark, d).select(F.floor(F.col("product_id").cast("bigint") / 5).alias("outfit_id"), "rating", F.when(slot.isin(*V.SLOTS), slot).alias("slot"))
-    return rows.groupBy("outfit_id").agg(F.round(F.sum("rating"), 6).alias("score"), F.round(F.count_distinct("slot") / 4, 6).alias("completeness"))
+    each = rows.groupBy("outfit_id").agg(F.round(F.sum("rating"), 6).alias("score"), F.round(F.count_distinct("slot") / 4, 6).alias("completeness"))
+    return each.join(F.broadcast(each.agg(F.round(F.sum("score") / F.count(F.lit(1)), 4).alias("mean_score"))))  # one row
 
 
 simple("A30", "select case when try_cast(product_id as bigint) is not null then 'integer' else 'text' end as kind, count(*) as n from event_rows group by 1", lambda e: e.groupBy(F.when(F.col("product_id").try_cast("bigint").isNotNull(), "integer").otherwise("text").alias("kind")).agg(F.count(F.lit(1)).alias("n")), S.events)
 simple("W14", "select sub_category, t, product_id from (select sub_category, product_id, row_number() over (partition by sub_category order by rating desc, product_id) - 1 as place, count(*) over (partition by sub_category) as n from products), generate_series(1, 5) g(t) where place = (t - 1) % n",
        lambda p: p.withColumn("place", F.row_number().over(Window.partitionBy("sub_category").orderBy(F.desc("rating"), "product_id")) - 1).where("place < 5").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sub_category"))).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(F.col("place") == F.pmod(F.col("t") - 1, F.col("n"))).select("sub_category", "t", "product_id"))
 simple("W15", "select product_id from products order by rating desc, product_id limit 10", lambda p: p.orderBy(F.desc("rating"), "product_id").limit(10).select("product_id"))
-simple("S09", f"select product_id, concat_ws(',', case when {KEY_SQL} = 'footwear' then 'shoes' end, case when master_category = 'Apparel' then 'wear' end) as slots from products", lambda p: p.select("product_id", F.concat_ws(",", F.when(C.lookup(V.CATEGORY_KEYS, F.col("sub_category")) == "footwear", "shoes"), F.when(F.col("master_category") == "Apparel", "wear")).alias("slots")))
+_sub, _master = "lower(coalesce(sub_category, ''))", "lower(coalesce(master_category, ''))"
+simple("S09", f"""select product_id, array_to_string(list_sort(list_filter([{", ".join(f"case when {_sub} = '{n}' then '{n}' end" for n in ("topwear", "bottomwear", "dress", "innerwear"))},
+  case when {_master} = 'accessories' or {_sub} in {V.ACCESSORY_SUBS} then 'accessory' end, case when {_master} = 'footwear' or {_sub} in {V.FOOTWEAR_SUBS} then 'footwear' end], lambda x: x is not null)), ',') as slots from products""",
+       lambda p: p.select("product_id", F.array_join(personal.slots(F.col("sub_category"), F.col("master_category")), ",").alias("slots")))
 simple("S16", "select user_id, string_agg(distinct product_id, ' + ' order by product_id) as said from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("product_id")), " + ").alias("said")), S.interactions)
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)
@@ -94,12 +105,17 @@ def global_diversity(spark, d):
     return M.intra_list(shown, scoring.encode(S.products(spark, d)), 1).select(F.round("ild", 6).alias("diversity"))
 
 
-@query("E09", """select user_id, round(coalesce(sum(case when t.product_id is not null then r.rating / 5 * 1 / log2(rank + 1) end), 0), 4) as graded_dcg from (select ranking.*, least(p.rating, 5) as rating from ranking join products p using (product_id) where rank <= 10) r left join truth t using (user_id, product_id) group by 1""", CONTENT + "," + TRUTH)
+_GRADED = CONTENT + "," + TRUTH + """,
+worth as (select user_id, product_id, coalesce(least(rating / 5, 1.0), 1.0) as rel from truth left join products using (product_id)),
+ideal as (select user_id, any_value(n) as n, sum(case when r <= 10 then rel / log2(r + 1) else 0 end) as i10, sum(rel / log2(r + 1)) as i20 from (
+  select *, row_number() over (partition by user_id order by rel desc, product_id) as r, count(*) over (partition by user_id) as n from worth) where r <= 20 group by 1),
+gained as (select user_id, count(rel) filter (rank <= 10) as h10, count(rel) as h20, coalesce(sum(case when rank <= 10 then rel / log2(rank + 1) end), 0) as d10, coalesce(sum(rel / log2(rank + 1)), 0) as d20 from ranking left join worth using (user_id, product_id) group by 1)"""
+
+
+@query("E09", "select user_id, round(h10 / n, 4) as recall_10, round(d10 / i10, 4) as ndcg_10, round(h20 / n, 4) as recall_20, round(d20 / i20, 4) as ndcg_20 from ideal join gained using (user_id)", _GRADED)
 def graded(spark, d):
-    top = _ranking(spark, d).where("rank <= 10").join(S.products(spark, d).select("product_id", "rating"), "product_id")
-    relevant = M.truth(S.interactions(spark, d)).withColumn("hit", F.lit(1))
-    gain = F.when(F.col("hit") == 1, F.least(F.col("rating") / 5, F.lit(1.0)) / F.log2(F.col("rank") + 1.0))
-    return top.join(relevant, ["user_id", "product_id"], "left").groupBy("user_id").agg(F.round(F.coalesce(F.sum(gain), F.lit(0.0)), 4).alias("graded_dcg"))
+    relevant = M.truth(S.interactions(spark, d)).join(S.products(spark, d).select("product_id", "rating"), "product_id", "left")
+    return M.graded(_ranking(spark, d), relevant)
 
 
 simple("X18", "select product_id, concat_ws(' ', name, article_type, base_colour, usage, gender) as text from products", lambda p: p.select("product_id", F.concat_ws(" ", "name", "article_type", "base_colour", "usage", "gender").alias("text")))

@@ -47,10 +47,10 @@ def user_profiles(spark, d):
     return _short(_profile(spark, d))
 
 
-@query("J02", "select count(*) as matched, count(distinct product_id) as products from interactions join (select distinct product_id from cells) using (product_id)", CELLS)
+@query("J02", """select (select count(*) from event_rows where product_id in (select product_id from cells)) as matched, (select count(distinct product_id) from event_rows where product_id in (select product_id from cells)) as products,
+(select count(distinct product_id) from event_rows where product_id not in (select product_id from cells)) as skipped, (select coalesce(string_agg(product_id, ',' order by product_id), '') from (select distinct product_id from event_rows where product_id not in (select product_id from cells) order by 1 limit 10)) as examples""", CELLS)
 def matched_features(spark, d):
-    known = scoring.encode(S.products(spark, d)).select("product_id").distinct()
-    return S.interactions(spark, d).join(known, "product_id").agg(F.count(F.lit(1)).alias("matched"), F.count_distinct("product_id").alias("products"))
+    return scoring.matched_features(S.events(spark, d), scoring.encode(S.products(spark, d)))
 
 
 @query("A02", "select user_id, count(w) as interaction_count, coalesce(sum(w), 0.0) as total_weight, round(coalesce(sum(w) / count(w), 0.0), 6) as avg_weight from users left join weighted using (user_id) group by 1")
@@ -98,9 +98,14 @@ def sparsity(spark, d):
     return rows.select("stage", "rows", "users", "products", F.round("density", 9).alias("density"), F.round(F.col("density") - first, 9).alias("improvement"))
 
 
-@query("A22", """select * from (select user_id, token, sum(w) as weight, row_number() over (partition by user_id order by sum(w) desc, token) as r from weighted join (select product_id, lower(value) as token from products unpivot (value for f in (base_colour, usage, article_type))) using (product_id) group by 1, 2) where r <= 20""")
+@query("A22", f"""select * from (select user_id, token, sum(w) as weight, row_number() over (partition by user_id order by sum(w) desc, token) as r from (
+  select user_id, token, w from weighted join t using (product_id) union all select user_id, lower(segment), {V.PREFERENCE_WEIGHT} from users union all select user_id, token, {V.CURRENT_WEIGHT} from users join t on t.product_id = cast(cast(user_id as bigint) % 100 + 1 as varchar)) group by 1, 2) where r <= 20""",
+       "t as (select product_id, lower(value) as token from products unpivot (value for f in (base_colour, usage, article_type)))")
 def style_profile(spark, d):
-    return personal.style_profile(S.interactions(spark, d), S.products(spark, d))
+    """History, the segment as the user's stated style, and a product looked at."""
+    users = S.users(spark, d)
+    current = users.select("user_id", (F.col("user_id").cast("bigint") % 100 + 1).cast("string").alias("product_id"))
+    return personal.style_profile(S.interactions(spark, d), S.products(spark, d), preferences=users.select("user_id", F.col("segment").alias("token")), current=current)
 
 
 @query("X01", "select product_id, feature, value, feature_index from cells join (select feature, value, row_number() over (order by list_position(['master_category','sub_category','article_type','base_colour','usage'], feature), value) - 1 as feature_index from (select distinct feature, value from cells)) using (feature, value)", CELLS)
@@ -278,12 +283,34 @@ graph_scores as (select substr(u.node, 3) as user_id, substr(p.node, 3) as produ
 graph_ranking as (select * from (select *, row_number() over (partition by user_id order by score desc, product_id) as rank from graph_scores) where rank <= 20)"""
 
 
-def _dense(nodes, dims=DIMS):
-    """Each user's 20 best products by dot product, of a stored table of vectors."""
+def _sides(nodes, dims=DIMS):
     vectors = nodes.select("node", F.array(*dims).alias("vector"))
     users = vectors.where("node like 'u:%'").select(F.expr("substring(node, 3)").alias("user_id"), "vector")
-    items = vectors.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
-    return G.dense_top_k(users, items, 20)
+    return users, vectors.where("node like 'p:%'").select(F.expr("substring(node, 3)").alias("product_id"), "vector")
+
+
+def _dense(nodes, dims=DIMS):
+    """Each user's 20 best products by dot product, of a stored table of vectors."""
+    return G.dense_top_k(*_sides(nodes, dims), 20)
+
+
+def _content_vectors(spark, d):
+    users, items = scoring.content_vectors(_profile(spark, d), S.products(spark, d))
+    return materialise(users, "content-users"), materialise(items, "content-items")
+
+
+X07_WHOLE = GRAPH + "," + CONTENT.replace("ranking as (select", "content_ranking as (select") + """,
+every as (select user_id, product_id, g.score as g, coalesce(c.score, 0) as c from (select substr(u.node, 3) as user_id, substr(p.node, 3) as product_id, list_dot_product(u.v, p.v) as score from vectors u, vectors p where starts_with(u.node, 'u:') and starts_with(p.node, 'p:')) g left join scored c using (user_id, product_id)),
+ends as (select min(g) as g0, max(g) - min(g) as gr, min(c) as c0, max(c) - min(c) as cr from every),
+blended as (select user_id, product_id, round(0.5 * (g - g0) / gr + 0.5 * (c - c0) / cr, 6) as score from every, ends)"""
+
+
+@query("X07_whole", "select user_id, max(score) as best, count(*) filter (rank <= 20) as n, cast(round(sum(cast(round(score * 1000000) as bigint)) filter (rank <= 20) / 1000) as bigint) as total from (select *, row_number() over (partition by user_id order by score desc, product_id) as rank from blended) group by 1", X07_WHOLE)
+def hybrid_whole(spark, d):
+    """The blend of the whole graph and content score tables: each user's best score and the sum of the 20 best, in thousandths."""
+    nodes = _nodes(spark, d)
+    best = G.dense_hybrid(_sides(nodes), _content_vectors(spark, d))
+    return best.groupBy("user_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("score") * 1000000).cast("bigint")) / 1000).cast("bigint").alias("total"))
 
 
 query("X05", "select user_id, product_id, score, rank from graph_ranking", GRAPH)(lambda spark, d: _dense(_nodes(spark, d)).select("user_id", "product_id", "score", "rank"))

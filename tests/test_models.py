@@ -226,3 +226,22 @@ def test_exact_quantiles(spark, values, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     assert quantiles.exact(df, "v", qs) == (pytest.approx(np.quantile(values, qs).tolist()) if values else [None] * 6)
+
+
+def test_hybrid_of_whole_tables(spark):
+    """Against all pairs; a product and a user without a content vector."""
+    rng = np.random.default_rng(8)
+    g_users, g_items, c_users, c_items = (rng.normal(size=(n, k)) for n, k in ((7, 3), (9, 3), (6, 4), (8, 4)))
+    c_users, c_items = abs(c_users), abs(c_items)
+
+    def frame(rows, key, name):
+        return spark.createDataFrame([(f"{name}{i}", list(map(float, v))) for i, v in enumerate(rows)], f"{key} string, vector array<double>")
+
+    sides = [(frame(u, "user_id", "u"), frame(i, "product_id", "p")) for u, i in ((g_users, g_items), (c_users, c_items))]
+    got = {(r["user_id"], r["product_id"]): (r["score"], r["rank"]) for r in graph.dense_hybrid(*sides, alpha=0.3, k=4).collect()}
+    g, c = g_users @ g_items.T, np.zeros((7, 9))
+    c[:6, :8] = c_users @ c_items.T
+    real = c[:6, :8]
+    both = 0.3 * (g - g.min()) / (g.max() - g.min()) + 0.7 * (c - real.min()) / (real.max() - real.min())
+    want = {(f"u{u}", f"p{p}"): (round(both[u, p], 6), r + 1) for u in range(7) for r, p in enumerate(np.argsort(-both[u])[:4])}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
