@@ -59,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scope(spark) as kept:
         for name, stage in STAGES:
             with scope(spark) as own:
-                docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+                out = stage(spark, docs, sf_dir)
+                plain = out.toDF(*[f"c{i}" for i in range(len(out.columns))])  # names may clash in a file
+                docs = materialise(plain, f"stage-{name}").toDF(*out.columns)
                 own.append(docs)
         kept.append(docs)
     return docs
