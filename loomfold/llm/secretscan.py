@@ -12,12 +12,13 @@ what the text of the value looks like (length, kinds of characters, entropy, pla
 literals of an assignment that reaches the threshold are secrets, as are those that a sensitive
 name reaches through other names.
 
-Defined cases: a null text is empty and has no secrets; texts are scanned whole; matches of a kind
+Defined cases: a null text is empty and has no secrets; texts are scanned whole, in linear time; matches of a kind
 don't overlap; a span found twice is listed once; repeated rows are scanned alike.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -46,8 +47,51 @@ LEAST_LITERAL, THRESHOLD = 8, 4.0
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
 _PREFIX = r"(?:(?:[bB][rR]?|[rR][bBfF]?|[fF][rR]?|[uU]|u8|L|[$]?@|[$])(?=[\"']))?"
-LEXEME = re.compile(rf"""(?P<triple>{_PREFIX}(?:\"{{3}}(?:[^"\\]|\\.|"(?!""))*\"{{3}}|'{{3}}(?:[^'\\]|\\.|'(?!''))*'{{3}}))|(?P<double>{_PREFIX}"(?:[^"\\\n]|\\.)*")|(?P<single>(?<!\w){_PREFIX}'(?:[^'\\\n]|\\.)*'(?!\w))|(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n)|(?P<other>[^\s])""", re.S)
-STRINGS = ("double", "single", "triple")
+# Kinds of strings: the opening quote, what may be inside, the closing quote.
+QUOTED = {
+    "triple": (r"\"{3}", r"(?:[^\"\\]|\\.|\"(?!\"\"))*+", r"\"{3}"),
+    "triple_single": (r"'{3}", r"(?:[^'\\]|\\.|'(?!''))*+", r"'{3}"),
+    "double": (r"\"", r"(?:[^\"\\\n]|\\.)*+", r"\""),
+    "single": (r"'", r"(?:[^'\\\n]|\\.)*+", r"'(?!\w)"),
+}
+OPENED = {kind: re.compile(start + inner, re.S) for kind, (start, inner, _) in QUOTED.items()}
+CLOSED = {kind: re.compile(end) for kind, (_, _, end) in QUOTED.items()}
+STRINGS = tuple(QUOTED)
+
+
+@functools.cache
+def _lexeme(kinds: tuple[str, ...]) -> re.Pattern:
+    """The lexemes, with strings of these kinds."""
+    said = [rf"(?P<{k}>{'(?<!' + chr(92) + 'w)' if k == 'single' else ''}{_PREFIX}{''.join(QUOTED[k])})" for k in kinds]
+    rest = rf"(?P<name>{_NAME})|(?P<number>[0-9][A-Za-z0-9_.]*)|(?P<comment>\#[^\n]*|//[^\n]*)|(?P<bind>:=|=>|=(?!=)|:(?!:))|(?P<plus>\+)|(?P<line>\n\s*)|(?P<other>[^\s])"
+    return re.compile("|".join([*said, rest]), re.S)
+
+
+class Lexer:
+    """Lexemes of a text. A quote that opens no string is a lexeme by itself, and so are all of its kind up to where the
+    search for its end stopped: that stretch is remembered, so that a text of open quotes takes linear time."""
+
+    def __init__(self, text: str, end: int) -> None:
+        self.text, self.end = text, end
+        self.open = dict.fromkeys(STRINGS, (0, 0))
+        self.past = 0  # the end of all these stretches
+
+    def at(self, start: int) -> re.Match | None:
+        shut = [k for k, (first, last) in self.open.items() if first <= start < last] if start < self.past else ()
+        token = _lexeme(STRINGS if not shut else tuple(k for k in STRINGS if k not in shut)).search(self.text, start, self.end)
+        if token is None:
+            return None
+        if shut and any(token.start() >= self.open[k][1] for k in shut):
+            return self.at(token.start())
+        if token[0] in ('"', "'", '""', "''"):
+            for kind in STRINGS:
+                tried = kind not in shut and OPENED[kind].match(self.text, token.start(), self.end)
+                if tried and not CLOSED[kind].match(self.text, tried.end(), self.end):
+                    self.open[kind] = token.start(), tried.end()
+                    self.past = max(self.past, tried.end())
+        return token
+
+
 BARE = re.compile(r"""[^\s"',;#]+""")
 BARE_INSIDE = re.compile(r"""[^\s"',;#)\]]+""")
 PATH = r"[A-Za-z_$@][\w.]*(?:(?:::|->|\?\.)[A-Za-z_][\w.]*)*"
@@ -125,6 +169,10 @@ Literal = tuple[int, int, str]
 Part = tuple[str | None, Literal | None]
 
 
+def _quotes(token: re.Match) -> int:
+    return 3 if token.lastgroup.startswith("triple") else 1
+
+
 def _typed(text: str, at: int) -> int | None:
     """The end of `type =`, if that is what stands after a colon."""
     found = TYPED.match(text, at)
@@ -147,8 +195,10 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
     end, text; None where the name may belong to other text), or None with a literal. `known` are names bound so far."""
     end = len(text) if end is None else end
 
+    lexer = Lexer(text, end)
+
     def after(token):
-        return LEXEME.search(text, token.end(), end)
+        return lexer.at(token.end())
 
     def past_lines(token):
         while token is not None and token.lastgroup in ("line", "comment"):
@@ -160,14 +210,14 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
         return then is not None and then.lastgroup == "bind"
 
     def inside(token) -> str:
-        quote = 3 if token.lastgroup == "triple" else 1
+        quote = _quotes(token)
         return token[0][min(i for i in (token[0].find('"'), token[0].find("'")) if i >= 0) + quote : -quote]
 
     names: list[str] = []
     words: list[str] = []  # the names in a row before this token
     level = 0  # brackets open
     frames: list[tuple] = []  # values in which a call or an index is open: (level, names, value, crossed, depth)
-    token = LEXEME.search(text, start, end)
+    token = lexer.at(start)
     while token is not None:
         kind, resumed = token.lastgroup, None
         if kind == "other" and token[0] in "([{":
@@ -201,7 +251,7 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
             if at is not None:
                 kind_of = text[token.end() : at - 1].strip()
                 names = [*names, kind_of] if re.fullmatch(_NAME, kind_of) and name_score(kind_of) >= 2 else names  # prose: `said it: db_pwd = "x"`
-            token = after(token) if at is None else LEXEME.search(text, at, end)
+            token = after(token) if at is None else lexer.at(at)
             first = past_lines(token)
             if first is not token and first is not None and first.lastgroup in STRINGS and not bound_itself(first):
                 token = first
@@ -234,14 +284,15 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                 if bound_itself(token) and (value or depth or crossed):
                     break
                 said = inside(token)
-                stop = token.end() - (3 if kind == "triple" else 1)
+                stop = token.end() - _quotes(token)
                 value.append((None, (stop - len(said), stop, said)))
             elif kind in ("name", "number") and joins:
                 then = after(token)
                 if then is not None and then.lastgroup == "bind" and kind == "name":
                     spaced = then.start() > token.end()
                     if then[0] in ("=", ":=") and not value and not depth and (spaced or LITERAL.match(text, then.end())):
-                        names, token = [*names, token[0]], after(then)  # a = b = "x"
+                        names.append(token[0])  # a = b = "x"
+                        token = after(then)
                         continue
                     if value or depth or crossed:
                         break
@@ -249,7 +300,7 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                 if call:
                     level += depth
                     frames.append((level, names, value, crossed, depth))
-                    token, called = LEXEME.search(text, call.end(), end), True
+                    token, called = lexer.at(call.end()), True
                     break
                 bare = (BARE_INSIDE if depth else BARE).match(text, token.start())[0]
                 plain = kind == "name" and text[token.end() : token.end() + 1] == "+" and (token[0] in known or LITERAL.match(text, token.end() + 1))
@@ -258,7 +309,7 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                         break
                     if opaque(bare):
                         value.append((None, (token.start(), token.start() + len(bare), bare)))
-                    token, joins = LEXEME.search(text, token.start() + len(bare), end), False
+                    token, joins = lexer.at(token.start() + len(bare)), False
                     continue
                 value.append((token[0], (*token.span(), token[0]) if not crossed and opaque(token[0]) else None))
             else:

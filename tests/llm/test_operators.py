@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -51,16 +52,16 @@ def test_secret_assignments_and_constants():
     assert "k9-Zq81_Lm" not in secretscan.redact(text) and secretscan.redact("plain text: nothing") == "plain text: nothing"
 
 
-def found_literals(text):
+def foundfound_literals(text):
     return {text[s:e] for s, e, k in secretscan.scan(text)[1] if k == "literal"}
 
 
 def test_secret_chains_are_whole():
     many = [f"Zq{i:04d}x" for i in range(200)]
-    assert found_literals("db_pwd = " + " + ".join(f'"{m}"' for m in many)) == set(many)
+    assert foundfound_literals("db_pwd = " + " + ".join(f'"{m}"' for m in many)) == set(many)
     steps = "s = ''\n" + "".join(f"s = s + '{m}'\n" for m in many)
-    assert found_literals(steps + "db_pwd = s\n") == set(many)
-    assert found_literals("a = 'Zq81x'\n" + "a = a + a\n" * 3000 + "db_pwd = a") == {"Zq81x"}
+    assert foundfound_literals(steps + "db_pwd = s\n") == set(many)
+    assert foundfound_literals("a = 'Zq81x'\n" + "a = a + a\n" * 3000 + "db_pwd = a") == {"Zq81x"}
 
 
 @pytest.mark.parametrize("text", [
@@ -69,19 +70,31 @@ def test_secret_chains_are_whole():
     'db_pwd = b"Zx81kQ9m_Lw"', "db_pwd = rb'Zx81kQ9m_Lw'", "db_pwd = f'''Zx81kQ9m_Lw'''", 'a = db_pwd = "Zx81kQ9m_Lw"', 'a="Zx81kQ"\ndb_pwd=a+"9m_Lw"', 'client_signing = "Zx81kQ9m_Lw"',
 ])
 def test_secret_source_forms(text):
-    assert found_literals(text) - {"k9-Zq81_Lm"} in ({"Zx81kQ9m_Lw"}, {"Zx81kQ", "9m_Lw"})
+    assert foundfound_literals(text) - {"k9-Zq81_Lm"} in ({"Zx81kQ9m_Lw"}, {"Zx81kQ", "9m_Lw"})
     assert not any(part in secretscan.redact(text) for part in ("Zx81kQ", "9m_Lw", "k9-Zq81_Lm"))
 
 
 def test_secret_chains_end():
-    assert found_literals('db_pwd = "Zx81kQ9m_Lw"\n+other = "abcdefgh12"\n') == {"Zx81kQ9m_Lw"}  # a line of a patch
-    assert found_literals('pwd: "Zx81kQ9m_Lw"\n+ item two\n') == {"Zx81kQ9m_Lw"}
-    assert found_literals("db_pwd: Zx81kQ9m=\nnext: 3") == {"Zx81kQ9m="} and found_literals('db_pwd =\nfoo = "abcdefg81"') == set()
+    assert foundfound_literals('db_pwd = "Zx81kQ9m_Lw"\n+other = "abcdefgh12"\n') == {"Zx81kQ9m_Lw"}  # a line of a patch
+    assert foundfound_literals('pwd: "Zx81kQ9m_Lw"\n+ item two\n') == {"Zx81kQ9m_Lw"}
+    assert foundfound_literals("db_pwd: Zx81kQ9m=\nnext: 3") == {"Zx81kQ9m="} and found_literals('db_pwd =\nfoo = "abcdefg81"') == set()
+
+
+@pytest.mark.parametrize("unit", ['"\\', "'\\", "'\\'a", '"""\\', "\n", "a = ", "a(", "x = y + ", 'b"\\'])
+def test_secret_scan_is_linear(unit):
+    began = time.process_time()
+    secretscan.scan("password = " + unit * (100_000 // len(unit)))
+    assert time.process_time() - began < 10
+
+
+def test_secret_open_quotes_hide_nothing():
+    assert found_literals('say \\" once \\" \ndb_pwd = "k9-Zq81_Lm"') == {"k9-Zq81_Lm"}
+    assert found_literals("x = '\\'a\napi_secret = 'k9-Zq81_Lm'") == {"k9-Zq81_Lm"}
 
 
 @pytest.mark.parametrize("text", ["password = get_password_from_env()", "password = config.load_secret_value(1)", 'token = request.form["token"]', "def f(api_token: Optional[str]):\n  pass", "secret = obj.attr.name", "db_pwd = Foo::load(x)", "db_pwd = other_name", "db_pwd = this->value"])
 def test_secret_code_is_no_literal(text):
-    assert found_literals(text) == set()
+    assert foundfound_literals(text) == set()
 
 
 @pytest.mark.parametrize("text", [
@@ -89,8 +102,8 @@ def test_secret_code_is_no_literal(text):
     "conn = connect(host, db_pwd='Zx81kQ9m_Lw')", "db_pwd = late\nlate = 'Zx81kQ9m_Lw'", "db_pwd = f(g[1], (2)) + 'Zx81kQ9m_Lw' + h(", 'db_pwd = [f("a"), "Zx81kQ9m_Lw"]',
 ])
 def test_secret_literals_beside_code(text):
-    assert found_literals(text) == {"Zx81kQ9m_Lw"}
-    assert found_literals(text + "\nsalt\n") == {"Zx81kQ9m_Lw"}  # another word of a name changes nothing
+    assert foundfound_literals(text) == {"Zx81kQ9m_Lw"}
+    assert foundfound_literals(text + "\nsalt\n") == {"Zx81kQ9m_Lw"}  # another word of a name changes nothing
 
 
 _TERM = st.one_of(st.sampled_from(["a", "b", "c", "api_key"]), st.sampled_from(["'Zx81'", "'kQ9m_Lw'", "'hello'", "'aaaaaaaaaa'", "'9m_Lw-8Tq'", "''"]))
