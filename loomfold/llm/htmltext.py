@@ -14,9 +14,10 @@ text: ratios that are constant or negated give other results.
 
 Defined cases: null or empty html, and pages without content, give an empty text; a tag left open
 ends with its parent or the page; a tag cut off by the end of the page is no text; a comment that
-is never closed runs to the end; an end tag without a start is ignored, in constant
-time; character references are decoded, white space inside a block becomes one space, blocks are
-joined by a newline; texts of any length are read whole; an empty table has no rows.
+is never closed runs to the end; `<![` opens CDATA up to `]]>`, or else a comment up to `>`; a
+character reference of any length is read, one beyond all code points as U+FFFD; an end tag
+without a start is ignored, in constant time; white space inside a block becomes one space, blocks
+are joined by a newline; texts of any length are read whole; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ SMALL_SHARE = 10  # a block of one line beside the region has less than this par
 
 _CLOSE = re.compile(r"--!?>")
 _CUT_OFF = re.compile(r"<[A-Za-z/!?]")
+_CDATA, _CDATA_END = re.compile(r"(?i)<!\[\s*cdata\s*\["), re.compile(r"\]\s*\]\s*>")
+_LONG_NUMBER = re.compile(r"&#0*([0-9]{8,})")
 
 
 class Line:
@@ -77,6 +80,7 @@ class _Reader(HTMLParser):
         self.wholes = self.out = self.drops = 0
         self.parts: list[str] = []
         self.tags = 0
+        self.cdata_ends = True  # perhaps, further on
 
     def _named(self, tag: str, attrs: list) -> bool:
         """Whether the markup says that this is boilerplate."""
@@ -170,6 +174,13 @@ class _Reader(HTMLParser):
         found = _CLOSE.search(self.rawdata, i + 4)
         return found.end() if found else len(self.rawdata)  # never closed: to the end
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        if self.cdata_ends and _CDATA.match(self.rawdata, i):
+            if found := _CDATA_END.search(self.rawdata, i):
+                return found.end()
+            self.cdata_ends = False
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def finish(self) -> None:
         self.close()
         self._pop_to(0)
@@ -226,8 +237,10 @@ def _region(reader: _Reader, cluster: np.ndarray) -> int:
 
 def main_text(html: str) -> str:
     cut = _CUT_OFF.search(html, html.rfind(">") + 1)
+    html = html[: cut.start()] if cut else html
     reader = _Reader()
-    reader.feed(html[: cut.start()] if cut else html)
+    # eight digits are beyond all code points, as more are, which Python does not read
+    reader.feed(_LONG_NUMBER.sub(lambda m: f"&#{m[1][:8]}", html))
     reader.finish()
     lines = reader.lines
     if not lines:

@@ -610,6 +610,18 @@ def test_block_choices_cover_all_differences(blocks):
 # 10 html
 
 
+@pytest.mark.parametrize("odd", ["<![foo[ a ]]>", "<![ 1>", "<![>", "<![%x;[>", "<![if !IE]>", "<![endif]>", "<![CDATA[ a > b ]]>", "<![cdata[ a ]\n] >", "<![CDATA[>" * 20000, "<!x", "</ x>"])
+def test_html_odd_declarations(odd):
+    first, last = (f"The {n} paragraph of the article, long enough to be its text." for n in ("first", "last"))
+    assert htmltext.main_text(f"<body><article><p>{first}</p>{odd}<p>{last}</p></article></body>") == f"{first}\n{last}"
+
+
+@pytest.mark.parametrize("digits, said", [("1" * 5000, "\ufffd"), ("0" * 5000 + "65", "A"), ("0001114111", html.unescape("&#1114111;")), ("0065", "A"), ("00000000", "\ufffd"), ("x" + "0" * 5000 + "41", "A")])
+def test_html_long_references(digits, said):
+    assert htmltext.main_text(f"<body><p>A paragraph with &#{digits}; in it, long enough to be text.</p></body>") == " ".join(f"A paragraph with {said} in it, long enough to be text.".split())
+
+
+
 def test_html():
     page = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
     <article><h1>Title &amp; more</h1><p><b>First   paragraph of the story,<br>which is long enough &copy; here.<p>Second one<script>var t="</p>";</script> goes on.</p><div class="ad-slot">Buy now</div><ul><li>a<li>b</ul><section class="comments"><article><p>A reader says something long here, really.</p></article></section></article>
