@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.llm import bpe, chat, decontam, htmltext, licenses, quality, secretscan, shards, simhash, urlrules
+from loomfold.llm import bpe, chat, decontam, htmltext, infill, licenses, quality, secretscan, shards, simhash, urlrules
 from loomfold.llm.common import pick, table
 
 
@@ -80,6 +80,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.articles(table(spark, sf_dir, "pages"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.transformed(table(spark, sf_dir, "documents"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha(F.col("output")).alias("output_sha256"), _sha(text).alias("restored_sha256"))
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP8_SQL = rf"""
@@ -115,5 +121,5 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_urls, op3_bpe, op4_licenses, op5_chat, op6_shards, op7_quality, op8_decontam, op9_simhash, op10_html)}
-ORACLE_SQL = {"op2_urls": urlrules.ORACLE_SQL, "op4_licenses": licenses.ORACLE_SQL, "op5_chat": OP5_SQL, "op8_decontam": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_urls, op3_bpe, op4_licenses, op5_chat, op6_shards, op7_quality, op8_decontam, op9_simhash, op10_html, op11_infill)}
+ORACLE_SQL = {"op2_urls": urlrules.ORACLE_SQL, "op4_licenses": licenses.ORACLE_SQL, "op5_chat": OP5_SQL, "op8_decontam": OP8_SQL, "op11_infill": infill.ORACLE_SQL}
