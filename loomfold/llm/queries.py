@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfold.llm import bpe, chat, decontam, htmltext, infill, licenses, periodic, quality, secretscan, shards, simhash, urlrules
+from loomfold.llm import bpe, chat, decontam, htmltext, infill, licenses, maxent, periodic, quality, secretscan, shards, simhash, urlrules
 from loomfold.llm.common import pick, table
 
 
@@ -90,6 +90,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic(table(spark, sf_dir, "documents"), with_text=False, planted=True)
 
 
+def op13_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP8_SQL = rf"""
@@ -125,5 +129,5 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_urls, op3_bpe, op4_licenses, op5_chat, op6_shards, op7_quality, op8_decontam, op9_simhash, op10_html, op11_infill, op12_runs)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_urls, op3_bpe, op4_licenses, op5_chat, op6_shards, op7_quality, op8_decontam, op9_simhash, op10_html, op11_infill, op12_runs, op13_scores)}
 ORACLE_SQL = {"op2_urls": urlrules.ORACLE_SQL, "op4_licenses": licenses.ORACLE_SQL, "op5_chat": OP5_SQL, "op8_decontam": OP8_SQL, "op11_infill": infill.ORACLE_SQL}
