@@ -41,7 +41,8 @@ WIDTH = 16
 CELLS, TAIL = WIDTH**3, WIDTH**2  # the last TAIL cells are shared
 HOT, HOT_BYTES = 1 << 17, 64  # tokens sent to the tasks, and bytes of each
 FLUSH = 1 << 18  # distinct tokens that a task counts before it hands them on
-SLICE = 1 << 16  # positions whose logits are computed together
+SLICE = 1 << 18  # positions whose logits are computed together
+TASK, LEAST_TASKS = 12_000_000, 4  # training tokens whose gradient is one task
 PREFIXES = 1 + WIDTH + WIDTH**2
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -181,14 +182,20 @@ class Model:
                 share = level.sum(2) / level.sum((1, 2))[:, None]
                 self.weights[(1 << bits) + start : (1 << bits) + start + len(share)] = np.log(share)
 
-    def rows(self, cell: np.ndarray, one: np.ndarray, two: np.ndarray):
-        """For each level the rows of its features and the digit to be predicted."""
+    def levels(self, cell: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """For each level the positions with features there, the rows of these and the digit to be predicted.
+        Below the first level shared cells have the bias only: their digits are those of a checksum."""
         shift = np.uint64(64 - self.bits)
         a, b = (one + 1).astype(np.uint64) * _MIX[0], (two + 1).astype(np.uint64) * _MIX[1]
-        contexts = (a, b, (a ^ (b << np.uint64(1))) * _MIX[2])
-        for prefix, digit in ((np.zeros(len(cell), np.int64), cell >> 8), (1 + (cell >> 8), cell >> 4 & 15), (1 + WIDTH + (cell >> 4), cell & 15)):
+        contexts = [a, b, (a ^ (b << np.uint64(1))) * _MIX[2]]
+        own = np.arange(len(cell))
+        for level in range(3):
+            if level == 1:
+                own = np.flatnonzero(cell < CELLS - TAIL)
+                cell, contexts = cell[own], [c[own] for c in contexts]
+            prefix = (np.zeros(len(cell), np.int64), 1 + (cell >> 8), 1 + WIDTH + (cell >> 4))[level]
             mixed = (prefix + 1).astype(np.uint64) * _MIX[2]
-            yield [(1 << self.bits) + prefix] + [(((c + mixed) * _MIX[0]) >> shift).astype(np.int64) for c in contexts], digit
+            yield own, [(1 << self.bits) + prefix] + [(((c + mixed) * _MIX[0]) >> shift).astype(np.int64) for c in contexts], cell >> (8, 4, 0)[level] & 15
 
     def outcomes(self, rows: list[np.ndarray], digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of all digits, and the natural log of the one that came."""
@@ -200,6 +207,16 @@ class Model:
         z /= (z @ np.ones(WIDTH, np.float32))[:, None]
         return z, np.log(z[np.arange(len(z)), digit].astype(np.float64))
 
+    def logs(self, cell: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The natural log of each cell's probability."""
+        bias = self.weights[1 << self.bits :].astype(np.float64)
+        tail = np.arange(TAIL)
+        shared = bias[WIDTH, tail >> 4] + bias[1 + WIDTH + (CELLS - TAIL >> 4) + (tail >> 4), tail & 15]
+        out = np.where(cell < CELLS - TAIL, 0.0, shared[np.maximum(cell - (CELLS - TAIL), 0)])
+        for own, rows, digit in self.levels(cell, one, two):
+            out[own] += self.outcomes(rows, digit)[1]
+        return out
+
     def move(self, observed: np.ndarray, expected: np.ndarray, rate: float, prior: float) -> None:
         self.weights += (rate * np.log((observed + prior) / (expected + prior))).astype(np.float32)
 
@@ -219,32 +236,22 @@ def _positions(batch: pa.RecordBatch, at: int):
     return ends, parts
 
 
-def _summed(out: np.ndarray, rows: np.ndarray, values: np.ndarray, order: np.ndarray) -> None:
-    """Adds vectors to rows. `order` brings most equal rows together, so few sums are left to be sorted."""
-    for _ in range(2):
-        by = rows[order]
-        first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
-        rows, values = by[first], np.add.reduceat(values[order], first, axis=0)
-        order = np.argsort(rows)
-    out[rows] += values
-
-
 GRADIENT = "row int, observed array<float>, expected array<float>"
 
 
 def _gradient(sent):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        observed, expected = (np.zeros(model.weights.shape, np.float32) for _ in range(2))
+        observed, expected = np.zeros(model.weights.shape, np.float32), np.zeros(model.weights.shape[::-1])
         for batch in batches:
-            for cell, one, two in _positions(batch, 0)[1]:
-                # sorted by context and cell, the rows of all levels of a feature stand together
-                orders = [np.argsort(cell)] + [np.argsort(c * CELLS + cell) for c in (one, two, two * (CELLS + 1) + one)]
-                for rows, digit in model.rows(cell, one, two):
-                    p, _ = model.outcomes(rows, digit)
-                    for r, order in zip(rows, orders):
+            for part in _positions(batch, 0)[1]:
+                for _, rows, digit in model.levels(*part):
+                    by_digit = np.ascontiguousarray(model.outcomes(rows, digit)[0].T, dtype=np.float64)
+                    for r in rows:
                         np.add.at(observed.reshape(-1), r * WIDTH + digit, np.float32(1))
-                        _summed(expected, r, p, order)
+                        for j in range(WIDTH):
+                            expected[j] += np.bincount(r, by_digit[j], len(observed))
+        expected = np.ascontiguousarray(expected.T, dtype=np.float32)
         used = np.flatnonzero(expected.any(1) | observed.any(1))
         for i in range(0, len(used), 8192):
             u = used[i : i + 8192]
@@ -270,7 +277,8 @@ def train(coded: DataFrame, v: Vocabulary, bits: int = 17, rounds: int = 3, rate
     spark, model = coded.sparkSession, Model(bits, v.mass)
     if not v.total:
         return model
-    texts = coded.where("not held_out")
+    # each task hands on sums of the size of the weights, so it gets many texts; their number follows the corpus
+    texts = coded.coalesce(max(LEAST_TASKS, -(-v.total // TASK))).where("not held_out")
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         part = texts.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r).select("cells")
@@ -283,7 +291,7 @@ def _scorer(sent):
         model: Model = sent.value
         for batch in batches:
             ends, parts = _positions(batch, batch.num_columns - 1)
-            logs = [sum(model.outcomes(rows, digit)[1] for rows, digit in model.rows(*part)) for part in parts]
+            logs = [model.logs(*part) for part in parts]
             per = np.add.reduceat(np.concatenate(logs), ends[:-1]) if len(ends) > 1 else np.zeros(0)  # each text has a token, its end
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(per / math.log(10))], [*batch.schema.names[:-1], "cell_log"])
 

@@ -4,8 +4,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomfold.llm import maxent
@@ -61,19 +63,11 @@ def test_outcomes_are_probabilities_and_biases_are_shares():
     mass = np.random.default_rng(1).integers(0, 1000, maxent.CELLS).astype(float)
     model = maxent.Model(10, mass)
     cell, start = np.arange(maxent.CELLS), np.full(maxent.CELLS, maxent.CELLS)
-    parts = [model.outcomes(rows, digit) for rows, digit in model.rows(cell, start, start)]
-    for p, _ in parts:
-        assert np.allclose(p.sum(1), 1, atol=1e-5)
-    assert np.allclose(np.exp(sum(log for _, log in parts)), (mass + 1) / (mass + 1).sum(), rtol=1e-3)
-    model.weights[:] = np.random.default_rng(2).normal(size=model.weights.shape)
-    assert np.exp(sum(model.outcomes(rows, digit)[1] for rows, digit in model.rows(cell, start, start))).sum() == pytest.approx(1, rel=1e-4)
-
-
-def test_sums_by_row():
-    rng = np.random.default_rng(3)
-    rows, values, out = rng.integers(0, 9, 500), rng.normal(size=(500, 4)), np.zeros((9, 4))
-    maxent._summed(out, rows, values, np.argsort(rng.integers(0, 50, 500)))
-    assert np.allclose(out, [values[rows == r].sum(0) for r in range(9)])
+    for _, rows, digit in model.levels(cell, start, start):
+        assert np.allclose(model.outcomes(rows, digit)[0].sum(1), 1, atol=1e-5)
+    assert np.allclose(np.exp(model.logs(cell, start, start)), (mass + 1) / (mass + 1).sum(), rtol=1e-3)
+    model.weights[: 1 << 10] = np.random.default_rng(2).normal(size=(1 << 10, maxent.WIDTH))
+    assert np.exp(model.logs(cell, start, start)).sum() == pytest.approx(1, rel=1e-4)
 
 
 def test_gradient_and_gain(spark):
@@ -95,14 +89,13 @@ def test_gradient_and_gain(spark):
 
     model = maxent.Model(8)
     model.weights[:] = rng.normal(size=model.weights.shape) / 4
-    cell, one, two = (rng.integers(0, maxent.CELLS, 300) for _ in range(3))
+    offsets, values = pa.array([0, 298, 300], pa.int32()), pa.array(rng.integers(0, maxent.CELLS, 300).astype(np.int16))
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, values)], ["cells"])
     grad = np.zeros(model.weights.shape)
-    for r, digit in model.rows(cell, one, two):
-        p, _ = model.outcomes(r, digit)
-        for f in r:
-            np.add.at(grad, (f, digit), 1)
-            np.add.at(grad, f, -p)
-    value = lambda: sum(model.outcomes(r, d)[1].sum() for r, d in model.rows(cell, one, two))
+    for out in maxent._gradient(SimpleNamespace(value=model))(iter([batch])):
+        seen, expected = (np.asarray(out.column(i).flatten()).reshape(-1, maxent.WIDTH) for i in (1, 2))
+        grad[np.asarray(out.column(0))] = seen - expected
+    value = lambda: sum(model.logs(*part).sum() for part in maxent._positions(batch, 0)[1])
     for at in zip(*np.unravel_index(np.argsort(-np.abs(grad), axis=None)[:5], grad.shape)):
         model.weights[at] += 1e-2
         high = value()
