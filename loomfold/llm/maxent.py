@@ -41,7 +41,7 @@ WIDTH = 16
 CELLS, TAIL = WIDTH**3, WIDTH**2  # the last TAIL cells are shared
 HOT, HOT_BYTES = 1 << 17, 64  # tokens sent to the tasks, and bytes of each
 FLUSH = 1 << 18  # distinct tokens that a task counts before it hands them on
-SLICE = 1 << 18  # positions whose logits are computed together
+SLICE = 1 << 17  # positions whose logits are computed together
 TASK, LEAST_TASKS = 12_000_000, 4  # training tokens whose gradient is one task
 PREFIXES = 1 + WIDTH + WIDTH**2
 
@@ -139,29 +139,28 @@ def _coder(sent):
         for whole in batches:
             for first in range(0, whole.num_rows, 1000):
                 batch = whole.slice(first, 1000)
-                codes, ends, others, shares = [], [0], [], []
+                parts, rare, shares, sizes = [], [], [], []
                 for text in batch.column(3).cast(pa.binary()):
                     said = words(text.as_py())
-                    own = [find(w, -1) for w in said]
-                    own.append(end)
-                    rare: Counter = Counter(w for w, c in zip(said, own) if c < 0) if min(own) < 0 else Counter()
-                    if end < 0:
-                        rare[END] += 1
-                    place = {w: zlib.crc32(w) % TAIL for w in rare}
-                    if rare:
-                        own = [-2 - place[w] if c < 0 else c for w, c in zip([*said, END], own)]
-                    shares.append(-sum(n * float(v.tail_log[place[w]]) for w, n in rare.items()))
-                    others.append([{"token": w, "times": n} for w, n in rare.items()])
-                    codes += own
-                    ends.append(len(codes))
-                code = np.array(codes, np.int64)
+                    own = np.array([*[find(w, -1) for w in said], end], np.int64)
+                    said.append(END)
+                    at = np.flatnonzero(own < 0).tolist()
+                    seen = Counter(said[i] for i in at)
+                    place = {w: zlib.crc32(w) % TAIL for w in seen}
+                    own[at] = [-2 - place[said[i]] for i in at]
+                    parts.append(own)
+                    rare += seen.items()
+                    sizes.append(len(seen))
+                    shares.append(-sum(n * float(v.tail_log[place[w]]) for w, n in seen.items()))
+                code = np.concatenate(parts)
                 known = np.where(code >= 0, code, len(v.tokens))
                 cells = np.where(code >= 0, cell[known], CELLS - TAIL - 2 - code).astype(np.int16)
-                at = np.array(ends)
+                at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+                others = pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([n for _, n in rare], pa.int64())], ["token", "times"])
                 per = [np.add.reduceat(a, at[:-1]) for a in ((code >= 0).astype(np.int64), log[known], share[known])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at)), pa.array(per[0]), pa.array(per[1]), pa.array(per[2] + np.array(shares)),
-                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cells)), pa.array(others, pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())])))],
+                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cells)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), others)],
                     ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot_log", "hot_share", "cells", "others"])
 
     return coded
