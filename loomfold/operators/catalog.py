@@ -105,9 +105,8 @@ def match_stores(left: DataFrame, right: DataFrame, group=("category", "gender",
     levels = right.groupBy(*groups, "price").agg(F.min("id").alias("least")).withColumn("level", F.struct("price", "least"))
     asked = left.select(*groups, "price").distinct()
     both = asked.join(levels, [*groups, "price"], "full")
-    order = Window.partitionBy(*groups).orderBy("price")
-    below = F.last("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("level", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # both frames begin at the first row, so each is a running value
+    below, above = (F.last("level", ignorenulls=True).over(Window.partitionBy(*groups).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("price"), F.desc("price")))
     sides = F.array(*[F.struct(F.abs(F.col("price") - F.col(f"{s}.price")).alias("gap"), F.col(f"{s}.least").alias("other")) for s in ("below", "above")])
     nearest = both.withColumns({"below": below, "above": above}).withColumn("best", F.array_min(F.filter(sides, lambda x: x["other"].isNotNull() & (x["gap"] < most))))
     nearest = nearest.where("best is not null").select(*groups, "price", F.col("best.other").alias("by_gap"))

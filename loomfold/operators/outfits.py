@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.functions import values as V
+from loomfold.operators.rankjoin import best_outfits
 
 
 def suggest(requests: DataFrame, products: DataFrame, scores: DataFrame, outfits: int = 3) -> DataFrame:
@@ -81,22 +82,11 @@ def complete(candidates: DataFrame, k: int = 10, item_weight: float = 1.0, pair_
     """user_id, products, score, item_part, pair_part, rank: each user's k best combinations of one
     product a slot with one usage among those known, holding `payload` if given.
 
-    candidates: user_id, product_id, slot, usage, score and the features; a user's list must be short
-    (a ranking of tens), as every combination of its slots is scored. A user's list is one row here."""
-    item = F.struct("product_id", "score", *sorted({"usage", *features}))
-    slots = [F.sort_array(F.collect_list(F.when(F.col("slot") == s, item))).alias(s) for s in V.SLOTS]
-    rows = candidates.where(F.col("slot").isin(*V.SLOTS)).groupBy("user_id").agg(*slots)
-    for n, s in enumerate(V.SLOTS, 1):
-        rows = rows.withColumn(s, F.explode(s))
-        usages = F.array_distinct(F.array_compact(F.array(*[F.col(f"{x}.usage") for x in V.SLOTS[:n]])))
-        rows = rows.where(F.size(usages) <= 1 if n < len(V.SLOTS) else F.size(usages) == 1)
-    ids = F.array(*[F.col(f"{s}.product_id") for s in V.SLOTS])
-    if payload is not None:
-        rows = rows.where(F.array_contains(ids, payload))
-    items = item_weight * sum((F.col(f"{s}.score") for s in V.SLOTS), F.lit(0.0))
-    pairs = pair_weight * sum((alike(a, b, features) for n, a in enumerate(V.SLOTS) for b in V.SLOTS[n + 1 :]), F.lit(0.0))
-    scored = rows.select("user_id", ids.alias("products"), F.round(items + pairs, 9).alias("score"), items.alias("item_part"), pairs.alias("pair_part"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "products"))).where(F.col("rank") <= k)
+    candidates: user_id, product_id, slot, usage, score and the features; lists of any length are
+    searched whole, by bounds (see rankjoin)."""
+    found = best_outfits(candidates, V.SLOTS, features, k, item_weight, pair_weight, payload)
+    scored = found.select("user_id", "products", F.round(F.col("item_part") + F.col("pair_part"), 9).alias("score"), "item_part", "pair_part")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "products")))
 
 
 def article_types(sub: Column, person: Column) -> Column:

@@ -11,7 +11,7 @@ from loomfold.functions import values as V
 from loomfold.operators import graph as G
 from loomfold.operators import metrics as M
 from loomfold.operators import outfits as O
-from loomfold.operators import personal, scoring, training
+from loomfold.operators import personal, rankjoin, scoring, training
 from loomfold.operators.response import respond
 from loomfold.plans import recommend as R
 from loomfold.plans import reports as P
@@ -96,12 +96,16 @@ def whole_matrix(spark, d):
 TOP = "top as (select * from (select *, row_number() over (partition by user_id order by score desc, product_id) as rank from (select user_id, product_id, sum(w) as score from weighted group by 1, 2)) where rank <= {k})"
 
 
-@query("J11", """select a.user_id, count(*) as combinations, min(concat_ws('+', a.product_id, b.product_id, c.product_id, e.product_id)) as first_one
-from top a join top b on a.user_id = b.user_id and a.rank < b.rank join top c on a.user_id = c.user_id and b.rank < c.rank join top e on a.user_id = e.user_id and c.rank < e.rank group by 1""", TOP.format(k=6))
+@query("J11", """select user_id, n * (n - 1) * (n - 2) * (n - 3) // 24 as combinations, rank, products, total from (
+  select a.user_id, concat_ws('+', a.product_id, b.product_id, c.product_id, e.product_id) as products, a.score + b.score + c.score + e.score as total,
+    cast(row_number() over (partition by a.user_id order by a.score + b.score + c.score + e.score desc, a.rank, b.rank, c.rank, e.rank) as integer) as rank
+  from top a join top b on a.user_id = b.user_id and a.rank < b.rank join top c on a.user_id = c.user_id and b.rank < c.rank join top e on a.user_id = e.user_id and c.rank < e.rank)
+join (select user_id, count(distinct product_id) as n from weighted group by 1) using (user_id) where rank <= 5""",
+       TOP.format(k=8))  # the best 5 sets of 4 are among the first 8: tests compare whole lists
 def combinations(spark, d):
-    best = scoring.top_k(R._two(spark, d)[0], 6).groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"]).alias("items"))
-    said = best.select("user_id", F.transform(C.combinations(F.col("items"), 4), lambda c: F.array_join(c, "+")).alias("c")).where(F.size("c") > 0)
-    return said.select("user_id", F.size("c").cast("long").alias("combinations"), F.array_min("c").alias("first_one"))
+    """Each user's five best sets of four products of their whole list, and how many sets it has."""
+    best = rankjoin.best_sets(R._two(spark, d)[0], 4, 5)
+    return best.select("user_id", "combinations", "rank", F.array_join("products", "+").alias("products"), "total")
 
 
 def _alike_sql(a: str, b: str) -> str:
@@ -117,11 +121,10 @@ _SUM = "a.score + b.score + c.score + e.score"
   select a.user_id, array_to_string([a.product_id, b.product_id, c.product_id, e.product_id], ',') as products, round({_SUM} + 0.5 * ({_PAIRS}), 9) as score, {_SUM} as item_part, 0.5 * ({_PAIRS}) as pair_part
   from candidates a join candidates b using (user_id) join candidates c using (user_id) join candidates e using (user_id)
   where a.slot = 'accessories' and b.slot = 'bottomwear' and c.slot = 'footwear' and e.slot = 'topwear' and len(list_distinct([a.usage, b.usage, c.usage, e.usage])) = 1)) where rank <= 10""",
-       TOP.format(k=20) + """, candidates as (select top.*, products.* exclude (product_id), case when master_category = 'Accessories' then 'accessories' when sub_category = 'Bottomwear' then 'bottomwear' when sub_category = 'Topwear' then 'topwear' when master_category = 'Footwear' then 'footwear' end as slot,
+       TOP.format(k=1000000) + """, candidates as (select top.*, products.* exclude (product_id), case when master_category = 'Accessories' then 'accessories' when sub_category = 'Bottomwear' then 'bottomwear' when sub_category = 'Topwear' then 'topwear' when master_category = 'Footwear' then 'footwear' end as slot,
   """ + " + ".join(f"cast({f} is not null as integer)" for f in V.FEATURES) + " as known from top join products using (product_id))")
 def exhaustive_outfits(spark, d):
-    best = scoring.top_k(R._two(spark, d)[0], 20)
-    rows = best.join(S.products(spark, d), "product_id").withColumn("slot", O.structure_slot(F.col("sub_category"), F.col("master_category")))
+    rows = R._two(spark, d)[0].join(S.products(spark, d), "product_id").withColumn("slot", O.structure_slot(F.col("sub_category"), F.col("master_category")))
     return R._short(O.complete(rows).withColumn("products", F.array_join("products", ",")))
 
 

@@ -70,15 +70,19 @@ def match_stores(spark, d):
     return K.match_stores(here, there)
 
 
-_OUTFITS = f"outfit_totals as (select cast(product_id as bigint) // 5 as outfit_id, round(sum(rating), 6) as score, round(count(distinct {KEY_SQL}) filter ({KEY_SQL} in ('accessories','bottomwear','footwear','topwear')) / 4, 6) as completeness from products group by 1)"
+_OUTFITS = f"outfit_totals as (select cast(product_id as bigint) // 5 as outfit_id, sum(cast(round(rating * 100) as bigint)) as hundredths, sum(cast(round(rating * 100) as bigint)) / 100 as score, round(count(distinct {KEY_SQL}) filter ({KEY_SQL} in ('accessories','bottomwear','footwear','topwear')) / 4, 6) as completeness from products group by 1)"
 
 
-@query("A29", "select *, round((select sum(score) / count(*) from outfit_totals), 4) as mean_score from outfit_totals", _OUTFITS)
+# the mean of hundredths, rounded half up by whole numbers: the same in any order of addition
+@query("A29", "select outfit_id, score, completeness, (200 * (select sum(hundredths) from outfit_totals) + (select count(*) from outfit_totals)) // (2 * (select count(*) from outfit_totals)) / 10000 as mean_score from outfit_totals", _OUTFITS)
 def outfit_scores(spark, d):
     slot = C.lookup(V.CATEGORY_KEYS, F.col("sub_category"))
-    rows = S.products(spark, d).select(F.floor(F.col("product_id").cast("bigint") / 5).alias("outfit_id"), "rating", F.when(slot.isin(*V.SLOTS), slot).alias("slot"))
-    each = rows.groupBy("outfit_id").agg(F.round(F.sum("rating"), 6).alias("score"), F.round(F.count_distinct("slot") / 4, 6).alias("completeness"))
-    return each.join(F.broadcast(each.agg(F.round(F.sum("score") / F.count(F.lit(1)), 4).alias("mean_score"))))  # one row
+    hundredths = F.round(F.col("rating") * 100).cast("long")
+    rows = S.products(spark, d).select(F.floor(F.col("product_id").cast("bigint") / 5).alias("outfit_id"), hundredths.alias("hundredths"), F.when(slot.isin(*V.SLOTS), slot).alias("slot"))
+    each = rows.groupBy("outfit_id").agg(F.sum("hundredths").alias("hundredths"), F.round(F.count_distinct("slot") / 4, 6).alias("completeness"))
+    n, total = F.count(F.lit(1)), F.sum("hundredths")
+    mean = each.agg((F.floor((200 * total + n) / (2 * n)) / 10000).alias("mean_score"))  # one row
+    return each.join(F.broadcast(mean)).select("outfit_id", (F.col("hundredths") / 100).alias("score"), "completeness", "mean_score")
 
 
 simple("A30", "select case when try_cast(product_id as bigint) is not null then 'integer' else 'text' end as kind, count(*) as n from event_rows group by 1", lambda e: e.groupBy(F.when(F.col("product_id").try_cast("bigint").isNotNull(), "integer").otherwise("text").alias("kind")).agg(F.count(F.lit(1)).alias("n")), S.events)
