@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
@@ -11,7 +12,7 @@ from loomfold.functions import values as V
 from loomfold.operators import graph as G
 from loomfold.operators import metrics as M
 from loomfold.operators import outfits as O
-from loomfold.operators import personal, rankjoin, scoring, training
+from loomfold.operators import descent, personal, rankjoin, scoring, training
 from loomfold.operators.response import respond
 from loomfold.plans import recommend as R
 from loomfold.plans import reports as P
@@ -162,24 +163,37 @@ from (select sub_category, {_MAP}[sub_category] as a, case when gender in ('Men'
     .select("sub_category", "person", F.array_join(O.article_types(F.col("sub_category"), F.col("person")), ",").alias("articles")))
 
 
-# trained embeddings: each dimension is a column three times over in a step, so fewer than for propagation
-TRAINED = DIMS[:16]
-
-
 def _positives(spark, d):
     return S.interactions(spark, d).where(F.col("interaction_type").isin(*V.POSITIVE)).select("user_id", "product_id")
 
 
-def _trained(spark, d, epochs: int):
-    start = R._nodes(spark, d, TRAINED)
-    return training.train(start, _positives(spark, d), TRAINED, epochs, rate=0.05)
+def _trained(spark, d, epochs: int = 10):
+    start = R._nodes(spark, d, DIMS).select("node", F.array(*DIMS).alias("vector"))
+    return descent.train(start, _positives(spark, d), epochs, rate=0.01)
 
 
 @query("X06")
 def trained_ranking(spark, d):
-    """Each user's 20 best products by trained vectors, after 3 epochs."""
-    vectors, _ = _trained(spark, d, 3)
-    return R._dense(vectors, TRAINED)
+    """Each user's 20 best products by vectors of 64 dimensions after 10 epochs."""
+    vectors, _ = _trained(spark, d)
+    return G.dense_top_k(*descent.sides(vectors), 20)
+
+
+@query("X06_epochs", f"select cast(e as integer) as epoch, count(*) as pairs, e > 1 as learned from interactions, generate_series(1, 10) g(e) where interaction_type in {V.POSITIVE} group by e")
+def epochs(spark, d):
+    """Each epoch sees every positive interaction once, and each but the first has a lower loss than the first."""
+    _, said = _trained(spark, d)
+    first = said.where("epoch = 1").select(F.col("loss").alias("first"))  # one row
+    return said.join(F.broadcast(first)).select("epoch", "pairs", (F.col("loss") < F.col("first")).alias("learned"))
+
+
+@query("X06_shape", "select user_id, least(20, (select count(distinct product_id) from interactions)) as n, true as known, true as ordered from (select distinct user_id from interactions)")
+def trained_shape(spark, d):
+    """What holds for any trained ranking: as many different known products for each user, in descending order of score."""
+    ranked, products = trained_ranking(spark, d), S.products(spark, d).select("product_id", F.lit(True).alias("known"))
+    falls = F.col("score") <= F.lag("score", 1, float("inf")).over(Window.partitionBy("user_id").orderBy("rank"))
+    rows = ranked.join(products, "product_id", "left").withColumn("falls", falls)
+    return rows.groupBy("user_id").agg(F.count_distinct("product_id").alias("n"), F.min(F.coalesce("known", F.lit(False))).alias("known"), F.min("falls").alias("ordered"))
 
 
 @query("X17")
@@ -187,6 +201,13 @@ def random_ranking(spark, d):
     return training.random_lists(S.users(spark, d), S.products(spark, d), 10, seed=7)
 
 
+@query("X17_shape", "select user_id, least(10, (select count(*) from products)) as n, least(10, (select count(*) from products)) as known, least(10, (select count(*) from products)) as last from users")
+def random_shape(spark, d):
+    """What holds for any random lists: different known products, with ranks from 1."""
+    ranked, products = random_ranking(spark, d), S.products(spark, d).select("product_id", F.lit(1).alias("one"))
+    return ranked.join(products, "product_id", "left").groupBy("user_id").agg(F.count_distinct("product_id").alias("n"), F.count("one").alias("known"), F.max("rank").cast("long").alias("last"))
+
+
 # the engine: train if needed, score, personalise
 @query("X15", "select user_id, product_id, rank, 'already_trained' as status from top where rank <= 5", TOP.format(k=5))
 def engine(spark, d):
@@ -229,10 +250,10 @@ def experiment(spark, d):
         if model == "cbf":
             ranked, content = R._ranking(spark, d), R._content_vectors(spark, d)
         elif model == "gnn":
-            vectors, _ = _trained(spark, d, 3)
-            ranked = R._dense(vectors, TRAINED)
+            vectors, _ = _trained(spark, d)
+            ranked = G.dense_top_k(*descent.sides(vectors), 20)
         else:  # the blend of both models' whole score tables
-            ranked = G.dense_hybrid(R._sides(vectors, TRAINED), content)
+            ranked = G.dense_hybrid(descent.sides(vectors), content)
         at = A.path(spark, f"ranking-{model}")
         ranked.select("user_id", "product_id", "score", "rank").write.mode("overwrite").parquet(at)
         rankings[model], seconds[model] = spark.read.parquet(at), time.monotonic() - began
