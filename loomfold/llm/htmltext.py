@@ -6,11 +6,11 @@ advert, comment and so on is left out first: an element by its tag, role or hidd
 class or id whose words all name boilerplate or layout (`ad-slot`, `comments-area`; but not
 `related-work`, `has-sidebar`). Of the lines that are left, the ratios of text to tags are smoothed
 along the page with a Gaussian; the lines whose smoothed ratio reaches the standard deviation of
-all are the content cluster. The cluster chooses the region, whatever the elements are called: the
-innermost container of the cluster's text, where beside it only blocks of one line and under a
-tenth of that text may stay outside. Each line of the region is content, be it short, a list or a
-link, but for a last line under a tenth of the cluster that starts with the copyright sign. No cluster, no
-text: ratios that are constant or negated give other results.
+all are the content cluster. The cluster chooses the region: the innermost container of most of its
+text, and then the whole that this is part of, be it an article element or what stands beside it
+(see _region). Each line of the region is content, be it a title, short, a list or a link, but for a
+last line that is a copyright notice and nothing else. No cluster, no text: ratios that are constant or
+negated give other results.
 
 Defined cases: null or empty html, and pages without content, give an empty text; a tag left open
 ends with its parent or the page; a tag cut off by the end of the page is no text; a comment that
@@ -48,20 +48,22 @@ LAYOUT = frozenset("area bar block body bottom box center column container conte
 HEADER = frozenset(("header",))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 SIGMA = 1.0
-SMALL_SHARE = 10  # a block of one line beside the region has less than this part of the cluster's text
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 _CLOSE = re.compile(r"--!?>")
 _CUT_OFF = re.compile(r"<[A-Za-z/!?]")
 _CDATA, _CDATA_END = re.compile(r"(?i)<!\[\s*cdata\s*\["), re.compile(r"\]\s*\]\s*>")
+# a line that is nothing but a notice: the sign, a year, a name without the end of a sentence in it
+_NOTICE = re.compile(r"(?i)(?:(?:copyright|\(c\)|\u00a9)\s*)+[0-9]{4}(?:\s*[-\u2013]\s*[0-9]{4})?\b[^.!?]{0,80}(?:\.?|[.,]?\s*all rights reserved\.?)")
 _LONG_NUMBER = re.compile(r"&#0*([0-9]{8,})")
 
 
 class Line:
-    __slots__ = ("text", "tags", "at")
+    __slots__ = ("text", "tags", "at", "linked")
 
-    def __init__(self, text: str, tags: int, at: int):
-        self.text, self.tags, self.at = text, tags, at
+    def __init__(self, text: str, tags: int, at: int, linked: bool = False):
+        self.text, self.tags, self.at, self.linked = text, tags, at, linked
 
 
 class _Reader(HTMLParser):
@@ -79,7 +81,7 @@ class _Reader(HTMLParser):
         self.tag, self.parent, self.ends = ["html"], [0], [0]
         self.wholes = self.out = self.drops = 0
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags, self.linked = 0, False
         self.cdata_ends = True  # perhaps, further on
 
     def _named(self, tag: str, attrs: list) -> bool:
@@ -104,9 +106,9 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text and not self.out:
-            self.lines.append(Line(text, self.tags, self.open[-1]))
+            self.lines.append(Line(text, self.tags, self.open[-1], self.linked))
         if text:
-            self.tags = 0
+            self.tags, self.linked = 0, False
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -129,6 +131,7 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self.linked |= tag == "a"
         if tag in VOID:
             if tag == "hr":
                 self._end_line()
@@ -215,24 +218,44 @@ def _sums(reader: _Reader, amounts: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _region(reader: _Reader, cluster: np.ndarray) -> int:
-    """The element that the cluster chooses."""
+def _region(reader: _Reader, cluster: np.ndarray) -> list[int]:
+    """The elements that the cluster chooses, whose lines are the text.
+
+    The search goes down from the page while one container holds more than half of the cluster's text and nothing beside
+    it holds lines of the cluster among several. What it finds is part of a whole: the article or main element around it. Without one it goes up again, as long as
+    all that stands beside it is text as well: a block of a tag for text, or one with a line of the cluster, or in which
+    no more than half of the lines have links. At the page's own level only the headings right before it are taken."""
     lines = reader.lines
     text = _sums(reader, [(line.at, len(line.text)) for line, chosen in zip(lines, cluster) if chosen])
+    said = _sums(reader, [(line.at, len(line.text)) for line in lines])
+    linked = _sums(reader, [(line.at, int(line.linked)) for line in lines])
     number = _sums(reader, [(line.at, 1) for line in lines])
     children: dict[int, list[int]] = {}
     for e in range(1, len(reader.tag)):
-        if text[e]:
+        if said[e]:
             children.setdefault(reader.parent[e], []).append(e)
+
+    def reads(e: int) -> bool:
+        return reader.tag[e] not in CONTAINERS or text[e] > 0 or 2 * linked[e] <= number[e]
+
     at = 0
-    while True:
-        own = children.get(at, ())
-        best = max((e for e in own if reader.tag[e] in CONTAINERS and number[e] > 1), key=lambda e: text[e], default=None)
-        if best is None or sum(text[e] for e in own) < text[at]:
-            return at
-        if any(number[e] > 1 or SMALL_SHARE * text[e] >= text[at] for e in own if e != best):
-            return at
+    while best := next((e for e in children.get(at, ()) if reader.tag[e] in CONTAINERS and 2 * text[e] > text[at]), 0):
+        if any(text[e] and number[e] > 1 for e in children[at] if e != best):
+            break
         at = best
+    up = at
+    while up:
+        if reader.tag[up] in WHOLE:
+            return [up]
+        up = reader.parent[up]
+    while at and reader.tag[reader.parent[at]] not in ("html", "body") and all(reads(e) for e in children[reader.parent[at]] if e != at):
+        at = reader.parent[at]
+    found, beside = [at], children.get(reader.parent[at], []) if at else []
+    for e in reversed(beside[: beside.index(at)] if at in beside else []):
+        if reader.tag[e] not in HEADINGS:
+            break
+        found.append(e)
+    return found
 
 
 def main_text(html: str) -> str:
@@ -248,12 +271,11 @@ def main_text(html: str) -> str:
     cluster = clustered(lines)
     if not cluster.any():
         return ""
-    first = _region(reader, cluster)
-    inside = [i for i, line in enumerate(lines) if first <= line.at <= reader.ends[first]]
-    last = lines[inside[-1]].text
-    if last[0] == "\u00a9" and SMALL_SHARE * len(last) < sum(len(line.text) for line, chosen in zip(lines, cluster) if chosen):
+    chosen = _region(reader, cluster)
+    inside = [line.text for line in lines if any(e <= line.at <= reader.ends[e] for e in chosen)]
+    if len(inside) > 1 and _NOTICE.fullmatch(inside[-1]):
         inside.pop()
-    return "\n".join(lines[i].text for i in inside)
+    return "\n".join(inside)
 
 
 @F.arrow_udf(T.StringType())
