@@ -94,6 +94,13 @@ class Lexer:
 
 BARE = re.compile(r"""[^\s"',;#]+""")
 BARE_INSIDE = re.compile(r"""[^\s"',;#)\]]+""")
+# Pairs of a name and a literal that are no assignments: configuration elements, definitions by a call, template strings.
+PAIRS = tuple(re.compile(p) for p in (
+    r"""(?i)<[\w:.-]+\s(?:[^<>]*?\s)?(?:key|name|id)\s*=\s*["'](?P<name>[\w.:-]{1,128})["']\s+value\s*=\s*(?:"(?P<a>[^"<>\n]+)"|'(?P<b>[^'<>\n]+)')""",
+    r"""<(?P<name>[A-Za-z_][\w.:-]{0,127})>(?P<a>[^<>\s]+)</(?P=name)>""",
+    r"""(?i)\bdefine\s*\(\s*["'](?P<name>\w{1,128})["']\s*,\s*(?:"(?P<a>[^"\n]+)"|'(?P<b>[^'\n]+)')""",
+    r"""(?<!\w)(?P<name>[A-Za-z_$]\w{0,127})["']?\s*[:=]\s*`(?P<a>[^`$\n]+)`""",
+))
 PATH = r"[A-Za-z_$@][\w.]*(?:(?:::|->|\?\.)[A-Za-z_][\w.]*)*"
 CALL = re.compile(PATH + r"(?=[(\[])")
 IDENTIFIER = re.compile(rf"{PATH}|{_NAME}")
@@ -165,6 +172,16 @@ def opaque(bare: str) -> bool:
     return not IDENTIFIER.fullmatch(bare) or len(TURNS.findall(bare)) > 1
 
 
+def _before_end(bare: str) -> str:
+    """What stands before a bracket that closes one opened outside."""
+    depth = 0
+    for i, c in enumerate(bare):
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0:
+            return bare[:i]
+    return bare
+
+
 Literal = tuple[int, int, str]
 Part = tuple[str | None, Literal | None]
 
@@ -303,6 +320,7 @@ def assignments(text: str, start: int = 0, end: int | None = None, known=()) ->
                     token, called = lexer.at(call.end()), True
                     break
                 bare = (BARE_INSIDE if depth else BARE).match(text, token.start())[0]
+                bare = _before_end(bare) if level > 0 else bare
                 plain = kind == "name" and text[token.end() : token.end() + 1] == "+" and (token[0] in known or LITERAL.match(text, token.end() + 1))
                 if not plain and not re.fullmatch(_NAME, bare):
                     if crossed:
@@ -352,9 +370,11 @@ class Bound:
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals assigned to sensitive names, directly or through other names. HINTS finds every text with a name that scores at all."""
-    if ("=" not in text and ":" not in text) or not HINTS.search(text):
+    if not HINTS.search(text):
         return []
-    out: list[tuple[int, int, str]] = []
+    out = list(paired(text)) if "<" in text or "`" in text or "(" in text else []
+    if "=" not in text and ":" not in text:
+        return out
     later, open_names = _propagate(text, {}, out)
     if open_names & later.keys():  # names bound after their use
         _propagate(text, later, out)
@@ -384,6 +404,16 @@ def _propagate(text: str, later: dict[str, Bound], out: list) -> tuple[dict[str,
     return bound, open_names
 
 
+def paired(text: str) -> Iterator[tuple[int, int, str]]:
+    """Literals that PAIRS join to a sensitive name."""
+    for pattern in PAIRS:
+        for m in pattern.finditer(text):
+            at = "a" if m["a"] is not None else "b"
+            said = name_score(m["name"])
+            if said >= 2 and said + value_score(m[at]) >= THRESHOLD:
+                yield (*m.span(at), "literal")
+
+
 def _order(span: tuple[int, int, str]) -> tuple:
     return span[0], KINDS.index(span[2]), span[1]
 

@@ -772,3 +772,50 @@ def test_pipeline_on_an_empty_table(spark, tmp_path, monkeypatch):
     read = pipeline.table
     monkeypatch.setattr(pipeline, "table", lambda s, d, t: clashing(read(s, d, t)).where("false") if t == "documents" else read(s, d, t))
     assert pipeline.run(spark, SMALL).count() == 0
+
+
+def _nested(body: str, how: str) -> str:
+    title, rest = re.match(r"(?s)(.*?</h1>)(.*)", body).groups()
+    last = re.match(r"(?s)(.*)(<p>(?:(?!<p>).)*?</p>\s*)$", rest)
+    if how == "body in a div" or how == "last paragraph beside it" and last is None:
+        return f'{title}<div class="entry-content">{rest}</div>'
+    if how == "last paragraph beside it":
+        return f'{title}<div class="entry-content">{last[1]}</div>{last[2]}'
+    more = {"list in its own div": "<div><ul><li>one egg</li><li>two cups</li></ul></div>", "second section": "<section><p>one egg</p><p>two cups</p></section>", "byline and closing sentence": '<p>one egg</p><div>two cups</div>'}[how]
+    return f"{title}<div>{rest}</div>{more}"
+
+
+@pytest.mark.parametrize("how", ["body in a div", "last paragraph beside it", "list in its own div", "second section", "byline and closing sentence"])
+def test_html_nested_bodies(spark, how):
+    """Titles, lists, closing lines and sections beside the body's own container stay, with and without an article element."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    extra = "" if how in ("body in a div", "last paragraph beside it") else "\none egg\ntwo cups"
+    plain = 0
+    for page in pages:
+        m = re.search(r"(?s)<article\b[^>]*>(.*)</article>", page)
+        want = htmltext.main_text(f"<html><body>{m[0]}</body></html>") + extra
+        page = page[: m.start(1)] + _nested(m[1], how) + page[m.end(1) :]
+        assert htmltext.main_text(page) == want
+        plain += htmltext.main_text(re.sub(r"<(/?)article\b", r"<\1div", page)) == want
+    assert plain > 0.97 * len(pages)
+
+
+def test_html_sign_of_copyright():
+    text = "A paragraph of the story that is long enough to be the text of this page."
+    for last, kept in (("© 2021 Some House", False), ("Copyright © 2019-2021 A, B. All rights reserved.", False), ("© is the sign that lawyers use.", True), ("© 2021 was a good year. It ended.", True)):
+        assert htmltext.main_text(f"<article><p>{text}</p><p>{text}</p><p>{last}</p></article>") == "\n".join([text, text, *[last] * kept])
+
+
+@pytest.mark.parametrize("text", [
+    "K='Zx81kQ9m_Lw'\nlogin(db_pwd=K)", "K='Zx81kQ9m_Lw'\nlogin(x=1, db_pwd=K)", "K='Zx81kQ9m_Lw'\nd = {'db_pwd': K}", "K='Zx81kQ9m_Lw'\nd = [dict(db_pwd=K)]", "K='Zx81kQ9m_Lw'\nlogin(db_pwd=K, x=1)",
+    "login(db_pwd=Zx81kQ9m_Lw)", "{db_pwd: Zx81kQ9m_Lw}", "f(g(db_pwd=Zx81kQ9m_Lw))", '<add key="DbPassword" value="Zx81kQ9m_Lw"/>', "<property name='db.password' value='Zx81kQ9m_Lw' />", "<dbPassword>Zx81kQ9m_Lw</dbPassword>",
+    "define('DB_PASSWORD', 'Zx81kQ9m_Lw');", 'define( "DB_PASSWORD" , "Zx81kQ9m_Lw" );', "const dbPwd = `Zx81kQ9m_Lw`;", "{dbPassword: `Zx81kQ9m_Lw`}",
+])
+def test_secret_names_before_brackets_and_pairs(text):
+    assert found_literals(text) == {"Zx81kQ9m_Lw"}
+    assert "Zx81kQ9m_Lw" not in secretscan.redact(text) and secretscan.redact(text).count(")") == text.count(")")
+
+
+@pytest.mark.parametrize("text", ['<add key="color" value="Zx81kQ9m_Lw"/>', "define('SIZE', 'Zx81kQ9m_Lw')", "<b>Zx81kQ9m_Lw</b>", "<password></password>", "const dbPwd = `${env}`", "the password is in `config`"])
+def test_secret_pairs_without_secrets(text):
+    assert found_literals(text) == set()
