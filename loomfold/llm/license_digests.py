@@ -4,59 +4,61 @@ system's own collection. Texts into which projects write names, as BSD ones, are
 
 DIGESTS = (
     ("0BSD", "25a274d52b3014d9bd64e0f3362fd279ac1655f163d5c518f6b9f6c43354802c"),
-    ("Apache-2.0", "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da"),
-    ("Apache-2.0", "81e9b74a977a0320a7f1118705e033ed557f3f7d1e88cac937c574ad075941aa"),
-    ("Apache-2.0", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"),
+    ("0BSD", "5b0e126b4b198b16508de40a5730f547252a552266d5ccea7147be94a4b37d30"),
+    ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3"),
+    ("Apache-2.0", "bd09e549e7578b9b5073158daf8b07e41b9041cdd9722250dc9f8cb1d15e325a"),
+    ("Apache-2.0", "d7dd8e5c661e35d656a43688fc21624b0ba52216e4c419c747129bf83780d165"),
+    ("Apache-2.0", "d849700f6ffe2241c4de5c4f77cc6ee7a152ddfbb1ec7385106677e743be07a7"),
     ("Apache-2.0", "e7c5260ee7e187aa32deaf9fe84733b5dbe1dd1f3c36f232c49799c716b73570"),
-    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Apache-2.0", "fb388936c12fba660a278043424b3f9a17c6b2e536674e390813ac3d06e7e73a"),
+    ("BSD-2-Clause", "312ea33736a8c485e221afd61fb0daddefb5517d78cb2d80a94cb23bf274bf84"),
+    ("BSD-2-Clause", "456ec3a7c251c4a46d130d1988b6fa0221b8b1ee4f5b5a3fe9bb2e06a7910625"),
+    ("BSD-2-Clause", "6a7760d565a49575b52f4990e284bd4419dfe3c9d33dfb85ba68966c3dc9e255"),
     ("BSD-2-Clause", "7061202489ba206b35e1e020fd1633db8013b98790929b974f0e3296ddb2e148"),
-    ("BSD-2-Clause", "ada56f5103c54a69abfacf45070993ec88d40cab20aa2467c57660124e953413"),
+    ("BSD-2-Clause", "afcbf3f8a7fc036e82f2d6933551902c77680dafb511ba0af88cecccbe4e5a40"),
     ("BSD-2-Clause", "b0fcaedf8232d7d5f05d7dffa9a6329f53e92d4a6e5b22ea857715c80806c2ad"),
-    ("BSD-2-Clause", "cbf2a2b926e4eac5ab1b06997565d1f33925779579653c70e2a4fbfceb5f0995"),
-    ("BSD-3-Clause", "08a456b882cda443f940814f347e397c9b1777d9c64077faaac4f47b51ca207a"),
-    ("BSD-3-Clause", "2ad1b11ee9c549ff09b3e5a1444e16979e1463d3e5525e9fb5094d8887047086"),
     ("BSD-3-Clause", "2e0decbba070abc582d86f6fb10e9524fced9606156f0aa9a188f297452f7e39"),
-    ("BSD-3-Clause", "429b1bfa4e008beb942bfe838bbfd94e154ef4ea6bb23a8643ebd3cfd68e2fcc"),
     ("BSD-3-Clause", "70c3476dc8fb69f1a53c0a71f83781d002749805cfae63d17831d12b99460e5d"),
-    ("BSD-3-Clause", "b9b1cd98694a21a9102e3559a314e0f015046d3f7096d5f49e0b0bbe071973ec"),
-    ("BSD-3-Clause", "cbb49109fec68a1d43697953e1c6adc50e0c86d5322da7466bb857fdce650f0f"),
-    ("BSD-3-Clause", "e1a8689e9db33bbb8417fe1c96a5f57bf76678f6d5200a5701754ccfef71dd05"),
-    ("BSL-1.0", "873825822e1333fc0861f46b81217b53ea72209f050e2de57e5864e0e92f35ea"),
+    ("BSD-3-Clause", "8403a35ce9fc298cc5cfdf4409fcc23cdd773c206bcb9ed6e71a26a589c9eb7c"),
+    ("BSD-3-Clause", "f2644f2bbb033dd10afc923af0a307710716b5657744726a934ef5e2bd28b4c1"),
+    ("BSL-1.0", "6c9c7bd670990e58921b6c65c21c87a01a6059f061f30cd40dc83dd10878af5f"),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "a1d4dfeafdf3ffa53dc64928721ce5a76c97ae7c04464591ca66152e7aa228a5"),
-    ("GFDL-1.3", "d2b0bd665a5177108f1cc04dbd0ac3f7e4e0a22d3388a2eced4a76560cb6e26c"),
-    ("GPL-1.0", "b0b451371aa8b1fca2656e1c4adfd20298318818523446f7571338a5b932e23f"),
-    ("GPL-2.0", "02bfb5a7390310ea3dc7ad1a308c79a25ef9362256eb23a664c5256b4ef0d6c5"),
-    ("GPL-3.0", "9c8dadadad7c7b8cb9e9feedce9914bff92c7faea715e138375d3aaf7d5f8925"),
-    ("GPL-3.0", "aeebf8324032d213f2eda1e1bc4b1d0a42f70f04a5689bbbb7f3e1e7e6800323"),
+    ("GFDL-1.2", "4bad57269926caf744f7416a9b0a6cc44aa837b7aa540446df8326a6691926f1"),
+    ("GFDL-1.3", "8c86bde9dc6cd5ab057ab6dc16d40252322cbae59818a5db5162d4f6611c7597"),
+    ("GPL-1.0", "9f835e8d27255e919724c64ac9d7899432c12249e03c140701ef4549a068729f"),
+    ("GPL-2.0", "da9748830f1549aebe17266832927a9f736ae969233c3868ec0333c207a80a59"),
+    ("GPL-3.0", "26d66f2c791a05ec9bb0e17d53bc437dba2d968e6f3faa3f7c4d4a472496e538"),
+    ("GPL-3.0", "5e5be2b6e3bd876d53a98aa345dbd461ef477184338c0168dcc65cddeab3cc45"),
     ("ISC", "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a"),
-    ("ISC", "23651ce8a73abaa8fad9143faad3fca843b5de6baf345008f65c453ea5685fb1"),
-    ("ISC", "40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db"),
-    ("ISC", "5fb628af212d6618ceee2210c60a5dee79b64f7c54d6cb2c7b40f19369024708"),
-    ("ISC", "6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6"),
-    ("ISC", "94b4e9f723d13830ec6a47b422738caee264943af1673fa32782cefd730ffc82"),
-    ("ISC", "e00f31f158e77a60e7375307e014eeb17754967f6d6757d019567221315db4e1"),
-    ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee"),
-    ("ISC", "fa224876c62df0b2fc8bde54e6682fed261c5669e98fcbcd614754b5f1b8e4e2"),
-    ("LGPL-2.0", "ed1013cbb514aaf29224b113e828897238255c6f78b93abc00bcfb52835040cb"),
-    ("LGPL-2.1", "d3e5bf8be7476cacd7e40c3d5e318cd262dced5fe892c2e736a49f3928a09829"),
-    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MIT", "00a5c934b705d69594539c6a37a1105192217249a30fe111a375560a492639c9"),
-    ("MIT", "0a87582cb8aa1a7842fbc642db0b8736801b6368f977e39fcd88aec82c68c16b"),
-    ("MIT", "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c"),
+    ("ISC", "22545e516c83831353f0541d130d7e8581032e9aa39abd000c66edd902324e63"),
+    ("ISC", "4a534a390ab5e338c580e11af44431d145cdb45b9289798abe97c23e8fdb93b2"),
+    ("ISC", "5159709c2ad232960d349d0243a2fccf00a70bf2122b36ff3fa86f251300567a"),
+    ("ISC", "63baaf2854baf0bb2e682f11a1853fb567b1e4cc0321733264b9b1cea90dc48d"),
+    ("ISC", "88b7717fcdd81146db5806f169a2882599b1b6575d65b88971edaa913b7dbfa4"),
+    ("ISC", "c5dc770cabaf67c4e40df556cd21a11490abf264e58fb6ccae81eb1d8ad9d455"),
+    ("LGPL-2.0", "c84edc16db980cc5d2d24d3613da7234aaf265158bc83e96648da9c30fc9538b"),
+    ("LGPL-2.1", "c117902a759f356dbf91a1262690e563a9082765acb2b0d81f9bc8801540aeff"),
+    ("LGPL-3.0", "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7"),
+    ("MIT", "0e405966af981833a82b8e6e84ba9a53c0acaf87b23481d90352968ccdcc78a7"),
+    ("MIT", "0ec78a7468649ccd459d9303043a3efa85fd137ccefb13e20d76d37d9e27fb12"),
     ("MIT", "25dfbe3d84d39b93b823fd7c11d5c0a580c80d2a01d93099d9efd223cf9016a8"),
-    ("MIT", "5d01a1651a4c284dfbbf1500c7a5c7abb115387c003fbedd1e4624fe9b90b141"),
+    ("MIT", "29d801472419ec4526ca9e6983d0bc80a527033f2b6ac9009a9ebe3b9ef7abd4"),
+    ("MIT", "3263ad3325d079ab5ab5ecd06a5345c4c349de76956749d72cf6ac8bf6590985"),
+    ("MIT", "37dc391091496e70bca3d02178bb9ac06511863b415ee59beb9a01f98f90848b"),
+    ("MIT", "3befc985d2259cd020dad43f5a9cd62e18b7173a1943db7038ac1bec6efb7fd4"),
+    ("MIT", "52f4d43e944263ac9d95d7264b5297391ad2bc90cfad85d384d04abdbdebee40"),
     ("MIT", "602556cb49dcc20b0835a09d976d5053c0d581a8ce1af13d8ba04878bb3e34e5"),
-    ("MIT", "675323624d9a606f878b5a8f2533879a6ad8124ac54291385900b6554268069b"),
-    ("MIT", "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f"),
-    ("MIT", "6e6e39dc7a1a454c05dc7cd3f3120c6f4fce8b299ef754ac285f0dc3dae8f88c"),
-    ("MIT", "94dc2756aa068347d32bc82ecd9f7f309e2a0b433f62b5d2ea960fa9d4ded8fb"),
-    ("MIT", "9e0aaa8a16520725865482410cf8699909dd3b7c70a197be3217bd1e6a543d87"),
-    ("MIT", "c6ad8e2d3c4b04b0c8e25afb5297d47ee7aa24eb5b7464ad26423d0d8f9a96cc"),
-    ("MIT", "e0ec1133ffbb2b3ca539cd8d8bbc6938fd001480f955360a7068e62c83bf1782"),
-    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
-    ("MPL-2.0", "7f7a609103d49ef139df4ae6d94daa56e3f924838b03840831300356510a8766"),
+    ("MIT", "69199db379a9275c7bcf7ff52355074e0cc20130b6bc2588fff41f4a81bf548d"),
+    ("MIT", "78a904b8636ea753a16cbcf6883a71e44fc3b8116fa0cdd2ab3da9c91dd38520"),
+    ("MIT", "9702e4a5215fcc603c799de481739e48d87405fa3a054ee5c4593a1c02322f69"),
+    ("MIT", "9fb5ab9a2c2a5a2ce226b51a963d48ef7455bc0ef4c968bc7f40973e7a39aa93"),
+    ("MIT", "a002c0b89c89d1de006180b90a1b13658758e75578337256a577bdd46e089792"),
+    ("MIT", "aacbe7d09238ff379d186933ac9d07d9227ef28f76dbdd3b3e25283bac9315cc"),
+    ("MIT", "ea24978eb0436d4dbd1d2d80d67b039ce5a334966422e1fb42019849b9227c84"),
+    ("MIT", "f306abc5201541771ea20067d30ec78d42631ae13fdf9c42226e985da549bd8a"),
+    ("MPL-1.1", "979f7243204c7078aaa4d4e66ddf86160e3bfb3a2d6271273e461dc82f604699"),
+    ("MPL-2.0", "58c01de89e5e2e39ba591a6a436e2d30c2ee15a95a58d2f71387f2762e72fcb9"),
     ("Unlicense", "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"),
     ("Zlib", "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
-    ("Zlib", "99618428d879198d4ae824db7ad07a9d0f9214f15429de52839cbe667713f21a"),
 )

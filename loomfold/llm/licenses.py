@@ -1,6 +1,7 @@
-"""License scans by canonical digest: a text and each of its lines are normalised (case, copyright
-lines, equivalent spellings, punctuation, white space), digested, and hash-joined to the digests
-of known licences. A licence text is found if the whole document is it; a notice if a line is it.
+"""License scans by canonical digest: a text and each of its lines are normalised (case, equivalent
+spellings, punctuation, white space; the whole text also by copyright statements, heading and comment
+marks), digested, and hash-joined to the digests of known licences. A licence text is found if the
+whole document is it, in any line width; a notice if a line is it.
 
 Only DataFrame functions are used. A text is normalised once, its lines kept apart; the digests of
 the whole and of its lines meet the known ones in one join, broadcast up to SMALL bytes and
@@ -56,14 +57,33 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*"
+# What a whole text is freed of, in this order, on lower-case lines: (pattern, replacement). The same patterns run in both SQL dialects.
+_WITHOUT = (
+    (r"\n[ \t]*(#+|//+|/?\*+/?|;+|--+|%+|>+|!+)?[ \t]*", "\n"),  # comment marks and indents
+    (r"permission[ \n]+is[ \n]+hereby[ \n]+granted", "\n\npermission is hereby granted"),  # a grant begins a paragraph
+    (r"permission[ \n]+to[ \n]+use", "\n\npermission to use"),
+    (r"redistribution[ \n]+and[ \n]+use", "\n\nredistribution and use"),
+    (r"everyone[ \n]+is[ \n]+permitted", "\n\neveryone is permitted"),
+    (r"this[ \n]+is[ \n]+free[ \n]+and[ \n]+unencumbered", "\n\nthis is free and unencumbered"),
+    (r"this[ \n]+software[ \n]+is[ \n]+provided", "\n\nthis software is provided"),
+    (r"creative[ \n]+commons[ \n]+legal[ \n]+code", "\n\ncreative commons legal code"),
+    # a paragraph that begins as a copyright statement: the word or the sign with the other, a year or a name to be filled in
+    (r"\n\n+(copyright[ \t,:]*(\(c\)|©|[0-9][0-9][0-9][0-9]|<|\[|\{)|(\(c\)|©)[ \t]*([0-9][0-9][0-9][0-9]|copyright))[^\n]*(\n[^\n]+)*", "\n\n"),
+    # a heading: a first paragraph of one to three short lines, the first of which says license
+    (r"^\n*[^\n]{0,60}licen[cs]e[^\n]{0,60}(\n[^\n]{1,80}){0,2}\n\n+", "\n"),
+    (r"[ \t\n]+", " "),
+)
+_TELLING = r"(?i)copyright|\(c\)|©|licen|commercial"
 _PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _PUNCTUATION_IN_LINE = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The normalised text, its lines kept apart."""
-    out = F.regexp_replace(F.concat(F.lit("\n"), F.translate(text, _UPPER, _LOWER)), _COPYRIGHT, "\n")
+    return _normal(F.translate(text, _UPPER, _LOWER))
+
+
+def _normal(out: Column) -> Column:
     for pattern, said in SPELLINGS:
         out = F.regexp_replace(out, pattern, said)
     return F.regexp_replace(out, _PUNCTUATION_IN_LINE, " ")
@@ -74,8 +94,11 @@ def joined_lines(lines: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """The normalised text."""
-    return joined_lines(canonical_lines(text))
+    """The normalised text without copyright statements and heading, the same for any line breaks within its paragraphs."""
+    out = F.concat(F.lit("\n\n"), F.translate(text, _UPPER, _LOWER))
+    for pattern, said in _WITHOUT:
+        out = F.regexp_replace(out, pattern, said)
+    return joined_lines(_normal(out))
 
 
 def known_licenses(spark: SparkSession, notices=NOTICES, digests=DIGESTS) -> DataFrame:
@@ -93,9 +116,13 @@ def scanned(docs: DataFrame, licenses: DataFrame | None = None, doc_id: str = "d
     known = licenses.groupBy("digest").agg(F.min("license_id").alias("known_id"))
     size = licenses.agg(F.coalesce(F.sum(F.octet_length("license_id") + F.octet_length("digest")), F.lit(0))).first()[0]
     narrow = pick(docs, doc_id, text).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    normal = narrow.where("text is not null").select("id", "key", canonical_lines(F.col("text")).alias("lines"))
+    texts = narrow.where("text is not null")
+    lines = texts.select("id", "key", "text", canonical_lines(F.col("text")).alias("lines"))
+    # a text without these has no statement and no heading, and its lines' form is that of the whole
+    whole = F.when(F.col("text").rlike(_TELLING), canonical(F.col("text"))).otherwise(joined_lines(F.col("lines")))
+    normal = lines.select("id", "key", whole.alias("whole"), "lines")
     line = F.transform(F.split("lines", "\n"), lambda x, i: F.struct(i.cast("int").alias("at"), F.trim(x).alias("said")))
-    said = F.concat(F.array(F.struct(F.lit(-1).alias("at"), joined_lines(F.col("lines")).alias("said"))), line)
+    said = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("whole").alias("said"))), line)
     said = F.filter(said, lambda x: x["said"] != "")
     digests = normal.select("id", "key", F.explode(said).alias("s")).select("id", "key", "s.at", F.sha2("s.said", 256).alias("digest"))
     hits = digests.join(F.broadcast(known) if size <= small else known, "digest")
@@ -109,20 +136,20 @@ def scanned(docs: DataFrame, licenses: DataFrame | None = None, doc_id: str = "d
     return found.select(F.col("id").alias(doc_id), "license_id", F.coalesce("lines", F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"))
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(chr(10) || translate({text}, '{_UPPER}', '{_LOWER}'), '{_COPYRIGHT}', chr(10), 'g')"
-    for pattern, said in SPELLINGS:
-        out = f"regexp_replace({out}, '{pattern}', '{said}', 'g')"
-    return f"trim(regexp_replace({out}, '{_PUNCTUATION}', ' ', 'g'))"
+def _canonical_sql(text: str, whole: bool = False) -> str:
+    out = f"translate({text}, '{_UPPER}', '{_LOWER}')"
+    for pattern, said in (*(_WITHOUT if whole else ()), *SPELLINGS, (_PUNCTUATION, " ")):
+        out = f"regexp_replace({'chr(10) || chr(10) || ' if pattern == _WITHOUT[0][0] else ''}{out}, '{pattern}', '{said}', 'g')"
+    return f"trim({out})"
 
 
 _KNOWN_SQL = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICES)
 ORACLE_SQL = rf"""
 with known as (select min(license_id) as license_id, canon from (
-    select license_id, {_canonical_sql("text")} as canon from (values {_KNOWN_SQL}) as n(license_id, text)) group by canon),
+    select license_id, {_canonical_sql("text", True)} as canon from (values {_KNOWN_SQL}) as n(license_id, text)) group by canon),
 numbered as (select row_number() over () as row_no, doc_id, text from documents),
 lines as (select row_no, {_canonical_sql("line")} as canon from (select row_no, unnest(string_split(text, chr(10))) as line from numbered) where line <> ''),
 hits as (select row_no, count(*) as n, array_to_string(list_sort(list_distinct(list(license_id))), ',') as notices from lines join known using (canon) group by row_no)
 select doc_id, k.license_id as license_id, coalesce(n, 0) as n_notices, coalesce(notices, '') as notices
-from numbered left join known k on {_canonical_sql("text")} = k.canon left join hits using (row_no)
+from numbered left join known k on {_canonical_sql("text", True)} = k.canon left join hits using (row_no)
 """

@@ -3,11 +3,13 @@
 import hashlib
 import html
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -819,3 +821,31 @@ def test_secret_names_before_brackets_and_pairs(text):
 @pytest.mark.parametrize("text", ['<add key="color" value="Zx81kQ9m_Lw"/>', "define('SIZE', 'Zx81kQ9m_Lw')", "<b>Zx81kQ9m_Lw</b>", "<password></password>", "const dbPwd = `${env}`", "the password is in `config`"])
 def test_secret_pairs_without_secrets(text):
     assert found_literals(text) == set()
+
+
+def _wrapped(text: str, width: int) -> str:
+    return "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in re.split(r"\n\s*\n", text))
+
+
+def test_license_forms(spark, tmp_path):
+    """One digest for all line widths, headings, statements and comment marks, in Spark and in the oracle SQL."""
+    texts = {i: t for i, t in licenses.NOTICES if len(t) > 200}
+    forms = [(i, _wrapped(t, w)) for i, t in texts.items() for w in range(40, 121)]
+    for i, t in texts.items():
+        body = t.split("\n\n", 1)[1]
+        forms += [(i, body), (i, f"The {i} License ({i})\n\nCopyright (c) 2014-2020 Some One <a@b.example>\n\n{body}"), (i, f"{i} License\nCopyright © 2014 Some One\n\n{body}"), (i, f"Copyright 2019, A Very Long Name and\nits Sons\n{body}"), (i, f"(c) 2001 X\n\n{body}".upper())]
+        forms += [(i, "\n".join((mark + line).rstrip() for line in _wrapped(t, 70).split("\n"))) for mark in ("# ", " * ", "// ", "   ", ";; ")]
+    cut = [(None, t.replace("without", "with", 1)) for t in texts.values()] + [(None, "x " + t.split("\n\n", 1)[1]) for t in texts.values()] + [(None, "MIT License\n\n"), (None, "License\n\nprose"), (None, "")]
+    rows = [(n, t) for n, (_, t) in enumerate(forms + cut)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scanned(frame).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for i, _ in forms + cut]
+    frame.write.parquet(f"file://{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents/*.parquet')")
+    ours = sorted(map(tuple, licenses.scanned(frame).collect()))
+    assert sorted(con.execute(licenses.ORACLE_SQL).fetchall()) == ours
+
+
+def test_license_digests_are_of_other_texts():
+    assert len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS) and len({i for i, _ in licenses.DIGESTS}) == 20
