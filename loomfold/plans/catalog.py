@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
 from loomfold.functions import values as V
 from loomfold.operators import catalog as K
+from loomfold.operators import regexsearch
 from loomfold.plans.registry import query
 from loomfold.sources import artifacts as A
 from loomfold.sources import tables as S
@@ -151,7 +154,26 @@ simple("F01", "select count(*) as n from orders where o_orderstatus = 'F'", lamb
 simple("F02", "select product_id, name from products where lower(gender) = 'women' and lower(usage) = 'casual'", lambda p: K.facets(p, gender="WOMEN", usage="casual", article_type=None).select(*ID_NAME))
 simple("F03", "select product_id, price from products where price >= 950", lambda p: K.between(p, "price", "950", "abc").select("product_id", "price"))
 simple("F04", "select product_id, year from products where year = 2012", lambda p: K.between(p, "year", "2012", "2012").select("product_id", "year"))
-simple("F05", "select product_id, name from products where contains(lower(name), 'red') or contains(lower(article_type), 'red')", lambda p: K.search(p, "Red", "name", "article_type", id_column="product_id").select(*ID_NAME))
+# terms as users type them: each is an expression as it stands, over four text columns, or an id
+TERMS = ("Red", "(navy|blue).* steel", "^almond", "lav[aeiou]n?der s", "brand#1[1-3]$", "casual-shoes?", "e{2}l .*k", "t-?shirt", "17", "[xyz]{2}", "nothing like it")
+TEXTS = ("name", "article_type", "slug", "brand")
+
+
+def _texts(products):
+    return products.select("product_id", "name", "article_type", C.slug(F.col("article_type"), "-").alias("slug"), "brand")
+
+
+@query("F05", f"""select term, product_id, name from texts, (values {", ".join(f"('{t}')" for t in TERMS)}) t(term)
+where {" or ".join(f"regexp_matches({c}, term, 'i')" for c in TEXTS)} or (regexp_full_match(term, '[0-9]+') and product_id = term)""",
+       "texts as (select product_id, name, article_type, trim(regexp_replace(lower(article_type), '[^a-z0-9]+', '-', 'g'), '-') as slug, brand from products)")
+def regex_search(spark, d):
+    """Unescaped expressions through one trigram index of the catalog."""
+    rows = _texts(S.products(spark, d))
+    index = regexsearch.trigram_index(rows, "product_id", TEXTS)
+    found = [regexsearch.search(rows, index, t, "product_id", TEXTS).select(F.lit(t).alias("term"), *ID_NAME) for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 simple("F06", "select product_id, name, price from products where contains(lower(name), 'red w') and price <= 1500 order by price, product_id limit 20", lambda p: K.between(K.search(p, "red w", "name"), "price", None, 1500).orderBy(*K.ordering("price")).limit(20).select("product_id", "name", "price"))
 simple("F07", "select user_id from users where contains(lower(name), '0007') or contains(lower(segment), '0007')", lambda u: K.search(u, "0007", "name", "segment").select("user_id"), S.users)
 simple("F08", "select product_id from products where contains(lower(name), 'bolt') or contains(lower(usage), 'bolt')", lambda p: K.search(p, "bolt", "name", "usage").select("product_id"))
