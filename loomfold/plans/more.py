@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfold.functions import columns as C
+from loomfold.functions import literals as L
 from loomfold.functions import values as V
 from loomfold.operators import catalog as K
 from loomfold.operators import metrics as M
@@ -23,7 +24,40 @@ def _running():
     return Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
-simple("SRC05", "select event_id, cast(json_extract_string(props, '$.k') as integer) as first_k from events", lambda e: e.select("event_id", F.from_json(F.concat(F.lit("["), "props", F.lit("]")), HISTORY)[0]["k"].alias("first_k")), lambda s, d: S.table(s, d, "events"))
+# a user's history as a cell of Python literals: texts in either quotes, escapes, times, ids, nested values, and parts that are none
+def _cells(rows):
+    """user_id, cell: literals of a user's interactions, in the forms of repr, by time."""
+    k = F.col("l_orderkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit('"it\'s; '), "product_id", F.lit('"'))).when(k % 3 == 1, F.concat(F.lit("'say \\\"\\x41\\u00e9\\\" "), "product_id", F.lit("'"))).otherwise(F.concat(F.lit("'plain ' 'p"), "product_id", F.lit("'")))
+    at = F.date_format("ts", "'datetime.datetime('yyyy, M, d, 0, 5, 9')'")
+    said = F.concat(F.lit("{'product_id': '"), "product_id", F.lit("', \"name\": "), name, F.lit(", 'at': "), at, F.lit(", 'more': [None, (True, -1.5e3), {'id': ObjectId('"), k.cast("string"), F.lit("')}],}"))
+    part = F.when(k % 7 == 0, F.concat(F.lit("{'broken': "), "product_id", F.lit("..}"))).otherwise(said)
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "l_orderkey", "l_linenumber", part.alias("part"))))
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), " ; ").alias("cell"))
+
+
+PARSED = "array<struct<product_id:string,name:string,at:string,more:array<string>>>"
+_NAMED = """case l_orderkey % 3 when 0 then 'it''s; ' || product_id when 1 then 'say "A' || chr(233) || '" ' || product_id else 'plain p' || product_id end"""
+
+
+@query("JS03", f"""select user_id, l_orderkey, product_id, {_NAMED} as name, year(ts) || '-' || month(ts) || '-' || day(ts) || ' 0:5:9' as at, '{{"id":"' || l_orderkey || '"}}' as last from interactions where l_orderkey % 7 <> 0""")
+def literal_histories(spark, d):
+    """Each interaction that stands as a literal in its user's cell."""
+    found = _cells(S.interactions(spark, d)).select("user_id", F.inline(F.from_json(L.histories(F.col("cell")), PARSED)))
+    last = F.element_at("more", -1)
+    return found.select("user_id", F.get_json_object(last, "$.id").cast("long").alias("l_orderkey"), "product_id", "name", "at", last.alias("last"))
+
+
+@query("SRC05", "select user_id, count(i.user_id) filter (l_orderkey % 7 <> 0) as n, max(product_id) filter (l_orderkey % 7 <> 0) as greatest from users left join interactions i using (user_id) group by 1")
+def users_with_histories(spark, d):
+    """Users from a CSV file, whose history cells hold Python literals."""
+    path = A.path(spark, "csv-literal-users")
+    users = S.users(spark, d).join(_cells(S.interactions(spark, d)), "user_id", "left")
+    S.write_csv(users.select(F.col("user_id").alias("id"), "name", F.lit(None).cast("string").alias("email"), "age", "gender", F.col("cell").alias("interaction_history")), path)
+    read = S.read_csv(spark, path, S.USERS).withColumn("parsed_interactions", F.from_json(L.histories(F.col("interaction_history")), PARSED))
+    return read.select(F.col("id").alias("user_id"), F.size("parsed_interactions").cast("long").alias("n"), F.array_max(F.transform("parsed_interactions", lambda x: x["product_id"])).alias("greatest"))
+
+
 simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(avg(price), 6) as mean from (select * from products order by price, product_id limit 100)", lambda p: p.orderBy("price", "product_id").limit(100).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gender").alias("genders"), F.round(F.avg("price"), 6).alias("mean")))
 simple("SNK13", "select o_orderkey, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as status, o_orderstatus = 'P' as changed from orders", lambda o: o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_orderstatus") == "P").alias("changed")), lambda s, d: S.table(s, d, "orders"))
 
@@ -98,8 +132,6 @@ simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url fro
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)
 simple("D04", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as said from event_rows", lambda e: e.select("event_id", F.date_format(F.try_to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), "yyyy-MM-dd HH:mm:ss").alias("said")), S.events)
 simple("AR02", "select user_id, 'a,' || user_id as added, 'a' as removed from users", lambda u: u.select("user_id", F.array_join(F.array_union(F.array(F.lit("a")), F.array(F.col("user_id"), F.lit("a"))), ",").alias("added"), F.array_join(F.array_remove(F.array(F.lit("a"), F.col("user_id")), F.col("user_id")), ",").alias("removed")), S.users)
-simple("JS02", "select event_id, epoch_us(ts) // 1000000 as seconds from event_rows", lambda e: e.select("event_id", F.get_json_object(F.concat(F.lit('{"$date": '), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("}")), "$['$date']").cast("long").alias("seconds")), S.events)
-simple("JS03", "select event_id, product_id from event_rows", lambda e: e.select("event_id", F.get_json_object(F.regexp_replace(F.regexp_replace(F.concat(F.lit("{'product_id': '"), "product_id", F.lit("', 'at': None}")), "None", "null"), "'", '"'), "$.product_id").alias("product_id")), S.events)
 
 
 @query("E06", f"""select round(1 - (square - m) / (m * (m - 1)), 6) as diversity from (select sum(s * s) as square, (select count(distinct product_id) from ranking join cells using (product_id)) as m from (
@@ -129,7 +161,34 @@ simple("X18", "select product_id, concat_ws(' ', name, article_type, base_colour
 simple("A28", "select event_id, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id) / count(*) over (partition by user_id order by ts, event_id) as running from event_rows",
        lambda e: e.withColumn("so_far", F.struct(F.sum(F.round(F.col("value") * 100).cast("bigint")).over(_running()).alias("total"), F.count(F.lit(1)).over(_running()).alias("n"))).select("event_id", (F.col("so_far.total") / F.col("so_far.n")).alias("running")), S.events)
 simple("JS04", "select event_id, interaction_type as name, round(value, 2) as value from event_rows", lambda e: e.select("event_id", F.format_string("[log] metric %s = %.2f", "interaction_type", "value").alias("line")).select("event_id", F.regexp_extract("line", r"metric (\w+) = ", 1).alias("name"), F.regexp_extract("line", r" = (-?[0-9.]+)", 1).cast("double").alias("value")), S.events)
-simple("AR05", "select event_id, json_extract_string(props, '$.k') as k from events", lambda e: e.select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k")), lambda s, d: S.table(s, d, "events"))
+
+
+# orders as documents of a dump, with wrappers at every level and texts that look like them
+def _documents(spark, d):
+    k = F.col("o_orderkey")
+    lines = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    rows = S.table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + k % 2 * 7).alias("ms")).join(lines, "o_orderkey")
+    item = lambda x: F.concat(F.lit('{"product": {"$oid": "p'), x["l_partkey"].cast("string"), F.lit(r'"}, "tags": [{"$oid":"t"}, "{\"$oid\":\"no\"}"], "n" :{"$numberInt":"'), x["l_linenumber"].cast("string"), F.lit('"}}'))
+    date = F.when(k % 3 == 0, F.concat(F.lit('{"$numberLong":"'), F.col("ms").cast("string"), F.lit('"}'))).otherwise(F.col("ms").cast("string"))
+    return rows.select("o_orderkey", F.concat(F.lit('{"_id": {"$oid": "o'), k.cast("string"), F.lit('"}, "user": {"id": {"$oid": "u'), F.col("o_custkey").cast("string"), F.lit('"}}, "at": {"$date": '), date, F.lit('}, "items": ['), F.array_join(F.transform("l", item), ", "), F.lit('], "total": {"$numberDouble": "-2.5"}}')).alias("document"))
+
+
+_ITEM = """'{"n":' || l_linenumber || ',"product":"p' || l_partkey || '","tags":["t","{\\"$oid\\":\\"no\\"}"]}'"""
+
+
+@query("JS02", f"""select o_orderkey, '{{"_id":"o' || o_orderkey || '","at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || case when o_orderkey % 2 = 1 then '.007000' else '' end || '+00:00","items":[' || items || '],"total":-2.5,"user":{{"id":"u' || o_custkey || '"}}}}' as document
+from orders join (select l_orderkey as o_orderkey, string_agg({_ITEM}, ',' order by l_linenumber, l_partkey) as items from lineitem group by 1) using (o_orderkey)""")
+def unwrapped_documents(spark, d):
+    return _documents(spark, d).select("o_orderkey", L.unwrapped(F.col("document")).alias("document"))
+
+
+@query("AR05", "select o_orderkey, 'o' || o_orderkey as id, 'u' || o_custkey as user, products from orders join (select l_orderkey as o_orderkey, string_agg('p' || l_partkey || '/t', ',' order by l_linenumber, l_partkey) as products from lineitem group by 1) using (o_orderkey)")
+def ids_as_strings(spark, d):
+    """Ids of three levels, within lists too, read as strings from the rewritten documents."""
+    v = F.parse_json(L.unwrapped(F.col("document")))
+    rows = _documents(spark, d).select("o_orderkey", v.alias("v"))
+    items = F.variant_get("v", "$.items", "array<struct<product:string,tags:array<string>>>")
+    return rows.select("o_orderkey", F.variant_get("v", "$._id", "string").alias("id"), F.variant_get("v", "$.user.id", "string").alias("user"), F.array_join(F.transform(items, lambda x: F.concat(x["product"], F.lit("/"), x["tags"][0])), ",").alias("products"))
 
 
 @query("X08", "select user_id, product_id, round(0.5 * (score - (select min(score) from one)) / (select max(score) - min(score) from one), 6) as score from one", "one as (select user_id, product_id, sum(w) as score from weighted group by 1, 2)")
