@@ -95,11 +95,12 @@ class Lexer:
 BARE = re.compile(r"""[^\s"',;#]+""")
 BARE_INSIDE = re.compile(r"""[^\s"',;#)\]]+""")
 # Pairs of a name and a literal that are no assignments: configuration elements, definitions by a call, template strings.
-PAIRS = tuple(re.compile(p) for p in (
-    r"""(?i)<[\w:.-]+\s(?:[^<>]*?\s)?(?:key|name|id)\s*=\s*["'](?P<name>[\w.:-]{1,128})["']\s+value\s*=\s*(?:"(?P<a>[^"<>\n]+)"|'(?P<b>[^'<>\n]+)')""",
-    r"""<(?P<name>[A-Za-z_][\w.:-]{0,127})>(?P<a>[^<>\s]+)</(?P=name)>""",
-    r"""(?i)\bdefine\s*\(\s*["'](?P<name>\w{1,128})["']\s*,\s*(?:"(?P<a>[^"\n]+)"|'(?P<b>[^'\n]+)')""",
-    r"""(?<!\w)(?P<name>[A-Za-z_$]\w{0,127})["']?\s*[:=]\s*`(?P<a>[^`$\n]+)`""",
+# Each stands with what a text must hold for it.
+PAIRS = tuple((mark, re.compile(p)) for mark, p in (
+    ("value", r"""(?i)<[\w:.-]+\s(?:[^<>]*?\s)?(?:key|name|id)\s*=\s*["'](?P<name>[\w.:-]{1,128})["']\s+value\s*=\s*(?:"(?P<a>[^"<>\n]+)"|'(?P<b>[^'<>\n]+)')"""),
+    ("</", r"""<(?P<name>[A-Za-z_][\w.:-]{0,127})>(?P<a>[^<>\s]+)</(?P=name)>"""),
+    ("define", r"""(?i)\bdefine\s*\(\s*["'](?P<name>\w{1,128})["']\s*,\s*(?:"(?P<a>[^"\n]+)"|'(?P<b>[^'\n]+)')"""),
+    ("`", r"""(?<!\w)(?P<name>[A-Za-z_$]\w{0,127})["']?\s*[:=]\s*`(?P<a>[^`$\n]+)`"""),
 ))
 PATH = r"[A-Za-z_$@][\w.]*(?:(?:::|->|\?\.)[A-Za-z_][\w.]*)*"
 CALL = re.compile(PATH + r"(?=[(\[])")
@@ -372,7 +373,7 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals assigned to sensitive names, directly or through other names. HINTS finds every text with a name that scores at all."""
     if not HINTS.search(text):
         return []
-    out = list(paired(text)) if "<" in text or "`" in text or "(" in text else []
+    out = list(paired(text))
     if "=" not in text and ":" not in text:
         return out
     later, open_names = _propagate(text, {}, out)
@@ -406,8 +407,9 @@ def _propagate(text: str, later: dict[str, Bound], out: list) -> tuple[dict[str,
 
 def paired(text: str) -> Iterator[tuple[int, int, str]]:
     """Literals that PAIRS join to a sensitive name."""
-    for pattern in PAIRS:
-        for m in pattern.finditer(text):
+    low = text.lower()
+    for mark, pattern in PAIRS:
+        for m in pattern.finditer(text) if mark in low else ():
             at = "a" if m["a"] is not None else "b"
             said = name_score(m["name"])
             if said >= 2 and said + value_score(m[at]) >= THRESHOLD:
