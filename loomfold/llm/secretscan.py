@@ -371,7 +371,7 @@ class Bound:
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals assigned to sensitive names, directly or through other names. HINTS finds every text with a name that scores at all."""
-    if not HINTS.search(text):
+    if not any(mark in text for mark in ("=", ":", "`", "</")) and "define" not in text.lower() or not HINTS.search(text):
         return []
     out = list(paired(text))
     if "=" not in text and ":" not in text:
