@@ -75,6 +75,9 @@ REASONS = {
     "none": "Recommended based on your preferences",
 }
 
+# What is said of an outfit.
+OUTFIT_REASONS = {"items": "Perfect combination with ", "none": "Complete outfit for "}
+
 # Sub-categories of the two slots that a master category fills as well.
 ACCESSORY_SUBS = ("bags", "belts", "headwear", "watches")
 FOOTWEAR_SUBS = ("shoes", "sandal", "flip flops")

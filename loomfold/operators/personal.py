@@ -122,3 +122,16 @@ def fallback_product(contexts: DataFrame, products: DataFrame) -> DataFrame:
     shelf = first.agg(F.collect_list(F.struct("gender", "age_group", "id")).alias("shelf"), F.min("id").alias("any"))
     fits = F.filter("shelf", lambda s: F.array_contains("allowed", s["gender"]) & (s["age_group"] == F.col("age_group")))
     return contexts.join(F.broadcast(shelf)).withColumn("product_id", F.coalesce(F.array_min(F.transform(fits, lambda s: s["id"])), "any")).drop("shelf", "any")
+
+
+def article_label(article: Column) -> Column:
+    """The name shown for an article type; `product` for none, other types as they are."""
+    return F.when(F.coalesce(article, F.lit("")) == "", "product").otherwise(C.lookup(V.LABELS, F.lower(article), article))
+
+
+def outfit_reason(current: Column, items: Column) -> Column:
+    """What is said of an outfit around a product of article type `current`: colour and name of each item (a struct with
+    base_colour and article_type) in order; without items that the outfit is complete."""
+    said = F.transform(items, lambda x: F.concat(F.when(F.coalesce(x["base_colour"], F.lit("")) != "", F.concat(F.lower(x["base_colour"]), F.lit(" "))).otherwise(""), article_label(x["article_type"])))
+    whole = F.concat(F.lit(V.OUTFIT_REASONS["items"]), article_label(current), F.lit(": "), F.array_join(said, " + "))
+    return F.when(F.size(items) > 0, whole).otherwise(F.concat(F.lit(V.OUTFIT_REASONS["none"]), article_label(current)))

@@ -11,7 +11,7 @@ from loomfold.functions import values as V
 from loomfold.operators import catalog as K
 from loomfold.operators import metrics as M
 from loomfold.operators import personal, scoring
-from loomfold.plans.catalog import KEY_SQL, simple
+from loomfold.plans.catalog import KEY_SQL, LABELS_SQL, simple
 from loomfold.plans.recommend import CONTENT, TRUTH, _ranking
 from loomfold.plans.registry import query
 from loomfold.sources import artifacts as A
@@ -62,10 +62,12 @@ simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(
 simple("SNK13", "select o_orderkey, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as status, o_orderstatus = 'P' as changed from orders", lambda o: o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_orderstatus") == "P").alias("changed")), lambda s, d: S.table(s, d, "orders"))
 
 
-@query("J10", "select user_id, count(*) as pairs from ranking a join ranking b using (user_id) where a.rank < b.rank and a.rank <= 10 and b.rank <= 10 group by 1", CONTENT)
+@query("J10", "select user_id, a.product_id as first, b.product_id as second from ranking a join ranking b using (user_id) where a.rank < b.rank and a.rank <= 10 and b.rank <= 10", CONTENT)
 def pairs(spark, d):
-    top = _ranking(spark, d).where("rank <= 10").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))  # pairs of at most ten are counted, not made
-    return top.where("n > 1").select("user_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    """The at most 45 pairs of each user's ten best, made within the user's row."""
+    top = _ranking(spark, d).where("rank <= 10").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "product_id"))).alias("items"))
+    pair = F.explode(C.combinations(F.transform("items", lambda x: x["product_id"]), 2))
+    return top.select("user_id", pair.alias("p")).select("user_id", F.col("p")[0].alias("first"), F.col("p")[1].alias("second"))
 
 
 @query("J13", "select product_id, coalesce(c.first_id, 'none') as colour_of from products left join (select base_colour, min(product_id) as first_id from products where base_colour <> 'red' group by 1) c using (base_colour)")
@@ -75,10 +77,16 @@ def dimension_fallback(spark, d):
     return p.join(colours, "base_colour", "left").select("product_id", F.coalesce("first_id", F.lit("none")).alias("colour_of"))
 
 
-@query("J15", "select o_orderkey, count(l_linenumber) as logs from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+@query("J15", """select o_orderkey, o_orderstatus as status, result, coalesce(logs, '') as logs from orders left join (select l_orderkey as o_orderkey, min(cast(l_partkey as varchar)) as result,
+  string_agg(l_linenumber || ':' || l_returnflag, ';' order by l_linenumber, l_returnflag) as logs from lineitem where l_linenumber > 1 group by 1) using (o_orderkey)""")
 def requests_logs(spark, d):
-    logs = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("logs"))
-    return S.table(spark, d, "orders").select("o_orderkey").join(logs, "o_orderkey", "left").select("o_orderkey", F.coalesce("logs", F.lit(0)).alias("logs"))
+    """Orders as requests, each with its one result and its collected log lines; some have neither."""
+    lines = S.table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("product_id"), "l_linenumber", "l_returnflag")
+    result = lines.groupBy("o_orderkey").agg(F.min("product_id").alias("result"))
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
+    logs = lines.groupBy("o_orderkey").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_returnflag"])), ";").alias("logs"))
+    asked = S.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return asked.join(result, "o_orderkey", "left").join(logs, "o_orderkey", "left").select("o_orderkey", "status", "result", F.coalesce("logs", F.lit("")).alias("logs"))
 
 
 @query("J16", "select user_id, product_id from (select user_id, unnest(favorites) as product_id from (select user_id, [cast(cast(user_id as bigint) % 7 as varchar), 'gone', user_id] as favorites from users)) where product_id in (select product_id from products)")
@@ -127,7 +135,19 @@ _sub, _master = "lower(coalesce(sub_category, ''))", "lower(coalesce(master_cate
 simple("S09", f"""select product_id, array_to_string(list_sort(list_filter([{", ".join(f"case when {_sub} = '{n}' then '{n}' end" for n in ("topwear", "bottomwear", "dress", "innerwear"))},
   case when {_master} = 'accessories' or {_sub} in {V.ACCESSORY_SUBS} then 'accessory' end, case when {_master} = 'footwear' or {_sub} in {V.FOOTWEAR_SUBS} then 'footwear' end], lambda x: x is not null)), ',') as slots from products""",
        lambda p: p.select("product_id", F.array_join(personal.slots(F.col("sub_category"), F.col("master_category")), ",").alias("slots")))
-simple("S16", "select user_id, string_agg(distinct product_id, ' + ' order by product_id) as said from interactions group by 1", lambda i: i.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("product_id")), " + ").alias("said")), S.interactions)
+_NAMED_ITEM = f"""case when coalesce(article_type, '') = '' then 'product' else coalesce({LABELS_SQL}[lower(article_type)], article_type) end"""
+
+
+@query("S16", f"""select outfit_id, case when count(*) = 1 then 'Complete outfit for ' || first(named order by k) else 'Perfect combination with ' || first(named order by k) || ': ' || array_to_string(list(coalesce(nullif(lower(base_colour), '') || ' ', '') || named order by k)[2:], ' + ') end as said
+from (select *, cast(product_id as bigint) as k, cast(product_id as bigint) // 5 as outfit_id, {_NAMED_ITEM} as named from products where cast(product_id as bigint) % 10 < 6) group by 1""")
+def outfit_reasons(spark, d):
+    """Neighbours in the catalog as outfits around the first of them."""
+    k = F.col("product_id").cast("bigint")
+    rows = S.products(spark, d).where(k % 10 < 6).select(F.floor(k / 5).alias("outfit_id"), k.alias("k"), "base_colour", "article_type")
+    items = rows.groupBy("outfit_id").agg(F.sort_array(F.collect_list(F.struct("k", "base_colour", "article_type"))).alias("items"))
+    return items.select("outfit_id", personal.outfit_reason(F.col("items")[0]["article_type"], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))).alias("said"))
+
+
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)
 simple("D04", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as said from event_rows", lambda e: e.select("event_id", F.date_format(F.try_to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), "yyyy-MM-dd HH:mm:ss").alias("said")), S.events)
