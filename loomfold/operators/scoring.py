@@ -106,9 +106,13 @@ def hybrid(graph: DataFrame, content: DataFrame, alpha: float = 0.5) -> DataFram
     return scaled.select("user_id", "product_id", C.blend(g, c, alpha).alias("score"))
 
 
-def of_requests(requests: DataFrame, products: DataFrame, interactions: DataFrame) -> DataFrame:
-    """The candidates of each request that have its payload's article type: product columns, base_score
-    (the user's summed weight over 10) and the user's preferences for article type and usage.
+def of_requests(requests: DataFrame, products: DataFrame, interactions: DataFrame, k: int = 10) -> DataFrame:
+    """The candidates of each request that have its payload's article type and may be among its k best: product columns,
+    base_score (the user's summed weight over 10) and the user's preferences for article type and usage.
+
+    Products without history of the user differ by gender and usage only, so of each (article type, gender, usage) the
+    first k + 1 by id (one may be the payload) stand for all; the user's own products are all candidates.
+    So a request never meets the whole catalog.
 
     requests: request_id, user_id, age, allowed (genders), payload_id, payload_gender, payload_article, payload_usage."""
     mine = interactions.join(requests.select("user_id").distinct(), "user_id", "left_semi")
@@ -116,7 +120,11 @@ def of_requests(requests: DataFrame, products: DataFrame, interactions: DataFram
     prefs = preferences(mine, products)
     article = prefs.where("attribute = 'article_type'").select("user_id", F.col("value").alias("article_type"), F.col("preference").alias("article_pref"))
     usage = prefs.where("attribute = 'usage'").select("user_id", F.col("value").alias("usage"), F.col("preference").alias("usage_pref"))
-    rows = requests.join(products, F.col("payload_article") == F.col("article_type")).where("product_id != payload_id")
+    place = F.row_number().over(Window.partitionBy("article_type", "gender", "usage").orderBy("product_id"))
+    shelf = products.withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    right = F.col("payload_article") == F.col("article_type")
+    own = requests.join(score.select("user_id", "product_id"), "user_id").join(products, "product_id").where(right)
+    rows = requests.join(shelf, right).unionByName(own).where("product_id != payload_id").dropDuplicates(["request_id", "product_id"])
     rows = rows.join(score, ["user_id", "product_id"], "left").join(article, ["user_id", "article_type"], "left").join(usage, ["user_id", "usage"], "left")
     return rows.fillna(0.0, ["base_score", "article_pref", "usage_pref"])
 
@@ -125,12 +133,19 @@ def _suits() -> Column:
     return F.coalesce(F.array_contains("allowed", F.col("gender")), F.lit(False))
 
 
-def funnel(candidates: DataFrame, requests: DataFrame, n_products: int, k: int = 10) -> DataFrame:
-    """Counts of each request's candidates after each filter, in one pass over those of the right article type."""
-    counts = candidates.groupBy("request_id").agg(F.count(F.lit(1)).alias("right"), F.count_if(_suits()).alias("both"))
-    rows = requests.select("request_id").join(counts, "request_id", "left").na.fill(0)
-    initial, final = F.lit(n_products - 1).cast("long"), F.least(F.col("both"), F.lit(k).cast("long"))
-    return rows.select("request_id", initial.alias("initial_count"), F.col("right").alias("after_articletype"), F.col("both").alias("after_age_gender"), final.alias("final_count"), (initial - final).alias("removed_count"), F.round(F.coalesce(F.try_divide((initial - final) * 100.0, initial), F.lit(0.0)), 6).alias("reduction_rate"))
+def funnel(requests: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
+    """Counts of each request's candidates after each filter, from the catalog's counts by article type and gender (a
+    vocabulary); the payload itself, which has its article type, is no candidate. The payload is in the catalog."""
+    sizes = products.groupBy("article_type").agg(F.count(F.lit(1)).alias("n")).join(
+        products.groupBy("article_type", "gender").agg(F.count(F.lit(1)).alias("m")).groupBy("article_type").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("gender", F.lit("")).alias("gender"), "m"))).alias("by_gender")), "article_type")
+    all_of_them = products.agg(F.count(F.lit(1)).alias("n_products"))  # one row
+    rows = requests.join(sizes.withColumnRenamed("article_type", "payload_article"), "payload_article", "left").join(F.broadcast(all_of_them))
+    suiting = F.aggregate(F.array_distinct("allowed"), F.lit(0).cast("long"), lambda t, g: t + F.coalesce(F.try_element_at("by_gender", g), F.lit(0)))
+    itself = F.coalesce(F.array_contains("allowed", F.col("payload_gender")), F.lit(False)).cast("long")
+    known = F.col("n").isNotNull()
+    counted = rows.select("request_id", (F.col("n_products") - 1).alias("initial"), F.when(known, F.col("n") - 1).otherwise(0).alias("right"), F.when(known, suiting - itself).otherwise(0).alias("both"))
+    initial, final = F.col("initial"), F.least(F.col("both"), F.lit(k).cast("long"))
+    return counted.select("request_id", initial.alias("initial_count"), F.col("right").alias("after_articletype"), F.col("both").alias("after_age_gender"), final.alias("final_count"), (initial - final).alias("removed_count"), F.round(F.coalesce(F.try_divide((initial - final) * 100.0, initial), F.lit(0.0)), 6).alias("reduction_rate"))
 
 
 def personalised(candidates: DataFrame, k: int = 10) -> DataFrame:

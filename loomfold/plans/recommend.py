@@ -371,7 +371,7 @@ def _candidates(spark, d, pairs=None):
 @query("F14", """select request_id, initial_count, after_articletype, after_age_gender, final_count, initial_count - final_count as removed_count, round((initial_count - final_count) * 100.0 / initial_count, 6) as reduction_rate from (
   select *, least(after_age_gender, 10) as final_count from (select request_id, count(*) as initial_count, count(*) filter (article_type = payload_article) as after_articletype, count(*) filter (article_type = payload_article and list_contains(allowed, gender)) as after_age_gender from base group by 1))""", REQUESTS)
 def funnel(spark, d):
-    return scoring.funnel(_candidates(spark, d), requests(spark, d), S.products(spark, d).count())
+    return scoring.funnel(requests(spark, d), S.products(spark, d))
 
 
 @query("X09", "select request_id, product_id, base_score, rank from (select *, row_number() over (partition by request_id order by base_score desc, product_id) as rank from base where article_type = payload_article and list_contains(allowed, gender)) where rank <= 10", REQUESTS)
