@@ -169,14 +169,15 @@ def _positives(spark, d):
 
 def _trained(spark, d, epochs: int = 10):
     start = R._nodes(spark, d, DIMS).select("node", F.array(*DIMS).alias("vector"))
-    return descent.train(start, _positives(spark, d), epochs, rate=0.01)
+    nodes, said = descent.train(start, _positives(spark, d), epochs, rate=0.01)
+    return nodes.select("node", *[F.col("vector")[i].alias(x) for i, x in enumerate(DIMS)]), said
 
 
 @query("X06")
 def trained_ranking(spark, d):
     """Each user's 20 best products by vectors of 64 dimensions after 10 epochs."""
     vectors, _ = _trained(spark, d)
-    return G.dense_top_k(*descent.sides(vectors), 20)
+    return R._dense(vectors)
 
 
 @query("X06_epochs", f"select cast(e as integer) as epoch, count(*) as pairs, e > 1 as learned from interactions, generate_series(1, 10) g(e) where interaction_type in {V.POSITIVE} group by e")
@@ -251,9 +252,9 @@ def experiment(spark, d):
             ranked, content = R._ranking(spark, d), R._content_vectors(spark, d)
         elif model == "gnn":
             vectors, _ = _trained(spark, d)
-            ranked = G.dense_top_k(*descent.sides(vectors), 20)
+            ranked = R._dense(vectors)
         else:  # the blend of both models' whole score tables
-            ranked = G.dense_hybrid(descent.sides(vectors), content)
+            ranked = G.dense_hybrid(R._sides(vectors), content)
         at = A.path(spark, f"ranking-{model}")
         ranked.select("user_id", "product_id", "score", "rank").write.mode("overwrite").parquet(at)
         rankings[model], seconds[model] = spark.read.parquet(at), time.monotonic() - began

@@ -138,14 +138,14 @@ simple("S09", f"""select product_id, array_to_string(list_sort(list_filter([{",
 _NAMED_ITEM = f"""case when coalesce(article_type, '') = '' then 'product' else coalesce({LABELS_SQL}[lower(article_type)], article_type) end"""
 
 
-@query("S16", f"""select outfit_id, case when count(*) = 1 then 'Complete outfit for ' || first(named order by k) else 'Perfect combination with ' || first(named order by k) || ': ' || array_to_string(list(coalesce(nullif(lower(base_colour), '') || ' ', '') || named order by k)[2:], ' + ') end as said
-from (select *, cast(product_id as bigint) as k, cast(product_id as bigint) // 5 as outfit_id, {_NAMED_ITEM} as named from products where cast(product_id as bigint) % 10 < 6) group by 1""")
+@query("S16", f"""select user_id, case when count(*) = 1 then 'Complete outfit for ' || first(named order by product_id) else 'Perfect combination with ' || first(named order by product_id) || ': ' || array_to_string(list(coalesce(nullif(lower(base_colour), '') || ' ', '') || named order by product_id)[2:], ' + ') end as said
+from (select user_id, p.*, {_NAMED_ITEM} as named from (select distinct user_id, product_id from interactions) join products p using (product_id)) group by 1""")
 def outfit_reasons(spark, d):
-    """Neighbours in the catalog as outfits around the first of them."""
-    k = F.col("product_id").cast("bigint")
-    rows = S.products(spark, d).where(k % 10 < 6).select(F.floor(k / 5).alias("outfit_id"), k.alias("k"), "base_colour", "article_type")
-    items = rows.groupBy("outfit_id").agg(F.sort_array(F.collect_list(F.struct("k", "base_colour", "article_type"))).alias("items"))
-    return items.select("outfit_id", personal.outfit_reason(F.col("items")[0]["article_type"], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))).alias("said"))
+    """Each user's products as an outfit around the first of them."""
+    mine = S.interactions(spark, d).select("user_id", "product_id").distinct()
+    rows = mine.join(S.products(spark, d).select("product_id", "base_colour", "article_type"), "product_id")
+    items = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "base_colour", "article_type"))).alias("items"))
+    return items.select("user_id", personal.outfit_reason(F.col("items")[0]["article_type"], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))).alias("said"))
 
 
 simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
