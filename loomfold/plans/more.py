@@ -59,7 +59,6 @@ def users_with_histories(spark, d):
 
 
 simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(avg(price), 6) as mean from (select * from products order by price, product_id limit 100)", lambda p: p.orderBy("price", "product_id").limit(100).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gender").alias("genders"), F.round(F.avg("price"), 6).alias("mean")))
-simple("SNK13", "select o_orderkey, case when o_orderstatus = 'P' then 'F' else o_orderstatus end as status, o_orderstatus = 'P' as changed from orders", lambda o: o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "F").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_orderstatus") == "P").alias("changed")), lambda s, d: S.table(s, d, "orders"))
 
 
 @query("J10", "select user_id, a.product_id as first, b.product_id as second from ranking a join ranking b using (user_id) where a.rank < b.rank and a.rank <= 10 and b.rank <= 10", CONTENT)
@@ -180,7 +179,6 @@ simple("X18", "select product_id, concat_ws(' ', name, article_type, base_colour
 # in whole hundredths, so that sums are exact in any order
 simple("A28", "select event_id, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id) / count(*) over (partition by user_id order by ts, event_id) as running from event_rows",
        lambda e: e.withColumn("so_far", F.struct(F.sum(F.round(F.col("value") * 100).cast("bigint")).over(_running()).alias("total"), F.count(F.lit(1)).over(_running()).alias("n"))).select("event_id", (F.col("so_far.total") / F.col("so_far.n")).alias("running")), S.events)
-simple("JS04", "select event_id, interaction_type as name, round(value, 2) as value from event_rows", lambda e: e.select("event_id", F.format_string("[log] metric %s = %.2f", "interaction_type", "value").alias("line")).select("event_id", F.regexp_extract("line", r"metric (\w+) = ", 1).alias("name"), F.regexp_extract("line", r" = (-?[0-9.]+)", 1).cast("double").alias("value")), S.events)
 
 
 # orders as documents of a dump, with wrappers at every level and texts that look like them

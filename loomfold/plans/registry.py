@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, more: str = ""):
 
 
 def _load() -> None:
-    from loomfold.plans import catalog, models, more, recommend, reports  # noqa: F401  they register themselves
+    from loomfold.plans import catalog, models, more, recommend, records, reports  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable]:
