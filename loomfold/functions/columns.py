@@ -128,3 +128,23 @@ def combinations(items: Column, k: int) -> Column:
     bounded (a top list), as the result grows with its length to the k."""
     grown = F.aggregate(items, F.array(F.slice(items, 1, 0)), lambda done, x: F.concat(done, F.transform(F.filter(done, lambda d: F.size(d) < k), lambda d: F.concat(d, F.array(x)))))
     return F.filter(grown, lambda d: F.size(d) == k)
+
+
+def iso_time(text: Column, now: Column) -> Column:
+    """A time in ISO form, by its own zone (`Z`, an offset, or none: UTC); what is blank or none gets `now`.
+    The session's zone must be UTC."""
+    fits = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{3}(\d{3})?)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    zone = F.nullif(F.regexp_extract(text, r"[T ].*?([+-]\d{2}:?\d{2})$", 1), F.lit(""))
+    zone = F.regexp_replace(F.coalesce(zone, F.lit("+00:00")), r"^(...):?(..)$", "$1:$2")
+    clock = F.regexp_replace(F.nullif(F.regexp_extract(text, r"^.{10}[T ]([0-9:.,]+)", 1), F.lit("")), ",", ".")
+    parts = F.coalesce(clock, F.lit("00"))
+    whole = F.when(F.length(parts) == 2, F.concat(parts, F.lit(":00:00"))).when(F.length(parts) == 5, F.concat(parts, F.lit(":00"))).otherwise(parts)
+    return F.coalesce(F.when(fits, F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), whole, zone))), now)
+
+
+def first_image(images: Column, literal: Column) -> Column:
+    """The first image of a cell: of a list literal its first element (`literal`: the cell's literals as JSON), else the
+    trimmed cell itself if it begins with http; null if there is none."""
+    text = F.trim(images)
+    listed = F.when(text.startswith("["), F.try_variant_get(F.try_parse_json(literal), "$[0]", "string"))
+    return F.coalesce(listed, F.when(text.startswith("http"), text))

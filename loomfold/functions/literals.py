@@ -170,6 +170,23 @@ def histories(cell: Column) -> Column:
     return _histories(cell)
 
 
+def _literal_json(cell: str | None) -> str | None:
+    try:
+        return None if cell is None else _json(literal(cell))
+    except Bad:
+        return None
+
+
+@F.arrow_udf(T.StringType())
+def _literals(cells: pa.Array) -> pa.Array:
+    return pa.array([_literal_json(c.as_py()) for c in cells], pa.string())
+
+
+def as_json(cell: Column) -> Column:
+    """The one literal of a cell as JSON; null for a null cell or one that is no literal."""
+    return _literals(cell)
+
+
 _STRING = r'"(?:[^"\\]|\\.)*"'
 
 

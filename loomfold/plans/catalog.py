@@ -90,7 +90,6 @@ def sync(spark, d):
 
 
 simple("SRC18", "select lower(sub_category) as key, min(product_id) as first_id from products group by 1", lambda p: p.groupBy(F.lower("sub_category").alias("key")).agg(F.min("product_id").alias("first_id")))
-simple("SRC19", "select product_id from products where product_id = '42'", lambda p: p.where(F.col("product_id") == C.normal_id(F.lit(" 42 "))).select("product_id"))
 
 # exports
 @query("SNK01", "select product_id, coalesce(usage, '') as usage, cast(year as varchar) as year, '[\"' || product_id || '.jpg\"]' as images from products")
@@ -114,12 +113,6 @@ def export_interactions(spark, d):
     return S.lines_of(spark, _csv(spark, "interactions"), S.INTERACTIONS).withColumn("rejected", F.lit(rejected).cast("long"))
 
 
-@query("SNK04", "select 'interactions' as export, count(*) as rows from interactions union all select 'products', count(*) from products union all select 'users', count(*) from users")
-def export_totals(spark, d):
-    parts = [role(spark, d).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("export"), "rows") for n, role in (("interactions", S.interactions), ("products", S.products), ("users", S.users))]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
 @query("SNK05", """select 'products' as export, product_id as id, concat_ws(';', gender, usage, base_colour) as said from products
 union all select 'users', user_id, string_agg(product_id, ';' order by ts, product_id, interaction_type) from interactions group by user_id
 union all select 'interactions', user_id || ' ' || product_id, interaction_type || ' ' || cast(cast(w as integer) as varchar) from weighted

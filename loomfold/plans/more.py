@@ -58,7 +58,6 @@ def users_with_histories(spark, d):
     return read.select(F.col("id").alias("user_id"), F.size("parsed_interactions").cast("long").alias("n"), F.array_max(F.transform("parsed_interactions", lambda x: x["product_id"])).alias("greatest"))
 
 
-simple("SRC13", "select count(*) as n, count(distinct gender) as genders, round(avg(price), 6) as mean from (select * from products order by price, product_id limit 100)", lambda p: p.orderBy("price", "product_id").limit(100).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gender").alias("genders"), F.round(F.avg("price"), 6).alias("mean")))
 
 
 @query("J10", "select user_id, a.product_id as first, b.product_id as second from ranking a join ranking b using (user_id) where a.rank < b.rank and a.rank <= 10 and b.rank <= 10", CONTENT)
@@ -126,7 +125,6 @@ def outfit_scores(spark, d):
     return each.join(F.broadcast(mean)).select("outfit_id", (F.col("hundredths") / 100).alias("score"), "completeness", "mean_score")
 
 
-simple("A30", "select case when try_cast(product_id as bigint) is not null then 'integer' else 'text' end as kind, count(*) as n from event_rows group by 1", lambda e: e.groupBy(F.when(F.col("product_id").try_cast("bigint").isNotNull(), "integer").otherwise("text").alias("kind")).agg(F.count(F.lit(1)).alias("n")), S.events)
 simple("W14", "select sub_category, t, product_id from (select sub_category, product_id, row_number() over (partition by sub_category order by rating desc, product_id) - 1 as place, count(*) over (partition by sub_category) as n from products), generate_series(1, 5) g(t) where place = (t - 1) % n",
        lambda p: p.withColumn("place", F.row_number().over(Window.partitionBy("sub_category").orderBy(F.desc("rating"), "product_id")) - 1).where("place < 5").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sub_category"))).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).where(F.col("place") == F.pmod(F.col("t") - 1, F.col("n"))).select("sub_category", "t", "product_id"))
 simple("W15", "select product_id from products order by rating desc, product_id limit 10", lambda p: p.orderBy(F.desc("rating"), "product_id").limit(10).select("product_id"))
@@ -147,9 +145,7 @@ def outfit_reasons(spark, d):
     return items.select("user_id", personal.outfit_reason(F.col("items")[0]["article_type"], F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))).alias("said"))
 
 
-simple("S19", "select product_id, 'http://x/' || product_id || '.jpg' as url from products", lambda p: p.select("product_id", F.regexp_extract(F.concat(F.lit("['http://x/"), "product_id", F.lit(".jpg', 'b']")), "(https?://[^'\"]+)", 1).alias("url")))
 simple("S23", "select user_id, lower(segment) as styles from users", lambda u: u.select("user_id", F.array_join(F.transform(F.filter(F.split(F.concat("segment", F.lit("; ")), ";"), lambda x: F.trim(x) != ""), lambda x: F.lower(F.trim(x))), ",").alias("styles")), S.users)
-simple("D04", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as said from event_rows", lambda e: e.select("event_id", F.date_format(F.try_to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), "yyyy-MM-dd HH:mm:ss").alias("said")), S.events)
 simple("AR02", "select user_id, 'a,' || user_id as added, 'a' as removed from users", lambda u: u.select("user_id", F.array_join(F.array_union(F.array(F.lit("a")), F.array(F.col("user_id"), F.lit("a"))), ",").alias("added"), F.array_join(F.array_remove(F.array(F.lit("a"), F.col("user_id")), F.col("user_id")), ",").alias("removed")), S.users)
 
 

@@ -1,10 +1,14 @@
 """Evaluation logs against a plain reading, in any split; order states as a stream; profiles, resolution."""
 
 import re
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomfold.functions import columns as C
+from loomfold.functions import literals as L
+from loomfold.operators import profile as P
 from loomfold.sources import evaluation_logs as E
 from loomfold.streaming import states
 
@@ -121,3 +125,56 @@ def test_latest_interactions_of_a_stream(spark, tmp_path):
     started = states.latest_of_each(stream).writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     assert started.awaitTermination(120)
     assert sorted(r[:3] for r in spark.table("latest").collect()) == [("u", "p3", "like"), ("v", None, "view")]
+
+
+def test_profile_of_awkward_columns(spark):
+    cells = [("1", "1.5", "TRUE", " ", None, "x"), ("-2", "7", "false", "", None, "1"), (" 30 ", "-1e2", None, None, None, "1"), ("4", "", " true ", "", None, "y")]
+    got = {r.column: r for r in P.profile(spark.createDataFrame(cells, "a string, b string, c string, d string, e string, f string")).collect()}
+    assert [got[c].type for c in "abcdef"] == ["integer", "number", "boolean", "empty", "empty", "text"]
+    assert [(got[c].nulls, got[c].blanks, got[c].null_share) for c in "abcdef"] == [(0, 0, 0.0), (0, 1, 0.25), (1, 0, 0.25), (1, 3, 1.0), (4, 0, 1.0), (0, 0, 0.0)]
+    assert (got["a"].mean, got["a"].least, got["a"].most, got["f"].mean, got["f"].about_distinct) == (8.25, -2.0, 30.0, None, 3)
+    empty = P.profile(spark.createDataFrame([], "x string, y long")).collect()
+    assert [(r.column, r.type, r.rows, r.null_share, r.about_distinct, r.about_quarters) for r in empty] == [(c, "empty", 0, 0.0, 0, None) for c in "xy"]
+
+
+def test_sketches_within_their_error(spark):
+    rows = spark.range(200_000).select((F.col("id") % 50_000).alias("few"), (F.col("id") * F.col("id") / 1e6).alias("bent"))
+    got = {r.column: r for r in P.profile(rows.repartition(16)).collect()}
+    assert abs(got["few"].about_distinct / 50_000 - 1) < 0.03 and abs(got["bent"].about_distinct / 200_000 - 1) < 0.03
+    for share, said in zip(P.QUARTERS, got["bent"].about_quarters):
+        assert abs((said * 1e6) ** 0.5 / 200_000 - share) < 0.02
+
+
+def test_resolved(spark):
+    entities = spark.createDataFrame([("a", 7, None), ("b", None, "0123456789abcdef01234567"), ("c", 12, "1" * 24), ("d", None, None)], "entity_id string, number long, object_id string")
+    asked = ["007", "7", " 7", "7.0", "0123456789ABCDEF01234567", "1" * 24, "1" * 23, "", None, "12", "99999999999999999999", "g" * 24, "7"]
+    got = P.resolved(spark.createDataFrame([(x,) for x in asked], "asked string"), entities, "asked").collect()
+    want = dict(zip(asked, ["a", "a", None, None, "b", "c", None, None, None, "c", None, None]))
+    assert len(got) == len(asked) and all(r.entity_id == want[r.asked] and (r.error is None) == (r.entity_id is not None) for r in got)
+
+
+def test_iso_times(spark):
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02 03:04", "2024-01-02T03:04:05.123456-02:00", "2024-01-02T03:04:05.123+0530", "2024-01-02", "2024-01-02T03", "", None, "soon", "2024-02-30", "2024-01-02T25:00:00Z", "2024-01-02T03:04:05,5Z"]
+    now = datetime(2000, 1, 1, tzinfo=timezone.utc)
+
+    def said(text):
+        try:
+            at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+            return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+        except (ValueError, AttributeError):
+            return now
+
+    rows = spark.createDataFrame([(t,) for t in texts[:-1]], "t string").select("t", F.unix_micros(C.iso_time(F.col("t"), F.to_timestamp(F.lit("2000-01-01")))).alias("m")).collect()
+    assert {r.t: r.m for r in rows} == {t: round(said(t).timestamp() * 1e6) for t in texts[:-1]}
+
+
+def test_first_images(spark):
+    cells = {"['a', 'b']": "a", " [\"it's\"] ": "it's", "[": None, "[]": None, "['a' 'b']": "ab", "[None, 'a']": None, " http://z ": "http://z", "[http://z]": None, "('a',)": None, "": None, None: None}
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", C.first_image(F.col("c"), L.as_json(F.trim("c"))).alias("url")).collect()
+    assert {r.c: r.url for r in rows} == cells
+
+
+def test_exports_that_lost_rows(spark):
+    one = lambda n: spark.createDataFrame([(n,)], "rows long")
+    got = P.export_result({"a": one(3), "b": one(4)}, {"a": one(3), "b": one(5)}).collect()
+    assert [tuple(r) for r in got] == [("a", 3, True), ("b", 4, False), ("all", 7, False)]
