@@ -5,13 +5,15 @@ all but MOST_BITS of any BLOCKS bit blocks, so each is dealt to one bucket for e
 BLOCKS - MOST_BITS blocks, keyed by those bits; more blocks (longer keys) are taken as the number
 of fingerprints grows, so that buckets stay small. A bucket over BUCKET fingerprints is cut into
 chunks, and every pair of chunks is a bucket of its own. Within buckets the fingerprints are sorted
-by Gray rank, which puts those with common high bits together: the nodes of a hierarchical index
-are runs with the same bits under a mask of 16, 32, 48, then 64 bits. Pairs of nodes are compared
-level by level, their differing bits add up, and a pair of groups whose sum passes MOST_BITS is
-pruned whole, as is one whose members are known to be connected. A bucket yields at most one link
-for each member (a star), never all pairs. The stars are joined to components by rounds of large
-and small stars with minimum aggregation, each round written to the shared folder; roots of large
-components and fingerprints of many copies are looked up by broadcast, as they are few.
+by Gray rank, which puts those alike next to each other: the nodes of a hierarchical index are runs of
+64, 8 and 2 of them (then each alone), and a node holds the bits that all of its codes share, at any
+place, factored out as a mask and a pattern. Pairs of nodes are compared level by level: bits that both
+share and that were not shared above add their differences to those counted so far, and a pair of
+groups whose sum passes MOST_BITS is pruned whole, as is one whose members are known to be connected.
+A bucket yields at most one link for each member (a star), never all pairs. The stars are joined to
+components by rounds of large and small stars with minimum aggregation, each round written to the
+shared folder; roots of large components and fingerprints of many copies are looked up by broadcast, as
+they are few.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer
 than four words are one shingle; repeated rows and equal texts are one node and share a component;
@@ -36,8 +38,9 @@ from loomfold.llm.common import lookup, materialise, pick, scope
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
 BUCKET = 4096
 PAIRS = 1 << 20  # candidate pairs held at once
-#: Blocks by number of distinct fingerprints, so that a bucket of evenly spread ones has about 64 at most.
-BLOCKS = ((400_000, 5), (100_000_000, 6), (8_000_000_000, 7))
+WIDTHS = (64, 8, 2, 1)  # codes of a node by level
+#: Blocks by number of distinct fingerprints, so that a bucket of evenly spread ones has about 1000 at most.
+BLOCKS = ((4_000_000, 5), (2_000_000_000, 6), (130_000_000_000, 7))
 
 
 def fingerprint_of(text: bytes) -> int:
@@ -115,19 +118,26 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(before, counts) + np.repeat(starts, counts)
 
 
-def local_labels(group: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Least index of each member's component within its group; members are in Gray order in a group."""
+def _tree(group: np.ndarray, code: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Nodes of the index by level, from the whole groups down to single codes: where each starts, the mask of
+    the bits that all of its codes share, and those bits. A node is a run of codes next to each other in Gray order."""
+    n = len(code)
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
+    starts = [head, *[np.flatnonzero(place % width == 0) for width in WIDTHS]]
+    both = [np.bitwise_and.reduceat(code, s) for s in starts]
+    shared = [~(every ^ np.bitwise_or.reduceat(code, s)) for every, s in zip(both, starts)]
+    return starts, shared, [every & mask for every, mask in zip(both, shared)]
+
+
+def local_labels(group: np.ndarray, code: np.ndarray, seen: list | None = None) -> np.ndarray:
+    """Least index of each member's component within its group; members are in Gray order in a group.
+    `seen` is given (level, pairs compared, pairs kept) for every step."""
     n = len(code)
     labels = np.arange(n)
     near = np.flatnonzero((group[1:] == group[:-1]) & (_popcount(code[1:] ^ code[:-1]) <= MOST_BITS))
     labels = _connect(labels, near, near + 1)
-    cuts = [np.uint64(0)] + [np.uint64(((1 << k) - 1) << (64 - k)) for k in (16, 32, 48, 64)]
-    starts = []
-    for cut in cuts:
-        pattern = code & cut
-        new = np.ones(n, bool)
-        new[1:] = (group[1:] != group[:-1]) | (pattern[1:] != pattern[:-1])
-        starts.append(np.flatnonzero(new))
+    starts, shared, pattern = _tree(group, code)
     bounds = [np.searchsorted(below, np.append(above, n)) for above, below in zip(starts, starts[1:])]  # children of a node
     low = [np.minimum.reduceat(labels, s) for s in starts]
     high = [np.maximum.reduceat(labels, s) for s in starts]
@@ -135,18 +145,18 @@ def local_labels(group: np.ndarray, code: np.ndarray) -> np.ndarray:
     work = [(0, roots, roots, np.zeros(len(roots), np.uint8))]
     while work:
         level, x, y, apart = work.pop()
-        if level == len(cuts) - 1:
-            labels = _connect(labels, starts[level][x], starts[level][y])
+        if level == len(starts) - 1:
+            labels = _connect(labels, x, y)
             continue
         open_ = ~((low[level][x] == high[level][y]) & (high[level][x] == low[level][y]))
         x, y, apart = x[open_], y[open_], apart[open_]
-        bound, cut = bounds[level], cuts[level + 1] & ~cuts[level]
+        bound = bounds[level]
         wide = bound[x + 1] - bound[x]
         left = _ranges(bound[x], wide)
         same = np.repeat(x == y, wide)
         start = np.where(same, left, np.repeat(bound[y], wide))
         count = np.repeat(bound[y + 1], wide) - start
-        apart = np.repeat(apart, wide)
+        apart, known = np.repeat(apart, wide), np.repeat(shared[level][x] & shared[level][y], wide)
         until = np.cumsum(count)
         first = 0
         while first < len(left):
@@ -154,11 +164,14 @@ def local_labels(group: np.ndarray, code: np.ndarray) -> np.ndarray:
             part = slice(first, last)
             first = last
             i, j = np.repeat(left[part], count[part]), _ranges(start[part], count[part])
-            at = starts[level + 1]
-            d = np.repeat(apart[part], count[part]) + _popcount((code[at[i]] ^ code[at[j]]) & cut)
+            mask, bits = shared[level + 1], pattern[level + 1]
+            fresh = mask[i] & mask[j] & ~np.repeat(known[part], count[part])
+            d = np.repeat(apart[part], count[part]) + _popcount((bits[i] ^ bits[j]) & fresh)
             near = d <= MOST_BITS
-            if level + 2 == len(cuts):
+            if level + 2 == len(starts):
                 near &= i != j
+            if seen is not None:
+                seen.append((level + 1, len(near), int(near.sum())))
             if near.any():
                 work.append((level + 1, i[near], j[near], d[near]))
     return labels

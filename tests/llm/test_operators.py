@@ -612,6 +612,48 @@ def test_block_choices_cover_all_differences(blocks):
 # 10 html
 
 
+def _in_gray_order(codes):
+    codes = np.unique(codes)
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return codes[np.argsort(rank)]
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "near one code"])
+def test_simhash_index_prunes_groups(kind):
+    """Labels equal those of all pairs, and few pairs of single codes are left by the groups pruned above them."""
+    rng = np.random.default_rng(5)
+
+    def flips(n, bits):
+        return np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 52, (n, bits), dtype=np.uint64), axis=1)
+
+    def made(n):
+        if kind == "near one code":
+            return flips(n, 7)
+        even = rng.integers(0, 1 << 52, n, dtype=np.uint64)
+        return even if kind == "even" else even[rng.integers(0, n // 20 + 1, n)] ^ flips(n, 3)
+
+    groups = [_in_gray_order(made(n)) for n in (1, 2, 3, 60, 63, 64, 65, 900)]
+    codes, group = np.concatenate(groups), np.repeat(np.arange(len(groups)), list(map(len, groups)))
+    seen = []
+    labels = simhash.local_labels(group, codes, seen)
+    want = np.arange(len(codes))
+    for g in range(len(groups)):
+        at = np.flatnonzero(group == g)
+        a, b = np.nonzero(np.bitwise_count(codes[at][:, None] ^ codes[at][None]) <= simhash.MOST_BITS)
+        want = simhash._connect(want, at[a], at[b])
+    assert (labels == want).all()
+    starts, shared, _ = simhash._tree(group, codes)
+    members = [len(codes) / len(s) for s in starts[1:]]
+    assert members[0] > 20 and members[1] > 6 and members[2] > 1.8 and (np.bitwise_count(shared[-1]) == 64).all()
+    all_pairs = sum(len(g) * (len(g) - 1) // 2 for g in groups)
+    compared = {level: sum(n for at, n, _ in seen if at == level) for level in range(1, len(starts))}
+    assert sum(compared.values()) < all_pairs * (1 if kind == "near one code" else 0.4)
+    assert compared[len(starts) - 1] < all_pairs * (0.8 if kind == "near one code" else 0.05)
+
+
+
 @pytest.mark.parametrize("odd", ["<![foo[ a ]]>", "<![ 1>", "<![>", "<![%x;[>", "<![if !IE]>", "<![endif]>", "<![CDATA[ a > b ]]>", "<![cdata[ a ]\n] >", "<![CDATA[>" * 20000, "<!x", "</ x>"])
 def test_html_odd_declarations(odd):
     first, last = (f"The {n} paragraph of the article, long enough to be its text." for n in ("first", "last"))
