@@ -11,6 +11,7 @@ from loomfold.functions import values as V
 from loomfold.operators import catalog as K
 from loomfold.operators import metrics as M
 from loomfold.operators import personal, scoring
+from loomfold.operators import textvectors as T
 from loomfold.plans.catalog import KEY_SQL, LABELS_SQL, simple
 from loomfold.plans.recommend import CONTENT, TRUTH, _ranking
 from loomfold.plans.registry import query
@@ -172,6 +173,23 @@ def graded(spark, d):
 simple("X18", "select product_id, concat_ws(' ', name, article_type, base_colour, usage, gender) as text from products", lambda p: p.select("product_id", F.concat_ws(" ", "name", "article_type", "base_colour", "usage", "gender").alias("text")))
 
 
+def _texts(p):
+    return p.select("product_id", F.concat_ws(" ", "name", "article_type", "base_colour", "usage", "gender").alias("text"))
+
+
+@query("X18_vectors")
+def item_vectors(spark, d):
+    """A vector for each product's text; tested on planted synonyms."""
+    return T.vectors(_texts(S.products(spark, d)), "product_id", "text")
+
+
+@query("X18_shape", "select product_id, 64 as dims, 1.0 as length from products")
+def item_vectors_shape(spark, d):
+    """What holds for the vectors of any texts with words: their dimensions and length."""
+    v = F.col("vector")
+    return item_vectors(spark, d).select("product_id", F.size(v).alias("dims"), F.round(C.norm(v), 6).alias("length"))
+
+
 # in whole hundredths, so that sums are exact in any order
 simple("A28", "select event_id, sum(cast(round(value * 100) as bigint)) over (partition by user_id order by ts, event_id) / count(*) over (partition by user_id order by ts, event_id) as running from event_rows",
        lambda e: e.withColumn("so_far", F.struct(F.sum(F.round(F.col("value") * 100).cast("bigint")).over(_running()).alias("total"), F.count(F.lit(1)).over(_running()).alias("n"))).select("event_id", (F.col("so_far.total") / F.col("so_far.n")).alias("running")), S.events)
