@@ -94,3 +94,13 @@ def test_extended_json_at_every_level(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got.pop(-1) is None and got.pop(-2) is None
     assert all(json.loads(got[n]) == walked(x) for n, x in enumerate(docs))
+
+
+def test_documents_are_rewritten_once(spark):
+    from pyspark.sql import functions as F
+
+    from loomfold.functions import literals
+
+    df = spark.createDataFrame([('{"a": {"$date": 7}, "b": [{"$oid": "x"}, {"$date": 1000}]}',), ("{}",), ("no",), (None,)], "d string").select(literals.unwrapped(F.col("d")).alias("o"))
+    assert df._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
+    assert [r.o for r in df.collect()] == ['{"a":"1970-01-01T00:00:00.007000+00:00","b":["x","1970-01-01T00:00:01+00:00"]}', "{}", None, None]
