@@ -104,3 +104,14 @@ def test_documents_are_rewritten_once(spark):
     df = spark.createDataFrame([('{"a": {"$date": 7}, "b": [{"$oid": "x"}, {"$date": 1000}]}',), ("{}",), ("no",), (None,)], "d string").select(literals.unwrapped(F.col("d")).alias("o"))
     assert df._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
     assert [r.o for r in df.collect()] == ['{"a":"1970-01-01T00:00:00.007000+00:00","b":["x","1970-01-01T00:00:01+00:00"]}', "{}", None, None]
+
+
+def test_common_forms_are_read_without_the_parser(monkeypatch):
+    from loomfold.functions import literals
+
+    common = "{'a': \"it's; 1\", 'b': 'x\\x41' 'y', 'c': datetime.datetime(1995, 3, 4, 0, 5, 9), 'd': [None, (True, -1.5e3), {'e': ObjectId('7')}],} ; {'f': 5..}"
+    odd = ["{'a': (3), 'b': (4,), 'c': [,]}", "{'a': [,]}", "{1: 2, 'a': +1, 'b': .5}", "{'a': b'x'}", "{'a': 1, 'a': 2.50}", "{'a': 'x", "[1;2]", "{'a': 007};{}", "{'a': u'x' r'\\d'}", "{'a':,}", "{'a': NaN}", "1 ; {'a': 'b' \"c\"}"]
+    wanted = [literals._slow(c) for c in odd]
+    assert [literals.history(c) for c in odd] == wanted
+    monkeypatch.setattr(literals, "_Parser", None)
+    assert literals.history(common) == [{"a": "it's; 1", "b": "xAy", "c": "1995-3-4 0:5:9", "d": [None, [True, -1500.0], {"e": "7"}]}]
