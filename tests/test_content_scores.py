@@ -2,10 +2,13 @@
 
 import math
 import random
+import re
 
 import pytest
 
+from __spark_entry__ import queries
 from loomfold.operators import scoring
+from tests.conftest import SMALL
 
 FEATURES = ("kind", "colour")
 
@@ -42,3 +45,22 @@ def test_content_scores_of_nothing(spark):
     assert scoring.content_scores(rows, catalog, 7, FEATURES).count() == 0
     some = spark.createDataFrame([("u", "kind", "a", 1.0)], rows.schema)
     assert scoring.content_scores(some, catalog.limit(0), 7, FEATURES).count() == 0
+
+
+def test_ranking_from_facts_is_that_of_profiles(spark):
+    rng = random.Random(5)
+    products = spark.createDataFrame([(str(n), rng.choice(["a", "b", "c", None]), rng.choice(["red", "blue", None])) for n in range(40)] + [("bare", None, None)], "product_id string, kind string, colour string")
+    facts = [(f"u{rng.randrange(15)}", str(rng.randrange(50)), rng.choice(["view", "like", "purchase"])) for _ in range(150)] + [(None, "1", "view"), ("lost", "none", "view"), ("plain", "bare", "like")]
+    facts = spark.createDataFrame(facts, "user_id string, product_id string, interaction_type string")
+    want = scoring.content_scores(scoring.profiles(facts, products, FEATURES), products, 7, FEATURES)
+    got = scoring.content_ranking(facts, products, 7, FEATURES)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} != set()
+
+
+def test_pairs_meet_their_user_in_one_exchange(spark, monkeypatch):
+    """And no strings but ids are sent with them."""
+    plans, kept = {}, scoring.materialise
+    monkeypatch.setattr(scoring, "materialise", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or kept(df, label))
+    queries()["X02"](spark, SMALL)
+    assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+, \d+\)", plans["profiles"])) == 1
+    assert "base_colour" not in plans["profiles"].split("Exchange hashpartitioning(user_id#")[0]
